@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm import neardup
+from quillspark.llm import leakage, mixing, neardup, residue
 from quillspark.runtime import table
 
 
@@ -26,5 +26,46 @@ def p6_groups(spark: SparkSession, d: str) -> DataFrame:
     return named.join(kinds, "group_id").select("file_id", "group_id", "n_links", "n_copies", "n_hashes", "n_notes")
 
 
-QUERIES = {f.__name__: f for f in (p6_found, p6_groups)}
+def p7_leaks(spark: SparkSession, d: str) -> DataFrame:
+    return leakage.leaks(table(spark, d, "documents"), table(spark, d, "eval_items"))
+
+
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    return p7_leaks(spark, d).filter("kind = 'run'").select("doc_id", "item_id")
+
+
+def _mix(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    targets = table(spark, d, "mix_targets")
+    sized = mixing.sized_documents(table(spark, d, "documents"), targets)
+    plan = mixing.budgets(sized, targets)
+    return mixing.mixture(sized, plan), plan
+
+
+def p8_mixture(spark: SparkSession, d: str) -> DataFrame:
+    return _mix(spark, d)[0]
+
+
+def p8_shares(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.shares(*_mix(spark, d))
+
+
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    """Sources that stay below their share in the mixture that was made."""
+    return p8_shares(spark, d).filter("not reachable").select("source")
+
+
+def p9_documents(spark: SparkSession, d: str) -> DataFrame:
+    return residue.residue_documents(table(spark, d, "documents"))
+
+
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return p9_documents(spark, d).select("doc_id")
+
+
+def p9_clean(spark: SparkSession, d: str) -> DataFrame:
+    """The documents that are left."""
+    return residue.without_residue(table(spark, d, "documents")).select("doc_id", "source", "n_chars").distinct()
+
+
+QUERIES = {f.__name__: f for f in (p6_found, p6_groups, p7_found, p7_leaks, p8_found, p8_mixture, p8_shares, p9_found, p9_documents, p9_clean)}
 SQL: dict[str, str] = {}
