@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm import leakage, mixing, neardup, residue
+from quillspark.llm import leakage, markup, mixing, neardup, residue
 from quillspark.runtime import table
 
 
@@ -13,6 +13,14 @@ def _notes(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "vault_search").select(F.col("file_id").alias("id"), F.col("content_lc").alias("content"))
 
 
+def p1_clean(spark: SparkSession, d: str) -> DataFrame:
+    return markup.clean_notes(table(spark, d, "vault_search"))
+
+
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    return markup.markup_kinds(p1_clean(spark, d))
+
+
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return neardup.near_duplicate_pairs(_notes(spark, d), neardup.NOTES).select(F.col("id_a").alias("file_id_a"), F.col("id_b").alias("file_id_b"))
 
@@ -67,5 +75,5 @@ def p9_clean(spark: SparkSession, d: str) -> DataFrame:
     return residue.without_residue(table(spark, d, "documents")).select("doc_id", "source", "n_chars").distinct()
 
 
-QUERIES = {f.__name__: f for f in (p6_found, p6_groups, p7_found, p7_leaks, p8_found, p8_mixture, p8_shares, p9_found, p9_documents, p9_clean)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_clean, p6_found, p6_groups, p7_found, p7_leaks, p8_found, p8_mixture, p8_shares, p9_found, p9_documents, p9_clean)}
 SQL: dict[str, str] = {}
