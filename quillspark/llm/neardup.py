@@ -19,10 +19,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillspark.llm.components import connected_components
-from quillspark.runtime import cut
+from quillspark.runtime import cut, cut_table
 
 WORD = re.compile(r"[^\W_]+")
 _CHUNK = 1 << 18
+KEY_BYTES = 5
+SIGMA = 3.7
+FILTER_BITS = 24
 
 
 @dataclass(frozen=True)
@@ -56,8 +59,8 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
-def band_keys(texts: list[str | None], p: NearDup, cache: _WordHash | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Indices of the texts that are long enough, and their band keys (texts x bands, int64)."""
+def signatures(texts: list[str | None], p: NearDup, cache: _WordHash | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Indices of the texts that are long enough, and their minima (texts x hashes, uint32)."""
     cache = _WordHash() if cache is None else cache
     keep, counts, hashes = [], [], []
     for i, t in enumerate(texts):
@@ -67,19 +70,18 @@ def band_keys(texts: list[str | None], p: NearDup, cache: _WordHash | None = Non
                 keep.append(i)
                 counts.append(len(w) - p.words + 1)
                 hashes.append(np.fromiter(map(cache.__getitem__, w), np.uint64, len(w)))
-    out = np.empty((len(keep), p.bands), np.int64)
     rng = np.random.default_rng(p.seed)
     n = p.bands * p.rows
+    out = np.empty((len(keep), n), np.uint32)
     mul = rng.integers(0, 2**63, n, np.uint64) * np.uint64(2) + np.uint64(1)
     add = rng.integers(0, 2**63, n, np.uint64)
     weights = rng.integers(0, 2**63, p.words, np.uint64) * np.uint64(2) + np.uint64(1)
-    band_seed = rng.integers(0, 2**63, p.bands, np.uint64)
     shift = np.uint64(32)
 
     def minima(x: np.ndarray, starts: np.ndarray) -> np.ndarray:
-        sig = np.empty((len(starts), n), np.uint64)
+        sig = np.empty((len(starts), n), np.uint32)
         for k in range(n):
-            sig[:, k] = np.minimum.reduceat((x * mul[k] + add[k]) >> shift, starts)
+            sig[:, k] = np.minimum.reduceat(((x * mul[k] + add[k]) >> shift).astype(np.uint32), starts)
         return sig
 
     with np.errstate(over="ignore"):
@@ -92,24 +94,34 @@ def band_keys(texts: list[str | None], p: NearDup, cache: _WordHash | None = Non
                 end += 1
             shingles = []
             for h, c in zip(hashes[at:end], counts[at:end]):
-                s = np.zeros(c, np.uint64)
-                for j in range(p.words):
-                    s = _mix(s + h[j : j + c] * weights[j])
+                s = h[:c] * weights[0]
+                for j in range(1, p.words):
+                    s = s + h[j : j + c] * weights[j]
                 shingles.append(s)
+            x = _mix(np.concatenate(shingles))
             if end == at + 1 and size > _CHUNK:
-                parts = [minima(shingles[0][i : i + _CHUNK], np.array([0])) for i in range(0, size, _CHUNK)]
-                sig = np.minimum.reduce(parts)
+                out[at] = np.minimum.reduce([minima(x[i : i + _CHUNK], np.array([0]))[0] for i in range(0, size, _CHUNK)])
             else:
-                sig = minima(np.concatenate(shingles), np.cumsum([0, *counts[at : end - 1]]))
-            key = np.broadcast_to(band_seed, (end - at, p.bands)).copy()
-            sig = sig.reshape(end - at, p.bands, p.rows)
-            for r in range(p.rows):
-                key = _mix(key * np.uint64(31) + sig[:, :, r])
-            out[at:end] = key.view(np.int64)
+                out[at:end] = minima(x, np.cumsum([0, *counts[at : end - 1]]))
             at = end
     return np.array(keep, np.int64), out
 
 
+def pack(sig: np.ndarray, p: NearDup) -> tuple[np.ndarray, np.ndarray]:
+    """Per text: the bands as KEY_BYTES each, and two bits of each minimum as planes of 64-bit words."""
+    n = len(sig)
+    key = np.zeros((n, p.bands), np.uint64)
+    with np.errstate(over="ignore"):
+        for r in range(p.rows):
+            key = _mix(key * np.uint64(31) + sig[:, r :: p.rows][:, : p.bands] + np.uint64(1))
+    bands = np.ascontiguousarray(key).view(np.uint8).reshape(n, p.bands, 8)[:, :, :KEY_BYTES].reshape(n, -1)
+    width = -(-sig.shape[1] // 64) * 64
+    planes = np.zeros((n, 2, width), np.uint8)
+    planes[:, 0, : sig.shape[1]] = sig & 1
+    planes[:, 1, : sig.shape[1]] = sig >> 1 & 1
+    return bands, np.packbits(planes.reshape(n, -1), axis=1).reshape(n, 2, width // 64, 8).copy().view(np.int64)[:, :, :, 0]
+
+
 def similarity(a: str, b: str, p: NearDup) -> float:
     """Jaccard similarity of the distinct word sequences; -1 if a text is too short to have links."""
     wa = WORD.findall(a)
@@ -125,16 +137,55 @@ def similarity(a: str, b: str, p: NearDup) -> float:
     return common / (len(sa) + len(sb) - common)
 
 
-def _bands(texts: DataFrame, p: NearDup) -> DataFrame:
+def _words_of(p: NearDup) -> int:
+    return -(-p.bands * p.rows // 64)
+
+
+def _signed(rows: DataFrame, p: NearDup) -> DataFrame:
+    """t, h, bands, and the sketch s0, s1, ... of each long enough text; copies of a text give one row."""
+    names = [f"s{i}" for i in range(2 * _words_of(p))]
+
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = _WordHash()
         for b in it:
-            ids = b.column("t").to_numpy()
-            keep, keys = band_keys(b.column("content").to_pylist(), p, cache)
+            t, h = b.column("t").to_numpy(), b.column("h").to_numpy()
+            first = np.sort(np.unique(np.stack((t, h)), axis=1, return_index=True)[1])  # copies within a batch
+            keep, sig = signatures(b.column("content").take(pa.array(first)).to_pylist(), p, cache)
             if len(keep):
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids[keep], p.bands)), pa.array(keys.ravel())], ["t", "band_key"])
+                bands, sketch = pack(sig, p)
+                keep = first[keep]
+                cols = [pa.array(t[keep]), pa.array(h[keep]), pa.array([x.tobytes() for x in bands], pa.binary()), *[pa.array(np.ascontiguousarray(c)) for c in sketch.reshape(len(keep), -1).T]]
+                yield pa.RecordBatch.from_arrays(cols, ["t", "h", "bands", *names])
 
-    return texts.select("t", "content").mapInArrow(run, "t long, band_key long")
+    return rows.mapInArrow(run, "t long, h long, bands binary, " + ", ".join(f"{n} long" for n in names)).dropDuplicates(["t", "h"])
+
+
+def _candidates(signed: DataFrame, p: NearDup) -> DataFrame:
+    """ta, ha, tb, hb: pairs of texts that agree in a band and whose signatures do not rule the threshold out.
+
+    Two bits of each minimum agree with probability s + (1 - s) / 4 at similarity s; pairs more than SIGMA standard
+    deviations below what the threshold gives are dropped, which loses 1 in 10,000 of those exactly at the threshold.
+    """
+    n = p.bands * p.rows
+    keys = F.transform(F.sequence(F.lit(0), F.lit(p.bands - 1)), lambda i: F.xxhash64(i, F.substring(F.col("bands"), i * KEY_BYTES + 1, F.lit(KEY_BYTES))))
+    banded = signed.select("t", F.explode(keys).alias("band_key"))
+    left, right = banded.alias("l"), banded.alias("r")
+    pairs = left.join(right, (F.col("l.band_key") == F.col("r.band_key")) & (F.col("l.t") < F.col("r.t"))).select(F.col("l.t").alias("ta"), F.col("r.t").alias("tb")).distinct()
+    w = _words_of(p)
+    sketch = [f"s{i}" for i in range(2 * w)]
+    side = lambda x: signed.select(F.col("t").alias(f"t{x}"), F.col("h").alias(f"h{x}"), *[F.col(c).alias(f"{x}{c}") for c in sketch])
+    both = pairs.join(side("a"), "ta").join(side("b"), "tb")
+    differ = sum((F.bit_count((F.col(f"as{i}").bitwiseXOR(F.col(f"bs{i}"))).bitwiseOR(F.col(f"as{w + i}").bitwiseXOR(F.col(f"bs{w + i}")))) for i in range(w)), F.lit(0))
+    agree = p.threshold + (1 - p.threshold) / 4
+    least = n * agree - SIGMA * (n * agree * (1 - agree)) ** 0.5
+    return both.filter(F.lit(n) - differ >= F.lit(least)).select("ta", "ha", "tb", "hb")
+
+
+def _only(texts: DataFrame, ids: DataFrame) -> DataFrame:
+    """Texts that may be among ids (t): a filter of 2 ** FILTER_BITS bits, so what is broadcast has a fixed bound."""
+    word, bit = F.pmod(F.shiftright("t", 6), F.lit(1 << (FILTER_BITS - 6))).alias("w"), F.expr("shiftleft(1L, CAST(t & 63 AS INT))")
+    masks = ids.select(word, bit.alias("bit")).groupBy("w").agg(F.bit_or("bit").alias("mask"))  # at most 2 ** (FILTER_BITS - 6) rows
+    return texts.withColumn("w", F.pmod(F.shiftright("t", 6), F.lit(1 << (FILTER_BITS - 6)))).join(F.broadcast(masks), "w").filter(F.col("mask").bitwiseAND(bit) != 0).drop("w", "mask")
 
 
 def _verified(pairs: DataFrame, p: NearDup) -> DataFrame:
@@ -155,22 +206,23 @@ def members(docs: DataFrame) -> DataFrame:
 
 def text_links(docs: DataFrame, p: NearDup, copies: bool) -> DataFrame:
     """Links between different texts, and with copies=True of each text with itself that several documents have:
-    ta, ha, tb, hb, similarity, with (ta, ha) <= (tb, hb).
+    ta, ha, tb, hb, similarity, with ta <= tb.
 
-    docs has columns id, content. Texts cross the network once, by hash; both sides of a candidate and the signatures
-    read that one exchange. Texts of fewer than min_words words have no links. Repeated rows count once.
+    docs has columns id, content. Signatures are made where the texts are read, so only signatures cross the network,
+    and later the texts of candidates. Texts of fewer than min_words words have no links. Repeated rows count once.
     """
     rows = docs.filter("content is not null and id is not null").select(F.xxhash64("content").alias("t"), F.xxhash64(F.lit("h"), "content").alias("h"), "content")
-    texts = rows.dropDuplicates(["t", "h"])
-    bands = _bands(texts, p)
-    left, right = bands.alias("l"), bands.alias("r")
-    found = left.join(right, (F.col("l.band_key") == F.col("r.band_key")) & (F.col("l.t") < F.col("r.t"))).select(F.col("l.t").alias("ta"), F.col("r.t").alias("tb")).distinct()
+    signed = cut_table(_signed(rows, p))
+    found = _candidates(signed, p)
     if copies:
         several = members(docs).groupBy("t", "h").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-        found = found.unionByName(several.select(F.col("t").alias("ta"), F.col("t").alias("tb")).distinct())
+        found = found.unionByName(several.select(F.col("t").alias("ta"), F.col("h").alias("ha"), F.col("t").alias("tb"), F.col("h").alias("hb")))
+    found = cut_table(found)
+    ids = found.select(F.col("ta").alias("t")).unionByName(found.select(F.col("tb").alias("t")))
+    texts = _only(rows, ids).groupBy("t", "h").agg(F.first("content").alias("content"))
     a = texts.select(F.col("t").alias("ta"), F.col("h").alias("ha"), F.col("content").alias("content_a"))
     b = texts.select(F.col("t").alias("tb"), F.col("h").alias("hb"), F.col("content").alias("content_b"))
-    return _verified(found.join(a, "ta").join(b, "tb").select("ta", "ha", "content_a", "tb", "hb", "content_b"), p)
+    return _verified(found.join(a, ["ta", "ha"]).join(b, ["tb", "hb"]).select("ta", "ha", "content_a", "tb", "hb", "content_b"), p)
 
 
 def near_duplicate_pairs(docs: DataFrame, p: NearDup) -> DataFrame:
