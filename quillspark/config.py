@@ -63,6 +63,6 @@ def resolve(overrides: dict | None = None, env: dict | None = None, cwd: str = "
                 return tuple(f[name]) if isinstance(default, tuple) else f[name]
         return default
 
-    index = str(pick("index_path", os.path.join(root, ".tao", "index")))
+    index = str(pick("index_path", os.path.join(root, ".quillspark", "index")))
     flags = tuple(sorted({str(f).lower() for f in pick("feature_flags", ())}))
     return Config(root, index if os.path.isabs(index) else os.path.join(root, index), bool(pick("case_sensitive", True)), bool(pick("read_only", True)), flags)

@@ -19,6 +19,12 @@ def missing() -> Column:
     return F.lit(None).cast(DDL)
 
 
+def quote(text: Column) -> Column:
+    """Text as a JSON string."""
+    j = F.to_json(F.array(text))
+    return F.substring(j, F.lit(2), F.length(j) - 2)
+
+
 def _unquote(json_string: Column) -> Column:
     return F.get_json_object(F.concat(F.lit('{"v":'), json_string, F.lit("}")), "$.v")
 
@@ -40,8 +46,9 @@ def json_value(text: Column) -> Column:
     size = F.when(rank == ARRAY, F.json_array_length(t)).when(rank == OBJECT, F.size(F.json_object_keys(t)))
     number = t.try_cast("double")
     shown = (
-        F.when(rank == STRING, F.to_json(F.struct(string.alias("v"))))
+        F.when(rank == STRING, quote(string))
         .when((rank == NUMBER) & ~F.rlike(t, F.lit(r"^-?[0-9]+$")), number.cast("string"))
+        .when(rank.isin(ARRAY, OBJECT), F.coalesce(_unquote(t), t))
         .otherwise(t)
     )
     value = F.struct(
@@ -59,7 +66,7 @@ def json_value(text: Column) -> Column:
 def scalar_value(col: Column, kind: str) -> Column:
     """A value made of a plain column; null is JSON null. kind is string, number (double), int or bool."""
     text = {
-        "string": F.to_json(F.struct(col.cast("string").alias("v"))),
+        "string": quote(col.cast("string")),
         "number": col.cast("double").cast("string"),
         "int": col.cast("long").cast("string"),
         "bool": col.cast("string"),

@@ -182,7 +182,8 @@ def execute(plan: TablePlan, files: DataFrame, properties: DataFrame, parity: bo
         links, bad = relate(rows, col, notes)
         related[key.lower()] = links
         problems.append(bad.withColumn("key", F.lit(key)))
-        rows = rows.drop(col).join(relation_column(links, "rel"), "file_id", "left").withColumn(col, V.json_value(F.col("rel"))).drop("rel")
+        rows = rows.withColumn("has", V.is_present(F.col(col))).drop(col).join(relation_column(links, "rel"), "file_id", "left")
+        rows = rows.withColumn(col, V.json_value(F.coalesce("rel", F.when(F.col("has"), "[]")))).drop("rel", "has")
     for i, r in enumerate(view.rollups):
         links = related.get(r.relation.lower())
         empty = {"count": "0", "sum": "0.0"}.get(r.op, "null")

@@ -178,7 +178,7 @@ def _literal(x: object) -> Column:
         return F.lit("null")
     if isinstance(x, bool):
         return F.lit(str(x).lower())
-    return F.lit(x).cast("string") if isinstance(x, float) else F.to_json(F.struct(F.lit(x).alias("v")))
+    return F.lit(x).cast("string") if isinstance(x, float) else V.quote(F.lit(x))
 
 
 def _text(x: object) -> str:

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from quillspark.ids import Blake3, make_id
 from quillspark.sources.yaml12 import YamlError, dump_flow, load
 
-PRUNED = (".git", ".obsidian", ".tao")
+PRUNED = (".git", ".obsidian", ".quillspark")
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 MANIFEST = "absolute_path string, normalized_path string, match_key string, size_bytes long, modified_unix_ms long"
 
@@ -67,8 +67,8 @@ def _walk(root: str, sub: str = "") -> Iterator[tuple[str, str, int, int]]:
 
 
 def scan(spark: SparkSession, root: str, case_sensitive: bool = True) -> DataFrame:
-    """Manifest of all regular files under root, hidden ones too; links are not followed, and `.git`, `.obsidian` and
-    `.tao` at the top are left out. The top level is listed by the driver, the folders below it by the executors."""
+    """Manifest of all regular files under root, hidden ones too; links are not followed, and version control,
+    editor and index folders at the top are left out. The top level is listed by the driver, the folders below it by the executors."""
     root = os.path.realpath(root)
     top = []
     with os.scandir(root) as entries:
