@@ -76,4 +76,14 @@ def p9_clean(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (p1_found, p1_clean, p6_found, p6_groups, p7_found, p7_leaks, p8_found, p8_mixture, p8_shares, p9_found, p9_documents, p9_clean)}
-SQL: dict[str, str] = {}
+SQL = {
+    "p6_found": r"""WITH n AS (SELECT DISTINCT file_id, regexp_extract_all(content_lc, '[\p{L}\p{N}]+') AS w FROM vault_search WHERE content_lc IS NOT NULL),
+        g AS (SELECT DISTINCT file_id, unnest(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) AS x FROM n WHERE len(w) >= 30),
+        c AS (SELECT file_id, count(*) AS k FROM g GROUP BY 1),
+        m AS (SELECT a.file_id AS a, b.file_id AS b, count(*) AS both_ FROM g a JOIN g b ON a.x = b.x AND a.file_id < b.file_id GROUP BY 1, 2)
+        SELECT a AS file_id_a, b AS file_id_b FROM m JOIN c ca ON ca.file_id = a JOIN c cb ON cb.file_id = b WHERE both_ >= 0.6 * (ca.k + cb.k - both_)""",
+    # sizes in characters: whether a source reaches its share does not depend on the unit here
+    "p8_found": """WITH s AS (SELECT source, sum(n) AS size FROM (SELECT DISTINCT doc_id, source, length(text) AS n FROM documents) GROUP BY 1),
+        t AS (SELECT DISTINCT m.source, target_weight, max_repeats, coalesce(size, 0) AS size FROM mix_targets m LEFT JOIN s ON s.source = m.source)
+        SELECT source FROM t WHERE max_repeats * size < target_weight * (SELECT sum(size) FROM t)""",
+}

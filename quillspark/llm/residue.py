@@ -39,7 +39,8 @@ class Residue:
 _JS = r"(?:java ?script|js|script(?:s|ing)?|cookies(?: (?:and|und|et|y) (?:java ?script|js|script(?:s|ing)?))?)"
 _ON = r"(?:enable|activate|turn on|switch on|allow|reactivate)"
 _THING = r"(?:[\w-]+ ){0,3}[\w-]+"
-_STATUS = r"(?:bad request|unauthori[sz]ed|payment required|forbidden|not found|method not allowed|not acceptable|(?:request )?timed? ?out|conflict|gone|too many requests|internal server error|not implemented|bad gateway|service unavailable|gateway timed? ?out|server error)"
+_GONE = r"(?:(?:could|can) ?not be (?:found|loaded|opened|displayed|reached)|cannot be shown to you|(?:does not|doesn't|no longer) exists?|is gone|is no longer (?:available|valid)|is not available(?: right now)?|is not valid|took too long to \w+|is (?:temporarily |currently )?unavailable|failed to (?:load|open|render)|has been (?:moved|deleted|removed)(?: or (?:moved|deleted|removed))?|(?:has )?expired|was (?:moved or deleted|deleted or moved|removed or deleted))"
+_STATUS = r"(?:bad request|unauthori[sz]ed|payment required|forbidden|not found|method not allowed|not acceptable|(?:request )?timed? ?out|conflict|gone|too many requests|internal (?:server )?error|not implemented|bad gateway|service unavailable|gateway timed? ?out|server error)"
 PLACEHOLDERS = (
     r"\{\{\s*(?!(?:and|or|und|oder|et|ou|y|o)\s*\}\})[A-Za-z][\w .:|/-]*\}\}",
     r"<%[-=]?\s*[\w.][^%<>]*%>",
@@ -59,6 +60,7 @@ PLACEHOLDERS = (
     r"\[[^\]\[\n]{1,50}\b(?:goes|go) here\]",
     r"<(?:your|insert|enter)\b[^<>\n]{1,50}>",
     r"\((?:enter|insert|fill in|add your)\b[^()\n]{1,50}\)",
+    r"[\[<(][^\[\]<>()\n]{0,40}\b(?:einfügen|eintragen|einsetzen|insérer|à remplir|saisir|insertar|rellenar|completar)\b[^\[\]<>()\n]{0,40}[\]>)]",
     r"\b(?:INSERT|ENTER|ADD) (?:TEXT|TITLE|NAME|DATE|CONTENT)\b(?: HERE)?",
     r"\b(?:TITLE|TEXT|NAME|DATE|CONTENT|SUMMARY|TOPIC|DESCRIPTION) HERE\b",
     r"\b(?:YYYY[-./]MM[-./]DD|(?:DD|MM)[-./](?:MM|DD)[-./]YYYY)\b",
@@ -70,6 +72,9 @@ FILLER = (
     r"^\W*(?:(?:description|text|content|body|summary|title) goes here|replace (?:me|this)(?: text)?(?: later)?|this is (?:a )?(?:sample|dummy|placeholder) text)\b",
     r"^\W*dummy heading\b",
     r"(?:\bsample text\W*){2,}",
+    r"^\W*(?:(?:start )?typ(?:e|ing)|write|enter) (?:something|here|your (?:text|content|note))(?: here)?\W*$|^\W*click (?:here )?to (?:edit|add|type|enter)\b",
+    r"\bplaceholder (?:paragraph|text|heading|image|content|title)\b\W*(?:$|[,.:;!])|\b(?:content|text) (?:to follow|coming soon|to be added)\W*$",
+    r"^\W*(?:beispieltext|blindtext|hier (?:steht|kommt) (?:ihr|der|dein) text|texte? d[’']exemple|votre texte ici|texto de (?:ejemplo|relleno)|(?:su|tu) texto aquí)\b",
 )
 LOREM = frozenset(
     "lorem ipsum dolor sit amet consectetur adipiscing elit sed do eiusmod tempor incididunt ut labore et dolore magna aliqua enim ad minim veniam quis nostrud "
@@ -92,21 +97,28 @@ ERRORS = (
     r"\bcannot connect to the \w+|\bcould not connect to the (?:server|index|database)\b",
     r"\bunhandled exception\b",
     r"\b(?:your )?session has expired\b",
-    rf"(?:\bsorry|\boh no|\buh-oh|\bwhoops|\boops|\bnothing here|^|[.!?:|] ?)\W*(?:but )?(?:the|this|that) (?:{_THING} )?(?:{_THING}) (?:(?:behind|at) this \w+ )?(?:could not be found|cannot be (?:found|shown to you)|does not exist|doesn't exist|is gone|is not available right now|took too long to open|is (?:temporarily )?unavailable)\s*(?:[.!]|$)",
-    rf"\b(?:the|this) \w+ (?:\w+ )?(?:behind|at) this \w+ (?:could not be found|cannot be shown to you|does not exist|is gone|is not available right now|took too long to open)\b",
+    rf"(?:\b(?:we are )?sorry|\boh no|\buh-oh|\bwhoops|\boops|\bnothing here|^|[.!?:|] ?)\W*(?:but )?(?:the|this|that) (?:{_THING}) (?:(?:behind|at) this \w+ )?{_GONE}\s*(?:[.!]|$)",
+    rf"\b(?:the|this) (?:{_THING}) you (?:asked for|requested|are looking for|tried to open) (?:{_GONE}|is missing)\b",
+    r"^\W*(?:we are sorry|sorry|oops|oh no|uh-oh|whoops)\W*$",
     r"\bthe server answered with\b|\bthe \w+ you are looking for (?:cannot|could not|does not|is|has|was)\b",
     r"\btry again later or go back\b|^\W*(?:please )?try again later\W*$",
     r"\bif this keeps happening,? (?:write to|contact)\b",
     r"\bchecking that you are not a robot\b|\bverify (?:that )?you are (?:not a robot|human)\b",
     r"\bzugriff verweigert(?=\s*(?:[.!|]|$))|\binterner fehler, kennung\b|\bbitte später erneut versuchen\b",
-    r"\b(?:die|das|der|diese[sr]?) \w+ (?:wurde (?:nicht gefunden|gelöscht oder verschoben)|ist (?:zurzeit|derzeit|momentan) nicht (?:erreichbar|verfügbar)|existiert nicht)\s*(?:[.!]|$)",
+    r"\b(?:die|das|der|diese[sr]?) [\w-]+ (?:wurde (?:nicht gefunden|gelöscht|gelöscht oder verschoben|verschoben oder gelöscht|entfernt)|ist (?:zurzeit |derzeit |momentan )?nicht (?:mehr )?(?:erreichbar|verfügbar|gültig)|ist abgelaufen|existiert nicht(?: mehr)?|konnte nicht (?:geladen|gefunden|geöffnet) werden)\s*(?:[.!]|$)",
     r"\bihre sitzung ist abgelaufen\b|\bein (?:interner |unerwarteter )?fehler ist aufgetreten\b",
     r"\baccès refusé\b(?=\s*[.,!]|\s*$)|\bmerci de réessayer\b|\bveuillez (?:réessayer|vous reconnecter)\b",
-    r"\b(?:la|le|cette|ce|l[’'])\s?\w+ (?:est (?:momentanément |actuellement )?(?:indisponible|introuvable)|n[’']existe (?:pas|plus)|a été supprimée? ou déplacée?|n[’']a pas été trouvée?)\s*(?:[.!]|$)",
+    r"\b(?:la|le|cette|cet|ce|l[’'])\s?[\w-]+(?: [\w-]+){0,3} (?:est (?:momentanément |actuellement |temporairement )?(?:indisponible|introuvable|inaccessible)|n[’'](?:existe (?:pas|plus)|est (?:pas|plus) (?:valide|disponible|accessible))|a expiré|a été supprimée?(?: ou déplacée?)?|n[’']a pas (?:été trouvée?|pu être (?:chargée?|trouvée?|ouverte?)))\s*(?:[.!]|$)",
     r"\bune erreur (?:interne |inattendue )?(?:est survenue|s[’']est produite)\b|\bvotre session a expiré\b",
-    r"\b(?:la|el|esta|este) \w+ (?:no se ha encontrado|no está disponible|no existe|ha sido (?:eliminad|movid)[oa])\b|\bse produjo un error\b|\binténtelo (?:de nuevo )?más tarde\b",
+    r"\b(?:la|el|esta|este) [\w-]+(?: [\w-]+){0,3} (?:no se ha (?:encontrado|podido (?:cargar|abrir|encontrar))|(?:ya )?no (?:está disponible|existe|es válid[oa])|ha (?:caducado|expirado)|ha sido (?:eliminad|movid|borrad)[oa](?: o (?:eliminad|movid|borrad)[oa])?)\b|\bse produjo un error\b|\binténtelo (?:de nuevo )?más tarde\b",
     r"\bacceso denegado\b(?=\s*[.,!]|\s*$)|\bsu sesión ha (?:caducado|expirado)\b",
 )
+#: What a page shows around content that did not come.
+FRAME = (
+    r"^\W*(?:loading|cargando|chargement|wird geladen)\s*(?:…|\.\.\.)",
+    r"\bloading ?…|\bref \d{1,4}-\d{1,4}\b|\bhome \| \w+ \| help\b|\bmenu\s+search\s+sign in\b",
+    r"(?:^|\W)back to (?:list|home|start)\W*$|\bback to list (?=(?-i:[A-Z©]))|\bzurück zur startseite\b|\bvolver al inicio\b|\bretour à l[’']accueil\b",
+)
 NOTICES = (
     rf"\bplease {_ON} {_JS}\b|\byou need to {_ON} {_JS}\b|\byou must {_ON} {_JS}\b",
     rf"^\W*{_ON} {_JS},? (?:then|and|to|in)\b|\b(?-i:Enable|Activate|Allow|Turn on|Switch on|ENABLE|ACTIVATE|ALLOW|TURN ON|SWITCH ON) {_JS},? then reload\b",
@@ -114,24 +126,24 @@ NOTICES = (
     rf"\b(?:this|the) (?:{_THING}) (?:requires|needs) {_JS}(?: to (?:run|work|be)|, but|\s*[.!]|\s*$)",
     rf"\b(?:your )?browser (?:does not|doesn't) support {_JS}\b",
     rf"\bwithout {_JS} we can ?not\b",
-    rf"\bno {_JS}: panels stay blank\b|\b{_JS} (?:is|are) (?:disabled|switched off|turned off) in your browser\b",
-    rf"\baktivieren sie {_JS}|\b(?:diese|die) \w+ benötigt {_JS}\b|\bohne {_JS} kann\b",
-    rf"\bveuillez activer {_JS}|\b(?:cette|ce|l[’']) ?\w+ nécessite {_JS}\b|\bsans {_JS},? (?:cette|ce|la|le|nous)\b",
-    rf"\bactive {_JS} para\b|\bnecesita que {_JS} est[ée]n? habilitad|\bnavegador tiene desactivado {_JS}|\bhabilite {_JS}\b",
+    rf"\bno {_JS}: panels stay blank\b|\b{_JS} (?:is|are|has been|have been) (?:disabled|switched off|turned off|blocked)\b(?: (?:in|by) your browser|\s*[.!]|\s*$)",
+    rf"\baktivieren sie {_JS}|\b(?:diese|die) \w+ benötigt {_JS}\b|\bohne {_JS} kann\b|\b{_JS} (?:ist|sind|wurde) in ihrem browser (?:ausgeschaltet|deaktiviert|abgeschaltet)|\bihr browser unterstützt kein",
+    rf"\bveuillez activer {_JS}|\b(?:cette|ce|l[’']) ?\w+ nécessite {_JS}\b|\bsans {_JS},? (?:cette|ce|la|le|nous)\b|\b{_JS} (?:est|sont) désactivée?s? dans votre navigateur|\bvotre navigateur ne prend pas en charge",
+    rf"\bactive {_JS} para\b|\bnecesita que {_JS} est[ée]n? habilitad|\bnavegador (?:tiene desactivado|no admite|no es compatible con) {_JS}|\bhabilite {_JS}\b|\b{_JS} está (?:desactivado|deshabilitado) en su navegador",
 )
 # ------------------------------------------------------------------------------------------------------------------
 _PLACE = re.compile("|".join(f"(?:{p})" for p in PLACEHOLDERS))
-_PLACE_I = re.compile("|".join(f"(?:{p})" for p in PLACEHOLDERS[14:18]), re.I)
+_PLACE_I = re.compile("|".join(f"(?:{p})" for p in PLACEHOLDERS[14:19]), re.I)
 _FILL = re.compile("|".join(f"(?:{p})" for p in FILLER), re.I)
-_ERROR = re.compile("|".join(f"(?:{p})" for p in ERRORS), re.I)
+_ERROR = re.compile("|".join(f"(?:{p})" for p in (*ERRORS, *FRAME)), re.I)
 _NOTICE = re.compile("|".join(f"(?:{p})" for p in NOTICES), re.I)
 #: Signs without which a sentence holds no placeholder, and words without which it is no error or notice.
 _PLACE_SIGN = re.compile(r"[{%$#@<\[(_?]|[A-Z]{4}|Last|: *xxx")
 HINTS = (
     "error fehler erreur denied permission blocked maintenance unhandled session sorry uh-oh oops gone unavailable robot human verweigert erneut gefunden verschoben erreichbar verfügbar "
     "existiert sitzung aufgetreten refusé réessayer reconnecter indisponible introuvable existe supprimé trouvé survenue produite expiré encontrado disponible eliminad movid produjo inténtelo "
-    "denegado sesión forbidden unauthori conflict script js cookies timeout whoops"
-).split() + ["you may not", "access to", "limit of requests", "slow down", "went wrong", "occurred", "connect to the", "oh no", "nothing here", "be found", "shown to you", "not exist", "t exist", "right now", "too long", "server answered", "looking for", "try again", "keeps happening", "not found", "timed out", "time out", "bad gateway", "too many", "not implemented", "bad request", "server error", "not acceptable", "not allowed", "payment required"]
+    "denegado sesión navigateur navegador cargando chargement geladen loading expired caducado expirado válid valide gültig moved deleted removed abgelaufen failed help startseite inicio accueil forbidden unauthori conflict script js cookies timeout whoops"
+).split() + ["ref ", "back to", "sign in", "valid", "you may not", "access to", "limit of requests", "slow down", "went wrong", "occurred", "connect to the", "oh no", "nothing here", "be found", "shown to you", "not exist", "t exist", "right now", "too long", "server answered", "looking for", "try again", "keeps happening", "not found", "timed out", "time out", "bad gateway", "too many", "not implemented", "bad request", "server error", "not acceptable", "not allowed", "payment required"]
 DUMMY = frozenset("tbd todo test asdf blah xxx xxxx foo qwerty dummy".split())
 _HINTS = ahocorasick.Automaton()
 for _w in HINTS:
@@ -140,7 +152,7 @@ _HINTS.make_automaton()
 _CODE = re.compile(r"(?ms)(```+|~~~+)[^\n`~]*\n.*?(?:\1|\Z)|(?<!`)(`{1,3})(?!`)[^`\n]+\2(?!`)|<(pre|code)\b[^<>]*>.*?</\3\s*>")
 _QUOTE = re.compile(r"\"[^\"\n]*\"|“[^”\n]*”|„[^“”\n]*[“”]|«[^»\n]*»|‘[^’\n]*’(?!\w)")
 _DATA = re.compile(r"(?m)^[ \t]*>.*$|^[ \t]*[{\[][\"'].*[}\]],?[ \t]*$|^[ \t]*\|.*\|[ \t]*$")
-_TAG = re.compile(r"</?(?:html|head|title|body|h[1-6]|p|div|span|noscript|br|b|i|em|strong|a|ul|ol|li|section|main|header|footer)\b[^<>]*>", re.I)
+_TAG = re.compile(r"(?<!<)</?(?:html|head|title|body|h[1-6]|p|div|span|noscript|br|b|i|em|strong|a|ul|ol|li|section|main|header|footer)\b[^<>]*>(?!>)", re.I)
 _CUT = re.compile(r"\n+|(?<=[.!?…;])\s+|\s(?=[-*] )")
 _WORD = re.compile(r"[^\W_]+")
 _NUMBER = re.compile(r"\b(?=\w*\d)[0-9a-f]+\b|\d+")
