@@ -95,8 +95,10 @@ def display(v: Column) -> Column:
 
 def scalar_texts(v: Column) -> Column:
     """Texts of all scalars in a value: of itself, or of the elements and object values within, at any depth."""
-    token = r'"(?:[^"\\]|\\.)*"(?!\s*:)|(?<![\w."])(?:-?[0-9][0-9.eE+-]*|true|false)(?![\w"])'
-    inside = F.transform(F.regexp_extract_all(v["s"], F.lit(token), F.lit(0)), lambda x: F.when(F.startswith(x, F.lit('"')), F.coalesce(_unquote(x), x)).otherwise(x))
+    # keys are matched with their colon, so that they are taken out whole
+    token = r'"(?:[^"\\]|\\.)*"(?:\s*:)?|(?<![\w."])(?:-?[0-9][0-9.eE+-]*|true|false)(?![\w"])'
+    found = F.filter(F.regexp_extract_all(v["s"], F.lit(token), F.lit(0)), lambda x: ~F.endswith(x, F.lit(":")))
+    inside = F.transform(found, lambda x: F.when(F.startswith(x, F.lit('"')), F.coalesce(_unquote(x), x)).otherwise(x))
     return F.when(v["rank"].isin(ARRAY, OBJECT), inside).when(v["rank"].isNotNull(), F.array(display(v))).otherwise(F.array().cast("array<string>"))
 
 
