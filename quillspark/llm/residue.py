@@ -140,14 +140,16 @@ _NOTICE = re.compile("|".join(f"(?:{p})" for p in NOTICES), re.I)
 #: Signs without which a sentence holds no placeholder, and words without which it is no error or notice.
 _PLACE_SIGN = re.compile(r"[{%$#@<\[(_?]|[A-Z]{4}|Last|: *xxx")
 HINTS = (
-    "error fehler erreur denied permission blocked maintenance unhandled session sorry uh-oh oops gone unavailable robot human verweigert erneut gefunden verschoben erreichbar verfügbar "
-    "existiert sitzung aufgetreten refusé réessayer reconnecter indisponible introuvable existe supprimé trouvé survenue produite expiré encontrado disponible eliminad movid produjo inténtelo "
+    "error fehler erreur denied permission blocked maintenance unhandled session sorry uh-oh oops gone unavailable robot human verweigert erneut erreichbar verfügbar "
+    "existiert sitzung aufgetreten refusé réessayer reconnecter indisponible introuvable existe supprimé trouvé survenue produite expiré encontrado disponible eliminad produjo inténtelo "
     "denegado sesión navigateur navegador cargando chargement geladen loading expired caducado expirado válid valide gültig moved deleted removed abgelaufen failed help startseite inicio accueil forbidden unauthori conflict script js cookies timeout whoops"
-).split() + ["ref ", "back to", "sign in", "valid", "you may not", "access to", "limit of requests", "slow down", "went wrong", "occurred", "connect to the", "oh no", "nothing here", "be found", "shown to you", "not exist", "t exist", "right now", "too long", "server answered", "looking for", "try again", "keeps happening", "not found", "timed out", "time out", "bad gateway", "too many", "not implemented", "bad request", "server error", "not acceptable", "not allowed", "payment required"]
+).split() + ["ref ", "back to list", "back to home", "back to start", "sign in", "not valid", "no longer", "válid", "been moved", "moved or", "or moved", "nicht gefunden", "oder verschoben", "verschoben oder", "wurde verschoben", "sido movid", "o movid", "you may not", "access to", "limit of requests", "slow down", "went wrong", "occurred", "connect to the", "oh no", "nothing here", "be found", "shown to you", "not exist", "t exist", "right now", "too long", "server answered", "looking for", "try again", "keeps happening", "not found", "timed out", "time out", "bad gateway", "too many", "not implemented", "bad request", "server error", "not acceptable", "not allowed", "payment required"]
 DUMMY = frozenset("tbd todo test asdf blah xxx xxxx foo qwerty dummy".split())
+#: Words without which a sentence, other than one of repeated or Latin words, is no filler.
+FILL_HINTS = "text content heading title placeholder here typing something click replace dummy sample texto texte relleno ejemplo exemple".split()
 _HINTS = ahocorasick.Automaton()
-for _w in HINTS:
-    _HINTS.add_word(_w, True)
+for _w in {*HINTS, *FILL_HINTS}:
+    _HINTS.add_word(_w, (_w in HINTS) | (_w in FILL_HINTS) << 1)
 _HINTS.make_automaton()
 _CODE = re.compile(r"(?ms)(```+|~~~+)[^\n`~]*\n.*?(?:\1|\Z)|(?<!`)(`{1,3})(?!`)[^`\n]+\2(?!`)|<(pre|code)\b[^<>]*>.*?</\3\s*>")
 _QUOTE = re.compile(r"\"[^\"\n]*\"|“[^”\n]*”|„[^“”\n]*[“”]|«[^»\n]*»|‘[^’\n]*’(?!\w)")
@@ -173,7 +175,7 @@ def sentences(text: str) -> list[str]:
     return out
 
 
-def _is_filler(s: str, words: list[str]) -> bool:
+def _is_filler(s: str, words: list[str], hinted: bool) -> bool:
     n = len(words)
     kinds = len(set(words)) if n <= 60 else 0
     if n >= 3 and (kinds == 1 or n >= 6 and 0 < kinds <= 2) or n == 2 and kinds == 1 and words[0] in DUMMY:
@@ -189,24 +191,26 @@ def _is_filler(s: str, words: list[str]) -> bool:
                 run = run + 1 if k else 0
                 if run >= 8:
                     return True
-    return bool(_FILL.search(s))
+    return hinted and bool(_FILL.search(s))
 
 
 def label(s: str, words: list[str] | None = None) -> str | None:
     """The kind of residue that the sentence is by its form, or None."""
     if _PLACE_SIGN.search(s) and _PLACE.search(s) or "[" in s and _PLACE_I.search(s) or "(" in s and _PLACE_I.search(s) or "<" in s and _PLACE_I.search(s):
         return "placeholder"
-    low = s.lower()
-    if next(_HINTS.iter(low), None) is not None:
+    hints = 0
+    for _, h in _HINTS.iter(s.lower()):
+        hints |= h
+    if hints & 1:
         if _NOTICE.search(s):
             return "notice"
         if _ERROR.search(s):
             return "error"
-    return "filler" if _is_filler(s, [w.lower() for w in _WORD.findall(s)] if words is None else words) else None
+    return "filler" if _is_filler(s, [w.lower() for w in _WORD.findall(s)] if words is None else words, bool(hints & 2)) else None
 
 
 def normal(s: str) -> str:
-    return " ".join(_WORD.findall(_NUMBER.sub("0", s.lower())))
+    return " ".join([w if w.isalpha() else _NUMBER.sub("0", w) for w in _WORD.findall(s.lower())])
 
 
 class _WordHash(dict):
@@ -223,18 +227,16 @@ def simhashes(texts: list[list[str]], cache: _WordHash | None = None) -> np.ndar
     out = np.zeros(len(texts), np.int64)
     step = 4096
     for at in range(0, len(texts), step):
-        parts, ends = [], []
-        for w in texts[at : at + step]:
-            h = np.fromiter(map(cache.__getitem__, w or [""]), np.uint64)
-            with np.errstate(over="ignore"):
-                pair = (h[:-1] * np.uint64(0x9E3779B97F4A7C15) + h[1:]) * np.uint64(0xC4CEB9FE1A85EC53)
-            parts.append(np.concatenate((h, pair ^ (pair >> np.uint64(29)))))
-            ends.append(len(parts[-1]))
-        feats = np.concatenate(parts)
-        starts = np.cumsum([0, *ends[:-1]])
-        bits = np.unpackbits(feats.view(np.uint8).reshape(-1, 8), axis=1)
-        ones = np.add.reduceat(bits, starts, axis=0, dtype=np.int32)
-        out[at : at + step] = np.packbits(2 * ones > np.array(ends)[:, None], axis=1).copy().view(np.int64).ravel()
+        part = [w or [""] for w in texts[at : at + step]]
+        n = np.fromiter(map(len, part), np.int64, len(part))
+        starts = np.cumsum(n) - n
+        h = np.fromiter((cache[x] for w in part for x in w), np.uint64, int(n.sum()))
+        with np.errstate(over="ignore"):
+            pair = (h * np.uint64(0x9E3779B97F4A7C15) + np.roll(h, -1)) * np.uint64(0xC4CEB9FE1A85EC53)
+        bits = [np.unpackbits(x.view(np.uint8).reshape(-1, 8), axis=1) for x in (h, pair ^ (pair >> np.uint64(29)))]
+        bits[1][starts + n - 1] = 0  # the last word of a text has no pair
+        ones = sum(np.add.reduceat(b, starts, axis=0, dtype=np.int32) for b in bits)
+        out[at : at + step] = np.packbits(2 * ones > (2 * n - 1)[:, None], axis=1).copy().view(np.int64).ravel()
     return out
 
 
