@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from quillspark.functions import text as T
 from quillspark.functions import values as V
 from quillspark.plans import where as W
+from quillspark.runtime import spread
 
 COLUMNS = ("file_id", "path", "title", "matched_in")
 MAX_PAGE = 1000
@@ -56,7 +57,7 @@ def search(index: DataFrame, query: str) -> DataFrame:
         raise QueryError("query must not be empty")
     needle = query.strip().lower()
     surfaces = [T.fts_normalize(F.coalesce(F.col(c), F.lit(""))) for c in ("normalized_path", "title_lc", "content_lc")]
-    hits = index.filter(match(query, surfaces))
+    hits = spread(index, "file_id").filter(match(query, surfaces))
     flag = lambda c: F.contains(F.coalesce(F.col(c), F.lit("")), F.lit(needle))
     hits = hits.select(
         "file_id",

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillspark.functions import text as T
+from quillspark.runtime import spread
 
 STATES = ("open", "done", "cancelled")
 
@@ -15,7 +16,7 @@ def tasks_of(notes: DataFrame, text_col: str) -> DataFrame:
 
     Lines are numbered from 1 within the text given; only `-` bullets count. Repeated rows of a note give repeats once.
     """
-    lines = notes.select("file_id", F.col("normalized_path").alias("file_path"), F.inline(T.numbered_lines(F.coalesce(F.col(text_col), F.lit("")))))
+    lines = spread(notes, "file_id").select("file_id", F.col("normalized_path").alias("file_path"), F.inline(T.numbered_lines(F.coalesce(F.col(text_col), F.lit("")))))
     task = T.task_of(F.col("line"))
     return lines.withColumn("task", task).filter("task is not null").select("file_id", "file_path", "line_number", "task.state", "task.text").distinct()
 

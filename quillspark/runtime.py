@@ -48,6 +48,13 @@ def broadcast_if_small(df: DataFrame, max_rows: int) -> DataFrame:
     return F.broadcast(df) if len(df.limit(max_rows + 1).select(F.lit(1)).collect()) <= max_rows else df
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """df over all cores, where a small table lies in so few files that most cores would have nothing to do. Tables of
+    more partitions are left as they are, so nothing large is shuffled for it."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, *keys) if 2 * df.rdd.getNumPartitions() <= cores else df
+
+
 def parallelism(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
