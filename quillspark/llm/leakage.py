@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.runtime import cut
+from quillspark.runtime import cut, spread
 
 WORD = re.compile(r"[^\W_]+")
 _SLICE = 2048
@@ -211,7 +211,7 @@ def leaks(docs: DataFrame, items: DataFrame, p: Leakage = Leakage(), max_items:
     schema = "doc_id long, item_id long, kind string, n_windows long, best double"
     if not len(win):
         return spark.createDataFrame([], schema)
-    encoded = cut(encode(docs.filter("doc_id is not null and text is not null"), vocab))
+    encoded = cut(encode(spread(docs.filter("doc_id is not null and text is not null").select("doc_id", "text"), "doc_id"), vocab))
     idf = passage_idf(encoded, len(vocab), p)
     space = latent_space(encoded, idf, p)
 

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillspark.runtime import cut
+from quillspark.runtime import cut, spread
 
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: The pattern that splits text before the merges of a rank file (fixed value, public).
@@ -61,7 +61,7 @@ def sized_documents(docs: DataFrame, targets: DataFrame, tokenizer: str = TOKENI
     folder, as the texts are tokenized once only."""
     listed = [s for s, _, _ in read_targets(targets)]
     mine = docs.filter(F.col("source").isin(listed) & F.col("doc_id").isNotNull()) if listed else docs.filter(F.lit(False))
-    sized = token_sizes(mine, tokenizer).groupBy("doc_id", "source").agg(F.max("tokens").alias("tokens"))
+    sized = token_sizes(spread(mine.select("doc_id", "source", "text"), "doc_id"), tokenizer).groupBy("doc_id", "source").agg(F.max("tokens").alias("tokens"))
     return cut(sized.withColumn("key", F.xxhash64(F.lit(seed), "doc_id", "source")))
 
 

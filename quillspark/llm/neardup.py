@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillspark.llm.components import connected_components
-from quillspark.runtime import cut, cut_table
+from quillspark.runtime import cut, cut_table, spread
 
 WORD = re.compile(r"[^\W_]+")
 _CHUNK = 1 << 18
@@ -212,7 +212,7 @@ def text_links(docs: DataFrame, p: NearDup, copies: bool) -> DataFrame:
     and later the texts of candidates. Texts of fewer than min_words words have no links. Repeated rows count once.
     """
     rows = docs.filter("content is not null and id is not null").select(F.xxhash64("content").alias("t"), F.xxhash64(F.lit("h"), "content").alias("h"), "content")
-    signed = cut_table(_signed(rows, p))
+    signed = cut_table(_signed(spread(rows, "t"), p))
     found = _candidates(signed, p)
     if copies:
         several = members(docs).groupBy("t", "h").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")

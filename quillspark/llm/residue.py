@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.runtime import cut
+from quillspark.runtime import cut, spread
 
 
 @dataclass(frozen=True)
@@ -289,7 +289,7 @@ def residue_segments(docs: DataFrame, p: Residue = Residue()) -> tuple[DataFrame
     """(seg, kind) of all residue sentences, and (doc_id, seg) of all sentences."""
     if p.hamming >= p.tables:
         raise ValueError("more bits may differ than the tables can find")
-    segs = _segments(docs.filter("doc_id is not null and text is not null"), p)
+    segs = _segments(spread(docs.filter("doc_id is not null and text is not null").select("doc_id", "text"), "doc_id"), p)
     uniq = cut(_hashed(segs.groupBy("seg", "kind").agg(F.lit(1).alias("one")).select("seg", "kind")))
     rest = _tables(uniq.filter("kind is null").select("seg", "sim"), p)
     known = uniq.filter("kind is not null").select("seg", "kind", "sim")
