@@ -129,6 +129,11 @@ class Vault:
             self._cache[key] = make()
         return self._cache[key]
 
+    def warm(self) -> Vault:
+        """Keep the tables in memory, for many small reads of one version."""
+        self._tables = {n: t.persist() for n, t in self.t.items()}
+        return self
+
     def query(self, from_: str, query: str | None = None, path: str | None = None, view_name: str | None = None, select: str | None = None, where: str | None = None, sort: str | None = None, explain_only: bool = False, limit: int = 100, offset: int = 0) -> DataFrame | dict:
         """Rows of a scope. where, sort, select and explain hold for docs and base; the other scopes ignore them."""
         kind, name = parse_scope(from_)

@@ -302,17 +302,18 @@ def shortest_path(links: DataFrame, files: DataFrame, start: str, goal: str, max
     return PathResult(True, explored, tuple(nodes), tuple(names[n]["normalized_path"] for n in nodes if n in names and names[n]["is_markdown"]))
 
 
-def folder_edges(files: DataFrame) -> DataFrame:
-    """Folder overlay between notes: src, dst, edge_type.
+def folder_edges(files: DataFrame, sources: DataFrame) -> DataFrame:
+    """Folder overlay of the notes in sources (id): source_file_id, source_path, resolved_file_id, target_path, edge_type.
 
-    folder-parent joins a note to the notes of the folder above; FolderSibling to the other notes of its own folder.
+    folder-parent joins a note to the notes of the folder above; folder-sibling to the other notes of its own folder. A
+    folder's notes are paired with the sources only, never all with all.
     """
-    notes = files.filter("is_markdown").select("file_id", T.folder_of(F.col("normalized_path")).alias("folder"))
-    up = notes.filter("folder <> ''").select(F.col("file_id").alias("src"), T.folder_of(F.col("folder")).alias("folder"))
-    dst = notes.select(F.col("file_id").alias("dst"), "folder")
-    parents = up.join(dst, "folder").select("src", "dst", F.lit("folder-parent").alias("edge_type"))
-    siblings = notes.withColumnRenamed("file_id", "src").join(dst, "folder").select("src", "dst", F.lit("folder-sibling").alias("edge_type"))
-    return parents.unionByName(siblings).filter("src <> dst")
+    notes = files.filter("is_markdown").select("file_id", "normalized_path", T.folder_of(F.col("normalized_path")).alias("folder"))
+    home = notes.join(sources, F.col("file_id") == F.col("id"), "left_semi").select(F.col("file_id").alias("source_file_id"), F.col("normalized_path").alias("source_path"), "folder")
+    dst = notes.select(F.col("file_id").alias("resolved_file_id"), F.col("normalized_path").alias("target_path"), F.col("folder").alias("there"))
+    up = home.filter("folder <> ''").join(dst, T.folder_of(F.col("folder")) == F.col("there")).withColumn("edge_type", F.lit("folder-parent"))
+    beside = home.join(dst, F.col("folder") == F.col("there")).withColumn("edge_type", F.lit("folder-sibling"))
+    return up.unionByName(beside).filter("source_file_id <> resolved_file_id").drop("folder", "there")
 
 
 def walk(links: DataFrame, files: DataFrame, start: str, depth: int = 2, limit: int = 200, include_unresolved: bool = False, include_folders: bool = False) -> DataFrame:
@@ -328,7 +329,6 @@ def walk(links: DataFrame, files: DataFrame, start: str, depth: int = 2, limit:
     steps: list[tuple] = []
     frontier, seen = [f], {f}
     named = links_with_paths(links if include_unresolved else links.filter(RESOLVED), files)
-    notes = files.filter("is_markdown").select("file_id", "normalized_path", T.folder_of(F.col("normalized_path")).alias("folder"))
     for level in range(1, depth + 1):
         room = limit - len(steps)
         if room <= 0 or not frontier:
@@ -341,11 +341,7 @@ def walk(links: DataFrame, files: DataFrame, start: str, depth: int = 2, limit:
         inc = named.filter(RESOLVED).join(here, F.col("resolved_file_id") == F.col("id"), "left_semi").select(F.lit(1).alias("phase"), F.lit("incoming").alias("direction"), F.lit("wikilink").alias("edge_type"), *cols)
         rows = out.unionByName(inc).orderBy("phase", "link_id").limit(room).collect()
         if include_folders and len(rows) < room:
-            home = notes.join(here, F.col("file_id") == F.col("id"), "left_semi").select(F.col("file_id").alias("source_file_id"), F.col("normalized_path").alias("source_path"), "folder")
-            dst = notes.select(F.col("file_id").alias("resolved_file_id"), F.col("normalized_path").alias("target_path"), F.col("folder").alias("there"))
-            up = home.filter("folder <> ''").join(dst, T.folder_of(F.col("folder")) == F.col("there")).withColumn("edge_type", F.lit("folder-parent"))
-            beside = home.join(dst, F.col("folder") == F.col("there")).withColumn("edge_type", F.lit("folder-sibling"))
-            both = up.unionByName(beside).filter("source_file_id <> resolved_file_id")
+            both = folder_edges(files, here)
             link = F.concat_ws(":", F.lit("folder"), "source_file_id", "resolved_file_id", "edge_type")
             both = both.select(F.lit(2).alias("phase"), F.lit("outgoing").alias("direction"), "edge_type", link.alias("link_id"), "source_file_id", "resolved_file_id", "source_path", "target_path", F.col("target_path").alias("raw_target"), F.lit(True).alias("resolved"))
             rows += both.orderBy("source_file_id", F.col("edge_type"), "resolved_file_id").limit(room - len(rows)).collect()

@@ -264,6 +264,36 @@ def p06_display(spark: SparkSession, d: str) -> DataFrame:
     return wide.select("file_id", each).filter("here").select("file_id", "key")
 
 
+@_q(_LATEST + r""", w AS (SELECT f.file_id, st.j, CASE WHEN json_valid(j) AND json_type(j) = 'VARCHAR' THEN j->>'$' WHEN json_valid(j) AND json_type(j) <> 'NULL' THEN json(j)::VARCHAR WHEN json_valid(j) THEN 'null' ELSE j END AS t FROM f JOIN q st ON st.file_id = f.file_id AND st.key = 'status' WHERE is_markdown)
+  SELECT file_id FROM w WHERE contains(lower(t), 'o') AND t NOT IN ('done', 'open')""")
+def b03_b04_contains_and_in(spark: SparkSession, d: str) -> DataFrame:
+    """Of scalars; the data's statuses hold no arrays or objects with an `o` in a key alone."""
+    view = B.views_of({"views": [{"type": "table", "filters": [{"key": "status", "op": "contains", "value": "O"}, {"key": "status", "op": "not_in", "value": ["done", "open"]}], "columns": ["status"]}]})
+    return baseview.execute(B.compile_view(view[0], 1, 1_000_000), _files(spark, d), _props(spark, d)).rows.select("file_id")
+
+
+@_q(_LATEST + r""", g AS (SELECT regexp_extract(normalized_path, '^(.*)/', 1) AS folder, j::DOUBLE AS n FROM f JOIN q ON q.file_id = f.file_id AND key = 'seed' WHERE is_markdown AND regexp_full_match(trim(j), '-?[0-9]+(\.[0-9]+)?([eE][+-]?[0-9]+)?'))
+  SELECT folder, min(n) AS least, max(n) AS most FROM g GROUP BY 1""")
+def a04_min_max_of_numbers(spark: SparkSession, d: str) -> DataFrame:
+    rows = baseview.pivot(baseview.candidates(_files(spark, d), None), _props(spark, d), ("seed", "folder")).filter(F.col("v0")["rank"] == V.NUMBER)
+    out = rows.groupBy(V.display(F.col("v1")).alias("folder")).agg(baseview.aggregate("min", F.col("v0")).alias("least"), baseview.aggregate("max", F.col("v0")).alias("most"))
+    return out.select("folder", F.col("least").cast("double").alias("least"), F.col("most").cast("double").alias("most"))
+
+
+@_q("SELECT doc_id, source FROM documents ORDER BY source DESC NULLS FIRST, doc_id LIMIT 60")
+def o02_descending_nulls(spark: SparkSession, d: str) -> DataFrame:
+    """`desc` with `nulls_last` puts nulls first."""
+    by = W.compile_sort(W.parse_sort("source:desc:nulls_last"), lambda n: V.scalar_value(F.col(n), "string"), F.col("doc_id"), F.col("doc_id"))
+    return table(spark, d, "documents").select("doc_id", "source").orderBy(*by).limit(60)
+
+
+@_q(_LATEST + r""" SELECT file_id, key, CASE WHEN NOT json_valid(j) OR json_type(j) IN ('NULL', 'ARRAY', 'OBJECT') THEN NULL WHEN json_type(j) = 'BOOLEAN' THEN (j = 'true')::INT::DOUBLE
+  ELSE CASE WHEN regexp_full_match(lower(trim(j->>'$')), '[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)(e[+-]?[0-9]+)?') THEN try_cast(trim(j->>'$') AS DOUBLE) END END AS n FROM q WHERE key = 'budget'""")
+def v10_number_coercion(spark: SparkSession, d: str) -> DataFrame:
+    latest = _props(spark, d).filter("key = 'budget'").groupBy("file_id", "key").agg(F.max(F.struct("updated_at", "property_id", "value_json")).alias("c"))
+    return latest.select("file_id", "key", V.coerce(V.json_value(F.col("c.value_json")), "number", False).cast("double").alias("n"))
+
+
 # --- paths and links ---------------------------------------------------------------------------------------------
 
 
@@ -284,6 +314,49 @@ def v06_wikilinks(spark: SparkSession, d: str) -> DataFrame:
     return _search(spark, d).select("file_id", F.size(T.wikilinks(F.col("content_lc"))).cast("long").alias("n"))
 
 
+@_q(r"""SELECT file_id, trim(regexp_extract(split_part(x, '|', 1), '^([^#]*)', 1)) AS target, count(*) AS n FROM (SELECT file_id, unnest(regexp_extract_all(content_lc, '(?s)\[\[(.*?)\]\]', 1)) AS x FROM s) WHERE trim(regexp_extract(split_part(x, '|', 1), '^([^#]*)', 1)) <> '' GROUP BY 1, 2""")
+def v05_wikilink_targets(spark: SparkSession, d: str) -> DataFrame:
+    links = _search(spark, d).select("file_id", F.explode(T.wikilinks(F.col("content_lc"))).alias("x"))
+    return links.select("file_id", T.wikilink_parts(F.col("x"))["target"].alias("target")).filter("target is not null").groupBy("file_id", "target").agg(F.count(F.lit(1)).alias("n"))
+
+
+_LINES = ", lines AS (SELECT file_id, unnest(string_split(content_lc, chr(10))) AS line, generate_subscripts(string_split(content_lc, chr(10)), 1) AS line_number FROM s)"
+
+
+@_q(_LINES + r""" SELECT file_id, line_number, length(regexp_extract(line, '^\s*(#{1,6})', 1)) AS level, trim(regexp_extract(line, '^\s*#{1,6}\s*([^#\s].*)$', 1)) AS text FROM lines WHERE regexp_matches(line, '^\s*#{1,6}\s*[^#\s].*$')""")
+def v15_headings(spark: SparkSession, d: str) -> DataFrame:
+    lines = _search(spark, d).select("file_id", F.inline(T.numbered_lines(F.col("content_lc")))).withColumn("h", T.heading_of(F.col("line"))).filter("h is not null")
+    return lines.select("file_id", F.col("line_number").cast("long").alias("line_number"), F.col("h.level").cast("long").alias("level"), "h.text")
+
+
+@_q(_LINES + r""" SELECT DISTINCT file_id, regexp_extract(line, '(?:^|\s)\^\s*([A-Za-z0-9_-]+)\s*$', 1) AS block_id FROM lines WHERE regexp_matches(line, '(?:^|\s)\^\s*([A-Za-z0-9_-]+)\s*$')""")
+def v08_block_ids(spark: SparkSession, d: str) -> DataFrame:
+    return _search(spark, d).select("file_id", F.explode(T.block_ids(F.col("content_lc"))).alias("block_id"))
+
+
+@_q(r"SELECT link_id, replace(trim(trim(raw_target), '/'), '\', '/') AS path, len(string_split(trim(trim(raw_target), '/'), '/')) - 1 AS depth, translate(raw_target, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS ordered_by FROM l")
+def v02_v03_v09_target_paths(spark: SparkSession, d: str) -> DataFrame:
+    p = T.normalize_path_like(F.col("raw_target"))
+    return _links(spark, d).select("link_id", p.alias("path"), F.size(T.ancestors(T.folder_of(p))).cast("long").alias("depth"), T.path_order(F.col("raw_target")).alias("ordered_by"))
+
+
+@_q(_LINES + r""", heads AS (SELECT DISTINCT file_id, trim(regexp_replace(lower(trim(regexp_extract(line, '^\s*#{1,6}\s*([^#\s].*)$', 1))), '[^\p{L}\p{N}]+', '-', 'g'), '-') AS slug FROM lines WHERE regexp_matches(line, '^\s*#{1,6}\s*[^#\s].*$'))
+  SELECT link_id, heads.slug IS NOT NULL AS found FROM l LEFT JOIN heads ON heads.file_id = resolved_file_id AND heads.slug = heading_slug WHERE resolved_file_id IS NOT NULL AND heading_slug IS NOT NULL""")
+def j05_heading_fragments(spark: SparkSession, d: str) -> DataFrame:
+    """Whether the heading that a link names stands in the text of its target."""
+    lines = _search(spark, d).select("file_id", F.inline(T.numbered_lines(F.col("content_lc")))).withColumn("h", T.heading_of(F.col("line"))).filter("h is not null")
+    heads = lines.select("file_id", T.slugify(F.col("h.text")).alias("slug"))
+    asked = _links(spark, d).filter("resolved_file_id is not null and heading_slug is not null").select(F.col("link_id").alias("request_id"), F.col("resolved_file_id").alias("file_id"), F.col("heading_slug").alias("slug"))
+    return resolve.heading_exists(asked, heads).select(F.col("request_id").alias("link_id"), "found")
+
+
+@_q("SELECT doc_id FROM documents WHERE contains(lower(text), 'mandate') AND NOT starts_with(text, 'The') AND (n_chars >= 500 OR ends_with(text, '?'))")
+def w05_w06_text_conditions(spark: SparkSession, d: str) -> DataFrame:
+    kinds = {"text": "string", "n_chars": "int"}
+    tree = W.parse_where("text contains 'MANDATE' and not text starts_with 'The' and (n_chars >= 500 or text ends_with '?')")
+    return table(spark, d, "documents").filter(W.compile_where(tree, lambda n: V.scalar_value(F.col(n), kinds[n]))).select("doc_id")
+
+
 _RESOLVE = r""", asks AS (SELECT DISTINCT lower(raw_target) AS t, lower(CASE WHEN contains(source_path, '/') THEN regexp_replace(source_path, '/[^/]*$', '') ELSE '' END) AS home FROM lp),
   vs AS (SELECT t, home, unnest(CASE WHEN contains(t, '/') THEN list_concat(['p:' || t], list_transform(range(1, len(string_split(home, '/')) + 1), lambda i: 'p:' || array_to_string(string_split(home, '/')[1:i], '/') || '/' || t)) ELSE ['n:' || t] END) AS v FROM asks),
   ks AS (SELECT DISTINCT t, home, regexp_replace(v, '\.md$', '') AS k FROM vs),
