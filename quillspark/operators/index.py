@@ -112,7 +112,7 @@ def apply_changes(store: IndexStore, root: str, paths: DataFrame, strict: bool =
 
     Files whose size, time and hash are as indexed are skipped. Rows of changed and vanished files are replaced, ids of
     known files stay. Links are resolved again: all of them if files came or went, else those of changed notes and those
-    that a change may touch.
+    that a change may touch. What is written follows the change: new rows, and tombstones for those they replace.
     """
     state = store.state()
     stamp = now()
@@ -129,16 +129,12 @@ def apply_changes(store: IndexStore, root: str, paths: DataFrame, strict: bool =
     n_new = changed.join(known, "normalized_path", "left_anti").count()
     n_changed, n_gone = changed.count(), gone.count()
     if not n_changed and not n_gone:
-        return {"version": store.version(), "upserted": 0, "removed": 0, "links_checked": 0}
+        return {"version": store.version(), "upserted": 0, "removed": 0, "links_moved": 0}
     touched = cut(changed.select("file_id").unionByName(gone))
     fresh = build_tables(changed, stamp)
-    out = {}
-    for name in ("files", "properties", "tasks", "search_index", "headings", "blocks", "bases", "render_cache"):
-        out[name] = _without(old[name], touched, "file_id").unionByName(fresh[name].select(*old[name].columns))
-    out["diagnostics"] = old["diagnostics"].join(asked, "normalized_path", "left_anti").unionByName(fresh["diagnostics"])
+    # the tables as they will be, for resolving links; only what is new is written
+    after = {n: _without(old[n], touched, "file_id").unionByName(fresh[n].select(*old[n].columns)) for n in ("files", "headings", "blocks")}
     rest = _without(old["links"], touched, "source_file_id")
-    # links of changed notes, and stored links that the change may touch
-    source = out["files"].select(F.col("file_id").alias("source_file_id"), F.col("normalized_path").alias("source_path"))
     if n_new or n_gone:
         again = rest
     else:
@@ -146,14 +142,18 @@ def apply_changes(store: IndexStore, root: str, paths: DataFrame, strict: bool =
         marked = rest.join(hit, "resolved_file_id", "left")
         fragment = F.col("heading_slug").isNotNull() | F.col("block_id").isNotNull()
         again = marked.filter(F.col("is_unresolved") | F.col("resolved_file_id").isNull() | (F.coalesce("hit", F.lit(False)) & fragment)).select(*rest.columns)
-    again = cut(again)
+    source = after["files"].select(F.col("file_id").alias("source_file_id"), F.col("normalized_path").alias("source_path"))
     raw = again.join(source, "source_file_id").select("link_id", F.col("source_file_id").alias("file_id"), "source_path", "raw_target", "heading_slug", "block_id", "source_field", "created_at")
     new = changed.filter("is_markdown and hash_blake3 is not null").select("file_id", F.col("normalized_path").alias("source_path"), F.inline("links")).withColumn("created_at", F.lit(stamp))
-    todo = raw.unionByName(new.select(*raw.columns))
-    solved = resolve_links(todo, out["files"], out["headings"], out["blocks"]).withColumnRenamed("file_id", "source_file_id").select(*old["links"].columns)
-    out["links"] = rest.join(again.select("link_id"), "link_id", "left_anti").select(*old["links"].columns).unionByName(solved)
-    version = store.write(out, indexed_at=stamp, link_rules=LINK_RULES)
-    return {"version": version, "upserted": n_changed, "removed": n_gone, "links_checked": again.count()}
+    resolve = lambda rows: resolve_links(rows, after["files"], after["headings"], after["blocks"]).withColumnRenamed("file_id", "source_file_id").select(*old["links"].columns)
+    # of the links that are checked again, only those that come out differently are written
+    was = again.select("link_id", F.struct("resolved_file_id", "is_unresolved", "unresolved_reason").alias("was"))
+    moved = resolve(raw).join(was, "link_id").filter(~F.struct("resolved_file_id", "is_unresolved", "unresolved_reason").eqNullSafe(F.col("was")))
+    moved = cut(moved.select(*old["links"].columns))
+    links = moved.unionByName(resolve(new.select(*raw.columns)))
+    tombs = touched.select(F.lit("file").alias("kind"), F.col("file_id").alias("id")).unionByName(asked.select(F.lit("path").alias("kind"), F.col("normalized_path").alias("id"))).unionByName(moved.select(F.lit("link").alias("kind"), F.col("link_id").alias("id")))
+    version = store.append({**fresh, "links": links}, tombs, indexed_at=stamp, link_rules=LINK_RULES)
+    return {"version": version, "upserted": n_changed, "removed": n_gone, "links_moved": moved.count()}
 
 
 def apply_batches(store: IndexStore, root: str, paths: Iterable[str], batch_size: int = 128) -> list[dict]:

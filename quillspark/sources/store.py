@@ -1,7 +1,9 @@
-"""Versioned index tables: each version is a folder of Parquet tables, and a pointer file names the current one.
+"""Versioned index tables, as a log of segments.
 
-A version is written beside the others and becomes current by one atomic rename of the pointer, so a failed run leaves
-the last version as it was.
+A full build writes a base; an increment writes a segment with its new rows and with tombstones for the rows that they
+replace, so its cost follows the change and not the index. A pointer file names the segments of the current version and
+is replaced by one atomic rename, so a failed run leaves the last version as it was. Many segments are merged into a new
+base.
 """
 
 from __future__ import annotations
@@ -10,12 +12,22 @@ import json
 import os
 import time
 import uuid
+from functools import reduce
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from quillspark import schema
 
+TOMBS = "kind string, id string"
+#: What a tombstone of each kind removes: column by table.
+KEYS = {n: ("file", "file_id") for n in ("files", "properties", "bases", "tasks", "search_index", "headings", "blocks", "render_cache")} | {"links": ("file", "source_file_id"), "diagnostics": ("path", "normalized_path")}
+#: Order of the rows in the files of a base, so that reads of a note, a key or a path skip most files. The second column
+#: splits the rows of a hot key.
+ORDER = {"files": ("normalized_path",), "links": ("source_file_id", "link_id"), "properties": ("key", "file_id"), "tasks": ("file_path", "line_number"), "search_index": ("normalized_path",)}
+MAX_SEGMENTS = 16
+
 
 class StoreError(RuntimeError):
     pass
@@ -31,39 +43,65 @@ class IndexStore:
         return self.path / "CURRENT.json"
 
     def state(self) -> dict:
-        """Pointer contents: version, schema, and what the last run left (link rules, counts); empty at first."""
+        """Pointer contents: version, segments, schema, and what the last run left; empty at first."""
         return json.loads(self._pointer.read_text()) if self._pointer.exists() else {}
 
     def version(self) -> str | None:
         return self.state().get("version")
 
+    def segments(self) -> list[str]:
+        return self.state().get("segments", [])
+
     def check_schema(self) -> None:
         got = self.state().get("schema", schema.VERSION)
         if got != schema.VERSION:
             raise StoreError(f"index has schema {got}, expected {schema.VERSION}")
 
     def table(self, name: str) -> DataFrame:
+        """A table of the current version: rows of all segments without those that a later segment replaced."""
         self.check_schema()
-        v = self.version()
-        want = schema.TABLES[name]
-        if v is None:
+        want, segments = schema.TABLES[name], self.segments()
+        if not segments:
             return self.spark.createDataFrame([], want)
-        return self.spark.read.schema(want).parquet(str(self.path / v / name))
+        parts = [self.spark.read.schema(want).parquet(str(self.path / s / name)) for s in segments]
+        if len(parts) == 1:
+            return parts[0]
+        rows = reduce(DataFrame.unionByName, [p.withColumn("__seq", F.lit(i)) for i, p in enumerate(parts)])
+        tombs = reduce(DataFrame.unionByName, [self.spark.read.schema(TOMBS).parquet(str(self.path / s / "tombs")).withColumn("seq", F.lit(i)) for i, s in enumerate(segments) if i])
+        kinds = [KEYS[name]] + ([("link", "link_id")] if name == "links" else [])
+        for kind, column in kinds:
+            dead = tombs.filter(F.col("kind") == kind).groupBy(F.col("id").alias(column)).agg(F.max("seq").alias("__dead"))
+            rows = rows.join(dead, column, "left").filter("__dead is null or __seq >= __dead").drop("__dead")
+        return rows.select(*[f.name for f in want])
 
     def tables(self) -> dict[str, DataFrame]:
         return {n: self.table(n) for n in schema.TABLES}
 
+    def _segment(self, tables: dict[str, DataFrame], order: bool) -> str:
+        name = f"s{int(time.time() * 1000)}-{uuid.uuid4().hex[:8]}"
+        for table, want in schema.TABLES.items():
+            df = tables[table].select(*[tables[table][f.name].cast(f.dataType).alias(f.name) for f in want])
+            if order and table in ORDER:
+                df = df.repartitionByRange(*ORDER[table]).sortWithinPartitions(*ORDER[table])
+            df.write.parquet(str(self.path / name / table))
+        return name
+
     def write(self, tables: dict[str, DataFrame], **state: object) -> str:
-        """Write a new version; tables that are not given are taken over from the current one."""
-        version = f"v{int(time.time() * 1000)}-{uuid.uuid4().hex[:8]}"
+        """Write a new base; tables that are not given are taken over from the current version."""
         current = self.tables()
-        for name in schema.TABLES:
-            df = tables.get(name, current[name])
-            df.select(*[df[f.name].cast(f.dataType).alias(f.name) for f in schema.TABLES[name]]).write.parquet(str(self.path / version / name))
-        self.swap(version, **state)
-        return version
-
-    def swap(self, version: str, **state: object) -> None:
+        return self._swap([self._segment({n: tables.get(n, current[n]) for n in schema.TABLES}, True)], **state)
+
+    def append(self, tables: dict[str, DataFrame], tombs: DataFrame, **state: object) -> str:
+        """Write a segment: rows, and (kind, id) of what they replace. kind: file, path, or link by its id."""
+        none = {n: self.spark.createDataFrame([], s) for n, s in schema.TABLES.items()}
+        name = self._segment({**none, **tables}, False)
+        tombs.select("kind", "id").distinct().write.parquet(str(self.path / name / "tombs"))
+        version = self._swap([*self.segments(), name], **state)
+        return self.write({}) if len(self.segments()) > MAX_SEGMENTS else version
+
+    def _swap(self, segments: list[str], **state: object) -> str:
+        version = segments[-1]
         temp = self.path / f".pointer-{uuid.uuid4().hex}"
-        temp.write_text(json.dumps({**{k: v for k, v in self.state().items() if k not in ("version",)}, "schema": schema.VERSION, "version": version, **state}))
+        temp.write_text(json.dumps({**self.state(), **state, "schema": schema.VERSION, "version": version, "segments": segments}))
         os.replace(temp, self._pointer)
+        return version

@@ -251,6 +251,15 @@ def test_store_is_versioned(spark, tmp_path):
     assert store.table("files").count() == 0 and store.version() is None
     v = store.write({"blocks": spark.createDataFrame([("f", "b")], "file_id string, block_id string")})
     assert store.version() == v and store.table("blocks").count() == 1
+    blocks = lambda rows: {"blocks": spark.createDataFrame(rows, "file_id string, block_id string")}
+    tomb = lambda *ids: spark.createDataFrame([("file", i) for i in ids], "kind string, id string")
+    store.append(blocks([("g", "c")]), tomb("zz"))
+    store.append(blocks([("f", "b2"), ("f", "b3")]), tomb("f"))
+    assert sorted(map(tuple, store.table("blocks").collect())) == [("f", "b2"), ("f", "b3"), ("g", "c")] and len(store.segments()) == 3
+    store.append(blocks([]), tomb("f"))
+    assert [tuple(r) for r in store.table("blocks").collect()] == [("g", "c")]
+    store.write({})
+    assert [tuple(r) for r in store.table("blocks").collect()] == [("g", "c")] and len(store.segments()) == 1
     (tmp_path / "CURRENT.json").write_text(json.dumps({"schema": 99, "version": v}))
     with pytest.raises(StoreError):
         store.table("files")
