@@ -16,6 +16,7 @@ from quillspark import schema
 from quillspark.functions import text as T
 from quillspark.ids import id_column
 from quillspark.operators.resolve import resolve_links
+from quillspark.operators.search import with_surfaces
 from quillspark.runtime import cut, parallelism
 from quillspark.sources import vault
 from quillspark.sources.store import IndexStore
@@ -46,6 +47,7 @@ def build_tables(prepared: DataFrame, stamp: str, all_files: DataFrame | None =
         F.col("line_number").cast("long").alias("line_number"), "state", "text", F.lower("text").alias("text_lc"), t.alias("updated_at"),
     )
     search = notes.select("file_id", F.lower("normalized_path").alias("normalized_path_lc"), "title_lc", "content_lc", t.alias("updated_at"), "normalized_path")
+    search = with_surfaces(search)
     bases = prepared.filter("base_config is not null").select(id_column("base", [F.col("normalized_path")]).alias("base_id"), "file_id", F.col("base_config").alias("config_json"), t.alias("updated_at"))
     raw = notes.select("file_id", F.col("normalized_path").alias("source_path"), F.inline("links"))
     links = resolve_links(raw, all_files if all_files is not None else files, all_headings if all_headings is not None else headings, all_blocks if all_blocks is not None else blocks)

@@ -48,6 +48,14 @@ def match(query: str, surfaces: list[Column]) -> Column:
     return out
 
 
+SURFACES = {"fts_path": "normalized_path", "fts_title": "title_lc", "fts_content": "content_lc"}
+
+
+def with_surfaces(index: DataFrame) -> DataFrame:
+    """The index with its normalised surfaces, as a built index keeps them; where they are missing they are made."""
+    return index.withColumns({k: T.fts_normalize(F.coalesce(F.col(c), F.lit(""))) for k, c in SURFACES.items() if k not in index.columns})
+
+
 def search(index: DataFrame, query: str) -> DataFrame:
     """Matching notes: file_id, path, title, indexed_at, in_title, in_path, in_content, score, matched_in.
 
@@ -56,8 +64,7 @@ def search(index: DataFrame, query: str) -> DataFrame:
     if not query.strip():
         raise QueryError("query must not be empty")
     needle = query.strip().lower()
-    surfaces = [T.fts_normalize(F.coalesce(F.col(c), F.lit(""))) for c in ("normalized_path", "title_lc", "content_lc")]
-    hits = spread(index, "file_id").filter(match(query, surfaces))
+    hits = with_surfaces(spread(index, "file_id")).filter(match(query, [F.col(c) for c in SURFACES]))
     flag = lambda c: F.contains(F.coalesce(F.col(c), F.lit("")), F.lit(needle))
     hits = hits.select(
         "file_id",

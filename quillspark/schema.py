@@ -17,7 +17,7 @@ LINKS = _struct("link_id string, source_file_id string, raw_target string, resol
 PROPERTIES = _struct("property_id string, file_id string, key string, value_type string, value_json string, updated_at string")
 BASES = _struct("base_id string, file_id string, config_json string, updated_at string")
 TASKS = _struct("task_id string, file_id string, file_path string, file_path_lc string, line_number long, state string, text string, text_lc string, updated_at string")
-SEARCH = _struct("file_id string, normalized_path_lc string, title_lc string, content_lc string, updated_at string, normalized_path string")
+SEARCH = _struct("file_id string, normalized_path_lc string, title_lc string, content_lc string, updated_at string, normalized_path string, fts_path string, fts_title string, fts_content string")
 RENDER_CACHE = _struct("cache_key string, file_id string, html string, content_hash string, updated_at string")
 INDEX_STATE = _struct("key string, value_json string, updated_at string")
 EVENTS = _struct("id long, event_type string, payload_json string, created_at string")
@@ -37,4 +37,4 @@ TABLES = {
     "render_cache": RENDER_CACHE,
     "diagnostics": DIAGNOSTICS,
 }
-VERSION = 1
+VERSION = 2
