@@ -16,9 +16,10 @@ from quillspark.functions import values as V
 from quillspark.operators import baseview, graph, incremental, index, meta, resolve, search, tasks
 from quillspark.plans import bases as B
 from quillspark.plans import where as W
-from quillspark.runtime import ensure_checkpoint_dir, table
+from quillspark.runtime import cut, ensure_checkpoint_dir, spread, table
 from quillspark.sources import events as E
 from quillspark.sources import tables as S
+from quillspark.sources import vault
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -535,6 +536,24 @@ def f03_task_filter(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("file_path", F.col("line_number").cast("long").alias("line_number"), "text")
 
 
+_HEADS = r"count(*) FILTER (regexp_matches(line, '^\s*#{1,6}\s*[^#\s].*$'))"
+
+
+@_q(_LINES + rf", h AS (SELECT file_id, {_HEADS} AS n_headings, count(*) FILTER (regexp_matches(line, '^\s*- \[( |x|X|-)\] ')) AS n_tasks FROM lines GROUP BY 1) SELECT * FROM h")
+def i02_i03_s04_prepared_notes(spark: SparkSession, d: str) -> DataFrame:
+    """The texts of the search table, indexed as notes: headings and tasks found."""
+    notes = spread(_search(spark, d).select("file_id", "normalized_path", F.col("content_lc").alias("text")), "file_id")
+    return vault.prepare_texts(notes).select("file_id", F.size("headings").cast("long").alias("n_headings"), F.size("tasks").cast("long").alias("n_tasks"))
+
+
+@_q()
+def i04_links_of_texts(spark: SparkSession, d: str) -> DataFrame:
+    """Links found in the texts of the search table, resolved among its notes."""
+    notes = spread(_search(spark, d).select("file_id", "normalized_path", F.col("content_lc").alias("text")), "file_id")
+    links = index.build_tables(cut(vault.prepare_texts(notes)), "2024-01-01T00:00:00.000Z")["links"]
+    return links.groupBy("source_file_id", "source_field").agg(F.count(F.lit(1)).alias("n"), F.count("resolved_file_id").alias("n_resolved"))
+
+
 # --- upkeep ------------------------------------------------------------------------------------------------------
 
 

@@ -14,7 +14,7 @@ from urllib.parse import unquote
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 
-from quillspark.ids import Blake3, make_id
+from quillspark.ids import Blake3, blake3_hex, blake3_many, make_id
 from quillspark.sources.yaml12 import YamlError, dump_flow, load
 
 PRUNED = (".git", ".obsidian", ".quillspark")
@@ -102,7 +102,7 @@ def scan(spark: SparkSession, root: str, case_sensitive: bool = True) -> DataFra
 def hash_file(path: str) -> str:
     h = Blake3()
     with open(path, "rb") as f:
-        while part := f.read(65_536):
+        while part := f.read(1 << 20):
             h.update(part)
     return h.hexdigest()
 
@@ -325,18 +325,18 @@ PREPARED = (
 
 
 
-def prepare(entry: dict, file_id: str | None = None, strict: bool = False) -> dict:
-    """All index rows of one file. A file that can't be read, and front matter that is no mapping, become diagnostics;
+def prepare(entry: dict, file_id: str | None = None, strict: bool = False, data: bytes | None = None, digest: str | None = None, raw_ids: bool = False) -> dict:
+    """All index rows of one file, read from disk unless its bytes are given; raw_ids leaves link ids as the text to hash. A file that can't be read, and front matter that is no mapping, become diagnostics;
     with strict=True the latter is an error."""
     path = entry["normalized_path"]
     fid = file_id or make_id("file", path)
     out = {**{k: entry[k] for k in ("normalized_path", "match_key", "absolute_path", "size_bytes", "modified_unix_ms")}, "file_id": fid, "is_markdown": path.endswith(".md")}
     out |= {"title_lc": None, "content_lc": None, "front_raw": None, "properties": [], "tasks": [], "headings": [], "blocks": [], "links": [], "base_config": None, "diagnostics": []}
     try:
-        data = Path(entry["absolute_path"]).read_bytes()
+        data = Path(entry["absolute_path"]).read_bytes() if data is None else data
     except OSError as e:
         return out | {"hash_blake3": None, "diagnostics": [{"code": "read_failed", "message": str(e)}]}
-    out["hash_blake3"] = Blake3().update(data).hexdigest()
+    out["hash_blake3"] = digest or blake3_hex(data)
     if path.endswith(".base"):
         out["base_config"] = json_text({"raw": data.decode(errors="replace")})
     if not out["is_markdown"]:
@@ -360,9 +360,10 @@ def prepare(entry: dict, file_id: str | None = None, strict: bool = False) -> di
     out["headings"] = [{"level": lv, "text": t, "slug": slugify(t), "line_number": n} for lv, t, n in headings(front.body)]
     out["blocks"] = block_ids(front.body)
     for i, link in enumerate(links_of(front.value, front.body)):
+        id_text = f"{fid}:{i}:{link['source_field']}:{link['raw']}"
         out["links"].append(
             {
-                "link_id": make_id("link", f"{fid}:{i}:{link['source_field']}:{link['raw']}"),
+                "link_id": id_text if raw_ids else make_id("link", id_text),
                 "source_field": link["source_field"],
                 "raw_target": link["target"],
                 "heading_slug": slugify(link["heading"]) if link["heading"] else None,
@@ -372,23 +373,66 @@ def prepare(entry: dict, file_id: str | None = None, strict: bool = False) -> di
     return out
 
 
+BATCH_BYTES = 8 << 20
+
+
+def _prepare_all(entries: Iterator[tuple[dict, str | None, bytes | None]], strict: bool) -> Iterator[pd.DataFrame]:
+    """Prepared rows, a few megabytes of contents at a time, with contents and link ids hashed in bulk."""
+    names = [c.split()[0] for c in re.split(r", (?=\w+ )", PREPARED)]
+
+    def flush(part: list[tuple[dict, str | None, bytes | None]]) -> pd.DataFrame:
+        digests = iter(blake3_many([d for _, _, d in part if d is not None]))
+        rows = [prepare(e, fid, strict, d, next(digests) if d is not None else None, True) for e, fid, d in part]
+        links = [link for r in rows for link in r["links"]]
+        for link, h in zip(links, blake3_many([link["link_id"].encode() for link in links])):
+            link["link_id"] = "link_" + h[:16]
+        return pd.DataFrame(rows, columns=names)
+
+    part, size = [], 0
+    for e, fid, data in entries:
+        part.append((e, fid, data))
+        size += len(data or b"")
+        if size >= BATCH_BYTES or len(part) >= 2000:
+            yield flush(part)
+            part, size = [], 0
+    if part:
+        yield flush(part)
+
+
+def _read(path: str) -> bytes | None:
+    try:
+        return Path(path).read_bytes()
+    except OSError:
+        return None  # prepare() tells what is wrong
+
+
 def prepare_entries(manifest: DataFrame, strict: bool = False) -> DataFrame:
     """PREPARED rows of a manifest; a column file_id, if there is one, keeps the ids of known files."""
     has_id = "file_id" in manifest.columns
-    names = [c.split()[0] for c in re.split(r", (?=\w+ )", PREPARED)]
 
     def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in it:
-            rows = []
-            for e in pdf.to_dict("records"):
-                fid = e.get("file_id") if has_id else None
-                rows.append(prepare(e, fid if isinstance(fid, str) else None, strict))
-            yield pd.DataFrame(rows, columns=names)
+        every = (e for pdf in it for e in pdf.to_dict("records"))
+        yield from _prepare_all(((e, e["file_id"] if has_id and isinstance(e["file_id"], str) else None, _read(e["absolute_path"])) for e in every), strict)
 
     cols = ["absolute_path", "normalized_path", "match_key", "size_bytes", "modified_unix_ms"] + (["file_id"] if has_id else [])
     return manifest.select(*cols).mapInPandas(run, PREPARED)
 
 
+def prepare_texts(notes: DataFrame) -> DataFrame:
+    """PREPARED rows of notes whose text is at hand: file_id, normalized_path, text. A null text is an empty one."""
+
+    def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def every() -> Iterator[tuple[dict, str | None, bytes | None]]:
+            for pdf in it:
+                for fid, path, text in zip(pdf["file_id"], pdf["normalized_path"], pdf["text"]):
+                    data = (text or "").encode()
+                    yield {"normalized_path": path, "match_key": path, "absolute_path": path, "size_bytes": len(data), "modified_unix_ms": 0}, fid, data
+
+        yield from _prepare_all(every(), False)
+
+    return notes.select("file_id", "normalized_path", "text").mapInPandas(run, PREPARED)
+
+
 def read_note(root: str, path: str) -> dict:
     """A note as it is on disk, not as indexed: path, title, front_matter, body, headings, properties."""
     validate_relative(path)
