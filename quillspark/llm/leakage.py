@@ -108,10 +108,25 @@ def passages(batch: pa.RecordBatch, p: Leakage) -> Iterator[tuple[np.ndarray, np
         yield owner[i : i + _SLICE], np.where(inside, flat[np.minimum(at, len(flat) - 1)], -1)
 
 
-def counts(ids: np.ndarray, n_words: int) -> np.ndarray:
-    """Dense term counts (passages x vocabulary) of a slice."""
-    r = np.nonzero(ids >= 0)
-    return np.bincount(r[0] * n_words + ids[r], minlength=len(ids) * n_words).reshape(len(ids), n_words).astype(np.float32)
+def project(ids: np.ndarray, weighted: np.ndarray) -> np.ndarray:
+    """Sums of the rows of `weighted` (words x width, with a last row of zeros) that the ids of each passage name."""
+    return np.concatenate([weighted[ids[i : i + 256]].sum(1) for i in range(0, len(ids), 256)])
+
+
+def padded(m: np.ndarray) -> np.ndarray:
+    """m with a last row of zeros, which the id -1 of any other word names."""
+    return np.concatenate([m, np.zeros((1, *m.shape[1:]), m.dtype)])
+
+
+def repeats(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each word of each passage: how often it stands there, and whether it is its first place."""
+    same = ids[:, :, None] == ids[:, None, :]
+    return same.sum(2), ~np.tril(same, -1).any(2)
+
+
+def norms(ids: np.ndarray, idf_padded: np.ndarray) -> np.ndarray:
+    """Squared lengths of the TF-IDF vectors."""
+    return (repeats(ids)[0] * idf_padded[ids] ** 2).sum(1)
 
 
 def passage_idf(encoded: DataFrame, n_words: int, p: Leakage) -> np.ndarray:
@@ -122,7 +137,7 @@ def passage_idf(encoded: DataFrame, n_words: int, p: Leakage) -> np.ndarray:
         for b in it:
             for _, ids in passages(b, p):
                 n += len(ids)
-                df += (counts(ids, n_words) > 0).sum(0)
+                df += np.bincount(ids[repeats(ids)[1] & (ids >= 0)], minlength=n_words)
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(-1, n_words)), pa.array(np.concatenate(([n], df)))], ["w", "n"])
 
     sums = {r["w"]: r["n"] for r in encoded.mapInArrow(run, "w long, n long").groupBy("w").agg(F.sum("n").alias("n")).collect()}
@@ -137,11 +152,18 @@ def gram_times(encoded: DataFrame, idf: np.ndarray, m: np.ndarray, p: Leakage, r
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w, x = shared.value
+        x = padded(w[:, None] * x)
         total = np.zeros((n_words, width), np.float64)
         for b in it:
             for _, ids in passages(b, p):
-                a = counts(ids, n_words) * w
-                total += a.T @ (a @ x)
+                y = project(ids, x)
+                row, col = np.nonzero(ids >= 0)
+                word = ids[row, col]
+                order = np.argsort(word, kind="stable")
+                word, first = np.unique(word[order], return_index=True)
+                if len(word):
+                    total[word] += np.add.reduceat(y[row[order]], first, axis=0)
+        total *= w[:, None]
         blocks = range(0, n_words, rows_per_block)
         yield pa.RecordBatch.from_arrays([pa.array(list(blocks), pa.int64()), pa.array([total[i : i + rows_per_block].tobytes() for i in blocks], pa.binary())], ["block", "part"])
 
@@ -228,22 +250,16 @@ def leaks(docs: DataFrame, items: DataFrame, p: Leakage = Leakage(), max_items:
     with np.errstate(over="ignore"):
         uniq_hash = ((uniq.astype(np.uint64) + np.uint64(1)) * mult).sum(1)
 
-    def project(a: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        u = a @ v
-        norm2 = np.einsum("ij,ij->i", a, a)
-        return u, norm2
-
-    qa = np.zeros((0, len(vocab)), np.float32)
-    query_u, query_n2 = [], []
-    for i in range(0, len(uniq), _SLICE):
-        qa = counts(uniq[i : i + _SLICE], len(vocab)) * idf
-        u, n2 = project(qa, space)
-        query_u.append(u)
-        query_n2.append(n2)
-    qu, qn2 = np.concatenate(query_u), np.concatenate(query_n2)
+    idf_padded, space_padded = padded(idf), padded(idf[:, None] * space)
+    qu, qn2 = project(uniq, space_padded), norms(uniq, idf_padded)
     rare = np.argsort(-idf[uniq], axis=1, kind="stable")[:, :3]
-    shared = spark.sparkContext.broadcast({"v": space, "idf": idf, "u": qu, "n2": qn2, "win": uniq, "hash": uniq_hash, "held": holders, "rare": np.take_along_axis(uniq, rare, 1)})
-    n_words, run_len = len(vocab), p.min_run
+    shared = spark.sparkContext.broadcast({"v": space_padded, "idf": idf_padded, "u": qu, "n2": qn2, "win": uniq, "hash": uniq_hash, "held": holders, "rare": np.take_along_axis(uniq, rare, 1)})
+    run_len = p.min_run
+    # words that are among the rarest of some window: a paraphrase holds at least `names` of its window's three
+    is_rare = np.zeros(len(vocab) + 1, bool)
+    is_rare[np.take_along_axis(uniq, rare, 1)] = True
+    three = np.sort(np.take_along_axis(uniq, rare, 1), axis=1)
+    n_names = 1 if (three[:, 1:] == three[:, :-1]).any() else int(np.ceil(p.names * rare.shape[1] - 1e-9))
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         s = shared.value
@@ -255,12 +271,14 @@ def leaks(docs: DataFrame, items: DataFrame, p: Leakage = Leakage(), max_items:
             exact: dict[tuple[int, int], set[int]] = {}
             loose: dict[tuple[int, int], float] = {}
             for doc, ids in passages(b, p):
-                # a passage of too few of the items' words can hold neither a run nor a paraphrase of a window
-                enough = (ids >= 0).sum(1) >= run_len * p.lcs
+                # what every run and every paraphrase needs: words of the items, all together or with names among them
+                known = ids >= 0
+                together = np.lib.stride_tricks.sliding_window_view(known, run_len, axis=1).all(2).any(1)
+                enough = together | (known.sum(1) >= run_len * p.lcs) & (is_rare[ids].sum(1) >= n_names)
                 if not enough.any():
                     continue
                 doc, ids = doc[enough], ids[enough]
-                u, n2 = project(counts(ids, n_words) * s["idf"], s["v"])
+                u, n2 = project(ids, s["v"]), norms(ids, s["idf"])
                 inner = np.einsum("ij,ij->i", u, u)
                 right = np.hstack([u, np.sqrt(np.maximum(n2 - inner, 0))[:, None]]).astype(np.float32)
                 p_len = np.sqrt(np.maximum(inner, 1e-12)).astype(np.float32)
