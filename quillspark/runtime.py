@@ -45,7 +45,7 @@ def cut_table(df: DataFrame) -> DataFrame:
 
 def broadcast_if_small(df: DataFrame, max_rows: int) -> DataFrame:
     """Hint a broadcast only after counting that df has at most max_rows rows; otherwise leave the choice to AQE."""
-    return F.broadcast(df) if len(df.limit(max_rows + 1).select(F.lit(1)).collect()) <= max_rows else df
+    return F.broadcast(df) if df.select(F.lit(1)).limit(max_rows + 1).count() <= max_rows else df
 
 
 def spread(df: DataFrame, *keys: str) -> DataFrame:
