@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.runtime import cut, spread
+from quillspark.runtime import broadcast_if_small, cut, cut_table, spread
 
 
 @dataclass(frozen=True)
@@ -157,6 +157,7 @@ _DATA = re.compile(r"(?m)^[ \t]*>.*$|^[ \t]*[{\[][\"'].*[}\]],?[ \t]*$|^[ \t]*\|
 _TAG = re.compile(r"(?<!<)</?(?:html|head|title|body|h[1-6]|p|div|span|noscript|br|b|i|em|strong|a|ul|ol|li|section|main|header|footer)\b[^<>]*>(?!>)", re.I)
 _CUT = re.compile(r"\n+|(?<=[.!?…;])\s+|\s(?=[-*] )")
 _WORD = re.compile(r"[^\W_]+")
+MAX_BROADCAST = 500_000
 _NUMBER = re.compile(r"\b(?=\w*\d)[0-9a-f]+\b|\d+")
 
 
@@ -240,34 +241,33 @@ def simhashes(texts: list[list[str]], cache: _WordHash | None = None) -> np.ndar
     return out
 
 
-def _segments(docs: DataFrame, p: Residue) -> DataFrame:
-    """doc_id, seg, kind: sentences that are residue by their form, or long enough to be near to one."""
+def _parse(docs: DataFrame, p: Residue, with_text: bool) -> DataFrame:
+    """A row per sentence that is residue by its form, or long enough to be near to one: doc_id, h (hash of kind and
+    normal form), kind, sim; or with_text h, seg."""
+    schema = "h long, seg string" if with_text else "doc_id long, h long, kind string, sim long"
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cache = _WordHash()
         for b in it:
             ids, segs, kinds = [], [], []
             for d, t in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist()):
                 for s in dict.fromkeys(sentences(t)):
                     n = normal(s)
-                    k = label(s, n.split())
-                    if k or n.count(" ") >= p.words - 1:
+                    words = n.split()
+                    k = label(s, words)
+                    if k or len(words) >= p.words:
                         ids.append(d)
-                        # residue keeps its own form, as symbols are what makes a placeholder
-                        segs.append(f"{k}:{n}" if k else n)
+                        segs.append(n)
                         kinds.append(k)
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(segs, pa.string()), pa.array(kinds, pa.string())], ["doc_id", "seg", "kind"])
-
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, seg string, kind string")
-
-
-def _hashed(segs: DataFrame) -> DataFrame:
-    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = _WordHash()
-        for b in it:
-            hashes = simhashes([(s.partition(":")[2] if k else s).split() for s, k in zip(b.column("seg").to_pylist(), b.column("kind").to_pylist())], cache)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(hashes)], [*b.schema.names, "sim"])
+            # residue keeps apart from a sentence of the same words, as symbols are what makes a placeholder
+            h = np.fromiter((xxhash.xxh3_64_intdigest(f"{k}:{n}" if k else n) for k, n in zip(kinds, segs)), np.uint64, len(segs)).view(np.int64)
+            if with_text:
+                yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(segs, pa.string())], ["h", "seg"])
+            else:
+                sim = simhashes([n.split() for n in segs], cache)
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(h), pa.array(kinds, pa.string()), pa.array(sim)], ["doc_id", "h", "kind", "sim"])
 
-    return segs.mapInArrow(run, "seg string, kind string, sim long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, schema)
 
 
 def alike(a: str, b: str, p: Residue) -> bool:
@@ -285,36 +285,45 @@ def _tables(df: DataFrame, p: Residue) -> DataFrame:
     return df.withColumn("key", F.explode(keys))
 
 
-def residue_segments(docs: DataFrame, p: Residue = Residue()) -> tuple[DataFrame, DataFrame]:
-    """(seg, kind) of all residue sentences, and (doc_id, seg) of all sentences."""
+def residue_sentences(docs: DataFrame, p: Residue = Residue()) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, h, kind, sim) of all sentences, kind null if they are no residue by form; and (h, kind) of those that
+    got their label from a near sentence.
+
+    Sentences are parsed once and kept as hashes, in the shared folder; texts are read again only for the pairs that the
+    tables and the Hamming distance leave.
+    """
     if p.hamming >= p.tables:
         raise ValueError("more bits may differ than the tables can find")
-    segs = _segments(spread(docs.filter("doc_id is not null and text is not null").select("doc_id", "text"), "doc_id"), p)
-    uniq = cut(_hashed(segs.groupBy("seg", "kind").agg(F.lit(1).alias("one")).select("seg", "kind")))
-    rest = _tables(uniq.filter("kind is null").select("seg", "sim"), p)
-    known = uniq.filter("kind is not null").select("seg", "kind", "sim")
+    docs = spread(docs.filter("doc_id is not null and text is not null").select("doc_id", "text"), "doc_id")
+    parsed = cut_table(_parse(docs, p, False))
+    rest = parsed.filter("kind is null").select("h", "sim").distinct()
     # placeholders stand inside of any sentence; only whole-sentence residue passes its label on
-    front = known.filter("kind <> 'placeholder'").select(F.expr("substring(seg, instr(seg, ':') + 1)").alias("seg"), "kind", "sim")
-    labels = known.select("seg", "kind")
+    front = parsed.filter("kind is not null and kind <> 'placeholder'").select("h", "kind", "sim").distinct()
+    passed = front.select("h", "kind").filter(F.lit(False))
 
     def near(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
             ok = [alike(x, y, p) for x, y in zip(b.column("known").to_pylist(), b.column("seg").to_pylist())]
-            yield b.select(["seg", "kind", "sim"]).filter(pa.array(ok, pa.bool_()))
+            yield b.select(["h", "kind", "sim"]).filter(pa.array(ok, pa.bool_()))
 
     for _ in range(p.rounds):
-        f = _tables(front, p).select("key", F.col("seg").alias("known"), F.col("sim").alias("known_sim"), "kind")
-        # the labelled side is residue only; AQE broadcasts it where it is small
-        pairs = rest.join(f, "key").filter(F.bit_count(F.col("sim").bitwiseXOR(F.col("known_sim"))) <= p.hamming)
-        new = pairs.select("seg", "kind", "sim", "known").distinct().mapInArrow(near, "seg string, kind string, sim long")
-        new = cut(new.groupBy("seg", "sim").agg(F.min("kind").alias("kind")).join(labels, "seg", "left_anti"))
+        f = broadcast_if_small(_tables(front, p).select("key", F.col("h").alias("known_h"), F.col("sim").alias("known_sim"), "kind"), MAX_BROADCAST)
+        pairs = _tables(rest, p).join(f, "key").filter(F.bit_count(F.col("sim").bitwiseXOR(F.col("known_sim"))) <= p.hamming)
+        pairs = cut(pairs.select("h", "sim", "known_h", "kind").distinct().join(passed.select("h"), "h", "left_anti"))
+        if not pairs.head(1):
+            break
+        want = broadcast_if_small(pairs.select("h").unionByName(pairs.select(F.col("known_h").alias("h"))).distinct(), MAX_BROADCAST)
+        texts = _parse(docs, p, True).join(want, "h", "left_semi").dropDuplicates(["h"])
+        both = pairs.join(texts, "h").join(texts.select(F.col("h").alias("known_h"), F.col("seg").alias("known")), "known_h")
+        new = both.select("h", "kind", "sim", "known", "seg").mapInArrow(near, "h long, kind string, sim long")
+        new = cut(new.groupBy("h", "sim").agg(F.min("kind").alias("kind")))
         if not new.head(1):
             break
-        labels = labels.unionByName(new.select("seg", "kind"))
-        front = new.select("seg", "kind", "sim")
+        passed = passed.unionByName(new.select("h", "kind"))
+        front = new.select("h", "kind", "sim")
     else:
         raise RuntimeError(f"labels did not settle in {p.rounds} rounds")
-    return labels, segs.select("doc_id", "seg")
+    return parsed, passed
 
 
 def residue_documents(docs: DataFrame, p: Residue = Residue()) -> DataFrame:
@@ -322,8 +331,10 @@ def residue_documents(docs: DataFrame, p: Residue = Residue()) -> DataFrame:
 
     docs has doc_id, text. Repeated rows count once; null and empty texts hold none.
     """
-    labels, segs = residue_segments(docs, p)
-    hits = segs.join(labels, "seg").select("doc_id", "seg", "kind").distinct()
+    parsed, passed = residue_sentences(docs, p)
+    by_form = parsed.filter("kind is not null").select("doc_id", "h", "kind")
+    by_link = parsed.filter("kind is null").select("doc_id", "h").join(passed, "h").select("doc_id", "h", "kind")
+    hits = by_form.unionByName(by_link).distinct()
     per_kind = hits.groupBy("doc_id", "kind").agg(F.count(F.lit(1)).alias("n"))
     return per_kind.groupBy("doc_id").agg(F.array_join(F.array_sort(F.collect_set("kind")), ",").alias("kinds"), F.sum("n").alias("n_sentences"))
 

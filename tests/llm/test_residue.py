@@ -68,4 +68,4 @@ def test_empty(spark):
 
 def test_too_many_bits(spark):
     with pytest.raises(ValueError):
-        R.residue_segments(spark.createDataFrame([], "doc_id long, text string"), R.Residue(hamming=4))
+        R.residue_sentences(spark.createDataFrame([], "doc_id long, text string"), R.Residue(hamming=4))
