@@ -138,6 +138,7 @@ _FILL = re.compile("|".join(f"(?:{p})" for p in FILLER), re.I)
 _ERROR = re.compile("|".join(f"(?:{p})" for p in (*ERRORS, *FRAME)), re.I)
 _NOTICE = re.compile("|".join(f"(?:{p})" for p in NOTICES), re.I)
 #: Signs without which a sentence holds no placeholder, and words without which it is no error or notice.
+_BRACKET = re.compile(r"[\[(<]")
 _PLACE_SIGN = re.compile(r"[{%$#@<\[(_?]|[A-Z]{4}|Last|: *xxx")
 HINTS = (
     "error fehler erreur denied permission blocked maintenance unhandled session sorry uh-oh oops gone unavailable robot human verweigert erneut erreichbar verfügbar "
@@ -148,8 +149,10 @@ DUMMY = frozenset("tbd todo test asdf blah xxx xxxx foo qwerty dummy".split())
 #: Words without which a sentence, other than one of repeated or Latin words, is no filler.
 FILL_HINTS = "text content heading title placeholder here typing something click replace dummy sample texto texte relleno ejemplo exemple".split()
 _HINTS = ahocorasick.Automaton()
-for _w in {*HINTS, *FILL_HINTS}:
-    _HINTS.add_word(_w, (_w in HINTS) | (_w in FILL_HINTS) << 1)
+#: Words of which Latin filler holds at least one.
+LATIN = frozenset(w for w in LOREM if len(w) >= 5)
+for _w in {*HINTS, *FILL_HINTS, *LATIN}:
+    _HINTS.add_word(_w, (_w in HINTS) | (_w in FILL_HINTS) << 1 | (_w in LATIN) << 2)
 _HINTS.make_automaton()
 _CODE = re.compile(r"(?ms)(```+|~~~+)[^\n`~]*\n.*?(?:\1|\Z)|(?<!`)(`{1,3})(?!`)[^`\n]+\2(?!`)|<(pre|code)\b[^<>]*>.*?</\3\s*>")
 _QUOTE = re.compile(r"\"[^\"\n]*\"|“[^”\n]*”|„[^“”\n]*[“”]|«[^»\n]*»|‘[^’\n]*’(?!\w)")
@@ -176,38 +179,46 @@ def sentences(text: str) -> list[str]:
     return out
 
 
-def _is_filler(s: str, words: list[str], hinted: bool) -> bool:
+def _is_filler(s: str, words: list[str], hints: int) -> bool:
     n = len(words)
-    kinds = len(set(words)) if n <= 60 else 0
-    if n >= 3 and (kinds == 1 or n >= 6 and 0 < kinds <= 2) or n == 2 and kinds == 1 and words[0] in DUMMY:
-        return True
-    if n >= 5:
+    if n >= 2 and (words[0] == words[1] or n > 2 and words[2] in words[:2]):
+        # one word again and again, or two
+        kinds = len(set(words[:64]))
+        if kinds == 1 and (n >= 3 or words[0] in DUMMY) or kinds == 2 and n >= 6 and len(set(words)) == 2:
+            return True
+    if hints & 4 and n >= 5 or n >= 5 and words[0] in DUMMY:
         known = [w in LOREM or w in DUMMY for w in words]
-        got = sum(known)
-        if got >= 0.8 * n:
+        if sum(known) >= 0.8 * n:
             return True
-        if got >= 8:
-            run = 0
-            for k in known:
-                run = run + 1 if k else 0
-                if run >= 8:
-                    return True
-    return hinted and bool(_FILL.search(s))
-
-
-def label(s: str, words: list[str] | None = None) -> str | None:
-    """The kind of residue that the sentence is by its form, or None."""
-    if _PLACE_SIGN.search(s) and _PLACE.search(s) or "[" in s and _PLACE_I.search(s) or "(" in s and _PLACE_I.search(s) or "<" in s and _PLACE_I.search(s):
+        run = 0
+        for k in known:
+            run = run + 1 if k else 0
+            if run >= 8:
+                return True
+    return bool(hints & 2) and bool(_FILL.search(s))
+
+
+def hints_of(low: str) -> int:
+    """Which kinds of hint words stand in a lower-case text, as bits."""
+    bits = 0
+    for _, h in _HINTS.iter(low):
+        bits |= h
+    return bits
+
+
+def label(s: str, words: list[str] | None = None, hints: int | None = None) -> str | None:
+    """The kind of residue that the sentence is by its form, or None. hints: those of the document, if known; without
+    any, the sentence has none either."""
+    if _PLACE_SIGN.search(s) and (_PLACE.search(s) or _BRACKET.search(s) and _PLACE_I.search(s)):
         return "placeholder"
-    hints = 0
-    for _, h in _HINTS.iter(s.lower()):
-        hints |= h
-    if hints & 1:
-        if _NOTICE.search(s):
-            return "notice"
-        if _ERROR.search(s):
-            return "error"
-    return "filler" if _is_filler(s, [w.lower() for w in _WORD.findall(s)] if words is None else words, bool(hints & 2)) else None
+    if hints != 0:
+        hints = hints_of(s.lower())
+        if hints & 1:
+            if _NOTICE.search(s):
+                return "notice"
+            if _ERROR.search(s):
+                return "error"
+    return "filler" if _is_filler(s, [w.lower() for w in _WORD.findall(s)] if words is None else words, hints) else None
 
 
 def normal(s: str) -> str:
@@ -251,10 +262,11 @@ def _parse(docs: DataFrame, p: Residue, with_text: bool) -> DataFrame:
         for b in it:
             ids, segs, kinds = [], [], []
             for d, t in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist()):
+                hints = hints_of(t.lower())
                 for s in dict.fromkeys(sentences(t)):
                     n = normal(s)
                     words = n.split()
-                    k = label(s, words)
+                    k = label(s, words, hints)
                     if k or len(words) >= p.words:
                         ids.append(d)
                         segs.append(n)
@@ -313,7 +325,10 @@ def residue_sentences(docs: DataFrame, p: Residue = Residue()) -> tuple[DataFram
         if not pairs.head(1):
             break
         want = broadcast_if_small(pairs.select("h").unionByName(pairs.select(F.col("known_h").alias("h"))).distinct(), MAX_BROADCAST)
-        texts = _parse(docs, p, True).join(want, "h", "left_semi").dropDuplicates(["h"])
+        # of the documents that hold a wanted sentence, one each is read again
+        homes = parsed.join(want, "h").groupBy("h").agg(F.min("doc_id").alias("doc_id")).select("doc_id").distinct()
+        again = docs.join(broadcast_if_small(homes, MAX_BROADCAST), "doc_id", "left_semi")
+        texts = _parse(again, p, True).join(want, "h", "left_semi").dropDuplicates(["h"])
         both = pairs.join(texts, "h").join(texts.select(F.col("h").alias("known_h"), F.col("seg").alias("known")), "known_h")
         new = both.select("h", "kind", "sim", "known", "seg").mapInArrow(near, "h long, kind string, sim long")
         new = cut(new.groupBy("h", "sim").agg(F.min("kind").alias("kind")))
