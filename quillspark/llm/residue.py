@@ -26,12 +26,13 @@ from quillspark.runtime import broadcast_if_small, cut, cut_table, spread
 @dataclass(frozen=True)
 class Residue:
     """words, similarity: word sequences and their least Jaccard similarity; hamming: most bits that may differ, of 64 in
-    `tables` blocks, so hamming < tables loses no pair; rounds: most rounds of passing labels on."""
+    `blocks` blocks; a table for each two blocks, so with hamming <= blocks - 2 some table holds both texts of a pair
+    and none is lost; rounds: most rounds of passing labels on."""
 
     words: int = 5
     similarity: float = 0.8
     hamming: int = 3
-    tables: int = 4
+    blocks: int = 5
     rounds: int = 50
 
 
@@ -292,9 +293,11 @@ def alike(a: str, b: str, p: Residue) -> bool:
 
 
 def _tables(df: DataFrame, p: Residue) -> DataFrame:
-    width = 64 // p.tables
-    keys = F.array(*[F.shiftright(F.col("sim"), i * width).bitwiseAND(F.lit((1 << width) - 1)) + F.lit(i << 40) for i in range(p.tables)])
-    return df.withColumn("key", F.explode(keys))
+    """A row per table: two blocks of the SimHash and the number of the table as one key."""
+    cuts = [64 * i // p.blocks for i in range(p.blocks + 1)]
+    block = [F.shiftrightunsigned("sim", a).bitwiseAND(F.lit((1 << z - a) - 1)) for a, z in zip(cuts, cuts[1:])]
+    keys = [F.xxhash64(F.lit(i * p.blocks + j), block[i], block[j]) for i in range(p.blocks) for j in range(i)]
+    return df.withColumn("key", F.explode(F.array(*keys)))
 
 
 def residue_sentences(docs: DataFrame, p: Residue = Residue()) -> tuple[DataFrame, DataFrame]:
@@ -304,7 +307,7 @@ def residue_sentences(docs: DataFrame, p: Residue = Residue()) -> tuple[DataFram
     Sentences are parsed once and kept as hashes, in the shared folder; texts are read again only for the pairs that the
     tables and the Hamming distance leave.
     """
-    if p.hamming >= p.tables:
+    if p.hamming > p.blocks - 2:
         raise ValueError("more bits may differ than the tables can find")
     docs = spread(docs.filter("doc_id is not null and text is not null").select("doc_id", "text"), "doc_id")
     parsed = cut_table(_parse(docs, p, False))

@@ -49,7 +49,7 @@ def test_propagation_and_documents(spark):
         (7, "Title\n\n{{ title }}"),
     ]
     df = spark.createDataFrame([(*r, "clash") for r in rows + rows[:2]], "doc_id long, text string, seg string")
-    got = {r["doc_id"]: r["kinds"] for r in R.residue_documents(df, R.Residue(similarity=0.7, hamming=15, tables=16)).collect()}
+    got = {r["doc_id"]: r["kinds"] for r in R.residue_documents(df, R.Residue(similarity=0.7, hamming=15, blocks=17)).collect()}
     assert got == {1: "error", 2: "error", 7: "placeholder"} | ({6: "filler"} if 6 in got else {})
     left = {r["doc_id"] for r in R.without_residue(df.filter("doc_id <> 6")).collect()}
     assert 3 in left and 1 not in left
@@ -62,6 +62,23 @@ def test_simhash_of_like_texts_is_near():
     assert bin((int(x) ^ int(y)) & (2**64 - 1)).count("1") < bin((int(x) ^ int(z)) & (2**64 - 1)).count("1")
 
 
+def test_tables_lose_no_pair(spark):
+    import random
+
+    rnd = random.Random(1)
+    p = R.Residue()
+    rows = []
+    for i in range(300):
+        a = rnd.getrandbits(64)
+        b = a
+        for bit in rnd.sample(range(64), p.hamming):
+            b ^= 1 << bit
+        rows += [(i, 0, a - (a >> 63 << 64)), (i, 1, b - (b >> 63 << 64))]
+    t = R._tables(spark.createDataFrame(rows, "pair int, side int, sim long"), p)
+    met = t.filter("side = 0").join(t.filter("side = 1").selectExpr("pair", "key"), ["pair", "key"]).select("pair").distinct()
+    assert met.count() == 300
+
+
 def test_empty(spark):
     assert R.residue_documents(spark.createDataFrame([], "doc_id long, text string")).collect() == []
 
