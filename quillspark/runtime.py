@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
 import uuid
@@ -34,11 +35,21 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def _drop(spark: SparkSession, path: str) -> None:
+    try:
+        p = spark._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+    except Exception:  # noqa: BLE001, S110 - the session has ended before
+        pass
+
+
 def cut_table(df: DataFrame) -> DataFrame:
-    """As cut, but as a table in the shared folder: scans of it are alike to the planner, so a self-join shuffles once."""
+    """As cut, but as a table in the shared folder: scans of it are alike to the planner, so a self-join shuffles once.
+    The table is deleted when the driver ends."""
     spark = df.sparkSession
     ensure_checkpoint_dir(spark)
     path = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/table-{uuid.uuid4().hex}"
+    atexit.register(_drop, spark, path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
