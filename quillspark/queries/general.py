@@ -98,4 +98,10 @@ SQL = {
     "p5_found": """WITH cur AS (SELECT file_id, arg_max((size_bytes, hash_blake3), (indexed_at, modified_unix_ms, size_bytes, hash_blake3)) AS v FROM vault_files GROUP BY 1),
         done AS (SELECT file_id, arg_max((size_bytes, hash_blake3), (r.started_unix_ms, l.run_id, recorded_at, size_bytes, hash_blake3)) AS v FROM index_ledger l JOIN index_runs r USING (run_id) WHERE r.status = 'succeeded' GROUP BY 1)
         SELECT file_id FROM cur LEFT JOIN done USING (file_id) WHERE cur.v IS DISTINCT FROM done.v""",
+    "p5_plan": """WITH cur AS (SELECT file_id, max((indexed_at, modified_unix_ms, size_bytes, hash_blake3)) AS v FROM vault_files GROUP BY 1),
+        done AS (SELECT file_id, arg_max((size_bytes, hash_blake3), (r.started_unix_ms, l.run_id, recorded_at, size_bytes, hash_blake3)) AS v FROM index_ledger l JOIN index_runs r USING (run_id) WHERE r.status = 'succeeded' GROUP BY 1),
+        last AS (SELECT max(started_unix_ms) AS t FROM index_runs WHERE status = 'succeeded'),
+        low AS (SELECT min(started_unix_ms) AS t FROM index_runs WHERE started_unix_ms <= (SELECT t FROM last) AND coalesce(finished_unix_ms, 9007199254740992) > (SELECT t FROM last))
+        SELECT file_id, cur.v[1] AS indexed_at, cur.v[2] AS modified_unix_ms, cur.v[3] AS size_bytes, cur.v[4] AS hash_blake3, epoch_ms(CAST(cur.v[1] AS TIMESTAMPTZ)) >= (SELECT t FROM low) AS in_reread
+        FROM cur LEFT JOIN done USING (file_id) WHERE (cur.v[3], cur.v[4]) IS DISTINCT FROM done.v""",
 }

@@ -511,12 +511,19 @@ def a07_property_keys(spark: SparkSession, d: str) -> DataFrame:
     return meta.property_keys(_props(spark, d))
 
 
-@_q()
+def _tokens(keys: str) -> str:
+    return rf""", own AS (SELECT file_id, value_json AS j, json_valid(value_json) AND NOT regexp_matches(regexp_replace(value_json, '"([^"\\]|\\.)*"', '""', 'g'), ',\s*[\]}}]') AS ok FROM p WHERE lower(key) IN ({keys})),
+  texts AS (SELECT file_id, CASE WHEN t.type = 'VARCHAR' THEN json_extract_string(t.atom, '$') ELSE t.atom::VARCHAR END AS x FROM (SELECT * FROM own WHERE ok) o, json_tree(o.j) t WHERE t.atom IS NOT NULL UNION ALL SELECT file_id, trim(j) FROM own WHERE NOT ok),
+  words AS (SELECT file_id, regexp_replace(unnest(regexp_split_to_array(x, '[,\s]+')), '^#+', '') AS w FROM texts),
+  once AS (SELECT file_id, lower(w), min(w) AS token FROM words WHERE w <> '' GROUP BY 1, 2) SELECT token, count(*) AS total FROM once GROUP BY 1"""
+
+
+@_q(_tokens("'tags', 'tag'"))
 def a08_v13_tags(spark: SparkSession, d: str) -> DataFrame:
     return meta.tags(_props(spark, d))
 
 
-@_q()
+@_q(_tokens("'aliases', 'alias'"))
 def a08_aliases(spark: SparkSession, d: str) -> DataFrame:
     return meta.aliases(_props(spark, d))
 
