@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import cache
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -147,12 +149,15 @@ def link_kind(block: Column, heading: Column, source_field: Column) -> Column:
 def fts_normalize(text: Column) -> Column:
     """Text as a search surface: a blank before each word, words in lower case without diacritics.
 
-    Decomposition is left to the built-in collation of accents where there is one; here the marks of the letters of
-    the Latin and Greek blocks are folded by a table made of Unicode's own decompositions.
+    Marks are taken off by a table made of Unicode's own decompositions of the Latin, Greek and Cyrillic letters; text of
+    ASCII alone, which has as many bytes as characters, is spared that.
     """
-    return F.concat(F.lit(" "), F.trim(F.regexp_replace(F.translate(F.regexp_replace(F.lower(text), r"\p{M}+", ""), *_fold_table()), r"[^\p{L}\p{N}]+", " ")))
+    low = F.lower(text)
+    folded = F.when(F.octet_length(low) == F.char_length(low), low).otherwise(F.translate(F.regexp_replace(low, r"\p{M}+", ""), *_fold_table()))
+    return F.concat(F.lit(" "), F.trim(F.regexp_replace(folded, r"[^\p{L}\p{N}]+", " ")))
 
 
+@cache
 def _fold_table() -> tuple[str, str]:
     import unicodedata
 

@@ -59,11 +59,15 @@ def broadcast_if_small(df: DataFrame, max_rows: int) -> DataFrame:
     return F.broadcast(df) if df.select(F.lit(1)).limit(max_rows + 1).count() <= max_rows else df
 
 
+SMALL_SPLIT = 4 << 20  # a scan's splits are no smaller than this, Spark's cost of opening a file
+
+
 def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """df over all cores, where a small table lies in so few files that most cores would have nothing to do. Tables of
-    more partitions are left as they are, so nothing large is shuffled for it."""
+    """df over all cores, where a small table lies in so few splits that most cores would have nothing to do. Goes by the
+    planner's estimate of the size, so nothing runs for it, and nothing large is shuffled."""
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, *keys) if 2 * df.rdd.getNumPartitions() <= cores else df
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(cores, *keys) if 2 * size <= cores * SMALL_SPLIT else df
 
 
 def parallelism(spark: SparkSession) -> int:
