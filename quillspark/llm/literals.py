@@ -1,0 +1,77 @@
+"""Texts of which a match of a pattern holds at least one, from the parsed pattern."""
+
+from __future__ import annotations
+
+from re import _constants as C
+from re import _parser
+
+_MAX = 4096  # most texts that are kept for a part of a pattern
+
+
+def fold(text: str) -> str:
+    """Lower case in which everything that re.I takes for a letter of ASCII is that letter."""
+    if not text.isascii():
+        text = text.replace("İ", "i").replace("ı", "i").replace("ſ", "s")
+    return text.lower()
+
+
+def _better(a: frozenset[str] | None, b: frozenset[str] | None) -> frozenset[str] | None:
+    """Of two sets the one whose shortest text is longer; a set with an empty text tells nothing."""
+    rate = lambda s: (min(map(len, s)), -len(s)) if s else (0, 0)
+    return max(a, b, key=rate)
+
+
+def _walk(parsed) -> tuple[frozenset[str] | None, frozenset[str] | None]:
+    """(all texts that match, if they are few; texts of which a match holds at least one, if there are any)."""
+    best: frozenset[str] | None = None
+    run: frozenset[str] = frozenset([""])  # what the parts since the last unknown one match
+    whole = True
+    for op, arg in parsed:
+        exact, held = _part(op, arg)
+        if exact is not None and len(run) * len(exact) <= _MAX:
+            run = frozenset(a + b for a in run for b in exact)
+            continue
+        whole = False
+        best = _better(_better(best, run), held)
+        run = exact if exact is not None else frozenset([""])
+    best = _better(best, run)
+    return run if whole else None, best if best and "" not in best else None
+
+
+def _part(op, arg) -> tuple[frozenset[str] | None, frozenset[str] | None]:
+    if op is C.LITERAL:
+        return (one := frozenset([fold(chr(arg))])), one
+    if op is C.IN:
+        chars: set[str] = set()
+        for kind, x in arg:
+            if kind is C.LITERAL:
+                chars.add(fold(chr(x)))
+            elif kind is C.RANGE and x[1] - x[0] < 16:
+                chars.update(fold(chr(i)) for i in range(x[0], x[1] + 1))
+            else:
+                return None, None
+        return frozenset(chars), frozenset(chars)
+    if op in (C.AT, C.ASSERT, C.ASSERT_NOT):
+        return frozenset([""]), None
+    if op is C.SUBPATTERN:
+        return _walk(arg[3])
+    if op is C.BRANCH:
+        parts = [_walk(b) for b in arg[1]]
+        exact = None if any(e is None for e, _ in parts) else frozenset().union(*(e for e, _ in parts))
+        held = None if any(h is None for _, h in parts) else frozenset().union(*(h for _, h in parts))
+        return exact, held
+    if op in (C.MAX_REPEAT, C.MIN_REPEAT):
+        least, most, sub = arg
+        exact, held = _walk(sub)
+        if most == 1 and exact is not None:
+            return exact | {""} if least == 0 else exact, held if least else None
+        return None, held if least else None
+    return None, None
+
+
+def literals(pattern: str) -> frozenset[str]:
+    """Folded texts of which the folded form of every match of the pattern, case ignored, holds at least one."""
+    found = _walk(_parser.parse(pattern))[1]
+    if found is None:
+        raise ValueError(f"matches of {pattern!r} need no fixed text")
+    return frozenset(x for x in found if not any(x != y and y in x for y in found))

@@ -20,6 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillspark.llm.literals import fold, literals
 from quillspark.runtime import broadcast_if_small, cut, cut_table, spread
 
 
@@ -138,22 +139,17 @@ _PLACE_I = re.compile("|".join(f"(?:{p})" for p in PLACEHOLDERS[14:19]), re.I)
 _FILL = re.compile("|".join(f"(?:{p})" for p in FILLER), re.I)
 _ERROR = re.compile("|".join(f"(?:{p})" for p in (*ERRORS, *FRAME)), re.I)
 _NOTICE = re.compile("|".join(f"(?:{p})" for p in NOTICES), re.I)
-#: Signs without which a sentence holds no placeholder, and words without which it is no error or notice.
+#: Signs without which a sentence holds no placeholder, and texts without which it is no error or notice, or, other than
+#: one of repeated or Latin words, no filler. The texts are taken from the patterns, so that none is left out.
 _BRACKET = re.compile(r"[\[(<]")
-_PLACE_SIGN = re.compile(r"[{%$#@<\[(_?]|[A-Z]{4}|Last|: *xxx")
-HINTS = (
-    "error fehler erreur denied permission blocked maintenance unhandled session sorry uh-oh oops gone unavailable robot human verweigert erneut erreichbar verfügbar "
-    "existiert sitzung aufgetreten refusé réessayer reconnecter indisponible introuvable existe supprimé trouvé survenue produite expiré encontrado disponible eliminad produjo inténtelo "
-    "denegado sesión navigateur navegador cargando chargement geladen loading expired caducado expirado válid valide gültig moved deleted removed abgelaufen failed help startseite inicio accueil forbidden unauthori conflict script js cookies timeout whoops"
-).split() + ["ref ", "back to list", "back to home", "back to start", "sign in", "not valid", "no longer", "válid", "been moved", "moved or", "or moved", "nicht gefunden", "oder verschoben", "verschoben oder", "wurde verschoben", "sido movid", "o movid", "you may not", "access to", "limit of requests", "slow down", "went wrong", "occurred", "connect to the", "oh no", "nothing here", "be found", "shown to you", "not exist", "t exist", "right now", "too long", "server answered", "looking for", "try again", "keeps happening", "not found", "timed out", "time out", "bad gateway", "too many", "not implemented", "bad request", "server error", "not acceptable", "not allowed", "payment required"]
+_PLACE_SIGN = re.compile(r"[{%$#@<\[(_?]|[A-Z]{4}|Last|:\s*xxx")
+HINTS = frozenset().union(*(literals(p) for p in (*ERRORS, *FRAME, *NOTICES)))
+FILL_HINTS = frozenset().union(*(literals(p) for p in FILLER))
 DUMMY = frozenset("tbd todo test asdf blah xxx xxxx foo qwerty dummy".split())
-#: Words without which a sentence, other than one of repeated or Latin words, is no filler.
-FILL_HINTS = "text content heading title placeholder here typing something click replace dummy sample texto texte relleno ejemplo exemple".split()
+_KNOWN = LOREM | DUMMY
 _HINTS = ahocorasick.Automaton()
-#: Words of which Latin filler holds at least one.
-LATIN = frozenset(w for w in LOREM if len(w) >= 5)
-for _w in {*HINTS, *FILL_HINTS, *LATIN}:
-    _HINTS.add_word(_w, (_w in HINTS) | (_w in FILL_HINTS) << 1 | (_w in LATIN) << 2)
+for _w in HINTS | FILL_HINTS:
+    _HINTS.add_word(_w, (_w in HINTS) | (_w in FILL_HINTS) << 1)
 _HINTS.make_automaton()
 _CODE = re.compile(r"(?ms)(```+|~~~+)[^\n`~]*\n.*?(?:\1|\Z)|(?<!`)(`{1,3})(?!`)[^`\n]+\2(?!`)|<(pre|code)\b[^<>]*>.*?</\3\s*>")
 _QUOTE = re.compile(r"\"[^\"\n]*\"|“[^”\n]*”|„[^“”\n]*[“”]|«[^»\n]*»|‘[^’\n]*’(?!\w)")
@@ -187,8 +183,8 @@ def _is_filler(s: str, words: list[str], hints: int) -> bool:
         kinds = len(set(words[:64]))
         if kinds == 1 and (n >= 3 or words[0] in DUMMY) or kinds == 2 and n >= 6 and len(set(words)) == 2:
             return True
-    if hints & 4 and n >= 5 or n >= 5 and words[0] in DUMMY:
-        known = [w in LOREM or w in DUMMY for w in words]
+    if n >= 5:
+        known = [w in _KNOWN for w in words]
         if sum(known) >= 0.8 * n:
             return True
         run = 0
@@ -199,21 +195,21 @@ def _is_filler(s: str, words: list[str], hints: int) -> bool:
     return bool(hints & 2) and bool(_FILL.search(s))
 
 
-def hints_of(low: str) -> int:
-    """Which kinds of hint words stand in a lower-case text, as bits."""
+def hints_of(text: str) -> int:
+    """Which kinds of hints stand in a text, as bits."""
     bits = 0
-    for _, h in _HINTS.iter(low):
+    for _, h in _HINTS.iter(fold(text)):
         bits |= h
     return bits
 
 
 def label(s: str, words: list[str] | None = None, hints: int | None = None) -> str | None:
-    """The kind of residue that the sentence is by its form, or None. hints: those of the document, if known; without
-    any, the sentence has none either."""
+    """The kind of residue that the sentence is by its form, or None. hints: those of all sentences of the document, if known;
+    without any, the sentence has none either."""
     if _PLACE_SIGN.search(s) and (_PLACE.search(s) or _BRACKET.search(s) and _PLACE_I.search(s)):
         return "placeholder"
     if hints != 0:
-        hints = hints_of(s.lower())
+        hints = hints_of(s)
         if hints & 1:
             if _NOTICE.search(s):
                 return "notice"
@@ -263,8 +259,9 @@ def _parse(docs: DataFrame, p: Residue, with_text: bool) -> DataFrame:
         for b in it:
             ids, segs, kinds = [], [], []
             for d, t in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist()):
-                hints = hints_of(t.lower())
-                for s in dict.fromkeys(sentences(t)):
+                parts = dict.fromkeys(sentences(t))
+                hints = hints_of("\n".join(parts))  # of what is left, as taking code out may join words
+                for s in parts:
                     n = normal(s)
                     words = n.split()
                     k = label(s, words, hints)

@@ -86,3 +86,65 @@ def test_empty(spark):
 def test_too_many_bits(spark):
     with pytest.raises(ValueError):
         R.residue_sentences(spark.createDataFrame([], "doc_id long, text string"), R.Residue(hamming=4))
+
+
+@pytest.mark.parametrize(
+    "text",
+    [
+        "The page could not be loaded.",
+        "This note cannot be opened.",
+        "The image could not be displayed.",
+        "The server could not be reached.",
+        "The page is not available.",
+        "The page you asked for is missing.",
+        "Die Seite wurde gelöscht.",
+        "Das Dokument wurde entfernt.",
+        "Die Datei konnte nicht geöffnet werden.",
+        "Cette page n'est plus accessible.",
+        "La page n'a pas pu être chargée.",
+        "La página no se ha podido cargar.",
+        "Das iſt egal. Seſſion: your ſession has expired",
+        "Write your note",
+        "Hier steht Ihr Text",
+        "sed do ut ex ea",
+    ],
+)
+def test_no_gate_before_the_forms(text):
+    assert R.label(text) in ("error", "filler")
+
+
+def _sample(parsed, rnd):
+    """A text that the parsed pattern matches, but for what stands around it."""
+    from re import _constants as C
+
+    out = ""
+    for op, arg in parsed:
+        if op is C.LITERAL:
+            out += chr(arg)
+        elif op is C.IN:
+            kind, x = rnd.choice(arg) if arg[0][0] is not C.NEGATE else (C.LITERAL, ord(","))
+            out += chr(x) if kind is C.LITERAL else chr(rnd.randint(*x)) if kind is C.RANGE else {C.CATEGORY_DIGIT: "4", C.CATEGORY_SPACE: " ", C.CATEGORY_WORD: "k"}.get(x, ",")
+        elif op is C.ANY or op is C.NOT_LITERAL:
+            out += "'"
+        elif op is C.SUBPATTERN:
+            out += _sample(arg[3], rnd)
+        elif op is C.BRANCH:
+            out += _sample(rnd.choice(arg[1]), rnd)
+        elif op in (C.MAX_REPEAT, C.MIN_REPEAT):
+            low, high, sub = arg
+            out += "".join(_sample(sub, rnd) for _ in range(rnd.randint(low, min(int(high), low + 1))))
+    return out
+
+
+@pytest.mark.parametrize(("patterns", "bit"), [(R.ERRORS, 1), (R.FRAME, 1), (R.NOTICES, 1), (R.FILLER, 2)])
+def test_each_alternative_holds_a_hint(patterns, bit):
+    import random
+    import re
+    from re import _parser
+
+    rnd = random.Random(4)
+    for p in patterns:
+        found = [t for t in (_sample(_parser.parse(p), rnd) for _ in range(400)) if re.search(p, t, re.I)]
+        assert len(found) > 50, p
+        assert not [t for t in found if not R.hints_of(t) & bit]
+        assert not [t for t in found if R.label(t) is None]
