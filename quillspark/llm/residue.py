@@ -1,10 +1,11 @@
 """Template residue, filler, error messages and script notices in documents.
 
 Documents are cut into sentences; code, quotes and data are left out. Sentences
-of a known form are trusted residue. Sentences get a SimHash; those that share a
-block of it with residue are compared by Hamming distance and by text, and the
-label is passed on along such links until the components of the residue are
-complete. A document is residue if one of its sentences is.
+of a known form are trusted residue. Sentences get a SimHash; those that share
+blocks of it with residue within the Hamming distance, or one of the word sequences
+of which two sentences of the least similarity share at least one, are compared by
+text, and the label is passed on along such links until the components of the
+residue are complete. A document is residue if one of its sentences is.
 """
 
 from __future__ import annotations
@@ -28,7 +29,8 @@ from quillspark.runtime import broadcast_if_small, cut, cut_table, spread
 class Residue:
     """words, similarity: word sequences and their least Jaccard similarity; hamming: most bits that may differ, of 64 in
     `blocks` blocks; a table for each two blocks, so with hamming <= blocks - 2 some table holds both texts of a pair
-    and none is lost; rounds: most rounds of passing labels on."""
+    and none is lost. Texts at the least similarity differ in more bits; sequence_keys leads to these. rounds: most
+    rounds of passing labels on."""
 
     words: int = 5
     similarity: float = 0.8
@@ -249,10 +251,36 @@ def simhashes(texts: list[list[str]], cache: _WordHash | None = None) -> np.ndar
     return out
 
 
+def sequence_keys(texts: list[list[str]], p: Residue, cache: _WordHash | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(number of different word sequences of each text, ends of its keys, keys). Of m sequences the keys are the
+    m - ceil(similarity * m) + 1 of least hash: two texts that have `similarity` of their sequences in common share a key."""
+    cache = _WordHash() if cache is None else cache
+    n = np.fromiter(map(len, texts), np.int64, len(texts))
+    h = np.fromiter((cache[x] for w in texts for x in w), np.uint64, int(n.sum()))
+    size, count = np.zeros(len(texts), np.int64), np.zeros(len(texts), np.int64)
+    if len(h) < p.words:
+        return size, count, np.empty(0, np.int64)
+    mult = np.random.default_rng(9).integers(1, 2**63, p.words, np.uint64) | np.uint64(1)
+    with np.errstate(over="ignore"):
+        g = (np.lib.stride_tricks.sliding_window_view(h, p.words) * mult).sum(1)
+    owner = np.repeat(np.arange(len(texts)), n)
+    inside = owner[: len(g)] == owner[p.words - 1 :]
+    g, owner = g[inside], owner[: len(g)][inside]
+    order = np.lexsort((g, owner))
+    g, owner = g[order], owner[order]
+    first = np.ones(len(g), bool)
+    first[1:] = (g[1:] != g[:-1]) | (owner[1:] != owner[:-1])
+    g, owner = g[first], owner[first]
+    size = np.bincount(owner, minlength=len(texts))
+    count = np.where(size > 0, size - np.ceil(p.similarity * size - 1e-9).astype(np.int64) + 1, 0)
+    rank = np.arange(len(g)) - (np.cumsum(size) - size)[owner]
+    return size, np.cumsum(count), g[rank < count[owner]].view(np.int64)
+
+
 def _parse(docs: DataFrame, p: Residue, with_text: bool) -> DataFrame:
     """A row per sentence that is residue by its form, or long enough to be near to one: doc_id, h (hash of kind and
-    normal form), kind, sim; or with_text h, seg."""
-    schema = "h long, seg string" if with_text else "doc_id long, h long, kind string, sim long"
+    normal form), kind, sim, m and keys (sequence_keys); or with_text h, seg."""
+    schema = "h long, seg string" if with_text else "doc_id long, h long, kind string, sim long, m long, keys array<long>"
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = _WordHash()
@@ -274,8 +302,11 @@ def _parse(docs: DataFrame, p: Residue, with_text: bool) -> DataFrame:
             if with_text:
                 yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(segs, pa.string())], ["h", "seg"])
             else:
-                sim = simhashes([n.split() for n in segs], cache)
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(h), pa.array(kinds, pa.string()), pa.array(sim)], ["doc_id", "h", "kind", "sim"])
+                split = [n.split() for n in segs]
+                sim = simhashes(split, cache)
+                m, ends, keys = sequence_keys(split, p, cache)
+                lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], ends)), pa.int32()), pa.array(keys))
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(h), pa.array(kinds, pa.string()), pa.array(sim), pa.array(m), lists], ["doc_id", "h", "kind", "sim", "m", "keys"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, schema)
 
@@ -302,26 +333,31 @@ def residue_sentences(docs: DataFrame, p: Residue = Residue()) -> tuple[DataFram
     got their label from a near sentence.
 
     Sentences are parsed once and kept as hashes, in the shared folder; texts are read again only for the pairs that the
-    tables and the Hamming distance leave.
+    tables and the Hamming distance leave or that share a word sequence; of these no pair of the least similarity is lost.
     """
     if p.hamming > p.blocks - 2:
         raise ValueError("more bits may differ than the tables can find")
     docs = spread(docs.filter("doc_id is not null and text is not null").select("doc_id", "text"), "doc_id")
     parsed = cut_table(_parse(docs, p, False))
-    rest = parsed.filter("kind is null").select("h", "sim").distinct()
+    rest = parsed.filter("kind is null").select("h", "sim", "m", "keys").distinct()
     # placeholders stand inside of any sentence; only whole-sentence residue passes its label on
-    front = parsed.filter("kind is not null and kind <> 'placeholder'").select("h", "kind", "sim").distinct()
+    front = parsed.filter("kind is not null and kind <> 'placeholder'").select("h", "kind", "sim", "m", "keys").distinct()
     passed = front.select("h", "kind").filter(F.lit(False))
 
     def near(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
             ok = [alike(x, y, p) for x, y in zip(b.column("known").to_pylist(), b.column("seg").to_pylist())]
-            yield b.select(["h", "kind", "sim"]).filter(pa.array(ok, pa.bool_()))
+            yield b.select(["h", "kind"]).filter(pa.array(ok, pa.bool_()))
 
     for _ in range(p.rounds):
         f = broadcast_if_small(_tables(front, p).select("key", F.col("h").alias("known_h"), F.col("sim").alias("known_sim"), "kind"), MAX_BROADCAST)
         pairs = _tables(rest, p).join(f, "key").filter(F.bit_count(F.col("sim").bitwiseXOR(F.col("known_sim"))) <= p.hamming)
-        pairs = cut(pairs.select("h", "sim", "known_h", "kind").distinct().join(passed.select("h"), "h", "left_anti"))
+        k = broadcast_if_small(front.select(F.explode("keys").alias("key"), F.col("h").alias("known_h"), F.col("m").alias("known_m"), "kind"), MAX_BROADCAST)
+        # texts whose numbers of sequences differ by more than the similarity cannot reach it
+        sized = F.least("m", "known_m") >= p.similarity * F.greatest("m", "known_m") - 1e-9
+        shared = rest.select("h", "m", F.explode("keys").alias("key")).join(k, "key").filter(sized)
+        pairs = pairs.select("h", "known_h", "kind").unionByName(shared.select("h", "known_h", "kind"))
+        pairs = cut(pairs.distinct().join(passed.select("h"), "h", "left_anti"))
         if not pairs.head(1):
             break
         want = broadcast_if_small(pairs.select("h").unionByName(pairs.select(F.col("known_h").alias("h"))).distinct(), MAX_BROADCAST)
@@ -330,12 +366,12 @@ def residue_sentences(docs: DataFrame, p: Residue = Residue()) -> tuple[DataFram
         again = docs.join(broadcast_if_small(homes, MAX_BROADCAST), "doc_id", "left_semi")
         texts = _parse(again, p, True).join(want, "h", "left_semi").dropDuplicates(["h"])
         both = pairs.join(texts, "h").join(texts.select(F.col("h").alias("known_h"), F.col("seg").alias("known")), "known_h")
-        new = both.select("h", "kind", "sim", "known", "seg").mapInArrow(near, "h long, kind string, sim long")
-        new = cut(new.groupBy("h", "sim").agg(F.min("kind").alias("kind")))
+        new = both.select("h", "kind", "known", "seg").mapInArrow(near, "h long, kind string")
+        new = cut(new.groupBy("h").agg(F.min("kind").alias("kind")))
         if not new.head(1):
             break
-        passed = passed.unionByName(new.select("h", "kind"))
-        front = new.select("h", "kind", "sim")
+        passed = passed.unionByName(new)
+        front = cut(rest.join(broadcast_if_small(new, MAX_BROADCAST), "h"))
     else:
         raise RuntimeError(f"labels did not settle in {p.rounds} rounds")
     return parsed, passed

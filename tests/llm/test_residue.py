@@ -148,3 +148,36 @@ def test_each_alternative_holds_a_hint(patterns, bit):
         assert len(found) > 50, p
         assert not [t for t in found if not R.hints_of(t) & bit]
         assert not [t for t in found if R.label(t) is None]
+
+
+def test_no_pair_of_the_least_similarity_is_lost(spark):
+    """With the defaults: sentences of 13 words and more whose first word differs have 0.8 in common, of 12 less."""
+    import random
+
+    rnd = random.Random(2)
+    rows, want = [], set()
+    for d in range(0, 200, 2):
+        n = rnd.randint(12, 40)
+        tail = " ".join(["exception", *("".join(rnd.choices("bdgkmnprtvz", k=7)) for _ in range(n - 2))])
+        rows += [(d, "Unhandled " + tail), (d + 1, "Unexpected " + tail)]
+        want |= {d, d + 1} if n >= 13 else {d}
+    got = {r["doc_id"] for r in R.residue_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert len(want) > 150 and got == want
+
+
+def test_sequence_keys_of_like_texts_meet():
+    import random
+
+    rnd = random.Random(6)
+    p, texts = R.Residue(), []
+    for _ in range(300):
+        a = [f"v{rnd.randrange(40)}" for _ in range(rnd.randint(5, 80))]
+        b = list(a)
+        for _ in range(rnd.randint(0, 2)):
+            b[rnd.choice([0, -1, rnd.randrange(len(b))])] = "other"
+        texts += [a, b]
+    m, ends, keys = R.sequence_keys(texts, p)
+    of = [set(keys[z - (ends[i] - (ends[i - 1] if i else 0)) : z].tolist()) for i, z in enumerate(ends)]
+    assert m.tolist() == [len({tuple(w[i : i + 5]) for i in range(len(w) - 4)}) for w in texts]
+    alike = [(i, i + 1) for i in range(0, len(texts), 2) if R.alike(" ".join(texts[i]), " ".join(texts[i + 1]), p)]
+    assert len(alike) > 100 and all(of[i] & of[j] for i, j in alike)
