@@ -5,7 +5,9 @@ the evaluation items. A distributed randomised SVD of the passages gives a laten
 space; passages and item windows are compared there. The part of a vector outside
 the space enters as its norm, so the latent score is an upper bound of the true
 product and the candidate search loses no verbatim run. Candidates are checked
-exactly; looser ones by longest common subsequence and by the item's own names.
+exactly; looser ones by longest common subsequence and by the item's own names,
+which together set the least product of a window and a passage that holds a
+paraphrase of it among other words, so that no paraphrase is lost either.
 """
 
 from __future__ import annotations
@@ -25,13 +27,13 @@ from quillspark.runtime import cut, spread
 
 WORD = re.compile(r"[^\W_]+")
 _SLICE = 2048
+_PAIRS = 65536
 
 
 @dataclass(frozen=True)
 class Leakage:
-    """min_run: consecutive words that make a leak. rank, oversample, power: randomised SVD. cosine: least latent cosine
-    of a paraphrase; lcs: its least share of the item window's words in a common subsequence; names: least share of the
-    window's rarest words that must stand in the passage. block: item windows compared at a time."""
+    """min_run: consecutive words that make a leak. rank, oversample, power: randomised SVD. lcs: a paraphrase's least share of the item window's words in a common subsequence; names: least share of the
+    window's rarest words that must stand in the passage. cosine: without effect, as what else stands in a passage lowers it; block: item windows compared at a time."""
 
     min_run: int = 12
     rank: int = 128
@@ -209,12 +211,25 @@ def lcs_length(a: list[int], b: list[int]) -> int:
     return len(a) - v.bit_count()
 
 
+def least_products(weights: np.ndarray, rare: np.ndarray, distinct: np.ndarray, p: Leakage) -> np.ndarray:
+    """Least product of each window with a passage that holds `lcs` of its words and `names` of its rarest ones (their
+    places in `rare`). weights: squared idf of the words; each word that stands in the passage adds at least its own."""
+    n_lcs, n_names = int(np.ceil(p.lcs * weights.shape[1] - 1e-9)), int(np.ceil(p.names * rare.shape[1] - 1e-9))
+    rows = np.arange(len(weights))[:, None]
+    light = rare[rows, np.argsort(weights[rows, rare], axis=1, kind="stable")[:, :n_names]]
+    rest = weights.astype(np.float64)
+    rest[rows, light] = np.inf
+    with_names = weights[rows, light].sum(1) + np.sort(rest, axis=1)[:, : max(0, n_lcs - n_names)].sum(1)
+    # a name that stands twice among the rarest counts twice but may stand once in the passage
+    return np.where(distinct, with_names, np.sort(weights, axis=1)[:, :n_lcs].sum(1))
+
+
 def leaks(docs: DataFrame, items: DataFrame, p: Leakage = Leakage(), max_items: int = 1_000_000) -> DataFrame:
     """Documents that hold passages of items: doc_id, item_id, kind, n_windows, best.
 
     kind `run`: at least min_run consecutive words in common; n_windows counts the item's windows of min_run words that
-    stand in the document, best is 1. kind `paraphrase`: no such run, but a passage close to a window in the latent
-    space that shares its order of words and its names; best is the share of the window in the common subsequence.
+    stand in the document, best is 1. kind `paraphrase`: no such run, but a passage that shares a window's order of words
+    and its names; best is the share of the window in the common subsequence.
 
     docs has doc_id, text; items item_id, text. Repeated rows count once; items of fewer than min_run words, null and
     empty texts give no row. The items are the query set and are held in memory, at most max_items; all documents are
@@ -253,7 +268,9 @@ def leaks(docs: DataFrame, items: DataFrame, p: Leakage = Leakage(), max_items:
     idf_padded, space_padded = padded(idf), padded(idf[:, None] * space)
     qu, qn2 = project(uniq, space_padded), norms(uniq, idf_padded)
     rare = np.argsort(-idf[uniq], axis=1, kind="stable")[:, :3]
-    shared = spark.sparkContext.broadcast({"v": space_padded, "idf": idf_padded, "u": qu, "n2": qn2, "win": uniq, "hash": uniq_hash, "held": holders, "rare": np.take_along_axis(uniq, rare, 1)})
+    distinct = (np.diff(np.sort(np.take_along_axis(uniq, rare, 1), axis=1), axis=1) > 0).all(1)
+    least = least_products(idf[uniq] ** 2, rare, distinct, p)
+    shared = spark.sparkContext.broadcast({"least": least, "v": space_padded, "idf": idf_padded, "u": qu, "n2": qn2, "win": uniq, "hash": uniq_hash, "held": holders, "rare": np.take_along_axis(uniq, rare, 1)})
     run_len = p.min_run
     # words that are among the rarest of some window: a paraphrase holds at least `names` of its window's three
     is_rare = np.zeros(len(vocab) + 1, bool)
@@ -266,7 +283,7 @@ def leaks(docs: DataFrame, items: DataFrame, p: Leakage = Leakage(), max_items:
         res = np.sqrt(np.maximum(s["n2"] - np.einsum("ij,ij->i", s["u"], s["u"]), 0))
         left = np.hstack([s["u"], res[:, None]]).astype(np.float32)  # the residual norms bound what lies outside the space
         need = s["n2"] * np.float32(1 - 1e-3)
-        q_len = np.sqrt(np.maximum(np.einsum("ij,ij->i", s["u"], s["u"]), 1e-12)).astype(np.float32)
+        loose_need = (s["least"] * (1 - 1e-3)).astype(np.float32)
         for b in it:
             exact: dict[tuple[int, int], set[int]] = {}
             loose: dict[tuple[int, int], float] = {}
@@ -281,7 +298,6 @@ def leaks(docs: DataFrame, items: DataFrame, p: Leakage = Leakage(), max_items:
                 u, n2 = project(ids, s["v"]), norms(ids, s["idf"])
                 inner = np.einsum("ij,ij->i", u, u)
                 right = np.hstack([u, np.sqrt(np.maximum(n2 - inner, 0))[:, None]]).astype(np.float32)
-                p_len = np.sqrt(np.maximum(inner, 1e-12)).astype(np.float32)
                 view = np.lib.stride_tricks.sliding_window_view(ids, run_len, axis=1)
                 with np.errstate(over="ignore"):
                     grams = ((view.astype(np.int64) + 1).astype(np.uint64) * mult).sum(2)
@@ -294,18 +310,20 @@ def leaks(docs: DataFrame, items: DataFrame, p: Leakage = Leakage(), max_items:
                         if (view[x] == s["win"][y]).all(1).any():
                             for item, at in s["held"][y]:
                                 exact.setdefault((int(doc[x]), item), set()).add(at)
-                    score -= right[:, -1:] * left[k : k + p.block, -1]
-                    close = score >= np.float32(p.cosine) * p_len[:, None] * q_len[k : k + p.block]
-                    pi, qi = np.nonzero(close)
-                    qi = qi + k
-                    named = (ids[pi][:, None, :] == s["rare"][qi][:, :, None]).any(2).mean(1) >= p.names
-                    for x, y in zip(pi[named], qi[named]):
-                        w = s["win"][y].tolist()
-                        share = lcs_length(w, ids[x].tolist()) / len(w)
-                        if share >= p.lcs:
-                            for item, _ in s["held"][y]:
-                                key = (int(doc[x]), item)
-                                loose[key] = max(loose.get(key, 0.0), share)
+                    pairs = np.flatnonzero(score >= loose_need[k : k + p.block])
+                    for i in range(0, len(pairs), _PAIRS):
+                        pi, qi = np.divmod(pairs[i : i + _PAIRS], score.shape[1])
+                        qi = qi + k
+                        named = (ids[pi][:, None, :] == s["rare"][qi][:, :, None]).any(2).mean(1) >= p.names
+                        pi, qi = pi[named], qi[named]
+                        held = (ids[pi][:, None, :] == s["win"][qi][:, :, None]).any(2).mean(1) >= p.lcs - 1e-9
+                        for x, y in zip(pi[held], qi[held]):
+                            w = s["win"][y].tolist()
+                            share = lcs_length(w, ids[x].tolist()) / len(w)
+                            if share >= p.lcs:
+                                for item, _ in s["held"][y]:
+                                    key = (int(doc[x]), item)
+                                    loose[key] = max(loose.get(key, 0.0), share)
             out = [(d, i, "run", len(at), 1.0) for (d, i), at in exact.items()] + [(d, i, "paraphrase", 0, x) for (d, i), x in loose.items() if (d, i) not in exact]
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*out), (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.float64()))], ["doc_id", "item_id", "kind", "n_windows", "best"])

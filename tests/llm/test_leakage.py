@@ -76,3 +76,19 @@ def test_long_document(spark):
     text = "x " * 200_000 + item + " y" * 1000
     got = L.leaks(spark.createDataFrame([(1, text)], "doc_id long, text string"), spark.createDataFrame([(1, item)], "item_id long, text string")).collect()
     assert [(r["doc_id"], r["item_id"], r["kind"]) for r in got] == [(1, 1, "run")]
+
+
+def test_paraphrased_fragments_inside_other_text(spark):
+    """With the defaults: 12 words of an item, one of them replaced, among words of other items."""
+    rnd = random.Random(3)
+    vocab = ["".join(rnd.choices("bdgkmnprtvz", k=6)) for _ in range(400)]
+    items = [(i, " ".join(rnd.sample(vocab, 16))) for i in range(40)]
+    docs = []
+    for i, t in items:
+        part = t.split()[2:14]
+        part[rnd.randrange(1, 11)] = "other"
+        around = [rnd.choice(vocab) for _ in range(60)]
+        at = rnd.randrange(61)
+        docs.append((i, " ".join(around[:at] + part + around[at:])))
+    got = L.leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {(i, i) for i, _ in items} <= {(r["doc_id"], r["item_id"]) for r in got if r["kind"] == "paraphrase"}
