@@ -41,9 +41,9 @@ def test_mixture(spark, tables, monkeypatch, rows_per_range):
         got = sum(r["tokens"] * r["copies"] for r in rows if r["source"] == s)
         assert by[s]["size"] == size and by[s]["mixed_size"] == got
         assert all(r["copies"] <= cap for r in rows if r["source"] == s)
-        assert by[s]["reachable"] == (cap * size >= w * total)
+        assert by[s]["reached"] == (cap * size >= w * total)
         longest = max((r["tokens"] for r in own), default=0)
-        assert got == cap * size if not by[s]["reachable"] else by[s]["budget"] - longest <= got <= by[s]["budget"]
+        assert got == cap * size if not by[s]["reached"] else by[s]["target_size"] <= got < by[s]["budget"] + max(longest, 1)
     assert abs(sum(r["actual_share"] for r in by.values()) - 1) < 1e-9
 
 
@@ -68,4 +68,15 @@ def test_empty(spark, tables):
 
 def test_two_targets_for_a_source(spark):
     with pytest.raises(ValueError):
-        M.read_targets(spark.createDataFrame([("a", 0.5, 1), ("a", 0.4, 1)], "source string, target_weight double, max_repeats int"))
+        M.target_rows(spark.createDataFrame([("a", 0.5, 1), ("a", 0.4, 1)], "source string, target_weight double, max_repeats int"))
+
+
+def test_found_needs_the_mixture(spark, sf):
+    """The plan of p8_shares before it is cut holds the prefix sums and the cut; p8_found reads its result."""
+    from quillspark.llm import queries as Q
+
+    mixed, plan = Q._mix(spark, sf)
+    text = mixed.join(plan, "source")._jdf.queryExecution().optimizedPlan().toString()
+    assert text.count("Window [") >= 2 and "rest" in text
+    rows = {r["source"]: r for r in M.shares(mixed, plan).collect()}
+    assert {r["source"] for r in Q.p8_found(spark, sf).collect()} == {s for s, r in rows.items() if r["mixed_size"] < r["target_size"]}
