@@ -48,7 +48,7 @@ class NearDup:
 NOTES = NearDup(words=3, threshold=0.6, min_words=30)
 
 
-class _WordHash(dict):
+class WordHash(dict):
     def __missing__(self, w: str) -> int:
         if len(self) > 500_000:
             self.clear()
@@ -62,9 +62,9 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
-def signatures(texts: list[str | None], p: NearDup, cache: _WordHash | None = None) -> tuple[np.ndarray, np.ndarray]:
+def signatures(texts: list[str | None], p: NearDup, cache: WordHash | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Indices of the texts that are long enough, and their minima (texts x hashes, uint32)."""
-    cache = _WordHash() if cache is None else cache
+    cache = WordHash() if cache is None else cache
     keep, counts, hashes = [], [], []
     for i, t in enumerate(texts):
         if t:
@@ -149,7 +149,7 @@ def _signed(rows: DataFrame, p: NearDup) -> DataFrame:
     names = [f"s{i}" for i in range(2 * _words_of(p))]
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = _WordHash()
+        cache = WordHash()
         for b in it:
             t, h = b.column("t").to_numpy(), b.column("h").to_numpy()
             first = np.sort(np.unique(np.stack((t, h)), axis=1, return_index=True)[1])  # copies within a batch

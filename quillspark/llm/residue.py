@@ -1,27 +1,25 @@
 """Template residue, filler, error messages and script notices in documents.
 
-Documents are cut into sentences; code, quotes and data are left out. Sentences
-of a known form are trusted residue. Sentences get a SimHash; those that share
-blocks of it with residue within the Hamming distance, or one of the word sequences
-of which two sentences of the least similarity share at least one, are compared by
-text, and the label is passed on along such links until the components of the
-residue are complete. A document is residue if one of its sentences is.
+Documents are cut into segments in a masked normal form. Segments and the trusted examples of residue get a SimHash; those
+that share blocks of it within the Hamming distance, or one of the word sequences of which two segments of the least
+similarity share at least one, are compared by text. The links found make components, and a component that holds a
+trusted example is residue. A document is residue if one of its segments is.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
-import ahocorasick
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm.literals import fold, literals
+from quillspark.llm.components import connected_components
+from quillspark.llm.neardup import WordHash
+from quillspark.llm.segments import SEEDS, segments, sentences
 from quillspark.runtime import broadcast_if_small, cut, cut_table, spread
 
 
@@ -29,212 +27,20 @@ from quillspark.runtime import broadcast_if_small, cut, cut_table, spread
 class Residue:
     """words, similarity: word sequences and their least Jaccard similarity; hamming: most bits that may differ, of 64 in
     `blocks` blocks; a table for each two blocks, so with hamming <= blocks - 2 some table holds both texts of a pair
-    and none is lost. Texts at the least similarity differ in more bits; sequence_keys leads to these. rounds: most
-    rounds of passing labels on."""
+    and none is lost. Texts at the least similarity differ in more bits; sequence_keys leads to these."""
 
     words: int = 5
     similarity: float = 0.8
     hamming: int = 3
     blocks: int = 5
-    rounds: int = 50
-
-
-# --- forms of residue, fixed values -------------------------------------------------------------------------------
-_JS = r"(?:java ?script|js|script(?:s|ing)?|cookies(?: (?:and|und|et|y) (?:java ?script|js|script(?:s|ing)?))?)"
-_ON = r"(?:enable|activate|turn on|switch on|allow|reactivate)"
-_THING = r"(?:[\w-]+ ){0,3}[\w-]+"
-_GONE = r"(?:(?:could|can) ?not be (?:found|loaded|opened|displayed|reached)|cannot be shown to you|(?:does not|doesn't|no longer) exists?|is gone|is no longer (?:available|valid)|is not available(?: right now)?|is not valid|took too long to \w+|is (?:temporarily |currently )?unavailable|failed to (?:load|open|render)|has been (?:moved|deleted|removed)(?: or (?:moved|deleted|removed))?|(?:has )?expired|was (?:moved or deleted|deleted or moved|removed or deleted))"
-_STATUS = r"(?:bad request|unauthori[sz]ed|payment required|forbidden|not found|method not allowed|not acceptable|(?:request )?timed? ?out|conflict|gone|too many requests|internal (?:server )?error|not implemented|bad gateway|service unavailable|gateway timed? ?out|server error)"
-PLACEHOLDERS = (
-    r"\{\{\s*(?!(?:and|or|und|oder|et|ou|y|o)\s*\}\})[A-Za-z][\w .:|/-]*\}\}",
-    r"<%[-=]?\s*[\w.][^%<>]*%>",
-    r"\{%\s*\w[^%{}]*%\}",
-    r"%\([A-Za-z][\w.:-]*\)[sd]?",
-    r"(?<![\w%])%[A-Z][A-Z0-9_.]*%(?!\w)",
-    r"(?<![\w$])\$[A-Z][A-Z0-9_]*\$(?!\w)",
-    r"\$\{[A-Za-z][\w.:-]*\}",
-    r"#\{[A-Za-z][\w.:-]*\}",
-    r"(?<![\w${#%\\}])\{[a-z][a-z_]*(?:\.[a-z_]+)*(?::[A-Z.-]+)?\}(?!\})",
-    r"@@[A-Za-z][\w.]*@@",
-    r"\b__[A-Z][A-Z0-9_]*?__TODO__",
-    r"\bXX_[A-Z][A-Z_]*_XX\b",
-    r"<<[A-Za-z][\w .:-]*>>",
-    r"\[\[[\w .:-]+:\s*FILL\]\]",
-    r"\[(?:insert|add|enter|your|put|write|fill in)\b[^\]\n]{1,60}\]",
-    r"\[[^\]\[\n]{1,50}\b(?:goes|go) here\]",
-    r"<(?:your|insert|enter)\b[^<>\n]{1,50}>",
-    r"\((?:enter|insert|fill in|add your)\b[^()\n]{1,50}\)",
-    r"[\[<(][^\[\]<>()\n]{0,40}\b(?:einfügen|eintragen|einsetzen|insérer|à remplir|saisir|insertar|rellenar|completar)\b[^\[\]<>()\n]{0,40}[\]>)]",
-    r"\b(?:INSERT|ENTER|ADD) (?:TEXT|TITLE|NAME|DATE|CONTENT)\b(?: HERE)?",
-    r"\b(?:TITLE|TEXT|NAME|DATE|CONTENT|SUMMARY|TOPIC|DESCRIPTION) HERE\b",
-    r"\b(?:YYYY[-./]MM[-./]DD|(?:DD|MM)[-./](?:MM|DD)[-./]YYYY)\b",
-    r"\bFirst ?name Last ?name\b",
-    r":\s*(?:x{3,}|_{4,}|\?{3,}|\(optional\))(?=\s|$)",
-)
-FILLER = (
-    r"^(?:\W*(?:your|add|insert|sample|dummy|placeholder) (?:text|content|heading|title)(?: goes)?(?: here)?\W*)+$",
-    r"^\W*(?:(?:description|text|content|body|summary|title) goes here|replace (?:me|this)(?: text)?(?: later)?|this is (?:a )?(?:sample|dummy|placeholder) text)\b",
-    r"^\W*dummy heading\b",
-    r"(?:\bsample text\W*){2,}",
-    r"^\W*(?:(?:start )?typ(?:e|ing)|write|enter) (?:something|here|your (?:text|content|note))(?: here)?\W*$|^\W*click (?:here )?to (?:edit|add|type|enter)\b",
-    r"\bplaceholder (?:paragraph|text|heading|image|content|title)\b\W*(?:$|[,.:;!])|\b(?:content|text) (?:to follow|coming soon|to be added)\W*$",
-    r"^\W*(?:beispieltext|blindtext|hier (?:steht|kommt) (?:ihr|der|dein) text|texte? d[’']exemple|votre texte ici|texto de (?:ejemplo|relleno)|(?:su|tu) texto aquí)\b",
-)
-LOREM = frozenset(
-    "lorem ipsum dolor sit amet consectetur adipiscing elit sed do eiusmod tempor incididunt ut labore et dolore magna aliqua enim ad minim veniam quis nostrud "
-    "exercitation ullamco laboris nisi aliquip ex ea commodo consequat duis aute irure in reprehenderit voluptate velit esse cillum eu fugiat nulla pariatur "
-    "excepteur sint occaecat cupidatat non proident sunt culpa qui officia deserunt mollit anim id est laborum porta justo felis massa vitae dictum augue urna "
-    "nisl semper ornare lectus vestibulum pellentesque curabitur mauris donec praesent vivamus nunc fusce maecenas nullam integer aenean cras".split()
-)
-ERRORS = (
-    r"\b(?-i:Error|ERROR|Fehler|FEHLER|Erreur|ERREUR)(?: (?i:code|kode))? ?[:#]? ?[0-9a-f]{3,8}(?=\s*(?:$|[.!\n|(]|(?-i:[A-Z])))",
-    r"\b(?:fehlercode|error code|code d.erreur|c[oó]digo de error)\s*[:#]? ?[0-9a-f]{3,8}\b",
-    rf"\b[45]\d\d {_STATUS}\b",
-    r"\baccess denied(?=\s*(?:[.!:|]|$))",
-    rf"\byou may not \w+ (?:this|the) {_THING}\s*(?:[.!]|$)",
-    rf"\byou (?:do not|don't) have (?:permission|access) to \w+ (?:this|the)\b",
-    rf"\byou have (?:reached|exceeded) the limit of requests\b",
-    r"\brequest blocked\b",
-    r"^\W*(?:please )?slow down\s*(?:[.!]|$)|\bplease slow down\s*(?:[.!]|$)",
-    rf"\b(?:something|an? (?:unexpected )?error|a problem) (?:went wrong|(?:has )?occurred)(?: while \w+| when|\s*[.!]|\s*$)",
-    rf"\bdown for maintenance\b",
-    r"\bcannot connect to the \w+|\bcould not connect to the (?:server|index|database)\b",
-    r"\bunhandled exception\b",
-    r"\b(?:your )?session has expired\b",
-    rf"(?:\b(?:we are )?sorry|\boh no|\buh-oh|\bwhoops|\boops|\bnothing here|^|[.!?:|] ?)\W*(?:but )?(?:the|this|that) (?:{_THING}) (?:(?:behind|at) this \w+ )?{_GONE}\s*(?:[.!]|$)",
-    rf"\b(?:the|this) (?:{_THING}) you (?:asked for|requested|are looking for|tried to open) (?:{_GONE}|is missing)\b",
-    r"^\W*(?:we are sorry|sorry|oops|oh no|uh-oh|whoops)\W*$",
-    r"\bthe server answered with\b|\bthe \w+ you are looking for (?:cannot|could not|does not|is|has|was)\b",
-    r"\btry again later or go back\b|^\W*(?:please )?try again later\W*$",
-    r"\bif this keeps happening,? (?:write to|contact)\b",
-    r"\bchecking that you are not a robot\b|\bverify (?:that )?you are (?:not a robot|human)\b",
-    r"\bzugriff verweigert(?=\s*(?:[.!|]|$))|\binterner fehler, kennung\b|\bbitte später erneut versuchen\b",
-    r"\b(?:die|das|der|diese[sr]?) [\w-]+ (?:wurde (?:nicht gefunden|gelöscht|gelöscht oder verschoben|verschoben oder gelöscht|entfernt)|ist (?:zurzeit |derzeit |momentan )?nicht (?:mehr )?(?:erreichbar|verfügbar|gültig)|ist abgelaufen|existiert nicht(?: mehr)?|konnte nicht (?:geladen|gefunden|geöffnet) werden)\s*(?:[.!]|$)",
-    r"\bihre sitzung ist abgelaufen\b|\bein (?:interner |unerwarteter )?fehler ist aufgetreten\b",
-    r"\baccès refusé\b(?=\s*[.,!]|\s*$)|\bmerci de réessayer\b|\bveuillez (?:réessayer|vous reconnecter)\b",
-    r"\b(?:la|le|cette|cet|ce|l[’'])\s?[\w-]+(?: [\w-]+){0,3} (?:est (?:momentanément |actuellement |temporairement )?(?:indisponible|introuvable|inaccessible)|n[’'](?:existe (?:pas|plus)|est (?:pas|plus) (?:valide|disponible|accessible))|a expiré|a été supprimée?(?: ou déplacée?)?|n[’']a pas (?:été trouvée?|pu être (?:chargée?|trouvée?|ouverte?)))\s*(?:[.!]|$)",
-    r"\bune erreur (?:interne |inattendue )?(?:est survenue|s[’']est produite)\b|\bvotre session a expiré\b",
-    r"\b(?:la|el|esta|este) [\w-]+(?: [\w-]+){0,3} (?:no se ha (?:encontrado|podido (?:cargar|abrir|encontrar))|(?:ya )?no (?:está disponible|existe|es válid[oa])|ha (?:caducado|expirado)|ha sido (?:eliminad|movid|borrad)[oa](?: o (?:eliminad|movid|borrad)[oa])?)\b|\bse produjo un error\b|\binténtelo (?:de nuevo )?más tarde\b",
-    r"\bacceso denegado\b(?=\s*[.,!]|\s*$)|\bsu sesión ha (?:caducado|expirado)\b",
-)
-#: What a page shows around content that did not come.
-FRAME = (
-    r"^\W*(?:loading|cargando|chargement|wird geladen)\s*(?:…|\.\.\.)",
-    r"\bloading ?…|\bref \d{1,4}-\d{1,4}\b|\bhome \| \w+ \| help\b|\bmenu\s+search\s+sign in\b",
-    r"(?:^|\W)back to (?:list|home|start)\W*$|\bback to list (?=(?-i:[A-Z©]))|\bzurück zur startseite\b|\bvolver al inicio\b|\bretour à l[’']accueil\b",
-)
-NOTICES = (
-    rf"\bplease {_ON} {_JS}\b|\byou need to {_ON} {_JS}\b|\byou must {_ON} {_JS}\b",
-    rf"^\W*{_ON} {_JS},? (?:then|and|to|in)\b|\b(?-i:Enable|Activate|Allow|Turn on|Switch on|ENABLE|ACTIVATE|ALLOW|TURN ON|SWITCH ON) {_JS},? then reload\b",
-    rf"\bto \w+ (?:the|this) {_THING}, {_ON} {_JS}\b",
-    rf"\b(?:this|the) (?:{_THING}) (?:requires|needs) {_JS}(?: to (?:run|work|be)|, but|\s*[.!]|\s*$)",
-    rf"\b(?:your )?browser (?:does not|doesn't) support {_JS}\b",
-    rf"\bwithout {_JS} we can ?not\b",
-    rf"\bno {_JS}: panels stay blank\b|\b{_JS} (?:is|are|has been|have been) (?:disabled|switched off|turned off|blocked)\b(?: (?:in|by) your browser|\s*[.!]|\s*$)",
-    rf"\baktivieren sie {_JS}|\b(?:diese|die) \w+ benötigt {_JS}\b|\bohne {_JS} kann\b|\b{_JS} (?:ist|sind|wurde) in ihrem browser (?:ausgeschaltet|deaktiviert|abgeschaltet)|\bihr browser unterstützt kein",
-    rf"\bveuillez activer {_JS}|\b(?:cette|ce|l[’']) ?\w+ nécessite {_JS}\b|\bsans {_JS},? (?:cette|ce|la|le|nous)\b|\b{_JS} (?:est|sont) désactivée?s? dans votre navigateur|\bvotre navigateur ne prend pas en charge",
-    rf"\bactive {_JS} para\b|\bnecesita que {_JS} est[ée]n? habilitad|\bnavegador (?:tiene desactivado|no admite|no es compatible con) {_JS}|\bhabilite {_JS}\b|\b{_JS} está (?:desactivado|deshabilitado) en su navegador",
-)
-# ------------------------------------------------------------------------------------------------------------------
-_PLACE = re.compile("|".join(f"(?:{p})" for p in PLACEHOLDERS))
-_PLACE_I = re.compile("|".join(f"(?:{p})" for p in PLACEHOLDERS[14:19]), re.I)
-_FILL = re.compile("|".join(f"(?:{p})" for p in FILLER), re.I)
-_ERROR = re.compile("|".join(f"(?:{p})" for p in (*ERRORS, *FRAME)), re.I)
-_NOTICE = re.compile("|".join(f"(?:{p})" for p in NOTICES), re.I)
-#: Signs without which a sentence holds no placeholder, and texts without which it is no error or notice, or, other than
-#: one of repeated or Latin words, no filler. The texts are taken from the patterns, so that none is left out.
-_BRACKET = re.compile(r"[\[(<]")
-_PLACE_SIGN = re.compile(r"[{%$#@<\[(_?]|[A-Z]{4}|Last|:\s*xxx")
-HINTS = frozenset().union(*(literals(p) for p in (*ERRORS, *FRAME, *NOTICES)))
-FILL_HINTS = frozenset().union(*(literals(p) for p in FILLER))
-DUMMY = frozenset("tbd todo test asdf blah xxx xxxx foo qwerty dummy".split())
-_KNOWN = LOREM | DUMMY
-_HINTS = ahocorasick.Automaton()
-for _w in HINTS | FILL_HINTS:
-    _HINTS.add_word(_w, (_w in HINTS) | (_w in FILL_HINTS) << 1)
-_HINTS.make_automaton()
-_CODE = re.compile(r"(?ms)(```+|~~~+)[^\n`~]*\n.*?(?:\1|\Z)|(?<!`)(`{1,3})(?!`)[^`\n]+\2(?!`)|<(pre|code)\b[^<>]*>.*?</\3\s*>")
-_QUOTE = re.compile(r"\"[^\"\n]*\"|“[^”\n]*”|„[^“”\n]*[“”]|«[^»\n]*»|‘[^’\n]*’(?!\w)")
-_DATA = re.compile(r"(?m)^[ \t]*>.*$|^[ \t]*[{\[][\"'].*[}\]],?[ \t]*$|^[ \t]*\|.*\|[ \t]*$")
-_TAG = re.compile(r"(?<!<)</?(?:html|head|title|body|h[1-6]|p|div|span|noscript|br|b|i|em|strong|a|ul|ol|li|section|main|header|footer)\b[^<>]*>(?!>)", re.I)
-_CUT = re.compile(r"\n+|(?<=[.!?…;])\s+|\s(?=[-*] )")
-_WORD = re.compile(r"[^\W_]+")
+
+
 MAX_BROADCAST = 500_000
-_NUMBER = re.compile(r"\b(?=\w*\d)[0-9a-f]+\b|\d+")
-
-
-def sentences(text: str) -> list[str]:
-    """Sentences and lines of the text without code, quotes and data; tags of a page end a sentence."""
-    if "`" in text or "~~~" in text or "<" in text:
-        text = _CODE.sub(" ", text)
-    text = _DATA.sub("", text)
-    if "<" in text:
-        text = _TAG.sub("\n", text)
-    out = []
-    for s in _CUT.split(text):
-        s = _QUOTE.sub(' "" ', s).strip(" \t-*#+")
-        if s:
-            out.append(s)
-    return out
 
 
-def _is_filler(s: str, words: list[str], hints: int) -> bool:
-    n = len(words)
-    if n >= 2 and (words[0] == words[1] or n > 2 and words[2] in words[:2]):
-        # one word again and again, or two
-        kinds = len(set(words[:64]))
-        if kinds == 1 and (n >= 3 or words[0] in DUMMY) or kinds == 2 and n >= 6 and len(set(words)) == 2:
-            return True
-    if n >= 5:
-        known = [w in _KNOWN for w in words]
-        if sum(known) >= 0.8 * n:
-            return True
-        run = 0
-        for k in known:
-            run = run + 1 if k else 0
-            if run >= 8:
-                return True
-    return bool(hints & 2) and bool(_FILL.search(s))
-
-
-def hints_of(text: str) -> int:
-    """Which kinds of hints stand in a text, as bits."""
-    bits = 0
-    for _, h in _HINTS.iter(fold(text)):
-        bits |= h
-    return bits
-
-
-def label(s: str, words: list[str] | None = None, hints: int | None = None) -> str | None:
-    """The kind of residue that the sentence is by its form, or None. hints: those of all sentences of the document, if known;
-    without any, the sentence has none either."""
-    if _PLACE_SIGN.search(s) and (_PLACE.search(s) or _BRACKET.search(s) and _PLACE_I.search(s)):
-        return "placeholder"
-    if hints != 0:
-        hints = hints_of(s)
-        if hints & 1:
-            if _NOTICE.search(s):
-                return "notice"
-            if _ERROR.search(s):
-                return "error"
-    return "filler" if _is_filler(s, [w.lower() for w in _WORD.findall(s)] if words is None else words, hints) else None
-
-
-def normal(s: str) -> str:
-    return " ".join([w if w.isalpha() else _NUMBER.sub("0", w) for w in _WORD.findall(s.lower())])
-
-
-class _WordHash(dict):
-    def __missing__(self, w: str) -> int:
-        if len(self) > 500_000:
-            self.clear()
-        h = self[w] = xxhash.xxh3_64_intdigest(w)
-        return h
-
-
-def simhashes(texts: list[list[str]], cache: _WordHash | None = None) -> np.ndarray:
+def simhashes(texts: list[list[str]], cache: WordHash | None = None) -> np.ndarray:
     """64-bit SimHash over words and pairs of words of each text, as signed numbers."""
-    cache = _WordHash() if cache is None else cache
+    cache = WordHash() if cache is None else cache
     out = np.zeros(len(texts), np.int64)
     step = 4096
     for at in range(0, len(texts), step):
@@ -251,10 +57,10 @@ def simhashes(texts: list[list[str]], cache: _WordHash | None = None) -> np.ndar
     return out
 
 
-def sequence_keys(texts: list[list[str]], p: Residue, cache: _WordHash | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def sequence_keys(texts: list[list[str]], p: Residue, cache: WordHash | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(number of different word sequences of each text, ends of its keys, keys). Of m sequences the keys are the
     m - ceil(similarity * m) + 1 of least hash: two texts that have `similarity` of their sequences in common share a key."""
-    cache = _WordHash() if cache is None else cache
+    cache = WordHash() if cache is None else cache
     n = np.fromiter(map(len, texts), np.int64, len(texts))
     h = np.fromiter((cache[x] for w in texts for x in w), np.uint64, int(n.sum()))
     size, count = np.zeros(len(texts), np.int64), np.zeros(len(texts), np.int64)
@@ -277,38 +83,44 @@ def sequence_keys(texts: list[list[str]], p: Residue, cache: _WordHash | None =
     return size, np.cumsum(count), g[rank < count[owner]].view(np.int64)
 
 
-def _parse(docs: DataFrame, p: Residue, with_text: bool) -> DataFrame:
-    """A row per sentence that is residue by its form, or long enough to be near to one: doc_id, h (hash of kind and
-    normal form), kind, sim, m and keys (sequence_keys); or with_text h, seg."""
-    schema = "h long, seg string" if with_text else "doc_id long, h long, kind string, sim long, m long, keys array<long>"
+_COLUMNS = ["h", "seg", "sim", "m", "keys"]
+_SCHEMA = "h long, seg string, sim long, m long, keys array<long>"
+
+
+def _hashed(segs: list[str], p: Residue, cache: WordHash, salt: str = "") -> list[pa.Array]:
+    """Columns of segments: h (hash of the normal form), seg, sim (SimHash), m and keys (sequence_keys)."""
+    h = np.fromiter((xxhash.xxh3_64_intdigest(salt + x) for x in segs), np.uint64, len(segs)).view(np.int64)
+    split = [x.split() for x in segs]
+    m, ends, keys = sequence_keys(split, p, cache)
+    lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], ends)), pa.int32()), pa.array(keys))
+    return [pa.array(h), pa.array(segs, pa.string()), pa.array(simhashes(split, cache)), pa.array(m), lists]
+
+
+def parse(docs: DataFrame, p: Residue = Residue(), seeds: dict[str, str] | None = None) -> DataFrame:
+    """A row per segment that may be near to residue: doc_id, h, seg, sim, m, keys. Segments of fewer than `words` words
+    have no sequence and are near only to what equals them, so of these only the trusted ones are kept."""
+    known = frozenset(SEEDS if seeds is None else seeds)
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = _WordHash()
+        cache = WordHash()
         for b in it:
-            ids, segs, kinds = [], [], []
+            ids, segs = [], []
             for d, t in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist()):
-                parts = dict.fromkeys(sentences(t))
-                hints = hints_of("\n".join(parts))  # of what is left, as taking code out may join words
-                for s in parts:
-                    n = normal(s)
-                    words = n.split()
-                    k = label(s, words, hints)
-                    if k or len(words) >= p.words:
-                        ids.append(d)
-                        segs.append(n)
-                        kinds.append(k)
-            # residue keeps apart from a sentence of the same words, as symbols are what makes a placeholder
-            h = np.fromiter((xxhash.xxh3_64_intdigest(f"{k}:{n}" if k else n) for k, n in zip(kinds, segs)), np.uint64, len(segs)).view(np.int64)
-            if with_text:
-                yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(segs, pa.string())], ["h", "seg"])
-            else:
-                split = [n.split() for n in segs]
-                sim = simhashes(split, cache)
-                m, ends, keys = sequence_keys(split, p, cache)
-                lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], ends)), pa.int32()), pa.array(keys))
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(h), pa.array(kinds, pa.string()), pa.array(sim), pa.array(m), lists], ["doc_id", "h", "kind", "sim", "m", "keys"])
-
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, schema)
+                found = dict.fromkeys(x for s in dict.fromkeys(sentences(t)) for x in segments(s))
+                keep = [x for x in found if x.count(" ") >= p.words - 1 or x in known]
+                segs += keep
+                ids += [d] * len(keep)
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), *_hashed(segs, p, cache)], ["doc_id", *_COLUMNS])
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, " + _SCHEMA)
+
+
+def trusted(spark: SparkSession, p: Residue = Residue(), seeds: dict[str, str] | None = None) -> DataFrame:
+    """The trusted examples as segments, with their kind. Their h differs from that of the same text in a document, so the
+    two are linked like any others."""
+    seeds = SEEDS if seeds is None else seeds
+    cols = _hashed(list(seeds), p, WordHash(), "trusted:")
+    return spark.createDataFrame(list(zip(*[c.to_pylist() for c in cols], seeds.values())), _SCHEMA + ", kind string")
 
 
 def alike(a: str, b: str, p: Residue) -> bool:
@@ -320,7 +132,7 @@ def alike(a: str, b: str, p: Residue) -> bool:
     return common >= p.similarity * (len(sa) + len(sb) - common)
 
 
-def _tables(df: DataFrame, p: Residue) -> DataFrame:
+def tables(df: DataFrame, p: Residue) -> DataFrame:
     """A row per table: two blocks of the SimHash and the number of the table as one key."""
     cuts = [64 * i // p.blocks for i in range(p.blocks + 1)]
     block = [F.shiftrightunsigned("sim", a).bitwiseAND(F.lit((1 << z - a) - 1)) for a, z in zip(cuts, cuts[1:])]
@@ -328,66 +140,69 @@ def _tables(df: DataFrame, p: Residue) -> DataFrame:
     return df.withColumn("key", F.explode(F.array(*keys)))
 
 
-def residue_sentences(docs: DataFrame, p: Residue = Residue()) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, h, kind, sim) of all sentences, kind null if they are no residue by form; and (h, kind) of those that
-    got their label from a near sentence.
+def _near(segs: DataFrame, front: DataFrame, p: Residue) -> DataFrame:
+    """h, known_h: pairs of a segment and one of the front that are alike by text. The front is residue, so it is small beside
+    the segments, which are read where they lie; where it is not, both sides are shuffled by key."""
+    f = broadcast_if_small(tables(front, p).select("key", F.col("h").alias("known_h"), F.col("sim").alias("known_sim")), MAX_BROADCAST)
+    by_hash = tables(segs.select("h", "sim"), p).join(f, "key").filter(F.bit_count(F.col("sim").bitwiseXOR(F.col("known_sim"))) <= p.hamming)
+    k = broadcast_if_small(front.select(F.explode("keys").alias("key"), F.col("h").alias("known_h"), F.col("m").alias("known_m")), MAX_BROADCAST)
+    # texts whose numbers of sequences differ by more than the similarity cannot reach it
+    sized = F.least("m", "known_m") >= p.similarity * F.greatest("m", "known_m") - 1e-9
+    by_keys = segs.select("h", "m", F.explode("keys").alias("key")).join(k, "key").filter(sized)
+    pairs = cut(by_hash.select("h", "known_h").unionByName(by_keys.select("h", "known_h")).filter("h <> known_h").distinct())
+    wanted = broadcast_if_small(pairs.select("h").distinct(), MAX_BROADCAST)
+    texts = segs.select("h", "seg").join(wanted, "h", "left_semi").distinct()
+    both = pairs.join(texts, "h").join(front.select(F.col("h").alias("known_h"), F.col("seg").alias("known")), "known_h")
 
-    Sentences are parsed once and kept as hashes, in the shared folder; texts are read again only for the pairs that the
-    tables and the Hamming distance leave or that share a word sequence; of these no pair of the least similarity is lost.
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in it:
+            ok = [alike(x, y, p) for x, y in zip(b.column("known").to_pylist(), b.column("seg").to_pylist())]
+            yield b.select(["h", "known_h"]).filter(pa.array(ok, pa.bool_()))
+
+    return both.mapInArrow(run, "h long, known_h long")
+
+
+def residue_segments(docs: DataFrame, p: Residue = Residue(), seeds: dict[str, str] | None = None) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, h, seg, ...) of all segments, and (h, kind, component) of those that are residue.
+
+    Links are sought from the trusted side outwards, round by round, until no segment is new: components without a trusted
+    example are of no interest, and prose of one pattern would make very large ones. Each round reads hashes of all
+    segments and finds every pair of the least similarity. A component with examples of several kinds has the least.
     """
     if p.hamming > p.blocks - 2:
         raise ValueError("more bits may differ than the tables can find")
+    spark = docs.sparkSession
     docs = spread(docs.filter("doc_id is not null and text is not null").select("doc_id", "text"), "doc_id")
-    parsed = cut_table(_parse(docs, p, False))
-    rest = parsed.filter("kind is null").select("h", "sim", "m", "keys").distinct()
-    # placeholders stand inside of any sentence; only whole-sentence residue passes its label on
-    front = parsed.filter("kind is not null and kind <> 'placeholder'").select("h", "kind", "sim", "m", "keys").distinct()
-    passed = front.select("h", "kind").filter(F.lit(False))
-
-    def near(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in it:
-            ok = [alike(x, y, p) for x, y in zip(b.column("known").to_pylist(), b.column("seg").to_pylist())]
-            yield b.select(["h", "kind"]).filter(pa.array(ok, pa.bool_()))
-
-    for _ in range(p.rounds):
-        f = broadcast_if_small(_tables(front, p).select("key", F.col("h").alias("known_h"), F.col("sim").alias("known_sim"), "kind"), MAX_BROADCAST)
-        pairs = _tables(rest, p).join(f, "key").filter(F.bit_count(F.col("sim").bitwiseXOR(F.col("known_sim"))) <= p.hamming)
-        k = broadcast_if_small(front.select(F.explode("keys").alias("key"), F.col("h").alias("known_h"), F.col("m").alias("known_m"), "kind"), MAX_BROADCAST)
-        # texts whose numbers of sequences differ by more than the similarity cannot reach it
-        sized = F.least("m", "known_m") >= p.similarity * F.greatest("m", "known_m") - 1e-9
-        shared = rest.select("h", "m", F.explode("keys").alias("key")).join(k, "key").filter(sized)
-        pairs = pairs.select("h", "known_h", "kind").unionByName(shared.select("h", "known_h", "kind"))
-        pairs = cut(pairs.distinct().join(passed.select("h"), "h", "left_anti"))
-        if not pairs.head(1):
-            break
-        want = broadcast_if_small(pairs.select("h").unionByName(pairs.select(F.col("known_h").alias("h"))).distinct(), MAX_BROADCAST)
-        # of the documents that hold a wanted sentence, one each is read again
-        homes = parsed.join(want, "h").groupBy("h").agg(F.min("doc_id").alias("doc_id")).select("doc_id").distinct()
-        again = docs.join(broadcast_if_small(homes, MAX_BROADCAST), "doc_id", "left_semi")
-        texts = _parse(again, p, True).join(want, "h", "left_semi").dropDuplicates(["h"])
-        both = pairs.join(texts, "h").join(texts.select(F.col("h").alias("known_h"), F.col("seg").alias("known")), "known_h")
-        new = both.select("h", "kind", "known", "seg").mapInArrow(near, "h long, kind string")
-        new = cut(new.groupBy("h").agg(F.min("kind").alias("kind")))
+    segs = cut_table(parse(docs, p, seeds))
+    known = cut(trusted(spark, p, seeds))
+    front, links, seen = known.drop("kind"), None, None
+    while True:
+        found = cut(_near(segs, front, p))
+        new = found.select("h").distinct()
+        if seen is not None:
+            new = new.join(seen, "h", "left_anti")
+        new = cut(new)
+        links = found if links is None else links.unionByName(found)
         if not new.head(1):
             break
-        passed = passed.unionByName(new)
-        front = cut(rest.join(broadcast_if_small(new, MAX_BROADCAST), "h"))
-    else:
-        raise RuntimeError(f"labels did not settle in {p.rounds} rounds")
-    return parsed, passed
+        seen = new if seen is None else cut(seen.unionByName(new))
+        front = cut(segs.join(broadcast_if_small(new, MAX_BROADCAST), "h", "left_semi").select(*_COLUMNS).dropDuplicates(["h"]))
+    parts = connected_components(links.select(F.col("h").alias("u"), F.col("known_h").alias("v")))
+    labels = parts.join(known.select(F.col("h").alias("node"), "kind"), "node").groupBy("component").agg(F.min("kind").alias("kind"))
+    labelled = parts.join(labels, "component").select(F.col("node").alias("h"), "kind", "component")
+    return segs, cut(labelled.join(known.select("h"), "h", "left_anti"))
 
 
-def residue_documents(docs: DataFrame, p: Residue = Residue()) -> DataFrame:
-    """doc_id, kinds (comma-separated), n_sentences: documents that hold residue.
+def residue_documents(docs: DataFrame, p: Residue = Residue(), seeds: dict[str, str] | None = None) -> DataFrame:
+    """doc_id, kinds (comma-separated), n_segments: documents that hold residue.
 
-    docs has doc_id, text. Repeated rows count once; null and empty texts hold none.
+    docs has doc_id, text; seeds are normal forms of trusted examples with their kinds, by default those of the package.
+    Repeated rows count once; null and empty texts hold none.
     """
-    parsed, passed = residue_sentences(docs, p)
-    by_form = parsed.filter("kind is not null").select("doc_id", "h", "kind")
-    by_link = parsed.filter("kind is null").select("doc_id", "h").join(passed, "h").select("doc_id", "h", "kind")
-    hits = by_form.unionByName(by_link).distinct()
+    segs, labelled = residue_segments(docs, p, seeds)
+    hits = segs.select("doc_id", "h").join(broadcast_if_small(labelled.select("h", "kind"), MAX_BROADCAST), "h").distinct()
     per_kind = hits.groupBy("doc_id", "kind").agg(F.count(F.lit(1)).alias("n"))
-    return per_kind.groupBy("doc_id").agg(F.array_join(F.array_sort(F.collect_set("kind")), ",").alias("kinds"), F.sum("n").alias("n_sentences"))
+    return per_kind.groupBy("doc_id").agg(F.array_join(F.array_sort(F.collect_set("kind")), ",").alias("kinds"), F.sum("n").alias("n_segments"))
 
 
 def without_residue(docs: DataFrame, p: Residue = Residue()) -> DataFrame:
