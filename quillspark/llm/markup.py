@@ -2,17 +2,20 @@
 
 Pages of a host are sorted by path, and each is compared with the page before it.
 Each page is turned into lines of plain text in one small notation (`# ` heading,
-`- ` list item, ``` code, $ formula, | table row); the lines of neighbours are
-aligned by longest common subsequence, and lines that both share, which come from
-the template and not from the author, are deleted outside of kept structure.
+`- ` list item, ``` code, $ formula, | table row), each with the kinds of markup
+that stood in it; the lines of neighbours are aligned by longest common
+subsequence, and lines that both share, which come from the template and not from
+the author, are deleted outside of kept structure.
 """
 
 from __future__ import annotations
 
 import html.entities
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -36,81 +39,98 @@ ENTITIES = {k.rstrip(";").lower(): v for k, v in sorted(html.entities.html5.item
 # ------------------------------------------------------------------------------
 
 _TAG_NAMES = "|".join(sorted(TAGS, key=len, reverse=True))
+_RAW_TAGS = "pre|code|script|style|textarea|nowiki|syntaxhighlight|xmp|tt|kbd|samp"
 _ATTR = r"(?:\s+[\w:@.-]+(?:\s*=\s*(?:\"[^\"]*\"|'[^']*'|[^\s\"'<>=`]+))?)*\s*/?"
-#: Forms of markup by name; a form is tried only where its first character stands.
-_FORMS = {
-    "fence": r"(?P<fence>\n[ \t]*(?P<f>```+|~~~+)[^\n`]*(?:\n.*?(?:\n[ \t]*(?P=f)[`~]*[ \t]*(?=\n|\Z)|\Z)|\Z))",
-    "code": r"(?P<code>`(?<!``)(?P<t>`*)(?!`)(?P<codetext>[^\n]+?(?:\n[^\n]+?)*?)(?<!`)`(?P=t)(?!`))",
-    "comment": r"(?P<comment><!--.*?(?:-->|\Z))",
-    "raw": rf"(?P<raw><(?P<rawtag>pre|code|script|style|textarea|nowiki|syntaxhighlight|xmp|tt|kbd|samp)\b{_ATTR}>(?P<rawtext>.*?)</(?P=rawtag)\s*>)",
-    "tag": rf"(?P<tag></?(?P<tagname>{_TAG_NAMES})(?:(?=[\s/>]){_ATTR})>|<!doctype[^<>]*>)",
-    "entity": r"(?P<entity>&(?:#\d{1,7}|#x[0-9a-fA-F]{1,6}|[a-zA-Z][a-zA-Z0-9]{1,30});)",
-    "codeenv": rf"(?P<codeenv>\\begin\{{(?P<ce>(?:{CODE_ENVS})\*?)\}}(?P<codeenvtext>.*?)\\end\{{(?P=ce)\}}|\\verb\*?(?P<v>[^\sa-zA-Z*])(?P<verbtext>[^\n]*?)(?P=v))",
-    "mathenv": rf"(?P<mathenv>\\begin\{{(?P<me>(?:{MATH_ENVS})\*?)\}}(?P<mathtext>.*?)\\end\{{(?P=me)\}})",
-    "display": r"(?P<display>\$\$(?=[^$])(?P<dtext>.*?[^$])\$\$|\\\[(?P<btext>.*?)\\\]|\\\((?P<ptext>.*?)\\\))",
-    "math": r"(?P<math>\$(?<!\\\$)(?<!\w\$)(?=[^\s$])(?P<mtext>[^$\n]*?)(?<=[^\s\\])\$(?![\w$]))",
-    "env": r"(?P<env>\\(?:begin|end)\{[a-zA-Z]+\*?\}(?:\[[^\]\n]*\]|\{[^}\n]*\})*)",
-    "heading": r"(?P<heading>\n[ ]{0,3}#{1,6}[ \t]+(?=\S))",
-    "wikiheading": r"(?P<wikiheading>\n(?P<eq>={1,6})[ \t]*(?P<wtext>[^\n=][^\n]*?)[ \t]*(?P=eq)[ \t]*(?=\n|\Z))",
-    "setext": r"(?P<setext>\n(?<=\S\n)[ ]{0,3}(?:=+|-{2,})[ \t]*(?=\n|\Z))",
-    "task": r"(?P<task>\n[ \t]*(?:[-*+]|\d{1,9}[.)])[ \t]+\[[ xX-]\](?=\s))",
-    "mdtable": r"(?P<mdtable>\n[ \t]*\|?[ \t]*:?-{2,}:?[ \t]*(?:\|[ \t]*:?-{2,}:?[ \t]*)+\|?[ \t]*(?=\n|\Z)|\n[ \t]*\|[ \t]*:?-{2,}:?[ \t]*\|[ \t]*(?=\n|\Z))",
-    "wikitable": r"(?P<wikitable>\n[ \t]*\{\|[^\n]*(?P<wbody>.*?)\n[ \t]*\|\}[^\n]*)",
-    "list": r"(?P<list>\n[ \t]*(?:[-*+]|\d{1,9}[.)])[ \t]+(?=\S))",
-    "quote": r"(?P<quote>\n[ ]{0,3}>+[ \t]?(?=\S))",
-    "wikilink": r"(?P<wikilink>!?\[\[(?P<ltarget>[^\[\]\n|]+)(?:\|(?P<llabel>[^\[\]\n]*))?\]\])",
-    "weblink": r"(?P<weblink>\[(?:https?|ftp|mailto):[^\s\[\]]+[ \t]+(?P<weblabel>[^\[\]\n]+)\])",
-    "mdlink": r"(?P<mdlink>!?\[(?P<mdlabel>(?:[^\[\]\n]|\[[^\[\]\n]*\])*)\]\((?P<mdtarget>[^()\s]*(?:\([^()\s]*\)[^()\s]*)*)(?:[ \t]+(?:\"[^\"\n]*\"|'[^'\n]*'))?\))",
-    "template": r"(?P<template>\{\{(?P<tpl>[^{}]*(?:\{\{[^{}]*(?:\{\{[^{}]*\}\}[^{}]*)*\}\}[^{}]*)*)\}\})",
-    "apos": r"(?P<apos>''(?<!'''')(?P<more>'{0,3})(?!')(?P<atext>[^\n]*?[^'\n])''(?P=more)(?!'))",
-    "strong": r"(?P<strong>\*\*(?<!\*\*\*)(?=[^\s*])(?P<stext>[^\n]*?[^\s*])\*\*(?!\*)|__(?<!\w__)(?=[^\s_])(?P<sutext>[^\n]*?[^\s_])__(?!\w))",
-    "strike": r"(?P<strike>~~(?<!~~~)(?=[^\s~])(?P<xtext>[^\n]*?[^\s~])~~(?!~))",
-    "em": r"(?P<em>\*(?<![\w*\\]\*)(?=[^\s*])(?P<etext>[^*\n]*?[^\s*])\*(?![\w*])|_(?<![\w\\]_)(?=[^\s_])(?P<eutext>[^\n]*?[^\s_])_(?!\w))",
-    "command": r"(?P<command>\\(?P<cmd>[a-zA-Z]+)\*?(?P<opt>\[[^\]\n]*\])?(?P<arg>\{(?:[^{}]|\{(?:[^{}]|\{[^{}]*\})*\})*\})?)",
-    "escape": r"(?P<escape>\\[\\`*_{}\[\]()#+.!|<>~$%&-])",
-    "tabular": r"(?P<tabular>\\begin\{(?P<te>tabular[x*]?|longtable)\}(?:\[[^\]\n]*\]|\{[^}\n]*\})*(?P<tabtext>.*?)\\end\{(?P=te)\})",
+_OPTS = r"(?:\[[^\[\]\n]*\]|\{[^{}\n]*\})*"
+#: Forms of markup by name: the pattern, and for those that may look far for their end the pattern of their beginning and
+#: how far they look. Where the end of a beginning was not found, the same form is not tried again before that place, so
+#: the time grows with the text only.
+_FORMS: dict[str, tuple[str, str, str]] = {
+    "fence": (r"\n[ \t]*(?P<f>```+|~~~+)[^\n`]*(?:\n.*?(?:\n[ \t]*(?P=f)[`~]*[ \t]*(?=\n|\Z)|\Z)|\Z)", "", ""),
+    "code": (r"`(?<!``)(?P<k>`*)(?!`)(?P<codetext>[^\n]+?(?:\n[^\n]+?)*?)(?<!`)`(?P=k)(?!`)", r"`(?<!``)(?P<k>`*)(?!`)", "paragraph"),
+    "comment": (r"<!--(?:.*?-->)", r"<!--", "text"),
+    "opencomment": (r"<!--", "", ""),
+    "raw": (rf"<(?P<k>{_RAW_TAGS})\b{_ATTR}>(?P<rawtext>.*?)</(?P=k)\s*>", rf"<(?P<k>{_RAW_TAGS})\b{_ATTR}>", "text"),
+    "tag": (rf"</?(?P<tagname>{_TAG_NAMES})(?:(?=[\s/>]){_ATTR})>|<!doctype[^<>]*>", "", ""),
+    "entity": (r"&(?:#\d{1,7}|#x[0-9a-fA-F]{1,6}|[a-zA-Z][a-zA-Z0-9]{1,30});", "", ""),
+    "codeenv": (rf"\\begin\{{(?P<k>(?:{CODE_ENVS})\*?)\}}(?P<codeenvtext>.*?)\\end\{{(?P=k)\}}", rf"\\begin\{{(?P<k>(?:{CODE_ENVS})\*?)\}}", "text"),
+    "verb": (r"\\verb\*?(?P<k>[^\sa-zA-Z*])(?P<verbtext>[^\n]*?)(?P=k)", r"\\verb\*?(?P<k>[^\sa-zA-Z*])", "line"),
+    "mathenv": (rf"\\begin\{{(?P<k>(?:{MATH_ENVS})\*?)\}}(?P<mathtext>.*?)\\end\{{(?P=k)\}}", rf"\\begin\{{(?P<k>(?:{MATH_ENVS})\*?)\}}", "text"),
+    "dollars": (r"\$\$(?=[^$])(?P<display>.*?[^$])\$\$", r"\$\$(?=[^$])", "text"),
+    "squares": (r"\\\[(?P<display>.*?)\\\]", r"\\\[", "text"),
+    "rounds": (r"\\\((?P<display>.*?)\\\)", r"\\\(", "text"),
+    "math": (r"\$(?<!\\\$)(?<!\w\$)(?=[^\s$])(?P<mtext>[^$\n]*?)(?<=[^\s\\])\$(?![\w$])", "", ""),
+    "tabular": (rf"\\begin\{{(?P<k>tabular[x*]?|longtable)\}}{_OPTS}(?P<tabtext>.*?)\\end\{{(?P=k)\}}", r"\\begin\{(?P<k>tabular[x*]?|longtable)\}", "text"),
+    "env": (rf"\\(?:begin|end)\{{[a-zA-Z]+\*?\}}{_OPTS}", "", ""),
+    "heading": (r"\n[ ]{0,3}#{1,6}[ \t]+(?=\S)", "", ""),
+    "wikiheading": (r"\n(?P<eq>={1,6})[ \t]*(?P<body>[^\n=][^\n]*?)[ \t]*(?P=eq)[ \t]*(?=\n|\Z)", "", ""),
+    "setext": (r"\n(?<=\S\n)[ ]{0,3}(?:=+|-{2,})[ \t]*(?=\n|\Z)", "", ""),
+    "task": (r"\n[ \t]*(?:[-*+]|\d{1,9}[.)])[ \t]+\[[ xX-]\](?=\s)", "", ""),
+    "mdtable": (r"\n[ \t]*\|?[ \t]*:?-{2,}:?[ \t]*(?:\|[ \t]*:?-{2,}:?[ \t]*)+\|?[ \t]*(?=\n|\Z)|\n[ \t]*\|[ \t]*:?-{2,}:?[ \t]*\|[ \t]*(?=\n|\Z)", "", ""),
+    "wikitable": (r"\n[ \t]*\{\|[^\n]*(?P<wbody>.*?)\n[ \t]*\|\}[^\n]*", r"\n[ \t]*\{\|", "text"),
+    "list": (r"\n[ \t]*(?:[-*+]|\d{1,9}[.)])[ \t]+(?=\S)", "", ""),
+    "quote": (r"\n[ ]{0,3}>+[ \t]?(?=\S)", "", ""),
+    "wikilink": (r"!?\[\[(?P<ltarget>[^\[\]\n|]+)(?:\|(?P<body>[^\[\]\n]*))?\]\]", "", ""),
+    "weblink": (r"\[(?:https?|ftp|mailto):[^\s\[\]]+[ \t]+(?P<body>[^\[\]\n]+)\]", "", ""),
+    "mdlink": (r"!?\[", "", ""),
+    "template": (r"\{\{", "", ""),
+    "apos": (r"''(?<!'''')(?P<k>'{0,3})(?!')(?P<body>[^\n]*?[^'\n])''(?P=k)(?!')", r"''(?<!'''')(?P<k>'{0,3})(?!')", "line"),
+    "stars": (r"\*\*(?<!\*\*\*)(?=[^\s*])(?P<body>[^\n]*?[^\s*])\*\*(?!\*)", r"\*\*(?<!\*\*\*)(?=[^\s*])", "line"),
+    "scores": (r"__(?<!\w__)(?=[^\s_])(?P<body>[^\n]*?[^\s_])__(?!\w)", r"__(?<!\w__)(?=[^\s_])", "line"),
+    "strike": (r"~~(?<!~~~)(?=[^\s~])(?P<body>[^\n]*?[^\s~])~~(?!~)", r"~~(?<!~~~)(?=[^\s~])", "line"),
+    "star": (r"\*(?<![\w*\\]\*)(?=[^\s*])(?P<body>[^*\n]*?[^\s*])\*(?![\w*])", "", ""),
+    "score": (r"_(?<![\w\\]_)(?=[^\s_])(?P<body>[^\n]*?[^\s_])_(?!\w)", r"_(?<![\w\\]_)(?=[^\s_])", "line"),
+    "command": (r"\\(?P<cmd>[a-zA-Z]+)\*?(?P<opt>\[[^\[\]\n]*\])?", "", ""),
+    "escape": (r"\\[\\`*_{}\[\]()#+.!|<>~$%&-]", "", ""),
 }
+_RX = {n: (re.compile(rx, re.S), re.compile(opener, re.S) if opener else None, scope) for n, (rx, opener, scope) in _FORMS.items()}
 
 
-def _one_of(*names: str) -> re.Pattern:
-    return re.compile("|".join(_FORMS[n] for n in names), re.S)
+def _by_sign(names: dict[str, str]) -> dict[str, tuple]:
+    return {c: tuple((n, *_RX[n]) for n in line.split()) for c, line in names.items()}
 
 
 #: Forms by first character; at the start of a line, by the first character that isn't blank.
-_INLINE = {
-    "<": _one_of("comment", "raw", "tag"),
-    "&": _one_of("entity"),
-    "\\": _one_of("codeenv", "mathenv", "display", "tabular", "env", "command", "escape"),
-    "$": _one_of("display", "math"),
-    "`": _one_of("code"),
-    "*": _one_of("strong", "em"),
-    "_": _one_of("strong", "em"),
-    "~": _one_of("strike"),
-    "[": _one_of("wikilink", "weblink", "mdlink"),
-    "!": _one_of("wikilink", "mdlink"),
-    "{": _one_of("template"),
-    "'": _one_of("apos"),
-}
-_LINE = {
-    "#": _one_of("heading"),
-    "=": _one_of("wikiheading", "setext"),
-    "-": _one_of("setext", "task", "mdtable", "list"),
-    "*": _one_of("task", "list"),
-    "+": _one_of("task", "list"),
-    ">": _one_of("quote"),
-    "|": _one_of("mdtable"),
-    ":": _one_of("mdtable"),
-    "`": _one_of("fence"),
-    "~": _one_of("fence"),
-    "{": _one_of("wikitable"),
-} | {c: _one_of("task", "list") for c in "0123456789"}
+_INLINE = _by_sign(
+    {
+        "<": "comment opencomment raw tag",
+        "&": "entity",
+        "\\": "codeenv verb mathenv squares rounds tabular env command escape",
+        "$": "dollars math",
+        "`": "code",
+        "*": "stars star",
+        "_": "scores score",
+        "~": "strike",
+        "[": "wikilink weblink mdlink",
+        "!": "wikilink mdlink",
+        "{": "template",
+        "'": "apos",
+    }
+)
+_LINE = _by_sign(
+    {
+        "#": "heading",
+        "=": "wikiheading setext",
+        "-": "setext task mdtable list",
+        "*": "task list",
+        "+": "task list",
+        ">": "quote",
+        "|": "mdtable",
+        ":": "mdtable",
+        "`": "fence",
+        "~": "fence",
+        "{": "wikitable",
+    }
+    | {c: "task list" for c in "0123456789"}
+)
 _START = re.compile(r"\n[ \t]*(?=([-*+#>=|`~{:\d]))|[<&\\$`*~\[]|!(?=\[)|\{(?=\{)|'(?=')|_(?<![^\W_]_)")
 #: Text without any of these has no markup.
 _SIGNS = re.compile(r"[<&\\$`*_~\[{|]|''|(?:\A|\n)[ \t]*(?:[-+#>=]|\d{1,9}[.)][ \t])")
 _BLANK_RUNS = re.compile(r"\n[ \t]*\n[\n \t]*")
+_PARAGRAPH = re.compile(r"\n[ \t]*\n")
+_TARGET = re.compile(r"\((?P<target>[^()\s]*(?:\([^()\s]*\)[^()\s]*)*)(?:[ \t]+(?:\"[^\"\n]*\"|'[^'\n]*'))?\)")
 _SECTION = {"part": 1, "chapter": 1, "section": 2, "subsection": 3, "subsubsection": 4, "paragraph": 5, "title": 1}
 _DROP_ARG = frozenset("label ref eqref cite citep citet pageref bibliography bibliographystyle includegraphics input include usepackage documentclass vspace hspace".split())
-_PATHLIKE = re.compile(r"[a-zA-Z]:\\|\\\\[\w.-]+\\")
 
 
 def _entity(s: str) -> str | None:
@@ -126,151 +146,115 @@ def _code_block(body: str) -> str:
     return "\n```\n" + body.strip("\n") + "\n```\n"
 
 
-def _bare_latex(s: str) -> str:
-    return s[1:-1] if s else ""
+class _Text:
+    """A text with the ends of its brackets, each found in one pass when first needed."""
+
+    def __init__(self, text: str) -> None:
+        self.text = text
+        self.found: dict[str, dict[int, int]] = {}
+        self.tried: dict[tuple, int] = {}
+
+    def end(self, at: int, signs: str) -> int:
+        """Where the bracket that opens at `at` closes, or -1. signs: `{}`, `[]` (within a line) or `{{}}`."""
+        if signs not in self.found:
+            half = len(signs) // 2
+            ends: dict[int, int] = {}
+            stack: list[int] = []
+            for m in re.finditer(re.escape(signs[:half]) + "|" + re.escape(signs[half:]) + (r"|\n" if signs == "[]" else ""), self.text):
+                if m.group() == signs[:half]:
+                    stack.append(m.start())
+                elif m.group() == "\n":
+                    stack.clear()
+                elif stack:
+                    ends[stack.pop()] = m.start()
+            self.found[signs] = ends
+        return self.found[signs].get(at, -1)
+
+    def match(self, forms: tuple, start: int, limit: int) -> Iterator[tuple[str, re.Match]]:
+        """The forms that stand at a place, before limit."""
+        for name, rx, opener, scope in forms:
+            if opener is None:
+                m = rx.match(self.text, start, limit)
+            else:
+                o = opener.match(self.text, start, limit)
+                if o is None:
+                    continue
+                key = (name, o.groupdict().get("k"))
+                if start < self.tried.get(key, 0):
+                    continue
+                m = rx.match(self.text, start, limit)
+                if m is None:
+                    stop = limit
+                    if scope == "line":
+                        stop = self.text.find("\n", start, limit)
+                    elif scope == "paragraph":
+                        blank = _PARAGRAPH.search(self.text, start, limit)
+                        stop = blank.start() if blank else limit
+                    self.tried[key] = limit if stop < 0 else stop
+            if m is not None:
+                yield name, m
 
 
-def scan(text: str, state: list[int], depth: int = 0) -> str:
-    """Plain text of `text`, which starts with a line break; adds the kinds of markup to state[0]."""
-    out: list[str] = []
-    at = 0
-    for first in _START.finditer(text):
-        start = first.start()
-        if start < at:
-            continue
-        m = (_LINE[first[1]] if first[1] else _INLINE[text[start]]).match(text, start)
-        if m is None and first[1]:
-            # no line form: the character itself may open an inline form, after the break and the blanks
-            start = first.end()
-            rx = _INLINE.get(first[1])
-            if rx is not None and start >= at:
-                m = rx.match(text, start)
-        if m is None:
-            continue
-        new, bit = _TOKENS[m.lastgroup](m, text, state, depth)
-        if bit < 0:
-            continue
-        state[0] |= bit
-        out.append(text[at:start])
-        out.append(new)
-        at = m.end()
-    if not at:
-        return text
-    out.append(text[at:])
-    return "".join(out)
+#: What a form becomes: (text, kind, end) for all of it, or (text, kind, begin of body, its end, end, text) where the body is
+#: searched for markup in turn; None where it is no markup after all.
+Edit = tuple
 
 
-def _inner(s: str | None, state: list[int], depth: int) -> str:
-    if not s or depth >= 6 or not _SIGNS.search(s):
-        return s or ""
-    return scan(s, state, depth + 1)
+def _around(m: re.Match, kind: int, before: str = "") -> Edit:
+    return before, kind, m.start("body"), m.end("body"), m.end(), ""
 
 
-def _on_tag(m: re.Match, text: str, state: list[int], depth: int) -> tuple[str, int]:
-    g, s = m.group, m.group(0)
-    name = (g("tagname") or "").lower()
-    closing = s[1] == "/"
+def _on_tag(m: re.Match, t: _Text) -> Edit:
+    name, closing = (m["tagname"] or "").lower(), m.group()[1] == "/"
     if name == "li":
-        return ("" if closing else "\n- "), HTML
-    if name in ("td", "th"):
-        return ("" if closing else " | "), HTML
-    if len(name) == 2 and name[0] == "h" and name[1] in "123456":
-        return ("\n" if closing else "\n" + "#" * int(name[1]) + " "), HTML
-    return ("\n" if name in BLOCK_TAGS else ""), HTML
-
-
-def _on_entity(m: re.Match, text: str, state: list[int], depth: int) -> tuple[str, int]:
-    g, s = m.group, m.group(0)
-    c = _entity(s)
-    return (c.replace("\xa0", " "), HTML) if c is not None else ("", -1)
-
-
-def _on_fence(m: re.Match, text: str, state: list[int], depth: int) -> tuple[str, int]:
-    g, s = m.group, m.group(0)
-    body = s.strip("\n").split("\n")
-    closed = len(body) > 1 and set(body[-1].strip()) <= set(g("f"))
-    return _code_block("\n".join(body[1 : -1 if closed else None])), MARKDOWN
+        new = "" if closing else "\n- "
+    elif name in ("td", "th"):
+        new = "" if closing else " | "
+    elif len(name) == 2 and name[0] == "h" and name[1] in "123456":
+        new = "\n" if closing else "\n" + "#" * int(name[1]) + " "
+    else:
+        new = "\n" if name in BLOCK_TAGS else ""
+    return new, HTML, m.end()
 
 
-def _on_code(m: re.Match, text: str, state: list[int], depth: int) -> tuple[str, int]:
-    g, s = m.group, m.group(0)
-    return "`" + g("codetext") + "`", MARKDOWN
+def _on_entity(m: re.Match, t: _Text) -> Edit | None:
+    c = _entity(m.group())
+    return (c.replace("\xa0", " "), HTML, m.end()) if c is not None else None
 
 
-def _on_comment(m: re.Match, text: str, state: list[int], depth: int) -> tuple[str, int]:
-    g, s = m.group, m.group(0)
-    return "", HTML
+def _on_fence(m: re.Match, t: _Text) -> Edit:
+    body = m.group().strip("\n").split("\n")
+    closed = len(body) > 1 and set(body[-1].strip()) <= set(m["f"])
+    return _code_block("\n".join(body[1 : -1 if closed else None])), MARKDOWN, m.end()
 
 
-def _on_raw(m: re.Match, text: str, state: list[int], depth: int) -> tuple[str, int]:
-    g, s = m.group, m.group(0)
-    tag, body = g("rawtag").lower(), g("rawtext")
+def _on_raw(m: re.Match, t: _Text) -> Edit:
+    tag, body = m["k"].lower(), m["rawtext"]
     if tag in ("script", "style"):
-        return "", HTML
-    if tag == "pre":
-        inner = re.sub(r"</?code\b[^<>]*>", "", body)
-        return (_code_block(inner) if "\n" in inner else "`" + inner + "`"), HTML
-    return ("`" + body + "`" if tag in ("code", "tt", "kbd", "samp") else body), HTML
-
-
-def _on_codeenv(m: re.Match, text: str, state: list[int], depth: int) -> tuple[str, int]:
-    g, s = m.group, m.group(0)
-    return (_code_block(g("codeenvtext")) if g("ce") else "`" + g("verbtext") + "`"), LATEX
-
-
-def _on_mathenv(m: re.Match, text: str, state: list[int], depth: int) -> tuple[str, int]:
-    g, s = m.group, m.group(0)
-    return "\n$$" + " ".join(g("mathtext").split()) + "$$\n", LATEX
+        body = ""
+    elif tag == "pre":
+        body = re.sub(r"</?code\b[^<>]*>", "", body)
+        body = _code_block(body) if "\n" in body else "`" + body + "`"
+    elif tag in ("code", "tt", "kbd", "samp"):
+        body = "`" + body + "`"
+    return body, HTML, m.end()
 
 
-def _on_display(m: re.Match, text: str, state: list[int], depth: int) -> tuple[str, int]:
-    g, s = m.group, m.group(0)
-    body = next(x for x in (g("dtext"), g("btext"), g("ptext")) if x is not None)
-    return ("$" + body.strip() + "$" if g("ptext") is not None else "\n$$" + " ".join(body.split()) + "$$\n"), LATEX
+def _on_display(m: re.Match, t: _Text) -> Edit:
+    body = m["display"]
+    return ("$" + body.strip() + "$" if m.group()[1] == "(" else "\n$$" + " ".join(body.split()) + "$$\n"), LATEX, m.end()
 
 
-def _on_math(m: re.Match, text: str, state: list[int], depth: int) -> tuple[str, int]:
-    g, s = m.group, m.group(0)
-    return s, LATEX
-
-
-def _on_env(m: re.Match, text: str, state: list[int], depth: int) -> tuple[str, int]:
-    g, s = m.group, m.group(0)
-    return "\n", LATEX
-
-
-def _on_heading(m: re.Match, text: str, state: list[int], depth: int) -> tuple[str, int]:
-    g, s = m.group, m.group(0)
-    return "\n" + s.strip() + " ", MARKDOWN
-
-
-def _on_wikiheading(m: re.Match, text: str, state: list[int], depth: int) -> tuple[str, int]:
-    g, s = m.group, m.group(0)
-    return "\n" + "#" * len(g("eq")) + " " + _inner(g("wtext"), state, depth), WIKI
-
-
-def _on_setext(m: re.Match, text: str, state: list[int], depth: int) -> tuple[str, int]:
-    g, s = m.group, m.group(0)
-    line = text[text.rfind("\n", 0, m.start()) + 1 : m.start()]
+def _on_setext(m: re.Match, t: _Text) -> Edit | None:
+    line = t.text[t.text.rfind("\n", 0, m.start()) + 1 : m.start()]
     if not line.strip() or line.lstrip()[:1] in "|>#`~{" or set(line.strip()) <= set("=-"):
-        return "", -1
-    return "", MARKDOWN
-
+        return None
+    return "", MARKDOWN, m.end()
 
-def _on_task(m: re.Match, text: str, state: list[int], depth: int) -> tuple[str, int]:
-    g, s = m.group, m.group(0)
-    return "\n- " + s.strip()[-3:], MARKDOWN
 
-
-def _on_mdtable(m: re.Match, text: str, state: list[int], depth: int) -> tuple[str, int]:
-    g, s = m.group, m.group(0)
-    return "", MARKDOWN
-
-
-def _on_wikitable(m: re.Match, text: str, state: list[int], depth: int) -> tuple[str, int]:
-    g, s = m.group, m.group(0)
+def _on_wikitable(m: re.Match, t: _Text) -> Edit:
     rows = []
-    for line in g("wbody").split("\n"):
+    for line in m["wbody"].split("\n"):
         line = line.strip()
         if line.startswith("|+"):
             rows.append(line[2:].strip())
@@ -280,111 +264,202 @@ def _on_wikitable(m: re.Match, text: str, state: list[int], depth: int) -> tuple
             rows.append("| " + " | ".join(c.strip() for c in re.split(r"\|\||!!", line[1:])) + " |")
         else:
             rows.append(line)
-    return _inner("\n" + "\n".join(rows), state, depth), WIKI
-
-
-def _on_list(m: re.Match, text: str, state: list[int], depth: int) -> tuple[str, int]:
-    g, s = m.group, m.group(0)
-    mark = s.strip()
-    return "\n" + ("- " if mark in "-*+" else mark + " "), MARKDOWN
-
-
-def _on_quote(m: re.Match, text: str, state: list[int], depth: int) -> tuple[str, int]:
-    g, s = m.group, m.group(0)
-    return "\n", MARKDOWN
-
-
-def _on_wikilink(m: re.Match, text: str, state: list[int], depth: int) -> tuple[str, int]:
-    g, s = m.group, m.group(0)
-    if g("ltarget").strip().startswith("http") and " " in g("ltarget"):
-        return g("ltarget"), WIKI
-    return _inner(g("llabel"), state, depth) if g("llabel") else g("ltarget"), WIKI
+    text, kinds = _plain("\n" + "\n".join(rows))
+    return text, WIKI | kinds, m.end()
 
 
-def _on_weblink(m: re.Match, text: str, state: list[int], depth: int) -> tuple[str, int]:
-    g, s = m.group, m.group(0)
-    return _inner(g("weblabel"), state, depth), WIKI
+def _on_list(m: re.Match, t: _Text) -> Edit:
+    mark = m.group().strip()
+    return "\n" + ("- " if mark in "-*+" else mark + " "), MARKDOWN, m.end()
 
 
-def _on_mdlink(m: re.Match, text: str, state: list[int], depth: int) -> tuple[str, int]:
-    g, s = m.group, m.group(0)
-    if not g("mdtarget") or not re.search(r"[./#:\w]", g("mdtarget")):
-        return "", -1
-    return _inner(g("mdlabel"), state, depth), MARKDOWN
+def _on_wikilink(m: re.Match, t: _Text) -> Edit:
+    if not m["body"] or m["ltarget"].strip().startswith("http") and " " in m["ltarget"]:
+        return m["ltarget"], WIKI, m.end()
+    return _around(m, WIKI)
 
 
-def _on_template(m: re.Match, text: str, state: list[int], depth: int) -> tuple[str, int]:
-    g, s = m.group, m.group(0)
-    return "", WIKI
+def _on_mdlink(m: re.Match, t: _Text) -> Edit | None:
+    close = t.end(m.end() - 1, "[]")
+    target = _TARGET.match(t.text, close + 1) if close >= 0 else None
+    if target is None or not re.search(r"[./#:\w]", target["target"]):
+        return None
+    return "", MARKDOWN, m.end(), close, target.end(), ""
 
 
-def _on_apos(m: re.Match, text: str, state: list[int], depth: int) -> tuple[str, int]:
-    g, s = m.group, m.group(0)
-    return _inner(g("atext"), state, depth), WIKI
+def _on_template(m: re.Match, t: _Text) -> Edit | None:
+    """The words of a template and of those within it, without their names where they have values, and without keys."""
+    close = t.end(m.start(), "{{}}")
+    if close < 0:
+        return None
+    inner = re.sub(r"\{\{[^{}|]*\|", "", t.text[m.start() : close])
+    inner = re.sub(r"\|[ \t]*(?:[\w -]+=)?", " ", re.sub(r"\{\{|\}\}", "", inner))
+    text, kinds = _plain(re.sub(r"\A[ \t]*[\w-]+=", "", inner).strip())
+    return text, WIKI | kinds, close + 2
 
 
-def _on_strong(m: re.Match, text: str, state: list[int], depth: int) -> tuple[str, int]:
-    g, s = m.group, m.group(0)
-    body = g("stext") or g("sutext")
-    return _inner(body, state, depth), MARKDOWN
-
-
-def _on_strike(m: re.Match, text: str, state: list[int], depth: int) -> tuple[str, int]:
-    g, s = m.group, m.group(0)
-    return _inner(g("xtext"), state, depth), MARKDOWN
-
-
-def _on_em(m: re.Match, text: str, state: list[int], depth: int) -> tuple[str, int]:
-    g, s = m.group, m.group(0)
-    body = g("etext") or g("eutext")
-    return _inner(body, state, depth), MARKDOWN
-
-
-def _on_command(m: re.Match, text: str, state: list[int], depth: int) -> tuple[str, int]:
-    g, s = m.group, m.group(0)
-    before = text[max(0, m.start() - 2) : m.start()]
-    if before[-1:] in ":\\" or (before[-1:].isalnum() and not g("arg") and not g("opt")):
-        return "", -1  # part of a path
-    name = g("cmd")
-    arg = _bare_latex(g("arg"))
-    if name in _SECTION:
-        return "\n" + "#" * _SECTION[name] + " " + _inner(arg, state, depth), LATEX
+def _on_command(m: re.Match, t: _Text) -> Edit | None:
+    at = m.end()
+    close = t.end(at, "{}") if t.text[at : at + 1] == "{" else -1
+    before = t.text[m.start() - 1 : m.start()] if m.start() else ""
+    if before and before in ":\\" or before.isalnum() and close < 0 and not m["opt"]:
+        return None  # part of a path
+    name = m["cmd"]
+    first = "\n" + "#" * _SECTION[name] + " " if name in _SECTION else ""
     if name == "item":
-        return "- ", LATEX
+        return "- ", LATEX, at
+    if close < 0:
+        return first, LATEX, at
     if name in _DROP_ARG:
-        return "", LATEX
+        return "", LATEX, close + 1
     if name == "footnote":
-        return " (" + _inner(arg, state, depth) + ")", LATEX
-    return _inner(arg, state, depth), LATEX
+        return " (", LATEX, at + 1, close, close + 1, ")"
+    return first, LATEX, at + 1, close, close + 1, ""
+
+
+def _on_escape(m: re.Match, t: _Text) -> Edit:
+    return (m.group()[1] if m.group()[1] != "\\" else "\n"), 0, m.end()
+
+
+def _on_tabular(m: re.Match, t: _Text) -> Edit:
+    rows = [r for r in re.split(r"\\\\(?:\[[^\]]*\])?", re.sub(r"\\(?:hline|toprule|midrule|bottomrule)\b", "", m["tabtext"])) if r.strip()]
+    text, kinds = _plain("\n".join("| " + " | ".join(" ".join(c.split()) for c in re.split(r"(?<!\\)&", r)) + " |" for r in rows))
+    return "\n" + text + "\n", LATEX | kinds, m.end()
+
+
+_ON = {
+    "fence": _on_fence,
+    "code": lambda m, t: ("`" + m["codetext"] + "`", MARKDOWN, m.end()),
+    "comment": lambda m, t: ("", HTML, m.end()),
+    "opencomment": lambda m, t: ("", HTML, m.end()),
+    "raw": _on_raw,
+    "tag": _on_tag,
+    "entity": _on_entity,
+    "codeenv": lambda m, t: (_code_block(m["codeenvtext"]), LATEX, m.end()),
+    "verb": lambda m, t: ("`" + m["verbtext"] + "`", LATEX, m.end()),
+    "mathenv": lambda m, t: ("\n$$" + " ".join(m["mathtext"].split()) + "$$\n", LATEX, m.end()),
+    "dollars": _on_display,
+    "squares": _on_display,
+    "rounds": _on_display,
+    "math": lambda m, t: (m.group(), LATEX, m.end()),
+    "tabular": _on_tabular,
+    "env": lambda m, t: ("\n", LATEX, m.end()),
+    "heading": lambda m, t: ("\n" + m.group().strip() + " ", MARKDOWN, m.end()),
+    "wikiheading": lambda m, t: _around(m, WIKI, "\n" + "#" * len(m["eq"]) + " "),
+    "setext": _on_setext,
+    "task": lambda m, t: ("\n- " + m.group().strip()[-3:], MARKDOWN, m.end()),
+    "mdtable": lambda m, t: ("", MARKDOWN, m.end()),
+    "wikitable": _on_wikitable,
+    "list": _on_list,
+    "quote": lambda m, t: ("\n", MARKDOWN, m.end()),
+    "wikilink": _on_wikilink,
+    "weblink": lambda m, t: _around(m, WIKI),
+    "mdlink": _on_mdlink,
+    "template": _on_template,
+    "apos": lambda m, t: _around(m, WIKI),
+    "stars": lambda m, t: _around(m, MARKDOWN),
+    "scores": lambda m, t: _around(m, MARKDOWN),
+    "strike": lambda m, t: _around(m, MARKDOWN),
+    "star": lambda m, t: _around(m, MARKDOWN),
+    "score": lambda m, t: _around(m, MARKDOWN),
+    "command": _on_command,
+    "escape": _on_escape,
+}
+
+
+def scan(text: str) -> tuple[str, list[tuple[int, int]]]:
+    """Plain text of `text`, and (place in it, kind) of each piece of markup. Bodies of markup are searched in place, so
+    markup may be nested to any depth."""
+    t = _Text(text)
+    out: list[str] = []
+    marks: list[tuple[int, int]] = []
+    ends: list[tuple[int, int, str]] = []  # of open bodies, the innermost last
+    at = length = 0
+    for first in _START.finditer(text):
+        start = first.start()
+        while ends and ends[-1][0] <= start:
+            a, z, after = ends.pop()
+            out += (text[at:a], after)
+            length += max(0, a - at) + len(after)
+            at = z
+        limit = ends[-1][0] if ends else len(text)
+        edit = None
+        # where no line form stands, the character itself may open an inline form, after the break and the blanks
+        tries = ((start, _LINE[first[1]]), (first.end(), _INLINE.get(first[1], ()))) if first[1] else ((start, _INLINE[text[start]]),)
+        for place, forms in tries:
+            if place < at or place >= limit:
+                continue
+            for name, m in t.match(forms, place, limit):
+                edit = _ON[name](m, t)
+                if edit is not None and edit[2 if len(edit) == 3 else 4] <= limit:
+                    break
+                edit = None
+            if edit is not None:
+                break
+        if edit is None:
+            continue
+        new, kind = edit[:2]
+        out += (text[at:place], new)
+        length += place - at + len(new)
+        if kind:
+            marks.append((length - len(new.lstrip("\n")), kind))
+        at = edit[2]
+        if len(edit) == 6:
+            ends.append(edit[3:])
+    while ends:
+        a, z, after = ends.pop()
+        out += (text[at:a], after)
+        at = z
+    out.append(text[at:])
+    return "".join(out), marks
 
 
-def _on_escape(m: re.Match, text: str, state: list[int], depth: int) -> tuple[str, int]:
-    g, s = m.group, m.group(0)
-    return (s[1] if s[1] != "\\" else "\n"), 0
+def _plain(text: str) -> tuple[str, int]:
+    """Plain text and kinds of a text that was made of a table or a template."""
+    if not _SIGNS.search(text):
+        return text, 0
+    plain, marks = scan(text)
+    kinds = 0
+    for _, k in marks:
+        kinds |= k
+    return plain, kinds
 
 
-def _on_tabular(m: re.Match, text: str, state: list[int], depth: int) -> tuple[str, int]:
-    rows = [r for r in re.split(r"\\\\(?:\[[^\]]*\])?", re.sub(r"\\(?:hline|toprule|midrule|bottomrule)\b", "", m.group("tabtext"))) if r.strip()]
-    return "\n" + _inner("\n".join("| " + " | ".join(" ".join(c.split()) for c in re.split(r"(?<!\\)&", r)) + " |" for r in rows), state, depth) + "\n", LATEX
+def convert_lines(text: str | None) -> tuple[list[str], list[int]]:
+    """The lines of a field as plain text, and the kinds of markup that stood in each as bits."""
+    if not text:
+        return [""], [0]
+    if not _SIGNS.search(text):
+        lines = text.split("\n")
+        return lines, [0] * len(lines)
+    plain, marks = scan("\n" + text.replace("\r\n", "\n"))
+    if "~" in plain and any(k & LATEX for _, k in marks):
+        plain = re.sub(r"(?<=[^\W_])~(?!~)", " ", plain)
+    lines = plain.split("\n")
+    bits, line, upto = [0] * len(lines), 0, len(lines[0])
+    for place, k in marks:
+        while place > upto and line + 1 < len(lines):
+            line += 1
+            upto += 1 + len(lines[line])
+        bits[line] |= k
+    return lines, bits
 
 
-#: What each form becomes: its plain text and its kind of markup, or -1 if it is none after all.
-_TOKENS = {name: globals()["_on_" + name] for name in _FORMS}
+def as_text(lines: list[str], kinds: int) -> str:
+    """Lines as a text; where markup was taken out, without the blank lines that it leaves."""
+    text = "\n".join(lines)
+    return (_BLANK_RUNS.sub("\n\n", text) if kinds else text).strip("\n")
 
 
 def convert(text: str | None) -> tuple[int, str | None]:
     """Kinds of markup in a field as bits, and its plain text."""
-    if not text:
-        return 0, text
-    if not _SIGNS.search(text):
+    if not text or not _SIGNS.search(text):
         return 0, text
-    state = [0]
-    plain = scan("\n" + text.replace("\r\n", "\n"), state)
-    if state[0] & LATEX and "~" in plain:
-        plain = re.sub(r"(?<=[^\W_])~(?!~)", " ", plain)
-    if state[0]:
-        plain = _BLANK_RUNS.sub("\n\n", plain)
-    return state[0], plain.strip("\n")
+    lines, bits = convert_lines(text)
+    kinds = 0
+    for k in bits:
+        kinds |= k
+    return kinds, as_text(lines, kinds)
 
 
 def _scores(a: list[str], b: list[str]) -> list[int]:
@@ -436,12 +511,13 @@ def common_lines(a: list[str], b: list[str]) -> list[int]:
     return [places[i] for i in sorted(found)]
 
 
-def without_shared(lines: list[str], other: list[str], most: float = 0.5) -> tuple[list[str], int]:
-    """The lines without those shared with the neighbour. Kept are code, formulas, tables, headings and lists, and pages
-    of which more than `most` is shared: those are versions of one text, not pages of one template."""
+def shared_lines(lines: list[str], other: list[str], most: float = 0.5) -> set[int]:
+    """Places of the lines that are shared with the neighbour and can go. Kept are code, formulas, tables, headings and
+    lists, and all lines of pages of which more than `most` is shared: those are versions of one text, not pages of one
+    template."""
     shared = common_lines(lines, other)
     if not shared or len(shared) > most * sum(1 for x in lines if x.strip()):
-        return lines, 0
+        return set()
     drop, inside = set(), False
     hit = set(shared)
     for i, x in enumerate(lines):
@@ -449,62 +525,108 @@ def without_shared(lines: list[str], other: list[str], most: float = 0.5) -> tup
             inside = not inside
         elif i in hit and not inside and not x.startswith(("#", "- ", "|", "$", "`")) and not x[:1].isdigit():
             drop.add(i)
-    return [x for i, x in enumerate(lines) if i not in drop], len(drop)
+    return drop
+
+
+ORDER = ["host", "path", "id"]
+
+
+def _page_ranges(pages: DataFrame, parts: int) -> list[tuple[tuple, tuple]]:
+    """Least and greatest (host, path, id) of about equal ranges of pages; at most `parts` rows of keys reach the driver."""
+    keys = pages.select(*ORDER).repartitionByRange(parts, *ORDER).groupBy(F.spark_partition_id().alias("p"))
+    rows = keys.agg(F.min(F.struct(*ORDER)).alias("least"), F.max(F.struct(*ORDER)).alias("most")).collect()
+    return sorted((tuple(r["least"]), tuple(r["most"])) for r in rows)
+
+
+def _with_neighbours(pages: DataFrame, ranges: list[tuple[tuple, tuple]]) -> DataFrame:
+    """Pages sent to their range by number (part); the last page of a range also to the next one, and its first also to
+    the one before, as neighbours only (own is false)."""
+    least, most = [a for a, _ in ranges], [z for _, z in ranges]
+
+    @F.pandas_udf("array<int>")
+    def places(host: pd.Series, path: pd.Series, id_: pd.Series) -> pd.Series:
+        out = []
+        for key in zip(host, path, id_):
+            i = min(bisect_left(most, key), len(most) - 1)
+            out.append([i, *([i + 1] if key == most[i] and i + 1 < len(most) else []), *([i - 1] if key == least[i] and i else [])])
+        return pd.Series(out)
+
+    sent = pages.withColumn("places", places(*ORDER)).select("*", F.posexplode("places").alias("n", "part")).withColumn("own", F.col("n") == 0).drop("n", "places")
+    return sent.repartitionById(len(ranges), "part").sortWithinPartitions(*ORDER, "title_lc", "content_lc")
 
 
 def clean_notes(notes: DataFrame, host_depth: int = 1) -> DataFrame:
-    """Each note once: file_id, title, content (plain text), title_kinds, content_kinds (bits), n_shared (lines deleted).
+    """Each note once: file_id, title, content (plain text), title_kinds and content_kinds (kinds of markup in the lines that
+    are kept, as bits), shared_kinds (in the lines deleted), n_shared (lines deleted).
 
     notes has file_id, normalized_path, title_lc, content_lc; other columns are ignored, repeated rows count once. The
-    host of a note is the first host_depth folders of its path. Notes are range-partitioned and sorted by host and path,
-    so a host of any size spreads over tasks; a note is compared with the one before it, and the first of a range with
-    the one after it. Null and empty fields stay so and have no markup.
+    host of a note is the first host_depth folders of its path. Notes are sent to ranges of host and path, so a host of
+    any size spreads over tasks. A note is compared with the one before it in its host, the first of a host with the one
+    after it; pages at the ends of a range are sent to both, so the result does not depend on the ranges. Null and empty
+    fields stay so and have no markup.
     """
-    host = F.array_join(F.slice(F.split("normalized_path", "/"), 1, host_depth), "/")
-    rows = notes.select("file_id", "normalized_path", "title_lc", "content_lc").withColumn("host", F.when(F.col("normalized_path").contains("/"), host).otherwise(""))
-    order = ["host", "normalized_path", "file_id"]
-    rows = rows.repartitionByRange(max(8, parallelism(notes.sparkSession)), *order).sortWithinPartitions(*order, "title_lc", "content_lc")
+    path = F.coalesce("normalized_path", F.lit(""))
+    host = F.when(path.contains("/"), F.array_join(F.slice(F.split(path, "/"), 1, host_depth), "/")).otherwise("")
+    pages = notes.select(host.alias("host"), path.alias("path"), F.coalesce("file_id", F.lit("")).alias("id"), "file_id", "title_lc", "content_lc")
+    schema = "file_id string, title string, title_kinds int, content string, content_kinds int, shared_kinds int, n_shared int"
+    ranges = _page_ranges(pages, max(8, parallelism(notes.sparkSession)))
+    if not ranges:
+        return notes.sparkSession.createDataFrame([], schema)
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last_host, last, held, previous = None, None, None, None
 
-        def emit(host: str, row: tuple, lines: list[str], bits: int, neighbour: list[str] | None) -> tuple:
-            kept, n = without_shared(lines, neighbour) if neighbour else (lines, 0)
-            return (*row, "\n".join(kept) if row[3] is not None else None, bits, n)
+        def emit(done: list[tuple], own: bool, row: tuple, lines: list[str], bits: list[int], neighbour: list[str] | None) -> None:
+            if not own:
+                return
+            drop = shared_lines(lines, neighbour) if neighbour else set()
+            kept = shared = 0
+            for i, k in enumerate(bits):
+                if i in drop:
+                    shared |= k
+                else:
+                    kept |= k
+            text = row[3] if not (drop or kept) else as_text([x for i, x in enumerate(lines) if i not in drop], kept | shared)
+            done.append((*row[:3], text, kept, shared, len(drop)))
 
         for b in it:
-            done = []
-            cols = [b.column(c).to_pylist() for c in ("file_id", "normalized_path", "title_lc", "content_lc", "host")]
-            for fid, path, title, content, h in zip(*cols):
-                if previous == (fid, path, title, content):
+            done: list[tuple] = []
+            cols = [b.column(c).to_pylist() for c in ("file_id", "title_lc", "content_lc", "host", "path", "own")]
+            for fid, title, content, h, path_, own in zip(*cols):
+                if previous == (fid, path_, title, content):
                     continue
-                previous = (fid, path, title, content)
+                previous = (fid, path_, title, content)
                 tb, tt = convert(title)
-                cb, ct = convert(content)
-                lines = (ct or "").split("\n")
-                row = (fid, tt, tb, content)
+                lines, bits = convert_lines(content)
+                page = (own, (fid, tt, tb, content), lines, bits)
                 if held is not None:
-                    done.append(emit(*held, lines if held[0] == h else None))
+                    emit(done, *held[1], lines if held[0] == h else None)
                     held = None
-                if last is None:
-                    held = (h, row, lines, cb)  # the first of a range waits for the next
+                if last_host == h:
+                    emit(done, *page, last)
                 else:
-                    done.append(emit(h, row, lines, cb, last if last_host == h else None))
+                    held = (h, page)  # the first of a host waits for the next
                 last_host, last = h, lines
             yield _batch(done)
         if held is not None:
-            yield _batch([emit(*held, None)])
+            done = []
+            emit(done, *held[1], None)
+            yield _batch(done)
+
+    return _with_neighbours(pages, ranges).select("file_id", "title_lc", "content_lc", "host", "path", "own").mapInArrow(run, schema)
+
 
-    return rows.mapInArrow(run, "file_id string, title string, title_kinds int, content string, content_kinds int, n_shared int")
+_FIELDS = {"file_id": pa.string(), "title": pa.string(), "title_kinds": pa.int32(), "content": pa.string(), "content_kinds": pa.int32(), "shared_kinds": pa.int32(), "n_shared": pa.int32()}
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
-    cols = list(zip(*rows)) if rows else [()] * 7
-    types = (("file_id", 0, pa.string()), ("title", 1, pa.string()), ("title_kinds", 2, pa.int32()), ("content", 4, pa.string()), ("content_kinds", 5, pa.int32()), ("n_shared", 6, pa.int32()))
-    return pa.RecordBatch.from_arrays([pa.array(list(cols[i]), t) for _, i, t in types], [n for n, _, _ in types])
+    cols = list(zip(*rows)) if rows else [()] * len(_FIELDS)
+    return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(cols, _FIELDS.values())], list(_FIELDS))
 
 
 def markup_kinds(cleaned: DataFrame) -> DataFrame:
-    """file_id, field_name, markup: a row for each kind of markup that a field of a note held."""
-    each = [F.struct(F.lit(f"{field}_lc").alias("field_name"), F.lit(k).alias("markup"), F.col(f"{field}_kinds").bitwiseAND(F.lit(1 << i)).alias("hit")) for field in ("title", "content") for i, k in enumerate(KINDS)]
+    """file_id, field_name, markup: a row for each kind of markup that a line of a field held, whether the line was kept or,
+    being shared, deleted."""
+    bits = {"title": F.col("title_kinds"), "content": F.col("content_kinds").bitwiseOR(F.col("shared_kinds"))}
+    each = [F.struct(F.lit(f"{field}_lc").alias("field_name"), F.lit(k).alias("markup"), b.bitwiseAND(F.lit(1 << i)).alias("hit")) for field, b in bits.items() for i, k in enumerate(KINDS)]
     return cleaned.select("file_id", F.inline(F.array(*each))).filter("hit <> 0").select("file_id", "field_name", "markup").distinct()

@@ -90,9 +90,35 @@ def test_common_lines_is_a_longest_subsequence():
 def test_shared_lines_go_but_structure_stays():
     a = ["site menu", "own text", "", "- item", "```", "x", "```", "more own", "and more", "and more yet"]
     b = ["site menu", "other", "- item", "```", "x", "```"]
-    kept, n = M.without_shared(a, b, most=0.8)
-    assert n == 1 and "site menu" not in kept and "- item" in kept and kept.count("```") == 2
-    assert M.without_shared(a, a) == (a, 0)
+    assert M.shared_lines(a, b, most=0.8) == {0}
+    assert M.shared_lines(a, a) == set()
+
+
+def test_nothing_is_lost():
+    assert M.convert("a <!-- open\nreal text") == (1, "a  open\nreal text")
+    assert M.convert("x {{a{{a{{a{{a{{a{{a{{a}}}}}}}}}}}}}} y")[1] == "x aaaaaaa y"
+    assert M.convert("{{box|title=some words|more}}") == (4, "some words more")
+    assert M.convert("{{never closed, and [[a|b]]") == (4, "{{never closed, and b")
+
+
+def test_any_depth():
+    deep = "".join("*a ~~b " for _ in range(3000)) + "[x](y.md)" + "".join("~~ *" for _ in range(3000))
+    bits, plain = M.convert(deep)
+    assert bits == 2 and "[x]" not in plain
+    assert M.convert("\\emph{" * 500 + "x" + "}" * 500) == (8, "x")
+    assert M.convert("**a *b ~~c __d [e](f.md)__~~* g**") == (2, "a b c d e g")
+
+
+@pytest.mark.parametrize("unit", ["<code>x ", "\n{| a", "<!-- a ", "**a ", "\\a{", "{{a ", "[a [b] ", "\\begin{align} ", "_a ", "''a ", "*a **b ", "$$ a ", "\\[ ", "\\begin{a}[", "`a\n"])
+def test_time_grows_with_the_text(unit):
+    import time
+
+    took = []
+    for n in (20_000, 80_000):
+        at = time.process_time()
+        M.convert(unit * n)
+        took.append(time.process_time() - at)
+    assert took[1] < 12 * max(took[0], 0.05)
 
 
 SCHEMA = "file_id string, normalized_path string, title_lc string, content_lc string, updated_at string, host string"
@@ -118,3 +144,33 @@ def test_notes(spark):
 
 def test_empty(spark):
     assert M.markup_kinds(M.clean_notes(spark.createDataFrame([], SCHEMA))).collect() == []
+
+
+def test_same_whatever_the_ranges(spark):
+    """Against one pass over all notes in order; hosts of one note, of many, and notes of equal path."""
+    rnd = random.Random(8)
+    lines = ["menu", "imprint <b>x</b>", "all rights", *(f"own {i}" for i in range(40))]
+    rows = [(f"{i:03d}", rnd.choice(["big/a", "big/b", "small", "one"]) + f"/{rnd.randrange(90)}.md", "t", "\n".join(rnd.sample(lines[:3], rnd.randint(0, 3)) + rnd.sample(lines[3:], 6)), "", "") for i in range(150)]
+    rows += [("x", "lone/p.md", "t", "menu", "", ""), ("y", None, "t", "menu\na\nb\nc", "", ""), ("z", "top.md", "t", "menu\nd\ne\nf", "", "")]
+    df = spark.createDataFrame(rows + rows[:9], SCHEMA)
+    host = lambda p: p.split("/")[0] if "/" in p else ""
+    order = sorted(((host(r[1] or ""), r[1] or "", r[0], r[3]) for r in rows))
+    want = {}
+    for i, (h, _, fid, text) in enumerate(order):
+        near = order[i - 1] if i and order[i - 1][0] == h else order[i + 1] if i + 1 < len(order) and order[i + 1][0] == h else None
+        want[fid] = len(M.shared_lines(M.convert_lines(text)[0], M.convert_lines(near[3])[0])) if near else 0
+    assert sum(want.values()) > 20
+    was = spark.conf.get("spark.sql.shuffle.partitions")
+    seen = []
+    try:
+        for n in ("8", "12", "40"):
+            spark.conf.set("spark.sql.shuffle.partitions", n)
+            out = M.clean_notes(df).collect()
+            assert {r["file_id"]: r["n_shared"] for r in out} == want and len(out) == len(want)
+            seen.append(sorted(map(tuple, out)))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", was)
+    assert seen[0] == seen[1] == seen[2]
+    kinds = {(r["file_id"], r["markup"]) for r in M.markup_kinds(M.clean_notes(df)).collect()}
+    assert kinds == {(r[0], "html") for r in rows if "<b>" in r[3]}  # also where the line was deleted
+    assert any(r["shared_kinds"] for r in M.clean_notes(df).collect())
