@@ -3,14 +3,21 @@
 A run rereads from the oldest transaction that was open at the last successful
 run and removes the overlap by an anti-join of (key, version) pairs against the
 ledger of what successful runs processed. A version is (size_bytes, hash_blake3).
+Records that lie before this window and still are not in the ledger came late;
+they are found by keys and versions alone, and only these few are read in full.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import datetime as dt
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-MAX_RUNS = 100_000
+from quillspark.runtime import broadcast_if_small
+
+DAY_MS = 86_400_000
+MAX_BROADCAST = 500_000
 
 
 def current_files(files: DataFrame) -> DataFrame:
@@ -42,19 +49,50 @@ def processed_ledger(ledger: DataFrame, runs: DataFrame) -> DataFrame:
     return rows.groupBy("file_id").agg(F.max(version).alias("v")).select("file_id", "v.size_bytes", "v.hash_blake3")
 
 
+def _indexed_ms(indexed_at: Column) -> Column:
+    return F.unix_millis(F.try_to_timestamp(indexed_at))
+
+
+def window(files: DataFrame, low: int) -> DataFrame:
+    """Rows indexed at `low` (epoch milliseconds) or later, or at a time that can't be read. The bound of the text is a day
+    lower, whatever its time zone, and reaches the scan, which skips what is older."""
+    bound = dt.datetime.fromtimestamp((low - DAY_MS) / 1000, dt.timezone.utc).strftime("%Y-%m-%d")
+    when = _indexed_ms(F.col("indexed_at"))
+    return files.filter(F.col("indexed_at").isNull() | (F.col("indexed_at") >= bound)).filter(when.isNull() | (when >= low))
+
+
+def _unprocessed(now: DataFrame, done: DataFrame) -> DataFrame:
+    on = [now["file_id"] == done["file_id"], now["size_bytes"].eqNullSafe(done["size_bytes"]), now["hash_blake3"].eqNullSafe(done["hash_blake3"])]
+    return now.join(done, on, "left_anti")
+
+
+def reread_and_late(files: DataFrame, ledger: DataFrame, runs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(rows reread, keys of late files). The first are the current rows of files within the window; the second the
+    file_id of files outside of it whose current version no successful run recorded.
+
+    With no successful run the window holds everything. A file with rows on both sides is current within the window.
+    """
+    low = reread_from(runs)
+    if low is None:
+        return current_files(files), files.select("file_id").limit(0)
+    inside = current_files(window(files, low))
+    # of what lies before the window only keys, order and versions are read; Parquet skips the other columns
+    keys = files.filter("file_id is not null").select("file_id", "indexed_at", "modified_unix_ms", "size_bytes", "hash_blake3")
+    before = current_files(keys.join(broadcast_if_small(inside.select("file_id"), MAX_BROADCAST), "file_id", "left_anti"))
+    return inside, _unprocessed(before, processed_ledger(ledger, runs)).select("file_id")
+
+
 def to_process(files: DataFrame, ledger: DataFrame, runs: DataFrame) -> DataFrame:
     """Files that the next run must process: file_id, size_bytes, hash_blake3, modified_unix_ms, indexed_at, in_reread.
 
-    in_reread tells whether the row lies in the window that is read again; rows before it come late, and are found by
-    the same anti-join, as the window alone would skip them. Null sizes and hashes are versions like any other.
-    With an empty ledger or no successful run all files are returned.
+    in_reread tells whether the file lies in the window that is read again; the others came late. Rows whose time can't
+    be read count to the window. Null sizes and hashes are versions like any other. With an empty ledger or no
+    successful run all files are returned.
     """
-    low = reread_from(runs)
-    now = current_files(files)
-    done = processed_ledger(ledger, runs)
-    on = [now["file_id"] == done["file_id"], now["size_bytes"].eqNullSafe(done["size_bytes"]), now["hash_blake3"].eqNullSafe(done["hash_blake3"])]
-    indexed = F.expr("unix_millis(try_to_timestamp(indexed_at))")
-    return now.join(done, on, "left_anti").withColumn("in_reread", F.lit(True) if low is None else F.coalesce(indexed >= F.lit(low), F.lit(True)))
+    inside, late = reread_and_late(files, ledger, runs)
+    again = _unprocessed(inside, processed_ledger(ledger, runs)).withColumn("in_reread", F.lit(True))
+    rest = current_files(files.join(broadcast_if_small(late, MAX_BROADCAST), "file_id", "left_semi")).withColumn("in_reread", F.lit(False))
+    return again.unionByName(rest)
 
 
 def commit(processed: DataFrame, run_id: int, recorded_at: str) -> DataFrame:

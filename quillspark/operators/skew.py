@@ -52,14 +52,15 @@ def _slot(keys: list[Column], slots: int) -> Column:
     return F.pmod(F.xxhash64(*keys), F.lit(slots)).cast("int")
 
 
-def plan_load(df: DataFrame, keys: list[str], tasks: int, shards_per_task: int = 2, slots_per_task: int = 8) -> LoadPlan:
+def plan_load(df: DataFrame, keys: list[str], tasks: int, shards_per_task: int = 2, slots_per_task: int = 8, counts: DataFrame | None = None) -> LoadPlan:
     """Count rows per key and place them. At most tasks * (shards_per_task + slots_per_task) rows reach the driver:
-    a heavy key has more than total / (tasks * shards_per_task) rows, all other keys arrive summed by hash slot."""
+    a heavy key has more than total / (tasks * shards_per_task) rows, all other keys arrive summed by hash slot. counts:
+    rows per key (keys and n), where they are known before."""
     slots = tasks * slots_per_task
-    total = df.count()
+    total = df.count() if counts is None else counts.agg(F.sum("n")).first()[0] or 0
     limit = max(1, total // (tasks * shards_per_task))
     cols = [F.col(k) for k in keys]
-    counts = df.groupBy(*cols).agg(F.count(F.lit(1)).alias("n"))
+    counts = df.groupBy(*cols).agg(F.count(F.lit(1)).alias("n")) if counts is None else counts
     heavy = F.col("n") > limit
     rows = (
         counts.groupBy(
@@ -91,7 +92,7 @@ def plan_load(df: DataFrame, keys: list[str], tasks: int, shards_per_task: int =
 
 def _routing(df: DataFrame, keys: list[str], plan: LoadPlan) -> tuple[DataFrame, Column]:
     """df with the tasks of its heavy keys in __qs_bins (null for light keys), and the task of a light key."""
-    slot = F.element_at(F.array(*[F.lit(t) for t in plan.slots]), _slot([F.col(k) for k in keys], len(plan.slots)) + 1)
+    slot = F.element_at(F.split(F.lit(" ".join(map(str, plan.slots))), " "), _slot([F.col(k) for k in keys], len(plan.slots)) + 1).cast("int")
     if not plan.heavy:
         return df.withColumn("__qs_bins", F.lit(None).cast("array<int>")), slot
     schema = T.StructType([T.StructField(f"__qs_k{i}", df.schema[k].dataType) for i, k in enumerate(keys)] + [T.StructField("__qs_bins", T.ArrayType(T.IntegerType()))])

@@ -1,7 +1,8 @@
 """Attribute-value rows into wide tables, as log-structured upserts.
 
 Each batch becomes a sparse wide delta: one row per entity, one cell per column
-with the version it was written at. Runs of deltas are compacted by keeping the
+with the version it was written at. Deltas are stored as sorted runs in parts by
+entity; compaction merges the runs of the parts that have too many, keeping the
 latest version of every cell, so late and repeated batches may come in any order.
 """
 
@@ -9,15 +10,17 @@ from __future__ import annotations
 
 import json
 import re
+import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quillspark.runtime import parallelism, shared_path
+
 TYPES = ("number", "bool", "date", "string", "json")
-MAX_COLUMNS = 10_000
 _NUMBER = re.compile(r"[ \t\r\n]*[+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?[ \t\r\n]*")
 _DATE = re.compile(r"([0-9]{4})-([0-9]{2})-([0-9]{2})(?:[T ]([0-9]{2}):([0-9]{2})(?::([0-9]{2})(?:[.,][0-9]+)?)?[ ]?(?:Z|z|[+-][0-9]{2}(?::?[0-9]{2})?)?)?")
 _BOOL = {"true": True, "yes": True, "1": True, "false": False, "no": False, "0": False}
@@ -93,10 +96,8 @@ def read_values(df: DataFrame) -> DataFrame:
 
 
 def wide_schema(property_schema: DataFrame) -> list[tuple[str, str]]:
-    """Columns of the wide table, in order of name; at most MAX_COLUMNS, as a table's width is bounded."""
-    rows = property_schema.select("prop_key", "target_type").filter("prop_key is not null").distinct().orderBy("prop_key", "target_type").limit(MAX_COLUMNS + 1).collect()
-    if len(rows) > MAX_COLUMNS:
-        raise ValueError(f"more than {MAX_COLUMNS} columns")
+    """Columns of the wide table, in order of name. A row per column reaches the driver, as the plan has one each."""
+    rows = property_schema.select("prop_key", "target_type").filter("prop_key is not null").distinct().orderBy("prop_key", "target_type").collect()
     seen: dict[str, str] = {}
     for r in rows:
         if r["target_type"] not in TYPES:
@@ -141,21 +142,82 @@ def cell_versions(properties: DataFrame, columns: list[tuple[str, str]], batch:
 def sparse_deltas(properties: DataFrame, columns: list[tuple[str, str]], batch: Column | None = None) -> DataFrame:
     """Batches as sparse wide deltas, one row per batch and entity that it writes: batch, file_id, cells.
 
-    cells holds (c, cell) only for the columns written, so at most one per column of the schema. The batch is the month
-    of updated_at unless given. Rows are hash-partitioned by file_id and sorted, as the runs of the log.
+    cells holds (c, cell) only for the columns written, in order of column, so at most one per column of the schema. The
+    batch is the month of updated_at unless given.
     """
     batch = F.substring(F.coalesce("updated_at", F.lit("")), 1, 7) if batch is None else batch
     versions = cell_versions(properties, columns, batch).repartition("file_id")
-    return versions.groupBy("batch", "file_id").agg(F.collect_list(F.struct("c", "cell")).alias("cells"))
+    return versions.groupBy("batch", "file_id").agg(F.array_sort(F.collect_list(F.struct("c", "cell"))).alias("cells"))
 
 
 def compact(*runs: DataFrame) -> DataFrame:
-    """Merge sorted runs by the latest version of each cell: file_id, cells in order of column."""
+    """Merge runs by the latest version of each cell: file_id, cells in order of column. The cells of an entity are at most
+    one per run and column, and are merged where they are, without another shuffle."""
     union = runs[0].select("file_id", "cells")
     for r in runs[1:]:
         union = union.unionByName(r.select("file_id", "cells"))
-    latest = union.select("file_id", F.inline("cells")).groupBy("file_id", "c").agg(F.max("cell").alias("cell"))
-    return latest.groupBy("file_id").agg(F.array_sort(F.collect_list(F.struct("c", "cell"))).alias("cells"))
+    merged = union.groupBy("file_id").agg(F.array_sort(F.flatten(F.collect_list("cells"))).alias("all"))
+    # in order of column and version, the last of each column is its latest
+    last = F.filter("all", lambda x, i: (i == F.size("all") - 1) | (F.get("all", i + 1)["c"] != x["c"]))
+    return merged.select("file_id", last.alias("cells"))
+
+
+class WideLog:
+    """Runs of sparse deltas in a folder: run=<id>/part=<number>, sorted by entity within each file.
+
+    Reading merges what there is by version, so it does not matter in which order batches came, whether one came twice,
+    or whether a compaction was lost between writing its run and deleting the runs it replaces.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, columns: list[tuple[str, str]], parts: int = 64) -> None:
+        self.spark, self.path, self.columns, self.parts = spark, path, columns, parts
+        self._fs_path = spark._jvm.org.apache.hadoop.fs.Path
+        self._fs = self._fs_path(path).getFileSystem(spark._jsc.hadoopConfiguration())
+
+    def append(self, properties: DataFrame, run: str | None = None) -> None:
+        """Write the batches of the rows as runs: one named `run`, or, by default, one per month of updated_at."""
+        deltas = sparse_deltas(properties, self.columns, F.lit(run) if run is not None else None)
+        self._write(deltas.withColumnRenamed("batch", "run"))
+
+    def _write(self, deltas: DataFrame) -> None:
+        part = F.pmod(F.xxhash64("file_id"), F.lit(self.parts)).cast("int")
+        rows = deltas.select(F.concat(F.lit("r"), "run").alias("run"), part.alias("part"), "file_id", "cells").repartition(self.parts, "part").sortWithinPartitions("run", "part", "file_id")
+        rows.write.partitionBy("run", "part").mode("append").parquet(self.path)
+
+    def runs(self) -> dict[int, list[str]]:
+        """Folders of the runs by part."""
+        found: dict[int, list[str]] = {}
+        for s in self._fs.globStatus(self._fs_path(f"{self.path}/run=*/part=*")) or []:
+            at = s.getPath().toString()
+            found.setdefault(int(at.rsplit("=", 1)[1]), []).append(at)
+        return found
+
+    def _read(self, folders: list[str]) -> DataFrame:
+        schema = "file_id string, cells array<struct<c: int, cell: struct<updated_at: string, property_id: string, value_json: string>>>"
+        return self.spark.read.schema(schema).parquet(*folders) if folders else self.spark.createDataFrame([], schema)
+
+    def cells(self) -> DataFrame:
+        """The latest version of each cell: file_id, cells in order of column."""
+        return compact(self._read([f for folders in self.runs().values() for f in folders]))
+
+    def compact(self, most_runs: int = 4) -> int:
+        """Merge the runs of those parts that have more than most_runs, and leave the other parts alone. Returns the number
+        of parts that were merged."""
+        many = {p: folders for p, folders in self.runs().items() if len(folders) > most_runs}
+        old = [f for folders in many.values() for f in folders]
+        if old:
+            self._write(compact(self._read(old)).withColumn("run", F.lit(f"c{uuid.uuid4().hex}")))
+            for f in old:
+                self._fs.delete(self._fs_path(f), True)
+        return len(many)
+
+
+def log_of(properties: DataFrame, columns: list[tuple[str, str]]) -> WideLog:
+    """A log of all rows in the shared folder; it is deleted when the driver ends."""
+    spark = properties.sparkSession
+    log = WideLog(spark, shared_path(spark, "wide"), columns, parallelism(spark))
+    log.append(properties)
+    return log
 
 
 def wide_table(properties: DataFrame, property_schema: DataFrame) -> DataFrame:
@@ -166,6 +228,11 @@ def wide_table(properties: DataFrame, property_schema: DataFrame) -> DataFrame:
     prop_key `file_id` raises ValueError.
     """
     columns = wide_schema(property_schema)
+    return typed(log_of(properties, columns).cells(), columns)
+
+
+def typed(cells: DataFrame, columns: list[tuple[str, str]]) -> DataFrame:
+    """Cells of entities as a table with a typed column for each column of the schema."""
     if any(k.lower() == "file_id" for k, _ in columns):
         raise ValueError("file_id is the key of the wide table")
     kinds = [t for _, t in columns]
@@ -179,8 +246,7 @@ def wide_table(properties: DataFrame, property_schema: DataFrame) -> DataFrame:
                     rows[c][r] = read_value(v, kinds[c])[1]
             yield pa.RecordBatch.from_arrays([b.column("file_id"), *[pa.array(x, pa.string()) for x in rows]], [f.name for f in schema.fields])
 
-    runs = compact(sparse_deltas(properties, columns))
-    text = runs.select("file_id", F.col("cells.c").alias("cs"), F.col("cells.cell.value_json").alias("vs")).mapInArrow(run, schema)
+    text = cells.select("file_id", F.col("cells.c").alias("cs"), F.col("cells.cell.value_json").alias("vs")).mapInArrow(run, schema)
     cast = {"number": "double", "bool": "boolean", "date": "date", "string": "string", "json": "string"}
     return text.select("file_id", *[F.expr(f"try_cast(c{i} AS {cast[t]})").alias(k) for i, (k, t) in enumerate(columns)])
 
@@ -189,6 +255,6 @@ def bad_cells(properties: DataFrame, property_schema: DataFrame) -> DataFrame:
     """Latest cells that can't be read as the type of their column: file_id, prop_key, target_type, value_json."""
     columns = wide_schema(property_schema)
     names = F.array(*[F.struct(F.lit(k).alias("prop_key"), F.lit(t).alias("target_type")) for k, t in columns]) if columns else F.lit(None).cast("array<struct<prop_key:string,target_type:string>>")
-    rows = compact(sparse_deltas(properties, columns)).select("file_id", F.inline("cells"))
+    rows = log_of(properties, columns).cells().select("file_id", F.inline("cells"))
     rows = rows.select("file_id", F.element_at(names, F.col("c") + 1).alias("n"), F.col("cell.value_json").alias("value_json"))
     return read_values(rows.select("file_id", "n.prop_key", "n.target_type", "value_json")).filter("not readable").select("file_id", "prop_key", "target_type", "value_json")

@@ -43,13 +43,19 @@ def _drop(spark: SparkSession, path: str) -> None:
         pass
 
 
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder; what is written there is deleted when the driver ends."""
+    ensure_checkpoint_dir(spark)
+    path = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/{name}-{uuid.uuid4().hex}"
+    atexit.register(_drop, spark, path)
+    return path
+
+
 def cut_table(df: DataFrame) -> DataFrame:
     """As cut, but as a table in the shared folder: scans of it are alike to the planner, so a self-join shuffles once.
     The table is deleted when the driver ends."""
     spark = df.sparkSession
-    ensure_checkpoint_dir(spark)
-    path = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/table-{uuid.uuid4().hex}"
-    atexit.register(_drop, spark, path)
+    path = shared_path(spark, "table")
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -83,6 +89,7 @@ def build_session(app: str = "quillspark", cpus: int | None = None) -> SparkSess
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.ui.enabled", "false")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .config("spark.driver.memory", os.environ.get("QUILLSPARK_DRIVER_MEMORY", "8g"))
         .getOrCreate()
     )

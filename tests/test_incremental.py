@@ -57,6 +57,28 @@ def test_reread_from(spark):
     assert I.reread_from(spark.createDataFrame([], RUNS)) is None
 
 
+def test_window_and_late_files(spark):
+    """Low is 2000 ms after the epoch, as run 2 crashed. What is before it and in the ledger is not reread."""
+    at = lambda ms, zone="Z": f"1970-01-0{1 + ms // 86_400_000}T00:00:0{ms // 1000 % 10}.000{zone}"
+    f = files(
+        spark,
+        [("old", 1, "h", at(1000)), ("late", 1, "h", at(1000)), ("late", 9, "g", at(0)), ("in", 1, "h", at(5000)), ("done", 1, "h", at(6000)), ("both", 1, "h", at(0)), ("both", 2, "h", at(7000)), ("zone", 1, "h", "1970-01-02T00:00:01.000+23:00"), ("odd", 1, "h", "no time"), ("null", 1, "h", None)],
+    )
+    led = ledger(spark, [("old", 3, 1, "h", "a"), ("done", 3, 1, "h", "a"), ("both", 3, 1, "h", "a")])
+    runs = spark.createDataFrame(RUN_ROWS, RUNS)
+    inside, late = I.reread_and_late(f, led, runs)
+    assert {r["file_id"] for r in inside.collect()} == {"in", "done", "both", "zone", "odd", "null"}
+    assert {r["file_id"] for r in late.collect()} == {"late"}
+    got = {r["file_id"]: (r["size_bytes"], r["in_reread"]) for r in I.to_process(f, led, runs).collect()}
+    assert got == {"late": (1, False), "in": (1, True), "both": (2, True), "zone": (1, True), "odd": (1, True), "null": (1, True)}
+
+
+def test_window_reaches_the_scan(spark, tmp_path):
+    files(spark, [("a", 1, "h", "2024-01-01T00:00:00.000Z")]).write.parquet(str(tmp_path / "f"))
+    plan = I.window(spark.read.parquet(str(tmp_path / "f")), 1_700_000_000_000)._jdf.queryExecution().toString()
+    assert "GreaterThanOrEqual(indexed_at,2023-11-13)" in plan
+
+
 def test_empty(spark):
     f = files(spark, [("a", 1, "h", "bad time")])
     none = [spark.createDataFrame([], s) for s in (FILES, LEDGER, RUNS)]

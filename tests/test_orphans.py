@@ -72,6 +72,53 @@ def test_deltas_come_and_go(spark):
     assert O.orphan_keys(gone).collect() == [] and {r["ref_key"] for r in gone.collect()} == {"a", "c"}
 
 
+def test_namesakes_are_counted(spark):
+    files = [("1", "a/x.md", "1", ""), ("2", "b/x.md", "1", ""), ("1", "a/x.md", "1", ""), ("s", "a/s.md", "1", "")]
+    links = [("l", "s", "x", None, "2023-01", True, ""), ("m", "s", "b/x", None, "2023-01", True, ""), ("n", "s", "a/X.md", None, "2023-01", True, "")]
+    lf, ff = spark.createDataFrame(links, LINKS), spark.createDataFrame(files, FILES)
+    state, _ = O.build(lf, ff)
+    assert O.orphan_keys(state.keys).collect() == []
+    after = O.advance(state, ff.filter("file_id <> '1'"), files_removed=ff.filter("file_id = '1'").distinct())
+    assert {r[0] for r in O.orphan_keys(after.keys).collect()} == {"t:a|a/x"}
+    after = O.advance(after, ff.filter("file_id = 's'"), files_removed=ff.filter("file_id = '2'"))
+    assert {r[0] for r in O.orphan_keys(after.keys).collect()} == {"t:a|a/x", "t:a|b/x", "n:x"}
+    back = O.advance(after, ff, files_added=ff.filter("file_id <> 's'").distinct())
+    assert O.orphan_keys(back.keys).collect() == []
+
+
+def _state(s):
+    return {tuple(r) for r in s.keys.select("ref_key", "refs", "exists").collect() if not (r[0].startswith("t:") and r[1] == 0)}
+
+
+def test_changes_equal_a_rebuild(spark):
+    """Links and files that come and go, sources that move: the state advanced is that of a rebuild."""
+    links, files = data(5)
+    links = list(dict.fromkeys(links))
+    files = [f for f in files if f[0] is not None]
+    lf, ff = (lambda rows: spark.createDataFrame(rows, LINKS)), (lambda rows: spark.createDataFrame(rows, FILES))
+    early_l, early_f = links[:400], files[:40]
+    moved = [("f2", "elsewhere/deep/x/Note 2.md", "2025", "c"), ("f3", "notes/a/x3/Note 3.md", "2025", "c")]
+    state, _ = O.build(lf(early_l), ff(early_f))
+    after_f = early_f + files[40:] + moved
+    state = O.advance(state, ff(after_f), links_added=lf(links[400:]), files_added=ff(files[40:] + moved))
+    want, _ = O.build(lf(links), ff(after_f))
+    assert _state(state) == _state(want)
+    gone = [f for f in after_f if f[0] in ("f1", "f7", "f8", "top")]
+    left_f = [f for f in after_f if f not in gone]
+    state = O.advance(state, ff(left_f), files_removed=ff(gone), links_removed=lf(links[100:200]))
+    want, refs = O.build(lf(links[:100] + links[200:]), ff(left_f))
+    assert _state(state) == _state(want)
+    assert {r["link_id"] for r in refs.join(O.orphan_keys(state.keys), "ref_key").collect()} == {x for x, _ in brute(links[:100] + links[200:], left_f)}
+
+
+def test_hot_key_is_split(spark, monkeypatch):
+    links = [(f"l{i}", "s", None, "missing" if i % 3 else f"gone{i}", "2023-01", True, "") for i in range(3000)]
+    ff = spark.createDataFrame([("s", "a/s.md", "1", "")], FILES)
+    monkeypatch.setattr(O, "MAX_BROADCAST", 10)
+    got = {(r["link_id"], r["ref_field"]) for r in O.orphan_references(spark.createDataFrame(links, LINKS), ff).collect()}
+    assert got == brute(links, [("s", "a/s.md", "1", "")])
+
+
 def test_empty(spark):
     links, files = data()
     none = spark.createDataFrame([], FILES)

@@ -72,6 +72,24 @@ def test_runs_in_pieces_equal_one(spark, schema):
     assert {(r["file_id"], str(r["cells"])) for r in W.compact(*parts).collect()} == whole
 
 
+def test_log_in_any_order(spark, schema, tmp_path):
+    """Batches in any order, twice, and compactions between them, give the table of all rows; only touched parts are merged."""
+    p = props(spark, [(f"f{i % 17}", k, str(i), f"2023-{1 + i % 5:02d}-{1 + i % 28:02d}") for i in range(300) for k in ("n", "s", "due")])
+    columns = W.wide_schema(schema)
+    want = {tuple(r) for r in W.wide_table(p, schema).collect()}
+    log = W.WideLog(spark, str(tmp_path / "log"), columns, parts=4)
+    assert log.cells().collect() == [] and log.compact() == 0
+    for n, month in enumerate(("03", "01", "05", "01", "02", "04")):
+        log.append(p.filter(f"substr(updated_at, 6, 2) = '{month}'"), f"b{n}")
+    assert log.compact(most_runs=3) == 4 and all(len(f) == 1 for f in log.runs().values())
+    assert {tuple(r) for r in W.typed(log.cells(), columns).collect()} == want
+    log.append(p.filter("file_id = 'f3'"), "again")
+    before = log.runs()
+    assert log.compact(most_runs=1) == 1
+    assert sum(log.runs()[k] == v for k, v in before.items()) == 3
+    assert {tuple(r) for r in W.typed(log.cells(), columns).collect()} == want
+
+
 def test_hot_entity_and_long_values(spark, schema):
     p = props(spark, [("hot", "n", str(i), f"{i:06d}") for i in range(3000)] + [("long", "s", '"' + "x" * 500_000 + '"', "1")])
     out = {r["file_id"]: r for r in W.wide_table(p, schema).collect()}
