@@ -163,7 +163,7 @@ class Vault:
 
     def base_rows(self, id_or_path: str, view_name: str, where: str | None = None, sort: str | None = None, select: str | None = None, limit: int = 100, offset: int = 0) -> DataFrame:
         """Rows of a view as JSON text per column; where and sort see all rows of the view before paging."""
-        plan = B.compile_view(B.find_view(self._views(id_or_path), view_name), 1, 2_000_000_000, summaries=False)
+        plan = B.compile_view(B.find_view(self._views(id_or_path), view_name), 1, B.ALL_ROWS, summaries=False)
         rows = baseview.execute(plan, self.t["files"], self.t["properties"]).rows
         keys, tree = W.parse_sort(sort), W.parse_where(where)
 

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from quillspark.functions import text as T
 from quillspark.functions import values as V
 from quillspark.operators.resolve import resolve
-from quillspark.plans.bases import Aggregate, BaseError, Filter, Rollup, TablePlan
+from quillspark.plans.bases import ALL_ROWS, Aggregate, BaseError, Filter, Rollup, TablePlan
 
 VIRTUAL = {"path": "path", "file_path": "path", "folder": "folder", "file_folder": "folder", "ext": "ext", "file_ext": "ext", "title": "title"}
 
@@ -223,7 +223,8 @@ def _free(key: str) -> str:
 
 
 def _page(rows: DataFrame, plan: TablePlan) -> DataFrame:
-    return (rows.offset(plan.offset) if plan.offset else rows).limit(plan.limit)
+    rows = rows.offset(plan.offset) if plan.offset else rows
+    return rows if plan.limit == ALL_ROWS else rows.limit(plan.limit)
 
 
 def groups(rows: DataFrame, keys: tuple[str, ...], aggregates: tuple[Aggregate, ...], value: object, sorts: list) -> DataFrame:
@@ -239,7 +240,11 @@ def groups(rows: DataFrame, keys: tuple[str, ...], aggregates: tuple[Aggregate,
         names = [f"g{i}" for i in range(len(keys))]
         parts = parts.withColumn("r", F.row_number().over(Window.partitionBy(*names, "salt").orderBy(*order))).filter("r = 1")
         heads = parts.withColumn("r", F.row_number().over(Window.partitionBy(*names or [F.lit(1)]).orderBy(*order))).filter("r = 1").select(*names, F.struct("file_id", "file_path").alias("f"))
-        out = out.drop("f").join(heads, names) if names else out.drop("f").withColumn("f", F.lit(None).cast("struct<file_id:string,file_path:string>")).drop("f").join(F.broadcast(heads), F.lit(True))
+        if names:
+            out = out.drop("f").join(heads, names)
+        else:  # one group, so one head
+            top = heads.first()
+            out = out.withColumn("f", F.struct(F.lit(top["f"]["file_id"] if top else None).alias("file_id"), F.lit(top["f"]["file_path"] if top else None).alias("file_path")))
     named = sorted((k, i) for i, k in enumerate(keys))
     text = F.concat(F.lit("{"), F.concat_ws(",", *[F.concat(F.lit(json.dumps(k) + ":"), f"g{i}") for k, i in named]), F.lit("}")) if named else F.lit("{}")
     return out.select(

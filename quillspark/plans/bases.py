@@ -324,6 +324,10 @@ def required_keys(v: View) -> tuple[str, ...]:
     return tuple({k.lower(): k for k in reversed(every)}[low] for low in dict.fromkeys(k.lower() for k in every))
 
 
+#: A page size that stands for all rows: the plan has no limit.
+ALL_ROWS = 2_000_000_000
+
+
 def compile_view(v: View, page: int = 1, page_size: int = 50, summaries: bool = True) -> TablePlan:
     if page < 1 or page_size < 1:
         raise BaseError("page and page size start at 1")

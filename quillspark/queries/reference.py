@@ -5,8 +5,6 @@ Names start with the operator's number in the survey. Files are taken in their c
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,11 +14,12 @@ from quillspark.functions import values as V
 from quillspark.operators import baseview, graph, incremental, index, meta, resolve, search, tasks
 from quillspark.plans import bases as B
 from quillspark.plans import where as W
-from quillspark.runtime import cut, ensure_checkpoint_dir, spread, table
+from quillspark.runtime import shared_path, spread, table
 from quillspark.sources import events as E
 from quillspark.sources import tables as S
 from quillspark.sources import vault
 
+ALL = B.ALL_ROWS
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
 
@@ -111,8 +110,7 @@ def s13_events_stream(spark: SparkSession, d: str) -> DataFrame:
     """The events as a stream, read to its end; latest time and number per user of what was written."""
     from quillspark.streaming import ingest
 
-    ensure_checkpoint_dir(spark)
-    at = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/stream-{uuid.uuid4().hex}"
+    at = shared_path(spark, "stream")
     source = spark.readStream.schema(table(spark, d, "events").schema).parquet(f"{d}/events.parquet*")
     ingest.event_sink(source, f"{at}/out", f"{at}/log").awaitTermination()
     return spark.read.parquet(f"{at}/out").groupBy("user_id").agg(F.max("ts").alias("ts"), F.count(F.lit(1)).alias("n"))
@@ -173,8 +171,23 @@ def w03_not_equal_keeps_missing(spark: SparkSession, d: str) -> DataFrame:
     return rows.filter(W.compile_where(W.parse_where("k != 50"), lambda n: F.col(n))).select("event_id")
 
 
+@_q("SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_discount = 0.05::DOUBLE AND NOT (l_tax = 0.02::DOUBLE) AND l_returnflag = 'R'")
+def w03_equal_numbers_and_texts(spark: SparkSession, d: str) -> DataFrame:
+    kinds = {"l_discount": "number", "l_tax": "number", "l_returnflag": "string"}
+    tree = W.parse_where("l_discount == 0.05 and l_tax != 0.02 and l_returnflag == 'R'")
+    return table(spark, d, "lineitem").filter(W.compile_where(tree, lambda n: V.scalar_value(F.col(n), kinds[n]))).select("l_orderkey", "l_linenumber")
+
+
 # --- views -------------------------------------------------------------------------------------------------------
 
+#: The best of the targets for each of asks (t, home), both in lower case: own folder first, then fewest steps, then path.
+_RANKED = r""", ks AS (SELECT DISTINCT t, home, unnest(CASE WHEN contains(t, '/') THEN list_concat([t], list_transform(range(1, len(string_split(home, '/')) + 1), lambda i: array_to_string(string_split(home, '/')[1:i], '/') || '/' || t)) ELSE ['//' || t] END) AS v FROM asks),
+  kb AS (SELECT DISTINCT t, home, regexp_replace(v, '\.md$', '') AS k FROM ks),
+  cand AS (SELECT file_id, path, regexp_replace(lower(path), '\.md$', '') AS k FROM targets UNION ALL SELECT file_id, path, '//' || regexp_replace(lower(regexp_extract(path, '[^/]*$')), '\.md$', '') FROM targets),
+  hits AS (SELECT DISTINCT t, home, file_id, path, lower(CASE WHEN contains(path, '/') THEN regexp_replace(path, '/[^/]*$', '') ELSE '' END) AS there FROM kb JOIN cand USING (k)),
+  parts AS (SELECT *, CASE WHEN home = '' THEN [] ELSE string_split(home, '/') END AS a, CASE WHEN there = '' THEN [] ELSE string_split(there, '/') END AS b FROM hits),
+  dist AS (SELECT *, len(a) + len(b) - 2 * coalesce(list_max(list_filter(range(0, least(len(a), len(b)) + 1), lambda i: a[1:i] = b[1:i])), 0) AS steps FROM parts),
+  best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY t, home ORDER BY (home <> there)::INT, steps, lower(path), path, file_id) AS rn, count(*) OVER (PARTITION BY t, home) AS n_matches FROM dist) WHERE rn = 1)"""
 _LATEST = ", q AS (SELECT file_id, key, arg_max(value_json, (updated_at, property_id, value_json)) AS j FROM p GROUP BY 1, 2)"
 _VIEW = {
     "views": [
@@ -194,11 +207,11 @@ _VIEW = {
 _TEXT = lambda c: rf"CASE WHEN {c} IS NULL THEN 'null' WHEN json_valid({c}) THEN CASE WHEN json_type({c}) = 'NULL' THEN 'null' ELSE {c} END ELSE to_json({c})::VARCHAR END"
 
 
-def _view(name: str, page_size: int = 1_000_000) -> B.TablePlan:
+def _view(name: str, page_size: int = ALL) -> B.TablePlan:
     return B.compile_view(B.find_view(B.views_of(_VIEW), name), 1, page_size)
 
 
-def _run(spark: SparkSession, d: str, name: str, page_size: int = 1_000_000) -> baseview.ViewResult:
+def _run(spark: SparkSession, d: str, name: str, page_size: int = ALL) -> baseview.ViewResult:
     return baseview.execute(_view(name, page_size), _files(spark, d), _props(spark, d))
 
 
@@ -213,6 +226,31 @@ def j02_b01_b05_b06_f01_view_rows(spark: SparkSession, d: str) -> DataFrame:
     return _run(spark, d, "open").rows.select("file_id", "file_path", F.get_json_object(F.concat(F.lit('{"v":'), "title", F.lit("}")), "$.v").alias("title"))
 
 
+_NUMBERS = {"views": [{"type": "table", "name": "numbers", "filters": [{"key": "progress", "op": "gte", "value": -1e300}, {"key": "progress", "op": "lte", "value": 1e300}], "columns": ["progress", "path", "none"]}]}
+
+
+@_q(_LATEST + r""", n AS (SELECT normalized_path AS path, j::DOUBLE AS n FROM f JOIN q ON q.file_id = f.file_id AND key = 'progress' WHERE is_markdown AND regexp_full_match(trim(j), '-?[0-9]+(\.[0-9]+)?([eE][+-]?[0-9]+)?'))
+  SELECT 'progress' AS column_name, count(*) AS n, min(n)::VARCHAR AS least, max(n)::VARCHAR AS most, round(avg(n), 6) AS mean FROM n
+  UNION ALL SELECT 'path', count(*), '"' || min(path) || '"', '"' || max(path) || '"', NULL FROM n UNION ALL SELECT 'none', 0, NULL, NULL, NULL""")
+def a06_summary_values(spark: SparkSession, d: str) -> DataFrame:
+    """Count, least, greatest and mean of the columns of a view; a column of numbers, one of texts, and one without values."""
+    rows = baseview.execute(B.compile_view(B.views_of(_NUMBERS)[0]), _files(spark, d), _props(spark, d)).summaries
+    number = lambda c: F.coalesce(F.expr(f"try_cast({c} AS double)").cast("string"), F.col(c))
+    return rows.select(F.col("column").alias("column_name"), F.col("count").alias("n"), number("min").alias("least"), number("max").alias("most"), F.round("avg", 6).alias("mean"))
+
+
+@_q(_LATEST + r""", v AS (SELECT f.file_id, normalized_path AS path, j, CASE WHEN NOT json_valid(j) THEN 3 WHEN j IN ('true', 'false') THEN 1 WHEN starts_with(j, '"') THEN 3 WHEN j = 'null' THEN NULL ELSE 2 END AS r,
+    CASE WHEN json_valid(j) AND json_type(j) = 'VARCHAR' THEN j->>'$' ELSE j END AS s FROM f JOIN q ON q.file_id = f.file_id AND key = 'rating' WHERE is_markdown AND CASE WHEN json_valid(j) THEN json_type(j) NOT IN ('ARRAY', 'OBJECT') ELSE true END)
+  SELECT file_id, path AS file_path FROM v ORDER BY r DESC NULLS LAST, CASE WHEN r = 1 THEN j = 'true' END DESC, CASE WHEN r = 2 THEN j::DOUBLE END DESC, CASE WHEN r = 3 THEN s END DESC, path, file_id LIMIT 50 OFFSET 50""")
+def o03_o04_o08_v17_sorted_page(spark: SparkSession, d: str) -> DataFrame:
+    """The second page of a view, sorted by values of mixed types, the greatest first."""
+    doc = B.views_of({"views": [{"type": "table", "filters": [{"key": "rating", "op": "exists", "value": True}], "sorts": [{"key": "rating", "direction": "desc"}], "columns": ["rating"]}]})
+    files, props = _files(spark, d), _props(spark, d)
+    nested = F.col("v0")["rank"].isin(V.ARRAY, V.OBJECT)
+    kept = baseview.pivot(baseview.candidates(files, None), props, ("rating",)).filter(~F.coalesce(nested, F.lit(False))).select("file_id")
+    return baseview.execute(B.compile_view(doc[0], 2, 50), files.join(kept, "file_id", "left_semi"), props).rows.select("file_id", "file_path")
+
+
 @_q(_OPEN + " SELECT 'status' AS column_name, count(st_val) AS n FROM v UNION ALL SELECT 'owner', count(*) FILTER (ow IS NOT NULL AND NOT (json_valid(ow) AND json_type(ow) = 'NULL')) FROM v UNION ALL SELECT c, (SELECT count(*) FROM v) FROM (VALUES ('path'), ('title'), ('folder')) t(c)")
 def a06_view_summaries(spark: SparkSession, d: str) -> DataFrame:
     return _run(spark, d, "open").summaries.select(F.col("column").alias("column_name"), F.col("count").alias("n"))
@@ -233,36 +271,52 @@ def b02_ordered_by_type(spark: SparkSession, d: str) -> DataFrame:
     return _run(spark, d, "numbers").rows.select("file_id")
 
 
-_RELATED = _LATEST + r""", x AS (SELECT q.file_id, j, unnest(CASE WHEN json_valid(j) AND json_type(j) = 'ARRAY' THEN list_filter(j->>'$[*]', lambda y: y IS NOT NULL) WHEN json_valid(j) AND json_type(j) = 'OBJECT' THEN [coalesce(j->>'$.path', '')] WHEN json_valid(j) AND json_type(j) = 'NULL' THEN [] WHEN json_valid(j) THEN [j->>'$'] ELSE [j] END) AS tok
-    FROM q JOIN f USING (file_id) WHERE key = 'related' AND is_markdown),
-  y AS (SELECT file_id, regexp_replace(trim(regexp_replace(regexp_replace(trim(tok), '^\[\[|\]\]$', '', 'g'), '[|#].*$', '')), '^/+', '') AS t FROM x),
-  z AS (SELECT file_id, CASE WHEN ends_with(lower(t), '.md') THEN t ELSE t || '.md' END AS t FROM y WHERE t <> ''),
-  names AS (SELECT DISTINCT regexp_replace(lower(regexp_extract(normalized_path, '[^/]*$')), '\.md$', '') AS n FROM f WHERE is_markdown),
-  done AS (SELECT z.file_id, count(*) AS n FROM z WHERE NOT contains(t, '/') AND regexp_replace(lower(t), '\.md$', '') IN (SELECT n FROM names) GROUP BY 1),
-  has AS (SELECT file_id FROM q JOIN f USING (file_id) WHERE key = 'related' AND is_markdown)"""
+_RELATED = _LATEST + r""", x AS (SELECT q.file_id, normalized_path, j, unnest(CASE WHEN json_valid(j) AND json_type(j) = 'ARRAY' THEN list_filter(j->>'$[*]', lambda y: y IS NOT NULL) WHEN json_valid(j) AND json_type(j) = 'OBJECT' THEN [coalesce(j->>'$.path', '')] WHEN json_valid(j) AND json_type(j) = 'NULL' THEN [] WHEN json_valid(j) THEN [j->>'$'] ELSE [j] END) AS tok
+    FROM q JOIN f USING (file_id) WHERE key = '{key}' AND is_markdown),
+  y AS (SELECT file_id, normalized_path, regexp_replace(trim(regexp_replace(regexp_replace(trim(tok), '^\[\[|\]\]$', '', 'g'), '[|#].*$', '')), '^/+', '') AS t FROM x),
+  z AS (SELECT file_id, lower(CASE WHEN contains(normalized_path, '/') THEN regexp_replace(normalized_path, '/[^/]*$', '') ELSE '' END) AS home, lower(CASE WHEN ends_with(lower(t), '.md') THEN t ELSE t || '.md' END) AS t FROM y WHERE t <> ''),
+  asks AS (SELECT DISTINCT t, home FROM z), targets AS (SELECT file_id, normalized_path AS path FROM f WHERE is_markdown)""" + _RANKED + r""",
+  got AS (SELECT z.file_id, best.file_id AS to_id FROM z JOIN best ON best.t = z.t AND best.home = z.home),
+  has AS (SELECT file_id FROM q JOIN f USING (file_id) WHERE key = '{key}' AND is_markdown),
+  pr AS (SELECT file_id AS to_id, CASE WHEN regexp_full_match(trim(j), '-?[0-9]+(\.[0-9]+)?([eE][+-]?[0-9]+)?') THEN j::DOUBLE END AS n FROM q WHERE key = 'rating')"""
 
 
-@_q(_RELATED + " SELECT has.file_id, coalesce(done.n, 0) AS n_related FROM has LEFT JOIN done USING (file_id) WHERE has.file_id NOT IN (SELECT file_id FROM z WHERE contains(t, '/'))")
+@_q(_RELATED.replace("{key}", "related") + " SELECT has.file_id, count(to_id) AS n_related FROM has LEFT JOIN got USING (file_id) GROUP BY 1")
 def j03_a05_relation_counts(spark: SparkSession, d: str) -> DataFrame:
-    """Found targets per note, of notes whose relation names no path with a slash."""
-    files, props = _files(spark, d), _props(spark, d)
-    plan = _view("related")
-    rows = baseview.execute(plan, files, props).rows.select("file_id", F.col("n_related").cast("long").alias("n_related"))
-    pivoted = baseview.pivot(baseview.candidates(files, None), props, ("related",))
-    slashed = pivoted.select("file_id", F.explode(baseview.tokens(F.col("v0"))).alias("t")).filter("t like '%/%'").select("file_id").distinct()
-    return rows.join(slashed, "file_id", "left_anti")
-
-
-@_q()
-def j07_rollup_sums(spark: SparkSession, d: str) -> DataFrame:
-    return _run(spark, d, "related").rows.select("file_id", "n_related", "sum_related")
-
-
-@_q(_LATEST + " SELECT q.file_id, key FROM q WHERE key IN ('status', 'priority') AND j IS NOT NULL")
-def p06_display(spark: SparkSession, d: str) -> DataFrame:
-    wide = baseview.pivot(_props(spark, d).select("file_id").distinct().withColumn("file_path", F.lit("")), _props(spark, d), ("status", "priority"))
-    each = F.inline(F.array(*[F.struct(F.lit(k).alias("key"), V.is_present(F.col(f"v{i}")).alias("here"), V.display(F.col(f"v{i}")).alias("text")) for i, k in enumerate(("status", "priority"))]))
-    return wide.select("file_id", each).filter("here").select("file_id", "key")
+    """Found targets per note."""
+    return _run(spark, d, "related").rows.select("file_id", F.col("n_related").cast("long").alias("n_related"))
+
+
+@_q(_RELATED.replace("{key}", "contacts") + " SELECT has.file_id, count(to_id) AS n, round(coalesce(sum(pr.n), 0), 6) AS total, min(pr.n) AS least, max(pr.n) AS most FROM has LEFT JOIN got USING (file_id) LEFT JOIN pr USING (to_id) GROUP BY 1")
+def j07_a05_rollups(spark: SparkSession, d: str) -> DataFrame:
+    """Rollups of a property of the targets of a relation; texts and other types are above numbers, so only notes whose
+    targets hold numbers, or nothing, show a least and a greatest one."""
+    ops = ("count", "sum", "min", "max")
+    view = B.views_of({"views": [{"type": "table", "relations": ["contacts"], "rollups": [{"alias": f"x_{op}", "relation": "contacts", "target": "rating", "op": op} for op in ops], "columns": [f"x_{op}" for op in ops], "filters": [{"key": "contacts", "op": "exists", "value": True}]}]})
+    props = _props(spark, d)
+    # of the ratings the latest that are numbers, as the SQL has them
+    latest = props.filter("key = 'rating'").groupBy("file_id").agg(F.max(F.struct("updated_at", "property_id", "value_json")).alias("c")).filter(F.rlike(F.trim("c.value_json"), F.lit(r"^-?[0-9]+(\.[0-9]+)?([eE][+-]?[0-9]+)?$")))
+    kept = props.filter("key <> 'rating'").unionByName(props.filter("key = 'rating'").join(latest.select("c.property_id"), "property_id", "left_semi").select(*props.columns))
+    rows = baseview.execute(B.compile_view(view[0], 1, ALL), _files(spark, d), kept).rows
+    number = lambda op: F.expr(f"try_cast(x_{op} AS double)")
+    return rows.select("file_id", F.col("x_count").cast("long").alias("n"), F.round(number("sum"), 6).alias("total"), number("min").alias("least"), number("max").alias("most"))
+
+
+@_q(_LATEST + r""", w AS (SELECT f.file_id, j, CASE WHEN json_valid(j) AND json_type(j) = 'VARCHAR' THEN j->>'$' ELSE j END AS t FROM f JOIN q ON q.file_id = f.file_id AND key = 'status' WHERE is_markdown AND NOT (json_valid(j) AND json_type(j) = 'NULL'))
+  SELECT file_id FROM w WHERE ends_with(t, 'e') AND NOT starts_with(t, 'd')""")
+def b06_ends_and_not_starts(spark: SparkSession, d: str) -> DataFrame:
+    view = B.views_of({"views": [{"type": "table", "filters": [{"key": "status", "op": "ends_with", "value": "e"}, {"key": "status", "op": "not_starts_with", "value": "d"}], "columns": ["status"]}]})
+    return baseview.execute(B.compile_view(view[0], 1, ALL), _files(spark, d), _props(spark, d)).rows.select("file_id")
+
+
+@_q(_LATEST + r""" SELECT q.file_id, key, CASE WHEN NOT json_valid(j) THEN trim(j) WHEN json_type(j) = 'NULL' THEN '' WHEN json_type(j) = 'VARCHAR' THEN j->>'$' ELSE trim(j) END AS text FROM q WHERE key IN ('status', 'owner', 'due', 'tags') AND j IS NOT NULL
+  AND NOT regexp_matches(j, '^\s*-?[0-9]+[.eE]')""")
+def p06_v12_display(spark: SparkSession, d: str) -> DataFrame:
+    """Values as they are shown; fractions aside, which have a form of their own."""
+    keys = ("status", "owner", "due", "tags")
+    wide = baseview.pivot(_props(spark, d).select("file_id").distinct().withColumn("file_path", F.lit("")), _props(spark, d), keys)
+    each = F.inline(F.array(*[F.struct(F.lit(k).alias("key"), (V.is_present(F.col(f"v{i}")) & ~F.coalesce(F.col(f"v{i}")["repr"].rlike(r"^-?[0-9]+[.eE]"), F.lit(False))).alias("here"), V.display(F.col(f"v{i}")).alias("text")) for i, k in enumerate(keys)]))
+    return wide.select("file_id", each).filter("here").select("file_id", "key", "text")
 
 
 @_q(_LATEST + r""", w AS (SELECT f.file_id, st.j, CASE WHEN json_valid(j) AND json_type(j) = 'VARCHAR' THEN j->>'$' WHEN json_valid(j) AND json_type(j) <> 'NULL' THEN json(j)::VARCHAR WHEN json_valid(j) THEN 'null' ELSE j END AS t FROM f JOIN q st ON st.file_id = f.file_id AND st.key = 'status' WHERE is_markdown)
@@ -270,7 +324,7 @@ def p06_display(spark: SparkSession, d: str) -> DataFrame:
 def b03_b04_contains_and_in(spark: SparkSession, d: str) -> DataFrame:
     """Of scalars; the data's statuses hold no arrays or objects with an `o` in a key alone."""
     view = B.views_of({"views": [{"type": "table", "filters": [{"key": "status", "op": "contains", "value": "O"}, {"key": "status", "op": "not_in", "value": ["done", "open"]}], "columns": ["status"]}]})
-    return baseview.execute(B.compile_view(view[0], 1, 1_000_000), _files(spark, d), _props(spark, d)).rows.select("file_id")
+    return baseview.execute(B.compile_view(view[0], 1, ALL), _files(spark, d), _props(spark, d)).rows.select("file_id")
 
 
 @_q(_LATEST + r""", g AS (SELECT regexp_extract(normalized_path, '^(.*)/', 1) AS folder, j::DOUBLE AS n FROM f JOIN q ON q.file_id = f.file_id AND key = 'seed' WHERE is_markdown AND regexp_full_match(trim(j), '-?[0-9]+(\.[0-9]+)?([eE][+-]?[0-9]+)?'))
@@ -315,10 +369,13 @@ def v06_wikilinks(spark: SparkSession, d: str) -> DataFrame:
     return _search(spark, d).select("file_id", F.size(T.wikilinks(F.col("content_lc"))).cast("long").alias("n"))
 
 
-@_q(r"""SELECT file_id, trim(regexp_extract(split_part(x, '|', 1), '^([^#]*)', 1)) AS target, count(*) AS n FROM (SELECT file_id, unnest(regexp_extract_all(content_lc, '(?s)\[\[(.*?)\]\]', 1)) AS x FROM s) WHERE trim(regexp_extract(split_part(x, '|', 1), '^([^#]*)', 1)) <> '' GROUP BY 1, 2""")
-def v05_wikilink_targets(spark: SparkSession, d: str) -> DataFrame:
+@_q(r""", x AS (SELECT file_id, unnest(regexp_extract_all(content_lc, '(?s)\[\[(.*?)\]\]', 1)) AS x FROM s),
+  w AS (SELECT file_id, trim(regexp_extract(split_part(x, '|', 1), '^([^#]*)', 1)) AS target, CASE WHEN contains(x, '|') THEN nullif(trim(regexp_replace(x, '(?s)^[^|]*\|', '')), '') END AS display, CASE WHEN contains(split_part(x, '|', 1), '#') THEN regexp_replace(trim(split_part(x, '|', 1)), '(?s)^[^#]*#', '') ELSE '' END AS frag FROM x)
+  SELECT file_id, target, display, CASE WHEN NOT starts_with(frag, '^') THEN nullif(trim(frag), '') END AS heading, CASE WHEN starts_with(frag, '^') THEN nullif(trim(frag[2:]), '') END AS block, count(*) AS n FROM w WHERE target <> '' GROUP BY ALL""")
+def v05_wikilink_parts(spark: SparkSession, d: str) -> DataFrame:
     links = _search(spark, d).select("file_id", F.explode(T.wikilinks(F.col("content_lc"))).alias("x"))
-    return links.select("file_id", T.wikilink_parts(F.col("x"))["target"].alias("target")).filter("target is not null").groupBy("file_id", "target").agg(F.count(F.lit(1)).alias("n"))
+    parts = links.select("file_id", T.wikilink_parts(F.col("x")).alias("w")).select("file_id", "w.*").filter("target is not null")
+    return parts.groupBy("file_id", "target", "display", "heading", "block").agg(F.count(F.lit(1)).alias("n"))
 
 
 _LINES = ", lines AS (SELECT file_id, unnest(string_split(content_lc, chr(10))) AS line, generate_subscripts(string_split(content_lc, chr(10)), 1) AS line_number FROM s)"
@@ -330,9 +387,23 @@ def v15_headings(spark: SparkSession, d: str) -> DataFrame:
     return lines.select("file_id", F.col("line_number").cast("long").alias("line_number"), F.col("h.level").cast("long").alias("level"), "h.text")
 
 
-@_q(_LINES + r""" SELECT DISTINCT file_id, regexp_extract(line, '(?:^|\s)\^\s*([A-Za-z0-9_-]+)\s*$', 1) AS block_id FROM lines WHERE regexp_matches(line, '(?:^|\s)\^\s*([A-Za-z0-9_-]+)\s*$')""")
+@_q("SELECT DISTINCT doc_id, 'd-' || doc_id AS block_id FROM documents UNION SELECT DISTINCT doc_id, source FROM documents WHERE regexp_full_match(source, '[A-Za-z0-9_-]+')")
 def v08_block_ids(spark: SparkSession, d: str) -> DataFrame:
-    return _search(spark, d).select("file_id", F.explode(T.block_ids(F.col("content_lc"))).alias("block_id"))
+    """Block ids of the documents, each with two marks put behind its text."""
+    marked = F.concat_ws("\n", F.coalesce("text", F.lit("")), F.concat(F.lit("end ^d-"), F.col("doc_id").cast("string")), F.concat(F.lit("^ "), "source"))
+    own = F.transform(T.block_ids(marked), lambda b: b)
+    return table(spark, d, "documents").select("doc_id", F.explode(own).alias("block_id")).distinct()
+
+
+@_q("SELECT link_id, block_id IS NOT NULL AND block_id IN (SELECT block_id FROM l WHERE block_id IS NOT NULL AND NOT is_unresolved) AS found FROM l WHERE block_id IS NOT NULL")
+def j05_block_fragments(spark: SparkSession, d: str) -> DataFrame:
+    """Whether the block that a link names stands in its target: a file that holds the blocks of all resolved links."""
+    links = _links(spark, d)
+    blocks = links.filter("block_id is not null and not is_unresolved").select(F.lit("f1").alias("file_id"), "block_id")
+    files = spark.createDataFrame([("f1", "notes/all.md")], "file_id string, normalized_path string")
+    asked = links.filter("block_id is not null").select("link_id", F.lit("notes/x.md").alias("source_path"), F.lit("all").alias("raw_target"), F.lit(None).cast("string").alias("heading_slug"), "block_id")
+    none = spark.createDataFrame([], "file_id string, slug string")
+    return resolve.resolve_links(asked, files, none, blocks).select("link_id", (~F.col("is_unresolved")).alias("found"))
 
 
 @_q(r"SELECT link_id, replace(trim(trim(raw_target), '/'), '\', '/') AS path, len(string_split(trim(trim(raw_target), '/'), '/')) - 1 AS depth, translate(raw_target, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS ordered_by FROM l")
@@ -358,14 +429,7 @@ def w05_w06_text_conditions(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").filter(W.compile_where(tree, lambda n: V.scalar_value(F.col(n), kinds[n]))).select("doc_id")
 
 
-_RESOLVE = r""", asks AS (SELECT DISTINCT lower(raw_target) AS t, lower(CASE WHEN contains(source_path, '/') THEN regexp_replace(source_path, '/[^/]*$', '') ELSE '' END) AS home FROM lp),
-  vs AS (SELECT t, home, unnest(CASE WHEN contains(t, '/') THEN list_concat(['p:' || t], list_transform(range(1, len(string_split(home, '/')) + 1), lambda i: 'p:' || array_to_string(string_split(home, '/')[1:i], '/') || '/' || t)) ELSE ['n:' || t] END) AS v FROM asks),
-  ks AS (SELECT DISTINCT t, home, regexp_replace(v, '\.md$', '') AS k FROM vs),
-  cand AS (SELECT file_id, normalized_path AS path, 'p:' || regexp_replace(lower(normalized_path), '\.md$', '') AS k FROM f UNION ALL SELECT file_id, normalized_path, 'n:' || regexp_replace(lower(regexp_extract(normalized_path, '[^/]*$')), '\.md$', '') FROM f),
-  hits AS (SELECT DISTINCT t, home, file_id, path, lower(CASE WHEN contains(path, '/') THEN regexp_replace(path, '/[^/]*$', '') ELSE '' END) AS there FROM ks JOIN cand USING (k)),
-  parts AS (SELECT *, CASE WHEN home = '' THEN [] ELSE string_split(home, '/') END AS a, CASE WHEN there = '' THEN [] ELSE string_split(there, '/') END AS b FROM hits),
-  dist AS (SELECT *, len(a) + len(b) - 2 * coalesce(list_max(list_filter(range(0, least(len(a), len(b)) + 1), lambda i: a[1:i] = b[1:i])), 0) AS steps FROM parts),
-  best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY t, home ORDER BY (home <> there)::INT, steps, lower(path), path, file_id) AS rn, count(*) OVER (PARTITION BY t, home) AS n_matches FROM dist) WHERE rn = 1)"""
+_RESOLVE = r""", asks AS (SELECT DISTINCT lower(raw_target) AS t, lower(CASE WHEN contains(source_path, '/') THEN regexp_replace(source_path, '/[^/]*$', '') ELSE '' END) AS home FROM lp), targets AS (SELECT file_id, normalized_path AS path FROM f)""" + _RANKED
 
 
 @_q(_RESOLVE + " SELECT link_id AS request_id, best.file_id, best.path, n_matches FROM lp JOIN best ON best.t = lower(raw_target) AND best.home = lower(CASE WHEN contains(source_path, '/') THEN regexp_replace(source_path, '/[^/]*$', '') ELSE '' END)")
@@ -440,9 +504,32 @@ def g16_a12_edges(spark: SparkSession, d: str) -> DataFrame:
     return graph.edges(_links(spark, d))
 
 
+_EMBEDS = ", el AS (SELECT * FROM l WHERE source_field = 'body:embed' AND NOT is_unresolved AND resolved_file_id IS NOT NULL)"
+
+
+@_q(_EMBEDS + " SELECT file_id, normalized_path FROM f WHERE is_markdown AND file_id NOT IN (SELECT source_file_id FROM el WHERE source_file_id IS NOT NULL) AND file_id NOT IN (SELECT resolved_file_id FROM el)")
+def g07_orphans_of_embeds(spark: SparkSession, d: str) -> DataFrame:
+    """Notes that embed nothing and are embedded nowhere."""
+    return graph.orphans(_links(spark, d).filter("source_field = 'body:embed'"), _files(spark, d)).select("file_id", "normalized_path")
+
+
+@_q("SELECT count(*) AS total, count(*) FILTER (n_in > 0) AS linked, count(*) FILTER (n_in = 0) AS unlinked FROM deg WHERE normalized_path LIKE 'notes/%'")
+def a10_inbound_totals(spark: SparkSession, d: str) -> DataFrame:
+    return graph.inbound_totals(graph.inbound_scope(_links(spark, d), _files(spark, d), "notes"))
+
+
 _REACH = ", ke AS (SELECT src, dst FROM e WHERE src <> dst AND src IN (SELECT file_id FROM f) AND dst IN (SELECT file_id FROM f))"
 
 
+@_q(_EMBEDS + """, ke AS (SELECT DISTINCT source_file_id AS src, resolved_file_id AS dst FROM el WHERE source_file_id IN (SELECT file_id FROM f) AND resolved_file_id IN (SELECT file_id FROM f)),
+  both_ways AS (SELECT src, dst FROM ke UNION SELECT dst, src FROM ke), reach AS (SELECT file_id AS a, file_id AS b FROM f UNION SELECT reach.a, both_ways.dst FROM reach JOIN both_ways ON both_ways.src = reach.b),
+  comp AS (SELECT a AS node, min(b) AS component FROM reach GROUP BY 1)
+  SELECT component, count(*) AS size, count(*) FILTER (is_markdown) AS n_notes, min(normalized_path) FILTER (is_markdown) AS first_path FROM comp JOIN f ON f.file_id = node GROUP BY 1 HAVING count(*) FILTER (is_markdown) > 0""")
+def g10_components_of_embeds(spark: SparkSession, d: str) -> DataFrame:
+    """Components over embeds alone, of which there are many."""
+    return graph.weak_components(_links(spark, d).filter("source_field = 'body:embed'"), _files(spark, d))
+
+
 @_q(_REACH + """, both_ways AS (SELECT src, dst FROM ke UNION SELECT dst, src FROM ke), reach AS (SELECT file_id AS a, file_id AS b FROM f UNION SELECT reach.a, both_ways.dst FROM reach JOIN both_ways ON both_ways.src = reach.b),
   comp AS (SELECT a AS node, min(b) AS component FROM reach GROUP BY 1)
   SELECT component, count(*) AS size, count(*) FILTER (is_markdown) AS n_notes, min(normalized_path) FILTER (is_markdown) AS first_path FROM comp JOIN f ON f.file_id = node GROUP BY 1 HAVING count(*) FILTER (is_markdown) > 0""")
@@ -453,22 +540,26 @@ def g10_weak_components(spark: SparkSession, d: str) -> DataFrame:
 @_q(_REACH + """, reach AS (SELECT file_id AS a, file_id AS b FROM f UNION SELECT reach.a, ke.dst FROM reach JOIN ke ON ke.src = reach.b),
   seeds AS (SELECT file_id FROM f WHERE is_markdown UNION SELECT dst FROM ke),
   comp AS (SELECT x.a AS node, min(x.b) AS component FROM reach x JOIN reach y ON y.a = x.b AND y.b = x.a WHERE x.a IN (SELECT file_id FROM seeds) GROUP BY 1)
-  SELECT count(*) AS size, count(*) FILTER (is_markdown) AS n_notes, min(normalized_path) FILTER (is_markdown) AS first_path FROM comp JOIN f ON f.file_id = node GROUP BY component""")
+  SELECT component, count(*) AS size, count(*) FILTER (is_markdown) AS n_notes, min(normalized_path) FILTER (is_markdown) AS first_path FROM comp JOIN f ON f.file_id = node GROUP BY component""")
 def g11_strong_components(spark: SparkSession, d: str) -> DataFrame:
-    return graph.strong_components(_links(spark, d), _files(spark, d)).select("size", "n_notes", "first_path")
+    return graph.strong_components(_links(spark, d), _files(spark, d)).select("component", "size", "n_notes", "first_path")
 
 
-@_q("""SELECT path, direction FROM (SELECT b.normalized_path AS path, 'outgoing' AS direction FROM r JOIN f a ON a.file_id = source_file_id JOIN f b ON b.file_id = resolved_file_id WHERE source_file_id = (SELECT id FROM hub)
-  UNION SELECT a.normalized_path, 'incoming' FROM r JOIN f a ON a.file_id = source_file_id WHERE resolved_file_id = (SELECT id FROM hub))""")
+@_q("""SELECT path, direction, arg_min(link_id, (rank, link_id)) AS link_id FROM (SELECT b.normalized_path AS path, 'outgoing' AS direction, link_id, '' AS rank FROM r JOIN f a ON a.file_id = source_file_id JOIN f b ON b.file_id = resolved_file_id WHERE source_file_id = (SELECT id FROM hub)
+  UNION ALL SELECT a.normalized_path, 'incoming', link_id, a.normalized_path FROM r JOIN f a ON a.file_id = source_file_id WHERE resolved_file_id = (SELECT id FROM hub)) GROUP BY 1, 2""")
 def g12_neighbors(spark: SparkSession, d: str) -> DataFrame:
-    return graph.neighbors(_links(spark, d), _files(spark, d), _hub(spark, d)).select("path", "direction")
+    return graph.neighbors(_links(spark, d), _files(spark, d), _hub(spark, d)).select("path", "direction", "link_id")
 
 
 @_q(""", both_ways AS (SELECT src, dst FROM e UNION SELECT dst, src FROM e), bfs AS (SELECT id AS node, 0 AS depth FROM start UNION SELECT both_ways.dst, depth + 1 FROM bfs JOIN both_ways ON both_ways.src = node WHERE depth < 4)
-  SELECT count(*) > 0 AS found, min(depth) AS hops FROM bfs WHERE node = (SELECT id FROM hub)""")
+  SELECT count(*) > 0 AS found, min(depth) AS hops, (SELECT id FROM start) AS first_id, (SELECT id FROM hub) AS last_id, min(depth) AS n_edges FROM bfs WHERE node = (SELECT id FROM hub)""")
 def g13_shortest_path(spark: SparkSession, d: str) -> DataFrame:
     p = graph.shortest_path(_links(spark, d), _files(spark, d), _start(spark, d), _hub(spark, d), max_depth=4, max_nodes=1_000_000)
-    return spark.createDataFrame([(p.found, len(p.nodes) - 1 if p.found else None)], "found boolean, hops int")
+    # each step of the path must be an edge of the graph
+    steps = spark.createDataFrame(list(zip(p.nodes, p.nodes[1:])), "a string, b string")
+    real = graph.edges(_links(spark, d)).select(F.least("src", "dst").alias("x"), F.greatest("src", "dst").alias("y")).distinct()
+    n = steps.join(real, (F.least("a", "b") == F.col("x")) & (F.greatest("a", "b") == F.col("y"))).count()
+    return spark.createDataFrame([(p.found, len(p.nodes) - 1 if p.found else None, p.nodes[0], p.nodes[-1], n)], "found boolean, hops int, first_id string, last_id string, n_edges int")
 
 
 @_q(""", one AS (SELECT 1 AS depth, 'outgoing' AS direction, link_id, resolved_file_id AS other, 0 AS phase FROM lp WHERE NOT is_unresolved AND resolved_file_id IS NOT NULL AND source_file_id = (SELECT id FROM start)
@@ -476,15 +567,38 @@ def g13_shortest_path(spark: SparkSession, d: str) -> DataFrame:
   front AS (SELECT DISTINCT other AS id FROM (SELECT * FROM one ORDER BY phase, link_id LIMIT 200) WHERE other <> (SELECT id FROM start)),
   two AS (SELECT 2 AS depth, 'outgoing' AS direction, link_id, 0 AS phase FROM lp WHERE NOT is_unresolved AND resolved_file_id IS NOT NULL AND source_file_id IN (SELECT id FROM front)
    UNION ALL SELECT 2, 'incoming', link_id, 1 FROM lp WHERE NOT is_unresolved AND resolved_file_id IN (SELECT id FROM front))
-  SELECT depth, direction, link_id FROM (SELECT depth, direction, link_id, phase FROM one UNION ALL SELECT * FROM two) ORDER BY depth, phase, link_id LIMIT 200""")
+  SELECT depth, direction, 'wikilink' AS edge_type, x.link_id, lp.source_path, lp.resolved_path AS target_path FROM (SELECT depth, direction, link_id, phase FROM one UNION ALL SELECT * FROM two ORDER BY depth, phase, link_id LIMIT 200) x JOIN lp ON lp.link_id = x.link_id""")
 def g14_walk(spark: SparkSession, d: str) -> DataFrame:
-    return graph.walk(_links(spark, d), _files(spark, d), _start(spark, d)).select("depth", "direction", "link_id")
+    return graph.walk(_links(spark, d), _files(spark, d), _start(spark, d)).select("depth", "direction", "edge_type", "link_id", "source_path", "target_path")
+
+
+@_q(""", n AS (SELECT file_id, normalized_path, CASE WHEN contains(normalized_path, '/') THEN regexp_replace(normalized_path, '/[^/]*$', '') ELSE '' END AS folder FROM f WHERE is_markdown),
+  me AS (SELECT *, CASE WHEN contains(folder, '/') THEN regexp_replace(folder, '/[^/]*$', '') ELSE '' END AS above FROM n WHERE file_id = (SELECT id FROM start)),
+  one AS (SELECT 0 AS phase, 'outgoing' AS direction, 'wikilink' AS edge_type, link_id, link_id AS k, source_path, resolved_path AS target_path FROM lp WHERE NOT is_unresolved AND resolved_file_id IS NOT NULL AND source_file_id = (SELECT id FROM start)
+   UNION ALL SELECT 1, 'incoming', 'wikilink', link_id, link_id, source_path, resolved_path FROM lp WHERE NOT is_unresolved AND resolved_file_id = (SELECT id FROM start)
+   UNION ALL SELECT 2, 'outgoing', 'folder-parent', concat_ws(':', 'folder', me.file_id, n.file_id, 'folder-parent'), 'folder-parent' || n.file_id, me.normalized_path, n.normalized_path FROM me JOIN n ON n.folder = me.above WHERE me.folder <> '' AND n.file_id <> me.file_id
+   UNION ALL SELECT 2, 'outgoing', 'folder-sibling', concat_ws(':', 'folder', me.file_id, n.file_id, 'folder-sibling'), 'folder-sibling' || n.file_id, me.normalized_path, n.normalized_path FROM me JOIN n ON n.folder = me.folder WHERE n.file_id <> me.file_id)
+  SELECT direction, edge_type, link_id, source_path, target_path FROM one ORDER BY phase, k LIMIT 400""")
+def g14_walk_with_folders(spark: SparkSession, d: str) -> DataFrame:
+    """One level of a walk with the folder overlay, at most 400 steps."""
+    return graph.walk(_links(spark, d), _files(spark, d), _start(spark, d), 1, 400, include_folders=True).select("direction", "edge_type", "link_id", "source_path", "target_path")
+
+
+@_q(r""", n AS (SELECT file_id, CASE WHEN contains(normalized_path, '/') THEN regexp_replace(normalized_path, '/[^/]*$', '') ELSE '' END AS folder, size_bytes FROM f WHERE is_markdown),
+  o AS (SELECT *, CASE WHEN contains(folder, '/') THEN regexp_replace(folder, '/[^/]*$', '') ELSE '' END AS above FROM n WHERE size_bytes % 50 = 0)
+  SELECT o.file_id AS source_file_id, n.file_id AS resolved_file_id, 'folder-sibling' AS edge_type FROM o JOIN n ON n.folder = o.folder WHERE n.file_id <> o.file_id
+  UNION ALL SELECT o.file_id, n.file_id, 'folder-parent' FROM o JOIN n ON n.folder = o.above WHERE o.folder <> ''""")
+def g15_j11_folder_edges(spark: SparkSession, d: str) -> DataFrame:
+    """Folder overlay of the notes whose size is divisible by 50, the set of queries, against all notes."""
+    files = _files(spark, d)
+    asked = files.filter("is_markdown and size_bytes % 50 = 0").select(F.col("file_id").alias("id"))
+    return graph.folder_edges(files, asked).select("source_file_id", "resolved_file_id", "edge_type")
 
 
 @_q(r""", n AS (SELECT file_id, CASE WHEN contains(normalized_path, '/') THEN regexp_replace(normalized_path, '/[^/]*$', '') ELSE '' END AS folder FROM f WHERE is_markdown),
   o AS (SELECT *, CASE WHEN contains(folder, '/') THEN regexp_replace(folder, '/[^/]*$', '') ELSE '' END AS above FROM n), c AS (SELECT folder, count(*) AS n FROM n GROUP BY 1)
   SELECT 'folder-sibling' AS edge_type, sum(n * (n - 1))::BIGINT AS n FROM c UNION ALL SELECT 'folder-parent', sum(c.n)::BIGINT FROM o JOIN c ON c.folder = o.above WHERE o.folder <> ''""")
-def g15_j11_folder_edges(spark: SparkSession, d: str) -> DataFrame:
+def g15_folder_edge_numbers(spark: SparkSession, d: str) -> DataFrame:
     """Numbers of folder-overlay edges; counted per folder, as a folder's siblings are all pairs of its notes."""
     notes = _files(spark, d).filter("is_markdown").select("file_id", T.folder_of(F.col("normalized_path")).alias("folder"))
     size = notes.groupBy("folder").agg(F.count(F.lit(1)).alias("n"))
@@ -553,14 +667,6 @@ def i02_i03_s04_prepared_notes(spark: SparkSession, d: str) -> DataFrame:
     return vault.prepare_texts(notes).select("file_id", F.size("headings").cast("long").alias("n_headings"), F.size("tasks").cast("long").alias("n_tasks"))
 
 
-@_q()
-def i04_links_of_texts(spark: SparkSession, d: str) -> DataFrame:
-    """Links found in the texts of the search table, resolved among its notes."""
-    notes = spread(_search(spark, d).select("file_id", "normalized_path", F.col("content_lc").alias("text")), "file_id")
-    links = index.build_tables(cut(vault.prepare_texts(notes)), "2024-01-01T00:00:00.000Z")["links"]
-    return links.groupBy("source_file_id", "source_field").agg(F.count(F.lit(1)).alias("n"), F.count("resolved_file_id").alias("n_resolved"))
-
-
 # --- upkeep ------------------------------------------------------------------------------------------------------
 
 
@@ -599,10 +705,14 @@ def q06_stats(spark: SparkSession, d: str) -> DataFrame:
 
 
 @_q("SELECT user_id, max(ts) AS ts, arg_max(event_id, (ts, event_id)) AS event_id FROM events GROUP BY 1")
-def i06_latest_per_key(spark: SparkSession, d: str) -> DataFrame:
-    """The latest change per key, as batches of changes are reduced before they are applied."""
-    e = table(spark, d, "events").select("user_id", "ts", "event_id")
-    return e.groupBy("user_id").agg(F.max(F.struct("ts", "event_id")).alias("v")).select("user_id", "v.ts", "v.event_id")
+def i06_latest_stream(spark: SparkSession, d: str) -> DataFrame:
+    """The latest change per key of each micro-batch of a stream, and of these the latest."""
+    from quillspark.streaming import ingest
+
+    at = shared_path(spark, "latest")
+    source = spark.readStream.schema(table(spark, d, "events").schema).parquet(f"{d}/events.parquet*").select("user_id", "ts", "event_id").withColumn("at", F.struct("ts", "event_id"))
+    ingest.latest_stream(source, "user_id", "at", lambda rows: rows.write.mode("append").parquet(f"{at}/out"), f"{at}/log").awaitTermination()
+    return spark.read.parquet(f"{at}/out").groupBy("user_id").agg(F.max(F.struct("ts", "event_id")).alias("v")).select("user_id", "v.ts", "v.event_id")
 
 
 def docs_flagship(spark: SparkSession, d: str) -> DataFrame:

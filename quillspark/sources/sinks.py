@@ -6,10 +6,15 @@ import os
 import re
 import shutil
 import tempfile
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from pathlib import Path
 
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
 from quillspark.plans import bases as B
+from quillspark.runtime import cut, parallelism
 from quillspark.sources import vault
 from quillspark.sources.yaml12 import dump, load
 
@@ -142,37 +147,41 @@ def persist_view_columns(config: str, view: str, columns: list[B.Column]) -> str
 # --- copies in and out -------------------------------------------------------------------------------------------
 
 
-def kind_of(path: str) -> str:
-    return {"md": "note", "base": "base"}.get(path.rsplit(".", 1)[-1].lower() if "." in path else "", "asset")
+TRANSFER = "source string, target string, path string, kind string, size_bytes long"
 
 
-def plan_transfer(source: str, target: str) -> list[dict]:
-    """Files of source with where they go, in order of path."""
-    rows = []
-    for full, rel, size, _ in vault._walk(os.path.realpath(source)):  # noqa: SLF001
-        rows.append({"source": full, "target": os.path.join(os.path.realpath(target), rel), "path": rel, "kind": kind_of(rel), "size_bytes": size})
-    return sorted(rows, key=lambda r: r["path"])
+def plan_transfer(spark: SparkSession, source: str, target: str) -> DataFrame:
+    """Files of source with where they go (TRANSFER); the tree is read by the executors."""
+    root, to = os.path.realpath(source), os.path.realpath(target)
+    end = F.lower(F.regexp_extract("normalized_path", r"\.([^./]*)$", 1))
+    kind = F.when(end == "md", "note").when(end == "base", "base").otherwise("asset")
+    rows = vault.scan(spark, root)
+    return rows.select(F.col("absolute_path").alias("source"), F.concat(F.lit(to + "/"), "normalized_path").alias("target"), F.col("normalized_path").alias("path"), kind.alias("kind"), "size_bytes")
 
 
-def execute_transfer(plan: list[dict], apply: bool = False, overwrite: bool = False) -> list[dict]:
-    """Copy files. Without apply all are skipped; a file that fails does not stop the others."""
-    out = []
-    for r in plan:
-        status, message = "skipped", ""
-        if apply and (overwrite or not os.path.exists(r["target"])):
-            try:
-                os.makedirs(os.path.dirname(r["target"]), exist_ok=True)
-                shutil.copyfile(r["source"], r["target"])
-                status = "copied"
-            except OSError as e:
-                status, message = "failed", str(e)
-        out.append({**r, "status": status, "message": message})
-    return out
+def execute_transfer(plan: DataFrame, apply: bool = False, overwrite: bool = False) -> DataFrame:
+    """Copy files, on the executors: the plan with status (copied, skipped, failed) and message. Without apply all are skipped;
+    a file that fails does not stop the others. The result is kept in the shared folder, so files are copied once."""
 
+    def copy(source: str, target: str) -> tuple[str, str]:
+        if not apply or not overwrite and os.path.exists(target):
+            return "skipped", ""
+        try:
+            os.makedirs(os.path.dirname(target), exist_ok=True)
+            shutil.copyfile(source, target)
+        except OSError as e:
+            return "failed", str(e)
+        return "copied", ""
 
-def transfer_summary(spark, results: list[dict]):  # noqa: ANN001, ANN201
-    """Files and bytes by kind and status."""
-    from pyspark.sql import functions as F
+    def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in it:
+            done = [copy(a, b) for a, b in zip(pdf["source"], pdf["target"])]
+            yield pdf.assign(status=[x[0] for x in done], message=[x[1] for x in done])
+
+    spread_ = plan.repartition(parallelism(plan.sparkSession), "path") if apply else plan
+    return cut(spread_.mapInPandas(run, TRANSFER + ", status string, message string"))
 
-    df = spark.createDataFrame([(r["kind"], r["status"], r["size_bytes"]) for r in results], "kind string, status string, size_bytes long")
-    return df.groupBy("kind", "status").agg(F.count(F.lit(1)).alias("files"), F.sum("size_bytes").alias("bytes"))
+
+def transfer_summary(results: DataFrame) -> DataFrame:
+    """Files and bytes by kind and status."""
+    return results.groupBy("kind", "status").agg(F.count(F.lit(1)).alias("files"), F.sum("size_bytes").alias("bytes"))

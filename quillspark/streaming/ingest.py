@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -35,7 +35,7 @@ def event_sink(events: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
     return events.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def latest_stream(spark: SparkSession, source: DataFrame, key: str, order: str, emit: Callable[[DataFrame], None], checkpoint: str) -> StreamingQuery:
+def latest_stream(source: DataFrame, key: str, order: str, emit: Callable[[DataFrame], None], checkpoint: str) -> StreamingQuery:
     """The latest row per key of each micro-batch, handed to `emit`."""
 
     def apply(batch: DataFrame, _: int) -> None:
@@ -43,5 +43,4 @@ def latest_stream(spark: SparkSession, source: DataFrame, key: str, order: str,
         last = batch.groupBy(key).agg(F.max_by(F.struct(*cols), F.col(order)).alias("v")).select(key, *[F.col(f"v.{c}").alias(c) for c in cols])
         emit(last)
 
-    del spark
     return source.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

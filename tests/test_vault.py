@@ -220,10 +220,10 @@ def test_writes(tmp_path):
 
 def test_transfer(spark, tmp_path):
     write(tmp_path / "s", {"a.md": "a", "v.base": "b", "x/y.png": "ccc"})
-    plan = sinks.plan_transfer(str(tmp_path / "s"), str(tmp_path / "t"))
-    assert {r["status"] for r in sinks.execute_transfer(plan)} == {"skipped"}
+    plan = sinks.plan_transfer(spark, str(tmp_path / "s"), str(tmp_path / "t"))
+    assert {r["status"] for r in sinks.execute_transfer(plan).collect()} == {"skipped"}
     done = sinks.execute_transfer(plan, apply=True)
-    assert {(r["kind"], r["status"], r["files"], r["bytes"]) for r in sinks.transfer_summary(spark, done).collect()} == {("note", "copied", 1, 1), ("base", "copied", 1, 1), ("asset", "copied", 1, 3)}
+    assert {(r["kind"], r["status"], r["files"], r["bytes"]) for r in sinks.transfer_summary(done).collect()} == {("note", "copied", 1, 1), ("base", "copied", 1, 1), ("asset", "copied", 1, 3)}
 
 
 def test_events_and_streams(spark, tmp_path):
