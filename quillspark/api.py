@@ -140,7 +140,7 @@ class Vault:
         if explain_only and kind in ("docs", "base"):
             return explain(from_, query, where, sort, select, limit, offset)
         if kind == "docs":
-            return search.DocsQuery(query or "", where, sort, select, limit, offset).run(self.t["search_index"])
+            return search.DocsQuery(query or "", where, sort, select, limit, offset).run(self.t["search_index"], self.t.get("postings"))
         if kind == "base":
             if view_name is None:
                 raise CommandError("invalid_argument", "query over a base requires --view-name")

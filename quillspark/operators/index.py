@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from quillspark import schema
 from quillspark.functions import text as T
 from quillspark.ids import id_column
+from quillspark.operators import postings
 from quillspark.operators.resolve import resolve_links
 from quillspark.operators.search import with_surfaces
 from quillspark.runtime import cut, parallelism
@@ -54,7 +55,7 @@ def build_tables(prepared: DataFrame, stamp: str, all_files: DataFrame | None =
     links = links.select("link_id", F.col("file_id").alias("source_file_id"), "raw_target", "resolved_file_id", "heading_slug", "block_id", "is_unresolved", t.alias("created_at"), "unresolved_reason", "source_field")
     diagnostics = prepared.select("normalized_path", F.inline("diagnostics")).select("normalized_path", "code", "message")
     cache = prepared.select(F.lit("").alias("cache_key"), "file_id", F.lit("").alias("html"), F.lit("").alias("content_hash"), t.alias("updated_at")).filter(F.lit(False))
-    return {"files": files, "links": links, "properties": properties, "bases": bases, "tasks": tasks, "search_index": search, "headings": headings, "blocks": blocks, "render_cache": cache, "diagnostics": diagnostics}
+    return {"files": files, "links": links, "properties": properties, "bases": bases, "tasks": tasks, "search_index": search, "postings": postings.build(search), "headings": headings, "blocks": blocks, "render_cache": cache, "diagnostics": diagnostics}
 
 
 def rebuild(store: IndexStore, root: str, case_sensitive: bool = True, strict: bool = False) -> dict:
@@ -199,7 +200,7 @@ def refresh(store: IndexStore, root: str) -> dict:
 def stale_cleanup(tables: dict[str, DataFrame], manifest: DataFrame) -> dict[str, DataFrame]:
     """Tables without the rows of vanished paths. Links stay as they are until they are reconciled."""
     gone = tables["files"].join(manifest.select("normalized_path").distinct(), "normalized_path", "left_anti").select("file_id")
-    return {n: _without(tables[n], gone, "file_id") for n in ("files", "properties", "tasks", "search_index", "headings", "blocks", "bases", "render_cache") if n in tables}
+    return {n: _without(tables[n], gone, "file_id") for n in ("files", "properties", "tasks", "search_index", "postings", "headings", "blocks", "bases", "render_cache") if n in tables}
 
 
 # --- consistency --------------------------------------------------------------------------------------------------
@@ -242,7 +243,7 @@ def heal(tables: dict[str, DataFrame], root: str | None = None, manifest: DataFr
         files = files.join(manifest.select("normalized_path").distinct(), "normalized_path", "left_semi").select(*tables["files"].columns)
     ids = files.select("file_id").distinct()
     out["files"] = files
-    for name in ("properties", "bases", "tasks", "search_index", "headings", "blocks"):
+    for name in ("properties", "bases", "tasks", "search_index", "postings", "headings", "blocks"):
         if name in tables:
             out[name] = tables[name].join(ids, "file_id", "left_semi").select(*tables[name].columns)
     if "render_cache" in tables:

@@ -23,6 +23,43 @@ def target_keys(target: Column, source_folder: Column) -> Column:
     return F.array_distinct(F.when(F.contains(target, F.lit("/")), paths).otherwise(F.array(F.concat(F.lit("n:"), T.strip_md(raw)))))
 
 
+def _folders(folder: Column) -> Column:
+    """A folder in lower case, its parents, and the root."""
+    return F.array_distinct(F.concat(T.ancestors(F.lower(folder)), F.array(F.lit(""))))
+
+
+def _depth(folder: Column) -> Column:
+    return F.when(folder == "", 0).otherwise(F.size(F.split(folder, "/")))
+
+
+def _nearest(asks: DataFrame, files: DataFrame) -> DataFrame:
+    """Best file of each (target, home) that names a file without a slash, and how many bear the name.
+
+    Namesakes are not paired with the folders that ask for them. For each name and folder the best of the files at any
+    depth below is kept; a request looks at its own folder and the folders above it. The nearest file is the best below
+    the lowest folder that it shares with the request, so it is among these few.
+    """
+    named = candidate_keys(files).filter("k like 'n:%'").withColumn("there", F.lower(T.folder_of(F.col("path"))))
+    below = F.struct(_depth(F.col("there")).alias("deep"), F.lower("path").alias("p"), F.col("path").alias("path"), F.col("file_id").alias("file_id"))
+    best = named.select("k", F.explode(_folders(F.col("there"))).alias("above"), below.alias("b")).groupBy("k", "above").agg(F.min("b").alias("b"))
+    counts = named.groupBy("k").agg(F.count(F.lit(1)).alias("n_matches"))
+    asked = asks.select("target", "home", F.element_at(target_keys(F.col("target"), F.col("home")), 1).alias("k"), F.explode(_folders(F.col("home"))).alias("above"))
+    steps = _depth(F.lower("home")) + F.col("b.deep") - 2 * _depth(F.col("above"))
+    rank = F.struct(steps.alias("steps"), F.col("b.p").alias("p"), F.col("b.path").alias("path"), F.col("b.file_id").alias("file_id"))
+    found = asked.join(best, ["k", "above"]).groupBy("target", "home", "k").agg(F.min(rank).alias("best"))
+    return found.join(counts, "k").select("target", "home", "best.file_id", "best.path", "n_matches")
+
+
+def _by_path(asks: DataFrame, files: DataFrame) -> DataFrame:
+    """The same for targets with a slash: of the paths that a target may stand for few are files."""
+    keyed = asks.select("target", "home", F.explode(target_keys(F.col("target"), F.col("home"))).alias("k"))
+    hits = keyed.join(candidate_keys(files).filter("k like 'p:%'"), "k").select("target", "home", "file_id", "path").distinct()
+    there = T.folder_of(F.col("path"))
+    rank = F.struct(T.folder_distance(F.lower("home"), F.lower(there)).alias("steps"), F.lower("path").alias("p"), F.col("path").alias("path"), F.col("file_id").alias("file_id"))
+    best = hits.groupBy("target", "home").agg(F.min(rank).alias("best"), F.count(F.lit(1)).alias("n_matches"))
+    return best.select("target", "home", "best.file_id", "best.path", "n_matches")
+
+
 def resolve(requests: DataFrame, files: DataFrame) -> DataFrame:
     """Best file of each request (request_id, target, source_path): request_id, file_id, path, n_matches, ambiguous.
 
@@ -32,13 +69,9 @@ def resolve(requests: DataFrame, files: DataFrame) -> DataFrame:
     """
     asked = requests.filter("target is not null and trim(target) <> ''").select("request_id", F.trim("target").alias("target"), T.folder_of(F.coalesce("source_path", F.lit(""))).alias("home"))
     asks = asked.select("target", "home").distinct()
-    keyed = asks.select("target", "home", F.explode(target_keys(F.col("target"), F.col("home"))).alias("k"))
-    hits = keyed.join(candidate_keys(files), "k").select("target", "home", "file_id", "path").distinct()
-    there = T.folder_of(F.col("path"))
-    rank = F.struct((F.lower(there) != F.lower("home")).cast("int").alias("other"), T.folder_distance(F.lower("home"), F.lower(there)).alias("steps"), F.lower("path").alias("p"), F.col("path").alias("path"), F.col("file_id").alias("file_id"))
-    best = hits.groupBy("target", "home").agg(F.min(rank).alias("best"), F.count(F.lit(1)).alias("n_matches"))
-    best = best.select("target", "home", "best.file_id", "best.path", "n_matches", (F.col("n_matches") > 1).alias("ambiguous"))
-    return asked.join(best, ["target", "home"]).select("request_id", "file_id", "path", "n_matches", "ambiguous")
+    slash = F.contains("target", F.lit("/"))
+    best = _nearest(asks.filter(~slash), files).unionByName(_by_path(asks.filter(slash), files))
+    return asked.join(best, ["target", "home"]).select("request_id", "file_id", "path", "n_matches", (F.col("n_matches") > 1).alias("ambiguous"))
 
 
 def resolve_links(links: DataFrame, files: DataFrame, headings: DataFrame, blocks: DataFrame) -> DataFrame:

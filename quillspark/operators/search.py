@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from quillspark.functions import text as T
 from quillspark.functions import values as V
+from quillspark.operators import postings
 from quillspark.plans import where as W
 from quillspark.runtime import spread
 
@@ -56,15 +57,31 @@ def with_surfaces(index: DataFrame) -> DataFrame:
     return index.withColumns({k: T.fts_normalize(F.coalesce(F.col(c), F.lit(""))) for k, c in SURFACES.items() if k not in index.columns})
 
 
-def search(index: DataFrame, query: str) -> DataFrame:
+#: Up to so many notes found in the postings are sent to the scan of the index as a list.
+MAX_LISTED = 10_000
+
+
+def found(index: DataFrame, query: str, postings_: DataFrame | None = None) -> DataFrame:
+    """Rows of the index that match. With postings only those of the query's words are read, and of the index the row groups
+    that may hold a note found; without, the surfaces of all notes are scanned."""
+    if postings_ is None:
+        return with_surfaces(spread(index, "file_id")).filter(match(query, [F.col(c) for c in SURFACES]))
+    ids = postings.matching(postings_, phrases(query))
+    some = [r["file_id"] for r in ids.limit(MAX_LISTED + 1).collect()]
+    if len(some) <= MAX_LISTED:
+        return index.filter(F.col("file_id").isin(some)) if some else index.limit(0)
+    return index.join(ids, "file_id", "left_semi")
+
+
+def search(index: DataFrame, query: str, postings_: DataFrame | None = None) -> DataFrame:
     """Matching notes: file_id, path, title, indexed_at, in_title, in_path, in_content, score, matched_in.
 
-    Nulls count as empty text. Repeated rows of the index stay repeated, as the index has one row per note.
+    Nulls count as empty text. Exact repeats of a note count once.
     """
     if not query.strip():
         raise QueryError("query must not be empty")
     needle = query.strip().lower()
-    hits = with_surfaces(spread(index, "file_id")).filter(match(query, [F.col(c) for c in SURFACES]))
+    hits = found(index, query, postings_)
     flag = lambda c: F.contains(F.coalesce(F.col(c), F.lit("")), F.lit(needle))
     hits = hits.select(
         "file_id",
@@ -74,7 +91,7 @@ def search(index: DataFrame, query: str) -> DataFrame:
         flag("title_lc").alias("in_title"),
         flag("normalized_path_lc").alias("in_path"),
         flag("content_lc").alias("in_content"),
-    )
+    ).distinct()  # of the few columns that are left, not of the texts
     one = lambda c, n: F.when(F.col(c), n).otherwise(0)
     places = F.array(*[F.when(F.col(c), c[3:]) for c in ("in_title", "in_path", "in_content")])
     return hits.withColumn("score", one("in_title", 3) + one("in_path", 2) + one("in_content", 1)).withColumn("matched_in", F.filter(places, lambda x: x.isNotNull()))
@@ -122,11 +139,11 @@ class DocsQuery:
     offset: int = 0
     columns: list[str] = field(default_factory=list)
 
-    def run(self, index: DataFrame) -> DataFrame:
+    def run(self, index: DataFrame, postings_: DataFrame | None = None) -> DataFrame:
         """A page of matching notes. Conditions see the whole match set, before offset and limit."""
         columns = parse_select(self.select)
         keys, tree = W.parse_sort(self.sort), W.parse_where(self.where)
-        hits = search(index, self.query)
+        hits = search(index, self.query, postings_)
         if tree is not None:
             hits = hits.filter(W.compile_where(tree, _value))
         hits = hits.orderBy(*W.compile_sort(keys, _value, F.col("path"), F.col("file_id"))) if keys else ranked(hits)
@@ -134,9 +151,9 @@ class DocsQuery:
             hits = hits.offset(self.offset)
         return hits.limit(max(1, self.limit)).select(*columns)
 
-    def total(self, index: DataFrame) -> int:
+    def total(self, index: DataFrame, postings_: DataFrame | None = None) -> int:
         tree = W.parse_where(self.where)
-        return search(index, self.query).filter(W.compile_where(tree, _value)).count()
+        return search(index, self.query, postings_).filter(W.compile_where(tree, _value)).count()
 
 
 def with_total(page: DataFrame, rows: DataFrame) -> DataFrame:

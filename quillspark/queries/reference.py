@@ -11,10 +11,10 @@ from pyspark.sql import functions as F
 from quillspark import api
 from quillspark.functions import text as T
 from quillspark.functions import values as V
-from quillspark.operators import baseview, graph, incremental, index, meta, resolve, search, tasks
+from quillspark.operators import baseview, graph, incremental, index, meta, postings, resolve, search, tasks
 from quillspark.plans import bases as B
 from quillspark.plans import where as W
-from quillspark.runtime import shared_path, spread, table
+from quillspark.runtime import once, shared_path, spread, table
 from quillspark.sources import events as E
 from quillspark.sources import tables as S
 from quillspark.sources import vault
@@ -65,7 +65,28 @@ def _props(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _search(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "vault_search").distinct()
+    """Notes with their texts, some repeated; queries drop repeats of what they found, not of the texts."""
+    return table(spark, d, "vault_search")
+
+
+def _indexed(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """The search index of the notes and its postings, built once per session and stored as an index stores them."""
+
+    def make() -> str:
+        at = shared_path(spark, "index")
+        notes = search.with_surfaces(spread(_search(spark, d), "file_id"))
+        notes.repartitionByRange("file_id").sortWithinPartitions("file_id").write.option("parquet.bloom.filter.enabled#file_id", "true").parquet(f"{at}/search_index")
+        rows = postings.build(spark.read.parquet(f"{at}/search_index").dropDuplicates(["file_id"]))
+        rows.repartitionByRange("token", "file_id").sortWithinPartitions("token", "file_id").write.option("parquet.block.size", 8 << 20).parquet(f"{at}/postings")
+        return at
+
+    at = once(spark, (d, "index"), make)
+    return spark.read.parquet(f"{at}/search_index"), spark.read.parquet(f"{at}/postings")
+
+
+def _ask(spark: SparkSession, d: str, query: str) -> tuple[DataFrame, str, DataFrame]:
+    index_, found = _indexed(spark, d)
+    return index_, query, found
 
 
 def _start(spark: SparkSession, d: str) -> str:
@@ -125,29 +146,35 @@ _DOCS = _FTS + f""", hits AS (SELECT file_id, normalized_path AS path, title, up
 
 @_q(_DOCS + " SELECT file_id, path, title, matched_in, score FROM hits")
 def t01_t02_t03_search(spark: SparkSession, d: str) -> DataFrame:
-    return search.ranked(search.search(_search(spark, d), "draft")).select("file_id", "path", "title", F.array_join("matched_in", ",").alias("matched_in"), "score")
+    return search.ranked(search.search(*_ask(spark, d, "draft"))).select("file_id", "path", "title", F.array_join("matched_in", ",").alias("matched_in"), "score")
+
+
+@_q(_DOCS + " SELECT file_id, path, score FROM hits")
+def t01_scan_without_postings(spark: SparkSession, d: str) -> DataFrame:
+    """The same search over an index that has no postings."""
+    return search.search(_search(spark, d), "draft").select("file_id", "path", "score")
 
 
 @_q(_FTS + f" SELECT file_id, normalized_path AS path FROM fts WHERE {_HIT('project ma')} AND {_HIT('moved')}")
 def t01_phrase_and_prefix(spark: SparkSession, d: str) -> DataFrame:
-    return search.search(_search(spark, d), "project-ma móved").select("file_id", "path")
+    return search.search(*_ask(spark, d, "project-ma móved")).select("file_id", "path")
 
 
 @_q(_DOCS + " SELECT path, title, matched_in FROM hits WHERE (starts_with(path, 'notes/') AND NOT contains(lower(title), 'daily')) AND (',' || matched_in || ',') LIKE '%,content,%' ORDER BY title DESC, path, file_id LIMIT 50")
 def w01_o01_p01_docs_query(spark: SparkSession, d: str) -> DataFrame:
     q = search.DocsQuery("draft", "path starts_with 'notes/' and not title contains 'DAILY' and (matched_in contains 'content')", "title:desc", "path,title,matched_in", 50)
-    return q.run(_search(spark, d)).withColumn("matched_in", F.array_join("matched_in", ","))
+    return q.run(*_indexed(spark, d)).withColumn("matched_in", F.array_join("matched_in", ","))
 
 
 @_q(_DOCS + " SELECT file_id, path, title FROM hits WHERE updated_at >= '2023-01-15' OR title == 'reading-list' ORDER BY updated_at, path, file_id LIMIT 30 OFFSET 5")
 def w04_o05_docs_page(spark: SparkSession, d: str) -> DataFrame:
     q = search.DocsQuery("draft", "indexed_at >= '2023-01-15' or title == 'reading-list'", "indexed_at:nulls_last:asc", "file_id,path,title", 30, 5)
-    return q.run(_search(spark, d))
+    return q.run(*_indexed(spark, d))
 
 
 @_q(_DOCS + " SELECT count(*) AS total FROM hits WHERE path <> 'x' AND NOT ends_with(path, '1.md')")
 def w07_a11_total(spark: SparkSession, d: str) -> DataFrame:
-    return spark.createDataFrame([(search.DocsQuery("draft", "path != 'x' and not path ends_with '1.md'").total(_search(spark, d)),)], "total long")
+    return spark.createDataFrame([(search.DocsQuery("draft", "path != 'x' and not path ends_with '1.md'").total(*_indexed(spark, d)),)], "total long")
 
 
 @_q("SELECT property_id, file_id, normalized_path AS path, value_json FROM p JOIN f USING (file_id) WHERE key = 'status' AND contains(lower(value_json), 'a') ORDER BY value_json DESC, path, property_id LIMIT 40 OFFSET 10")
@@ -366,14 +393,14 @@ def p05_link_kinds(spark: SparkSession, d: str) -> DataFrame:
 
 @_q(r"SELECT file_id, len(regexp_extract_all(content_lc, '(?s)\[\[(.*?)\]\]', 1)) AS n FROM s")
 def v06_wikilinks(spark: SparkSession, d: str) -> DataFrame:
-    return _search(spark, d).select("file_id", F.size(T.wikilinks(F.col("content_lc"))).cast("long").alias("n"))
+    return _search(spark, d).select("file_id", F.size(T.wikilinks(F.col("content_lc"))).cast("long").alias("n")).distinct()
 
 
 @_q(r""", x AS (SELECT file_id, unnest(regexp_extract_all(content_lc, '(?s)\[\[(.*?)\]\]', 1)) AS x FROM s),
   w AS (SELECT file_id, trim(regexp_extract(split_part(x, '|', 1), '^([^#]*)', 1)) AS target, CASE WHEN contains(x, '|') THEN nullif(trim(regexp_replace(x, '(?s)^[^|]*\|', '')), '') END AS display, CASE WHEN contains(split_part(x, '|', 1), '#') THEN regexp_replace(trim(split_part(x, '|', 1)), '(?s)^[^#]*#', '') ELSE '' END AS frag FROM x)
   SELECT file_id, target, display, CASE WHEN NOT starts_with(frag, '^') THEN nullif(trim(frag), '') END AS heading, CASE WHEN starts_with(frag, '^') THEN nullif(trim(frag[2:]), '') END AS block, count(*) AS n FROM w WHERE target <> '' GROUP BY ALL""")
 def v05_wikilink_parts(spark: SparkSession, d: str) -> DataFrame:
-    links = _search(spark, d).select("file_id", F.explode(T.wikilinks(F.col("content_lc"))).alias("x"))
+    links = _search(spark, d).select("file_id", F.posexplode(T.wikilinks(F.col("content_lc"))).alias("at", "x")).distinct()
     parts = links.select("file_id", T.wikilink_parts(F.col("x")).alias("w")).select("file_id", "w.*").filter("target is not null")
     return parts.groupBy("file_id", "target", "display", "heading", "block").agg(F.count(F.lit(1)).alias("n"))
 
@@ -384,7 +411,7 @@ _LINES = ", lines AS (SELECT file_id, unnest(string_split(content_lc, chr(10)))
 @_q(_LINES + r""" SELECT file_id, line_number, length(regexp_extract(line, '^\s*(#{1,6})', 1)) AS level, trim(regexp_extract(line, '^\s*#{1,6}\s*([^#\s].*)$', 1)) AS text FROM lines WHERE regexp_matches(line, '^\s*#{1,6}\s*[^#\s].*$')""")
 def v15_headings(spark: SparkSession, d: str) -> DataFrame:
     lines = _search(spark, d).select("file_id", F.inline(T.numbered_lines(F.col("content_lc")))).withColumn("h", T.heading_of(F.col("line"))).filter("h is not null")
-    return lines.select("file_id", F.col("line_number").cast("long").alias("line_number"), F.col("h.level").cast("long").alias("level"), "h.text")
+    return lines.select("file_id", F.col("line_number").cast("long").alias("line_number"), F.col("h.level").cast("long").alias("level"), "h.text").distinct()
 
 
 @_q("SELECT DISTINCT doc_id, 'd-' || doc_id AS block_id FROM documents UNION SELECT DISTINCT doc_id, source FROM documents WHERE regexp_full_match(source, '[A-Za-z0-9_-]+')")
@@ -664,7 +691,7 @@ _HEADS = r"count(*) FILTER (regexp_matches(line, '^\s*#{1,6}\s*[^#\s].*$'))"
 def i02_i03_s04_prepared_notes(spark: SparkSession, d: str) -> DataFrame:
     """The texts of the search table, indexed as notes: headings and tasks found."""
     notes = spread(_search(spark, d).select("file_id", "normalized_path", F.col("content_lc").alias("text")), "file_id")
-    return vault.prepare_texts(notes).select("file_id", F.size("headings").cast("long").alias("n_headings"), F.size("tasks").cast("long").alias("n_tasks"))
+    return vault.prepare_texts(notes).select("file_id", F.size("headings").cast("long").alias("n_headings"), F.size("tasks").cast("long").alias("n_tasks")).distinct()
 
 
 # --- upkeep ------------------------------------------------------------------------------------------------------
@@ -717,5 +744,5 @@ def i06_latest_stream(spark: SparkSession, d: str) -> DataFrame:
 
 def docs_flagship(spark: SparkSession, d: str) -> DataFrame:
     """The whole path of a search: text, condition, sort, projection, page."""
-    return search.DocsQuery("draft", "path starts_with 'notes/'", "title:desc", "path,title,matched_in", 20).run(_search(spark, d))
+    return search.DocsQuery("draft", "path starts_with 'notes/'", "title:desc", "path,title,matched_in", 20).run(*_indexed(spark, d))
 

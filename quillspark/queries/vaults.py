@@ -20,13 +20,12 @@ from quillspark.functions import values as V
 from quillspark.operators import baseview, graph, index, meta, search, tasks
 from quillspark.plans import bases as B
 from quillspark.plans import where as W
-from quillspark.runtime import cut, shared_path, table
+from quillspark.runtime import cut, once, shared_path, table
 from quillspark.sources import events, sinks, tables, vault
 from quillspark.sources.store import IndexStore
 
 QUERIES: dict[str, Callable] = {}
 SQL: dict[str, str] = {}
-_made: dict[tuple, object] = {}
 
 BASE_DOC = """filters:
   and:
@@ -50,13 +49,6 @@ def _local(path: str) -> str:
     return path.removeprefix("file://").removeprefix("file:")
 
 
-def _once(spark: SparkSession, key: tuple, make: Callable[[], object]) -> object:
-    at = (spark.sparkContext.applicationId, *key)
-    if at not in _made:
-        _made[at] = make()
-    return _made[at]
-
-
 def _write(texts: DataFrame, root: str) -> str:
     """Write (path, text) as files below root."""
 
@@ -108,7 +100,7 @@ def _built(spark: SparkSession, d: str, kind: str) -> tuple[str, IndexStore]:
         index.rebuild(store, root)
         return root, store
 
-    return _once(spark, (d, kind), make)
+    return once(spark, (d, kind), make)
 
 
 def _vault(spark: SparkSession, d: str, kind: str) -> api.Vault:
@@ -359,7 +351,7 @@ def _changed(spark: SparkSession, d: str) -> dict[str, list[tuple]]:
         out["i13"] = [(stale, index.staleness(store, root)["drift_paths"], index.needs_rebuild(store, root), index.needs_rebuild(store, root + "/nations"))]
         return out
 
-    return _once(spark, (d, "changed"), make)
+    return once(spark, (d, "changed"), make)
 
 
 _FILE_ROWS = "path string, size_bytes long, n_tasks long, n_resolved long"

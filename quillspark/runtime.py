@@ -6,6 +6,7 @@ import atexit
 import os
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -51,6 +52,17 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return path
 
 
+_made: dict[tuple, object] = {}
+
+
+def once(spark: SparkSession, key: tuple, make: Callable[[], object]) -> object:
+    """What make() gave for the key in this session; it runs when first asked for."""
+    at = (spark.sparkContext.applicationId, *key)
+    if at not in _made:
+        _made[at] = make()
+    return _made[at]
+
+
 def cut_table(df: DataFrame) -> DataFrame:
     """As cut, but as a table in the shared folder: scans of it are alike to the planner, so a self-join shuffles once.
     The table is deleted when the driver ends."""

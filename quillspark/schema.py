@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import types as T
 
 
-_TYPES = {"string": T.StringType(), "long": T.LongType(), "int": T.IntegerType(), "boolean": T.BooleanType()}
+_TYPES = {"string": T.StringType(), "long": T.LongType(), "int": T.IntegerType(), "boolean": T.BooleanType(), "ints": T.ArrayType(T.IntegerType())}
 
 
 def _struct(columns: str) -> T.StructType:
@@ -18,6 +18,7 @@ PROPERTIES = _struct("property_id string, file_id string, key string, value_type
 BASES = _struct("base_id string, file_id string, config_json string, updated_at string")
 TASKS = _struct("task_id string, file_id string, file_path string, file_path_lc string, line_number long, state string, text string, text_lc string, updated_at string")
 SEARCH = _struct("file_id string, normalized_path_lc string, title_lc string, content_lc string, updated_at string, normalized_path string, fts_path string, fts_title string, fts_content string")
+POSTINGS = _struct("token string, surface int, file_id string, positions ints")
 RENDER_CACHE = _struct("cache_key string, file_id string, html string, content_hash string, updated_at string")
 INDEX_STATE = _struct("key string, value_json string, updated_at string")
 EVENTS = _struct("id long, event_type string, payload_json string, created_at string")
@@ -32,9 +33,10 @@ TABLES = {
     "bases": BASES,
     "tasks": TASKS,
     "search_index": SEARCH,
+    "postings": POSTINGS,
     "headings": HEADINGS,
     "blocks": BLOCKS,
     "render_cache": RENDER_CACHE,
     "diagnostics": DIAGNOSTICS,
 }
-VERSION = 2
+VERSION = 3

@@ -22,10 +22,10 @@ from quillspark import schema
 
 TOMBS = "kind string, id string"
 #: What a tombstone of each kind removes: column by table.
-KEYS = {n: ("file", "file_id") for n in ("files", "properties", "bases", "tasks", "search_index", "headings", "blocks", "render_cache")} | {"links": ("file", "source_file_id"), "diagnostics": ("path", "normalized_path")}
+KEYS = {n: ("file", "file_id") for n in ("files", "properties", "bases", "tasks", "search_index", "postings", "headings", "blocks", "render_cache")} | {"links": ("file", "source_file_id"), "diagnostics": ("path", "normalized_path")}
 #: Order of the rows in the files of a base, so that reads of a note, a key or a path skip most files. The second column
 #: splits the rows of a hot key.
-ORDER = {"files": ("normalized_path",), "links": ("source_file_id", "link_id"), "properties": ("key", "file_id"), "tasks": ("file_path", "line_number"), "search_index": ("normalized_path",)}
+ORDER = {"files": ("normalized_path",), "links": ("source_file_id", "link_id"), "properties": ("key", "file_id"), "tasks": ("file_path", "line_number"), "search_index": ("file_id",), "postings": ("token", "file_id")}
 MAX_SEGMENTS = 16
 
 
