@@ -16,6 +16,7 @@ import re
 import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -28,18 +29,18 @@ from quillspark.runtime import cut, spread
 WORD = re.compile(r"[^\W_]+")
 _SLICE = 2048
 _PAIRS = 65536
+_CELLS = 32 << 20  # most cells of a table of passages and words
 
 
 @dataclass(frozen=True)
 class Leakage:
     """min_run: consecutive words that make a leak. rank, oversample, power: randomised SVD. lcs: a paraphrase's least share of the item window's words in a common subsequence; names: least share of the
-    window's rarest words that must stand in the passage. cosine: without effect, as what else stands in a passage lowers it; block: item windows compared at a time."""
+    window's rarest words that must stand in the passage. block: item windows compared at a time."""
 
     min_run: int = 12
     rank: int = 128
     oversample: int = 16
     power: int = 1
-    cosine: float = 0.9
     lcs: float = 0.75
     names: float = 0.6
     block: int = 4096
@@ -87,7 +88,7 @@ def encode(docs: DataFrame, vocab: dict[str, int]) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, ids array<int>")
 
 
-def passages(batch: pa.RecordBatch, p: Leakage) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def passages(batch: pa.RecordBatch, p: Leakage, size: int = _SLICE) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Slices of (doc_id, word ids padded with -1). Every run of min_run words lies within some passage."""
     ends = batch.column("ids").offsets.to_numpy()
     flat = batch.column("ids").values.to_numpy(zero_copy_only=False)
@@ -104,10 +105,10 @@ def passages(batch: pa.RecordBatch, p: Leakage) -> Iterator[tuple[np.ndarray, np
         return
     starts, lasts, owner = map(np.concatenate, (starts, lasts, owner))
     step = np.arange(p.passage)
-    for i in range(0, len(starts), _SLICE):
-        at = starts[i : i + _SLICE, None] + step
-        inside = at < lasts[i : i + _SLICE, None]
-        yield owner[i : i + _SLICE], np.where(inside, flat[np.minimum(at, len(flat) - 1)], -1)
+    for i in range(0, len(starts), size):
+        at = starts[i : i + size, None] + step
+        inside = at < lasts[i : i + size, None]
+        yield owner[i : i + size], np.where(inside, flat[np.minimum(at, len(flat) - 1)], -1)
 
 
 def project(ids: np.ndarray, weighted: np.ndarray) -> np.ndarray:
@@ -224,7 +225,7 @@ def least_products(weights: np.ndarray, rare: np.ndarray, distinct: np.ndarray,
     return np.where(distinct, with_names, np.sort(weights, axis=1)[:, :n_lcs].sum(1))
 
 
-def leaks(docs: DataFrame, items: DataFrame, p: Leakage = Leakage(), max_items: int = 1_000_000) -> DataFrame:
+def leaks(docs: DataFrame, items: DataFrame, p: Leakage = Leakage(), max_items: int = 100_000) -> DataFrame:
     """Documents that hold passages of items: doc_id, item_id, kind, n_windows, best.
 
     kind `run`: at least min_run consecutive words in common; n_windows counts the item's windows of min_run words that
@@ -232,13 +233,21 @@ def leaks(docs: DataFrame, items: DataFrame, p: Leakage = Leakage(), max_items:
     and its names; best is the share of the window in the common subsequence.
 
     docs has doc_id, text; items item_id, text. Repeated rows count once; items of fewer than min_run words, null and
-    empty texts give no row. The items are the query set and are held in memory, at most max_items; all documents are
-    compared with all of them, in blocks.
+    empty texts give no row. The items are the query set; about max_items of them are held in memory at a time, and with
+    more the documents are read once for each such part of the items. All documents are compared with all items.
     """
+    rows = items.select(F.col("item_id").cast("long").alias("item_id"), "text").filter("item_id is not null and text is not null").distinct()
+    parts = max(1, -(-rows.count() // max_items))
+    if parts == 1:
+        return _leaks(docs, rows, p)
+    rows = cut(rows)
+    found = [_leaks(docs, rows.filter(F.pmod(F.xxhash64("item_id"), F.lit(parts)) == i), p) for i in range(parts)]
+    return reduce(DataFrame.unionByName, found)
+
+
+def _leaks(docs: DataFrame, items: DataFrame, p: Leakage) -> DataFrame:
     spark = docs.sparkSession
-    rows = items.select(F.col("item_id").cast("long").alias("item_id"), "text").filter("item_id is not null and text is not null").distinct().limit(max_items + 1).collect()
-    if len(rows) > max_items:
-        raise ValueError(f"more than {max_items} items")
+    rows = items.collect()  # a part of the query set
     texts = sorted((r["item_id"], words(r["text"])) for r in rows)
     vocab: dict[str, int] = {}
     for _, w in texts:
@@ -287,7 +296,7 @@ def leaks(docs: DataFrame, items: DataFrame, p: Leakage = Leakage(), max_items:
         for b in it:
             exact: dict[tuple[int, int], set[int]] = {}
             loose: dict[tuple[int, int], float] = {}
-            for doc, ids in passages(b, p):
+            for doc, ids in passages(b, p, max(64, min(_SLICE, _CELLS // len(s["idf"])))):
                 # what every run and every paraphrase needs: words of the items, all together or with names among them
                 known = ids >= 0
                 together = np.lib.stride_tricks.sliding_window_view(known, run_len, axis=1).all(2).any(1)
@@ -299,6 +308,9 @@ def leaks(docs: DataFrame, items: DataFrame, p: Leakage = Leakage(), max_items:
                 inner = np.einsum("ij,ij->i", u, u)
                 right = np.hstack([u, np.sqrt(np.maximum(n2 - inner, 0))[:, None]]).astype(np.float32)
                 view = np.lib.stride_tricks.sliding_window_view(ids, run_len, axis=1)
+                holds = np.zeros((len(ids), len(s["idf"])), bool)  # which words each passage holds
+                holds[np.arange(len(ids))[:, None], ids] = True
+                holds[:, -1] = False
                 with np.errstate(over="ignore"):
                     grams = ((view.astype(np.int64) + 1).astype(np.uint64) * mult).sum(2)
                 for k in range(0, len(left), p.block):
@@ -314,9 +326,9 @@ def leaks(docs: DataFrame, items: DataFrame, p: Leakage = Leakage(), max_items:
                     for i in range(0, len(pairs), _PAIRS):
                         pi, qi = np.divmod(pairs[i : i + _PAIRS], score.shape[1])
                         qi = qi + k
-                        named = (ids[pi][:, None, :] == s["rare"][qi][:, :, None]).any(2).mean(1) >= p.names
+                        named = holds[pi[:, None], s["rare"][qi]].mean(1) >= p.names
                         pi, qi = pi[named], qi[named]
-                        held = (ids[pi][:, None, :] == s["win"][qi][:, :, None]).any(2).mean(1) >= p.lcs - 1e-9
+                        held = holds[pi[:, None], s["win"][qi]].mean(1) >= p.lcs - 1e-9
                         for x, y in zip(pi[held], qi[held]):
                             w = s["win"][y].tolist()
                             share = lcs_length(w, ids[x].tolist()) / len(w)

@@ -15,17 +15,21 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillspark.llm.components import connected_components
-from quillspark.runtime import cut, cut_table, spread
+from quillspark.runtime import broadcast_if_small, cut, cut_table, spread
 
 WORD = re.compile(r"[^\W_]+")
 _CHUNK = 1 << 18
 KEY_BYTES = 5
 SIGMA = 3.7
 FILTER_BITS = 24
+LOAD_SLOTS = 1 << 16
+SHARD_ROWS = 1_000_000
+COPIES_PER_SHARD = 2_000
+MAX_BROADCAST = 500_000
 
 
 @dataclass(frozen=True)
@@ -163,6 +167,21 @@ def _signed(rows: DataFrame, p: NearDup) -> DataFrame:
     return rows.mapInArrow(run, "t long, h long, bands binary, " + ", ".join(f"{n} long" for n in names)).dropDuplicates(["t", "h"])
 
 
+def _sharded(rows: DataFrame, key: str, spread_by: Column) -> tuple[DataFrame, DataFrame]:
+    """Both sides of a self-join with a shard. Rows are counted by LOAD_SLOTS hashes of the key, which combines on the map side;
+    in a slot of more than SHARD_ROWS the left rows are cut into shards, and the right rows go to all of them. Any key may be
+    cut without changing the result, so a key that holds a third of the rows is many tasks' work."""
+    slot = F.pmod(key, F.lit(LOAD_SLOTS)).cast("int").alias("slot")
+    loads = rows.groupBy(slot).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > SHARD_ROWS)
+    heavy = cut(loads.select("slot", F.ceil(F.col("n") / SHARD_ROWS).cast("int").alias("shards")))
+    if not heavy.head(1):
+        plain = rows.withColumn("shard", F.lit(0))
+        return plain, plain
+    both = rows.withColumn("slot", slot).join(F.broadcast(heavy), "slot", "left").withColumn("shards", F.coalesce("shards", F.lit(1))).drop("slot")  # at most LOAD_SLOTS rows
+    left = both.withColumn("shard", F.pmod(F.xxhash64(F.lit(23), spread_by), "shards").cast("int")).drop("shards")
+    return left, both.withColumn("shard", F.explode(F.sequence(F.lit(0), F.col("shards") - 1))).drop("shards")
+
+
 def _candidates(signed: DataFrame, p: NearDup) -> DataFrame:
     """ta, ha, tb, hb: pairs of texts that agree in a band and whose signatures do not rule the threshold out.
 
@@ -172,8 +191,9 @@ def _candidates(signed: DataFrame, p: NearDup) -> DataFrame:
     n = p.bands * p.rows
     keys = F.transform(F.sequence(F.lit(0), F.lit(p.bands - 1)), lambda i: F.xxhash64(i, F.substring(F.col("bands"), i * KEY_BYTES + 1, F.lit(KEY_BYTES))))
     banded = signed.select("t", F.explode(keys).alias("band_key"))
-    left, right = banded.alias("l"), banded.alias("r")
-    pairs = left.join(right, (F.col("l.band_key") == F.col("r.band_key")) & (F.col("l.t") < F.col("r.t"))).select(F.col("l.t").alias("ta"), F.col("r.t").alias("tb")).distinct()
+    left, right = _sharded(banded, "band_key", F.col("t"))
+    same = (F.col("l.band_key") == F.col("r.band_key")) & (F.col("l.shard") == F.col("r.shard")) & (F.col("l.t") < F.col("r.t"))
+    pairs = left.alias("l").join(right.alias("r"), same).select(F.col("l.t").alias("ta"), F.col("r.t").alias("tb")).distinct()
     w = _words_of(p)
     sketch = [f"s{i}" for i in range(2 * w)]
     side = lambda x: signed.select(F.col("t").alias(f"t{x}"), F.col("h").alias(f"h{x}"), *[F.col(c).alias(f"{x}{c}") for c in sketch])
@@ -231,12 +251,18 @@ def text_links(docs: DataFrame, p: NearDup, copies: bool) -> DataFrame:
 def near_duplicate_pairs(docs: DataFrame, p: NearDup) -> DataFrame:
     """All pairs of documents with similarity of at least the threshold: id_a < id_b, similarity.
 
-    The result itself is as large as the pairs that exist; use near_duplicate_groups where classes will do.
+    The links of text_links between different texts, one pair for each, with members() say the same; here copies are
+    expanded, so the result is as large as the pairs that exist.
     """
     links, m = text_links(docs, p, copies=True), members(docs)
+    copies = m.groupBy("t", "h").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > COPIES_PER_SHARD).select(F.col("t").alias("tb"), F.col("h").alias("hb"), F.ceil(F.col("n") / COPIES_PER_SHARD).cast("int").alias("shards"))
+    copies = broadcast_if_small(cut(copies), MAX_BROADCAST)
     ma = m.select(F.col("id").alias("ia"), F.col("t").alias("ta"), F.col("h").alias("ha"))
     mb = m.select(F.col("id").alias("ib"), F.col("t").alias("tb"), F.col("h").alias("hb"))
-    pairs = links.join(ma, ["ta", "ha"]).join(mb, ["tb", "hb"]).filter("ia <> ib")
+    # copies of a text that very many documents hold are paired in shards: one side is cut, the other goes to each
+    cut_side = links.join(ma, ["ta", "ha"]).join(copies, ["tb", "hb"], "left").withColumn("shard", F.coalesce(F.pmod(F.xxhash64("ia"), "shards").cast("int"), F.lit(0))).drop("shards")
+    all_sides = mb.join(copies, ["tb", "hb"], "left").withColumn("shard", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("shards") - 1, F.lit(0))))).drop("shards")
+    pairs = cut_side.join(all_sides, ["tb", "hb", "shard"]).filter("ia <> ib")
     return pairs.select(F.least("ia", "ib").alias("id_a"), F.greatest("ia", "ib").alias("id_b"), "similarity").distinct()
 
 

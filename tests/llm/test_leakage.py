@@ -56,7 +56,7 @@ def test_paraphrase(spark):
     item = "the northern keeper ravendel signed the blue agenda that olmaris left inside the harbour depot yesterday"
     near = item.replace("northern", "southern").replace("inside", "within")
     noise = [(i, " ".join(random.Random(i).sample(WORDS, 30))) for i in range(10, 40)]
-    rows = L.leaks(spark.createDataFrame([(1, near), *noise], "doc_id long, text string"), spark.createDataFrame([(7, item)], "item_id long, text string"), L.Leakage(cosine=0.6)).collect()
+    rows = L.leaks(spark.createDataFrame([(1, near), *noise], "doc_id long, text string"), spark.createDataFrame([(7, item)], "item_id long, text string")).collect()
     assert [(r["doc_id"], r["item_id"], r["kind"]) for r in rows] == [(1, 7, "paraphrase")]
 
 
@@ -92,3 +92,17 @@ def test_paraphrased_fragments_inside_other_text(spark):
         docs.append((i, " ".join(around[:at] + part + around[at:])))
     got = L.leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
     assert {(i, i) for i, _ in items} <= {(r["doc_id"], r["item_id"]) for r in got if r["kind"] == "paraphrase"}
+
+
+def test_items_in_parts(spark):
+    """Items that are too many to hold at once are taken in parts; the rows are the same."""
+    import random
+
+    rnd = random.Random(11)
+    vocab = [f"q{i}" for i in range(300)]
+    items = [(i, " ".join(rnd.choices(vocab, k=30))) for i in range(12)]
+    docs = [(100 + i, "intro words " + " ".join(t.split()[5:20]) + " outro") for i, t in items] + [(500, " ".join(rnd.choices(vocab, k=200)))]
+    df, it = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    whole = {tuple(r)[:3] for r in L.leaks(df, it).filter("kind = 'run'").collect()}
+    assert {(d, i) for d, i, _ in whole} == {(100 + i, i) for i, _ in items}
+    assert {tuple(r)[:3] for r in L.leaks(df, it, max_items=5).filter("kind = 'run'").collect()} == whole

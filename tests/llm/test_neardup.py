@@ -55,6 +55,18 @@ def test_hot_copies(spark):
     assert N.near_duplicate_pairs(spark.createDataFrame(rows, "id string, content string"), N.NOTES).count() == 200 * 199 // 2
 
 
+def test_shards_change_nothing(spark, monkeypatch):
+    """Hot band keys and hot texts are cut into shards; every pair is still found, once."""
+    base = WORDS[:60]
+    rows = [(f"h{i}", " ".join(base)) for i in range(40)] + [(f"v{i}", " ".join(base[:i] + [f"y{i}"] + base[i + 1 :])) for i in range(40)] + corpus(3, 4, 4)
+    monkeypatch.setattr(N, "SHARD_ROWS", 20)
+    monkeypatch.setattr(N, "LOAD_SLOTS", 64)
+    monkeypatch.setattr(N, "COPIES_PER_SHARD", 7)
+    got = N.near_duplicate_pairs(spark.createDataFrame(rows, "id string, content string"), N.NOTES).collect()
+    pairs = [(r["id_a"], r["id_b"]) for r in got]
+    assert len(pairs) == len(set(pairs)) and set(pairs) == brute(rows, N.NOTES)
+
+
 def test_long_text_is_folded(monkeypatch):
     rnd = random.Random(2)
     long = " ".join(rnd.choice(WORDS) for _ in range(5000))
