@@ -33,6 +33,7 @@ COMMANDS = {
     "task": ("list", "set-state"),
     "vault": ("open", "preflight", "reconcile", "reindex", "stats"),
 }
+MAX_CACHED = 1000  # results that are kept; the oldest goes first
 WRITES = {("doc", "write"), ("task", "set-state")}
 
 
@@ -126,6 +127,8 @@ class Vault:
         if digest != self._digest:
             self._cache, self._digest = {}, digest
         if key not in self._cache:
+            while len(self._cache) >= MAX_CACHED:
+                self._cache.pop(next(iter(self._cache)))
             self._cache[key] = make()
         return self._cache[key]
 
@@ -135,10 +138,23 @@ class Vault:
         return self
 
     def query(self, from_: str, query: str | None = None, path: str | None = None, view_name: str | None = None, select: str | None = None, where: str | None = None, sort: str | None = None, explain_only: bool = False, limit: int = 100, offset: int = 0) -> DataFrame | dict:
-        """Rows of a scope. where, sort, select and explain hold for docs and base; the other scopes ignore them."""
+        """Rows of a scope. where, sort, select and explain hold for docs and base; the other scopes ignore them.
+
+        Pages of an index on disk are kept until its version changes, so a query that is asked again runs no job.
+        """
         kind, name = parse_scope(from_)
         if explain_only and kind in ("docs", "base"):
             return explain(from_, query, where, sort, select, limit, offset)
+        if self.store is None or limit > search.MAX_PAGE or kind == "graph" and path is not None:
+            return self._rows(kind, name, query, path, view_name, select, where, sort, limit, offset)
+
+        def page() -> DataFrame:
+            rows = self._rows(kind, name, query, path, view_name, select, where, sort, limit, offset)
+            return self.spark.createDataFrame(rows.collect(), rows.schema)
+
+        return self.cached(repr((from_, query, path, view_name, select, where, sort, limit, offset)), page)
+
+    def _rows(self, kind: str, name: str | None, query: str | None, path: str | None, view_name: str | None, select: str | None, where: str | None, sort: str | None, limit: int, offset: int) -> DataFrame:
         if kind == "docs":
             return search.DocsQuery(query or "", where, sort, select, limit, offset).run(self.t["search_index"], self.t.get("postings"))
         if kind == "base":
@@ -252,7 +268,11 @@ class Vault:
     def preflight(self) -> dict:
         """State of the index without changing it: schema, version, whether it must be rebuilt."""
         s = self.store.state()
-        return {"schema": s.get("schema"), "version": s.get("version"), "needs_rebuild": index.needs_rebuild(self.store, self.config.vault_root)}
+        return {"schema": s.get("schema"), "version": s.get("version"), "needs_rebuild": index.needs_rebuild(self.store, self.config.vault_root), **self.store.preflight()}
+
+    def migrate(self) -> dict:
+        """Bring the schema of the index up to date."""
+        return self.store.migrate()
 
     def stats(self) -> DataFrame:
         """Numbers of files, notes, links, unresolved links, properties and tasks in one row."""

@@ -22,6 +22,7 @@ from quillspark.runtime import cut, parallelism
 from quillspark.sources import vault
 from quillspark.sources.store import IndexStore
 
+PENDING = "PENDING.json"
 LINK_RULES = 2  # version of link resolution; an index made by another is rebuilt
 
 
@@ -166,18 +167,17 @@ def apply_batches(store: IndexStore, root: str, paths: Iterable[str], batch_size
 
 def apply_checkpointed(store: IndexStore, root: str, paths: Iterable[str], batch_size: int = 128, max_batches: int | None = None) -> dict:
     """Changes in batches, with the paths that are left kept beside the index after each; no paths resumes what was left."""
-    log = store.path / "PENDING.json"
-    pending = json.loads(log.read_text()) if log.exists() else []
+    pending = json.loads(store.files.read(PENDING)) if store.files.exists(PENDING) else []
     todo = first_seen([*pending, *paths])
     done = 0
     for part in chunks(todo, batch_size) if todo else []:
         if max_batches is not None and done >= max_batches:
             break
-        log.write_text(json.dumps(todo))
+        store.files.replace(PENDING, json.dumps(todo))
         apply_changes(store, root, store.spark.createDataFrame([(p,) for p in part], "normalized_path string"))
         todo = todo[len(part) :]
         done += 1
-        log.write_text(json.dumps(todo))
+        store.files.replace(PENDING, json.dumps(todo))
     return {"batches": done, "pending": len(todo)}
 
 
@@ -205,6 +205,7 @@ def stale_cleanup(tables: dict[str, DataFrame], manifest: DataFrame) -> dict[str
 
 # --- consistency --------------------------------------------------------------------------------------------------
 
+# fixed values: kinds of issues
 ISSUES = ("broken_link_target", "link_resolution_mismatch", "missing_on_disk", "orphan_base", "orphan_link_source", "orphan_property", "orphan_render_cache", "path_outside_root")
 
 

@@ -9,13 +9,16 @@ from __future__ import annotations
 
 import json
 import os
+import tempfile
+import threading
+import time
 from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark import api, config
+from quillspark import api, config, daemon
 from quillspark.functions import values as V
 from quillspark.operators import baseview, graph, index, meta, search, tasks
 from quillspark.plans import bases as B
@@ -574,3 +577,37 @@ def a14_digest(spark: SparkSession, d: str) -> DataFrame:
     one = meta.digest(files, props)
     other = meta.digest(files, props.withColumn("value_json", F.when(F.col("property_id") == props.agg(F.min("property_id")).first()[0], "?").otherwise(F.col("value_json"))))
     return spark.createDataFrame([(one == meta.digest(files.orderBy("size_bytes"), props.repartition(5)), one == other)], "same boolean, after_a_change boolean")
+
+
+@_q(_values([("1,2,3", "1,2,3", "", "")], "known, applied, pending, mismatched"))
+def q07_migrations(spark: SparkSession, d: str) -> DataFrame:
+    """Steps of the schema of an index as it was built."""
+    found = _built(spark, d, "small")[1].preflight()
+    return spark.createDataFrame([tuple(",".join(map(str, found[k])) for k in ("known", "applied", "pending", "mismatched"))], "known string, applied string, pending string, mismatched string")
+
+
+@_q(" SELECT (SELECT count(*) FROM sv WHERE contains(lower(text), 'check')) AS n, 1 AS n_kept, true AS same")
+def q09_kept_pages(spark: SparkSession, d: str) -> DataFrame:
+    """A page that is asked for again is the one that was kept."""
+    v = _vault(spark, d, "small")
+    first = v.query("docs", "check", limit=1000)
+    again = v.query("docs", "check", limit=1000)
+    return spark.createDataFrame([(first.count(), len(v._cache), first is again)], "n long, n_kept int, same boolean")
+
+
+@_q(" SELECT (SELECT count(*) FROM sv) AS n_tasks, (SELECT count(*) FROM sv) + (SELECT count(*) FROM nv) AS n_files, true AS served, true AS stopped, false AS served_after")
+def q12_daemon(spark: SparkSession, d: str) -> DataFrame:
+    """What a served vault answers, and that it stops."""
+    v = _vault(spark, d, "small")
+    with tempfile.TemporaryDirectory() as at:  # a socket has to be on this machine
+        path = os.path.join(at, "s")
+        server = threading.Thread(target=lambda: daemon.serve(v, path), daemon=True)
+        server.start()
+        while not daemon.status(path)["running"] and server.is_alive():
+            time.sleep(0.02)
+        served = daemon.status(path)["running"]
+        n_tasks = daemon.ask(path, "query", **{"from": "task"}, query="call", limit=1000)["meta"]["count"]
+        n_files = daemon.ask(path, "stats")["data"][0]["files"]
+        stopped = daemon.stop(path)
+        server.join(30)
+        return spark.createDataFrame([(n_tasks, n_files, served, stopped, daemon.status(path)["running"])], "n_tasks long, n_files long, served boolean, stopped boolean, served_after boolean")

@@ -44,6 +44,66 @@ def _drop(spark: SparkSession, path: str) -> None:
         pass
 
 
+class Files:
+    """Small files on any file system that Spark reaches. A path without scheme is on the default one."""
+
+    def __init__(self, spark: SparkSession, root: str) -> None:
+        self._jvm, self._conf = spark._jvm, spark._jsc.hadoopConfiguration()
+        self.root = str(root).rstrip("/")
+        self._fs = self._path("").getFileSystem(self._conf)
+        self._context = self._jvm.org.apache.hadoop.fs.FileContext.getFileContext(self._path("").toUri() if "://" in self.root else self._fs.getUri(), self._conf)
+
+    def _path(self, name: str):  # noqa: ANN202
+        return self._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}" if name else self.root)
+
+    def make(self) -> None:
+        self._fs.mkdirs(self._path(""))
+
+    def exists(self, name: str) -> bool:
+        return self._fs.exists(self._path(name))
+
+    def read(self, name: str) -> str:
+        stream = self._fs.open(self._path(name))
+        try:
+            return self._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+        finally:
+            stream.close()
+
+    def _temp(self, text: str) -> str:
+        name = f".new-{uuid.uuid4().hex}"
+        out = self._fs.create(self._path(name), True)
+        out.write(bytearray(text.encode()))
+        out.close()
+        return name
+
+    def replace(self, name: str, text: str) -> None:
+        """Write a file, or put a new one in its place by one atomic rename."""
+        self._context.rename(self._path(self._temp(text)), self._path(name), _options(self._jvm, self._jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE))
+
+    def claim(self, name: str, text: str) -> bool:
+        """Write a file that must not be there yet; of two writers one gets False."""
+        temp = self._temp(text)
+        try:
+            self._context.rename(self._path(temp), self._path(name), _options(self._jvm, self._jvm.org.apache.hadoop.fs.Options.Rename.NONE))
+        except Exception as e:  # noqa: BLE001
+            self._fs.delete(self._path(temp), False)
+            if "exist" in str(e):
+                return False
+            raise
+        return True
+
+    def names(self, pattern: str) -> list[str]:
+        return sorted(s.getPath().getName() for s in self._fs.globStatus(self._path(pattern)) or [])
+
+
+def _options(jvm, option):  # noqa: ANN001, ANN202
+    from pyspark import SparkContext
+
+    out = SparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+    out[0] = option
+    return out
+
+
 def shared_path(spark: SparkSession, name: str) -> str:
     """A new path in the shared folder; what is written there is deleted when the driver ends."""
     ensure_checkpoint_dir(spark)

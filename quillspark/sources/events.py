@@ -3,49 +3,40 @@
 from __future__ import annotations
 
 import json
-import os
-import uuid
 from datetime import UTC, datetime
-from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillspark.runtime import Files
 from quillspark.schema import EVENTS
 
 MAX_POLL = 1000
 
 
 class EventLog:
-    def __init__(self, path: str) -> None:
-        self.path = Path(path)
-        self.path.mkdir(parents=True, exist_ok=True)
+    def __init__(self, spark: SparkSession, path: str) -> None:
+        self.path, self.files = str(path).rstrip("/"), Files(spark, path)
+        self.files.make()
 
     def append(self, event_type: str, payload: dict) -> int:
-        """Append one event and return its id. Ids are claimed by creating the file of that id, so two writers never
+        """Append one event and return its id. Ids are claimed by renaming to the file of that id, so two writers never
         share one."""
-        last = max((int(p.stem) for p in self.path.glob("*.json")), default=0)
+        last = max((int(n.removesuffix(".json")) for n in self.files.names("[0-9]*.json")), default=0)
         row = {"event_type": event_type, "payload_json": json.dumps(payload, ensure_ascii=False), "created_at": datetime.now(UTC).isoformat(timespec="milliseconds").replace("+00:00", "Z")}
         while True:
             last += 1
-            temp = self.path / f".new-{uuid.uuid4().hex}"
-            temp.write_text(json.dumps({"id": last, **row}, ensure_ascii=False) + "\n")
-            try:
-                os.link(temp, self.path / f"{last:012d}.json")
-            except FileExistsError:
-                continue
-            finally:
-                temp.unlink()
-            return last
+            if self.files.claim(f"{last:012d}.json", json.dumps({"id": last, **row}, ensure_ascii=False) + "\n"):
+                return last
 
     def note_changed(self, file_id: str, path: str, action: str) -> int:
         return self.append("note_changed", {"file_id": file_id, "path": path, "action": action})
 
     def read(self, spark: SparkSession) -> DataFrame:
-        return spark.read.schema(EVENTS).json(str(self.path))
+        return spark.read.schema(EVENTS).json(self.path)
 
     def stream(self, spark: SparkSession, max_files: int = 1000) -> DataFrame:
-        return spark.readStream.schema(EVENTS).option("maxFilesPerTrigger", max_files).json(str(self.path))
+        return spark.readStream.schema(EVENTS).option("maxFilesPerTrigger", max_files).json(self.path)
 
 
 def parsed(events: DataFrame) -> DataFrame:

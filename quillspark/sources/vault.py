@@ -66,20 +66,35 @@ def _walk(root: str, sub: str = "") -> Iterator[tuple[str, str, int, int]]:
                     yield e.path, normalize_relative(os.path.relpath(e.path, root)), st.st_size, st.st_mtime_ns // 1_000_000
 
 
+def _top(root: str, want: int) -> list[str]:
+    """Files and folders that together hold the tree, folders opened level by level until there are `want` of them."""
+    files: list[str] = []
+    folders = [root]
+    while folders and len(folders) < want:
+        below: list[str] = []
+        for folder in folders:
+            try:
+                with os.scandir(folder) as entries:
+                    for e in entries:
+                        if e.is_symlink() or folder == root and e.name in PRUNED and e.is_dir():
+                            continue
+                        if e.is_dir(follow_symlinks=False):
+                            below.append(e.path)
+                        elif e.is_file(follow_symlinks=False):
+                            files.append(e.path)
+            except OSError:
+                continue
+        folders = below
+    return [os.path.relpath(p, root) for p in files + folders]
+
+
 def scan(spark: SparkSession, root: str, case_sensitive: bool = True) -> DataFrame:
     """Manifest of all regular files under root, hidden ones too; links are not followed, and version control,
-    editor and index folders at the top are left out. The top level is listed by the driver, the folders below it by the executors."""
+    editor and index folders at the top are left out. The driver opens folders until there are enough for all tasks, however
+    deep they lie; what is below them is listed by the executors."""
     root = os.path.realpath(root)
-    top = []
-    with os.scandir(root) as entries:
-        for e in entries:
-            if e.is_symlink():
-                continue
-            if e.is_dir(follow_symlinks=False):
-                if e.name not in PRUNED:
-                    top.append(e.name)
-            elif e.is_file(follow_symlinks=False):
-                top.append(e.name)
+    tasks_ = 4 * spark.sparkContext.defaultParallelism
+    top = _top(root, tasks_)
 
     def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in it:
@@ -96,7 +111,7 @@ def scan(spark: SparkSession, root: str, case_sensitive: bool = True) -> DataFra
                     yield part[["absolute_path", "normalized_path", "match_key", "size_bytes", "modified_unix_ms"]]
 
     names = spark.createDataFrame([(n,) for n in sorted(top)], "name string")
-    return names.repartition(max(1, min(len(top), 64)), "name").mapInPandas(run, MANIFEST)
+    return names.repartition(max(1, min(len(top), tasks_)), "name").mapInPandas(run, MANIFEST)
 
 
 def hash_file(path: str) -> str:

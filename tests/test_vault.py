@@ -231,7 +231,7 @@ def test_events_and_streams(spark, tmp_path):
     write(root, {"a.md": "a"})
     store = IndexStore(spark, str(tmp_path / "i"))
     I.rebuild(store, str(root))
-    log = EventLog(str(tmp_path / "log"))
+    log = EventLog(spark, str(tmp_path / "log"))
     write(root, {"a.md": "changed", "b.md": "new"})
     assert [log.note_changed("f", p, "updated") for p in ("a.md", "b.md", "a.md")] == [1, 2, 3]
     page, cursor = poll(log.read(spark), 1, 10)
@@ -260,7 +260,7 @@ def test_store_is_versioned(spark, tmp_path):
     assert [tuple(r) for r in store.table("blocks").collect()] == [("g", "c")]
     store.write({})
     assert [tuple(r) for r in store.table("blocks").collect()] == [("g", "c")] and len(store.segments()) == 1
-    (tmp_path / "CURRENT.json").write_text(json.dumps({"schema": 99, "version": v}))
+    store.files.replace("CURRENT.json", json.dumps({"schema": 99, "version": v}))
     with pytest.raises(StoreError):
         store.table("files")
 
@@ -291,7 +291,7 @@ def test_api(spark, built, tmp_path):
     assert calls == [1]
     with pytest.raises(sinks.WriteDisabledError):
         v.doc_write("notes/n.md", "x")
-    log = EventLog(str(tmp_path / "log"))
+    log = EventLog(spark, str(tmp_path / "log"))
     assert v.doc_write("notes/n.md", "fresh words", True, log)["event_id"] == 1
     assert v.query("docs", "fresh").count() == 1
     v.cached("k", lambda: calls.append(1))
