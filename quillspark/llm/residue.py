@@ -175,18 +175,17 @@ def residue_segments(docs: DataFrame, p: Residue = Residue(), seeds: dict[str, s
     docs = spread(docs.filter("doc_id is not null and text is not null").select("doc_id", "text"), "doc_id")
     segs = cut_table(parse(docs, p, seeds))
     known = cut(trusted(spark, p, seeds))
-    front, links, seen = known.drop("kind"), None, None
-    while True:
+    front, links, seen = known.drop("kind"), None, []
+    while front.head(1):
         found = cut(_near(segs, front, p))
-        new = found.select("h").distinct()
-        if seen is not None:
-            new = new.join(seen, "h", "left_anti")
-        new = cut(new)
         links = found if links is None else links.unionByName(found)
-        if not new.head(1):
-            break
-        seen = new if seen is None else cut(seen.unionByName(new))
+        new = found.select("h").distinct()
+        for before in seen:
+            new = new.join(before, "h", "left_anti")
         front = cut(segs.join(broadcast_if_small(new, MAX_BROADCAST), "h", "left_semi").select(*_COLUMNS).dropDuplicates(["h"]))
+        seen.append(front.select("h"))
+    if links is None:
+        return segs, spark.createDataFrame([], "h long, kind string, component long")
     parts = connected_components(links.select(F.col("h").alias("u"), F.col("known_h").alias("v")))
     labels = parts.join(known.select(F.col("h").alias("node"), "kind"), "node").groupBy("component").agg(F.min("kind").alias("kind"))
     labelled = parts.join(labels, "component").select(F.col("node").alias("h"), "kind", "component")

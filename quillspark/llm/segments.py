@@ -44,6 +44,9 @@ _ONE, _TWO = _marks()
 _OPTIONAL = {p.split()[0]: [q.split() for q in OPTIONAL.split(", ") if q.split()[0] == p.split()[0]] for p in OPTIONAL.split(", ")}
 
 
+_SPECIAL = frozenset((*_ONE, *_TWO, *_OPTIONAL))
+
+
 def sentences(text: str) -> list[str]:
     """Sentences and lines of the text without code, quotes and data; tags of a page end a sentence."""
     if "`" in text or "~~~" in text or "<" in text:
@@ -59,41 +62,39 @@ def sentences(text: str) -> list[str]:
     return out
 
 
-def normal(s: str) -> tuple[list[str], list[int]]:
-    """Lower-case words of a sentence, with numbers, articles and words that are alike in residue masked; and where each
-    of them begins in it. A run of words of one class gives one mark, unless a new clause begins within."""
-    found = [(m.group(), m.start()) for m in _WORD.finditer(s)]
-    raw = [w.lower() for w, _ in found]
+def normal(s: str) -> tuple[list[str], list[str]]:
+    """Lower-case words of a sentence, with numbers, articles and words that are alike in residue masked; and the word as
+    written with which each of them begins. A run of words of one class gives one mark, unless a new clause begins within."""
+    found = _WORD.findall(s)
+    raw = [w.lower() for w in found]
     out: list[str] = []
-    at: list[int] = []
-    i, n, article = 0, len(raw), -1
+    at: list[str] = []
+    i, n, article = 0, len(raw), ""
     while i < n:
-        w, begin = raw[i], found[i][1]
+        w, begin = raw[i], found[i]
         i += 1
-        if w in _OPTIONAL:
-            skip = next((len(q) for q in _OPTIONAL[w] if raw[i - 1 : i - 1 + len(q)] == q), 0)
-            if skip and out:
-                i += skip - 1
+        if w in _SPECIAL:
+            if w in _OPTIONAL:
+                skip = next((len(q) for q in _OPTIONAL[w] if raw[i - 1 : i - 1 + len(q)] == q), 0)
+                if skip and out:
+                    i += skip - 1
+                    continue
+            if w in _TWO and i < n and raw[i] in _TWO[w]:
+                w = _TWO[w][raw[i]]
+                i += 1
+            elif w in _ONE:
+                w = _ONE[w]
+                if w == "<the>":
+                    article = article or begin
+                    continue
+            if w[0] == "<" and out and out[-1] == w and not article[:2].istitle():
+                article = ""
                 continue
-        if w in _TWO and i < n and raw[i] in _TWO[w]:
-            mark = _TWO[w][raw[i]]
-            i += 1
-        elif w in _ONE:
-            mark = _ONE[w]
-            if mark == "<the>":
-                if article < 0:
-                    article = begin
-                continue
-        elif w.isalpha():
-            mark = w
-        else:
-            mark = "…" if w == "..." else _NUMBER.sub("0", w)
-        if mark[0] == "<" and out and out[-1] == mark and (article < 0 or not s[article : article + 2].istitle()):
-            article = -1
-            continue
-        out.append(mark)
-        at.append(begin if article < 0 else article)
-        article = -1
+        elif not w.isalpha():
+            w = "…" if w == "..." else _NUMBER.sub("0", w)
+        out.append(w)
+        at.append(article or begin)
+        article = ""
     return out, at
 
 
@@ -223,7 +224,7 @@ def segments(s: str) -> list[str]:
         if n > _LONGEST:
             break
         known += words[i] in _VOCABULARY
-        if 3 * known >= 2 * n and (s[at[i]].isupper() or s[at[i]].isdigit()):
+        if 3 * known >= 2 * n and (at[i][0].isupper() or at[i][0].isdigit()):
             out.append(bare(words[i:]))
             out += fillers(words[i:])
     return out
