@@ -13,7 +13,7 @@ from quillspark.functions import text as T
 from quillspark.functions import values as V
 from quillspark.operators import postings
 from quillspark.plans import where as W
-from quillspark.runtime import spread
+from quillspark.runtime import broadcast_if_small, spread
 
 COLUMNS = ("file_id", "path", "title", "matched_in")
 MAX_PAGE = 1000
@@ -58,7 +58,8 @@ def with_surfaces(index: DataFrame) -> DataFrame:
 
 
 #: Up to so many notes found in the postings are sent to the scan of the index as a list.
-MAX_LISTED = 10_000
+MAX_LISTED = 256
+MAX_BROADCAST = 500_000
 
 
 def found(index: DataFrame, query: str, postings_: DataFrame | None = None) -> DataFrame:
@@ -70,7 +71,7 @@ def found(index: DataFrame, query: str, postings_: DataFrame | None = None) -> D
     some = [r["file_id"] for r in ids.limit(MAX_LISTED + 1).collect()]
     if len(some) <= MAX_LISTED:
         return index.filter(F.col("file_id").isin(some)) if some else index.limit(0)
-    return index.join(ids, "file_id", "left_semi")
+    return index.join(broadcast_if_small(ids, MAX_BROADCAST), "file_id", "left_semi")
 
 
 def search(index: DataFrame, query: str, postings_: DataFrame | None = None) -> DataFrame:

@@ -90,11 +90,13 @@ def _ask(spark: SparkSession, d: str, query: str) -> tuple[DataFrame, str, DataF
 
 
 def _start(spark: SparkSession, d: str) -> str:
-    return graph.links_with_paths(_links(spark, d), _files(spark, d)).agg(F.min("source_path")).first()[0]
+    """The note that graph queries ask about, chosen once per session."""
+    return once(spark, (d, "start"), lambda: graph.links_with_paths(_links(spark, d), _files(spark, d)).agg(F.min("source_path")).first()[0])
 
 
 def _hub(spark: SparkSession, d: str) -> str:
-    return graph.degrees(_links(spark, d), _files(spark, d)).filter("is_markdown").orderBy(F.col("n_in").desc(), "normalized_path").first()["normalized_path"]
+    """The note with the most links to it, chosen once per session."""
+    return once(spark, (d, "hub"), lambda: graph.degrees(_links(spark, d), _files(spark, d)).filter("is_markdown").orderBy(F.col("n_in").desc(), "normalized_path").first()["normalized_path"])
 
 
 # --- scans -------------------------------------------------------------------------------------------------------
