@@ -14,10 +14,10 @@ import datetime as dt
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.runtime import broadcast_if_small
+from quillspark.runtime import broadcast_if_small, cut
 
 DAY_MS = 86_400_000
-MAX_BROADCAST = 500_000
+MAX_BROADCAST = 50_000
 
 
 def current_files(files: DataFrame) -> DataFrame:
@@ -53,12 +53,16 @@ def _indexed_ms(indexed_at: Column) -> Column:
     return F.unix_millis(F.try_to_timestamp(indexed_at))
 
 
-def window(files: DataFrame, low: int) -> DataFrame:
-    """Rows indexed at `low` (epoch milliseconds) or later, or at a time that can't be read. The bound of the text is a day
-    lower, whatever its time zone, and reaches the scan, which skips what is older."""
+def _in_window(low: int) -> Column:
+    """The bound of the text is a day lower, whatever its time zone, and reaches the scan, which skips what is older."""
     bound = dt.datetime.fromtimestamp((low - DAY_MS) / 1000, dt.timezone.utc).strftime("%Y-%m-%d")
     when = _indexed_ms(F.col("indexed_at"))
-    return files.filter(F.col("indexed_at").isNull() | (F.col("indexed_at") >= bound)).filter(when.isNull() | (when >= low))
+    return (F.col("indexed_at").isNull() | (F.col("indexed_at") >= bound)) & (when.isNull() | (when >= low))
+
+
+def window(files: DataFrame, low: int) -> DataFrame:
+    """Rows indexed at `low` (epoch milliseconds) or later, or at a time that can't be read and does not sort before it."""
+    return files.filter(_in_window(low))
 
 
 def _unprocessed(now: DataFrame, done: DataFrame) -> DataFrame:
@@ -66,31 +70,32 @@ def _unprocessed(now: DataFrame, done: DataFrame) -> DataFrame:
     return now.join(done, on, "left_anti")
 
 
-def reread_and_late(files: DataFrame, ledger: DataFrame, runs: DataFrame) -> tuple[DataFrame, DataFrame]:
+def reread_and_late(files: DataFrame, done: DataFrame, runs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(rows reread, keys of late files). The first are the current rows of files within the window; the second the
-    file_id of files outside of it whose current version no successful run recorded.
+    file_id of files outside of it whose current version no successful run recorded (done, of processed_ledger).
 
     With no successful run the window holds everything. A file with rows on both sides is current within the window.
     """
     low = reread_from(runs)
     if low is None:
         return current_files(files), files.select("file_id").limit(0)
-    inside = current_files(window(files, low))
+    inside = cut(current_files(window(files, low)))
     # of what lies before the window only keys, order and versions are read; Parquet skips the other columns
-    keys = files.filter("file_id is not null").select("file_id", "indexed_at", "modified_unix_ms", "size_bytes", "hash_blake3")
-    before = current_files(keys.join(broadcast_if_small(inside.select("file_id"), MAX_BROADCAST), "file_id", "left_anti"))
-    return inside, _unprocessed(before, processed_ledger(ledger, runs)).select("file_id")
+    keys = files.filter("file_id is not null").filter(~F.coalesce(_in_window(low), F.lit(True))).select("file_id", "indexed_at", "modified_unix_ms", "size_bytes", "hash_blake3")
+    before = current_files(keys).join(broadcast_if_small(inside.select("file_id"), MAX_BROADCAST), "file_id", "left_anti")
+    return inside, _unprocessed(before, done).select("file_id")
 
 
 def to_process(files: DataFrame, ledger: DataFrame, runs: DataFrame) -> DataFrame:
     """Files that the next run must process: file_id, size_bytes, hash_blake3, modified_unix_ms, indexed_at, in_reread.
 
-    in_reread tells whether the file lies in the window that is read again; the others came late. Rows whose time can't
-    be read count to the window. Null sizes and hashes are versions like any other. With an empty ledger or no
+    in_reread tells whether the file lies in the window that is read again; the others came late. Null sizes and hashes are versions like any other. With an empty ledger or no
     successful run all files are returned.
     """
-    inside, late = reread_and_late(files, ledger, runs)
-    again = _unprocessed(inside, processed_ledger(ledger, runs)).withColumn("in_reread", F.lit(True))
+    done = cut(processed_ledger(ledger, runs))
+    inside, late = reread_and_late(files, done, runs)
+    again = _unprocessed(inside, done).withColumn("in_reread", F.lit(True))
+    late = cut(late)
     rest = current_files(files.join(broadcast_if_small(late, MAX_BROADCAST), "file_id", "left_semi")).withColumn("in_reread", F.lit(False))
     return again.unionByName(rest)
 

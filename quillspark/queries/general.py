@@ -61,7 +61,8 @@ def p5_plan(spark: SparkSession, d: str) -> DataFrame:
 def p5_reread(spark: SparkSession, d: str) -> DataFrame:
     """How many files the window makes a run read again in full, how many it need not read, and how many of these came late."""
     files = table(spark, d, "vault_files")
-    inside, late = incremental.reread_and_late(files, table(spark, d, "index_ledger"), table(spark, d, "index_runs"))
+    runs = table(spark, d, "index_runs")
+    inside, late = incremental.reread_and_late(files, incremental.processed_ledger(table(spark, d, "index_ledger"), runs), runs)
     counts = files.agg(F.countDistinct("file_id").alias("n_files")).first()[0], inside.count(), late.count()
     return spark.createDataFrame([counts], "n_files long, n_reread long, n_late long")
 

@@ -66,7 +66,7 @@ def test_window_and_late_files(spark):
     )
     led = ledger(spark, [("old", 3, 1, "h", "a"), ("done", 3, 1, "h", "a"), ("both", 3, 1, "h", "a")])
     runs = spark.createDataFrame(RUN_ROWS, RUNS)
-    inside, late = I.reread_and_late(f, led, runs)
+    inside, late = I.reread_and_late(f, I.processed_ledger(led, runs), runs)
     assert {r["file_id"] for r in inside.collect()} == {"in", "done", "both", "zone", "odd", "null"}
     assert {r["file_id"] for r in late.collect()} == {"late"}
     got = {r["file_id"]: (r["size_bytes"], r["in_reread"]) for r in I.to_process(f, led, runs).collect()}
