@@ -139,15 +139,18 @@ def cell_versions(properties: DataFrame, columns: list[tuple[str, str]], batch:
     return rows.groupBy("batch", "file_id", "c").agg(F.max(_cell()).alias("cell"))
 
 
-def sparse_deltas(properties: DataFrame, columns: list[tuple[str, str]], batch: Column | None = None) -> DataFrame:
-    """Batches as sparse wide deltas, one row per batch and entity that it writes: batch, file_id, cells.
+def sparse_deltas(properties: DataFrame, columns: list[tuple[str, str]], batch: Column | None = None, parts: int = 64) -> DataFrame:
+    """Batches as sparse wide deltas, one row per batch and entity that it writes: batch, part (of the entity, by hash),
+    file_id, cells.
 
     cells holds (c, cell) only for the columns written, in order of column, so at most one per column of the schema. The
     batch is the month of updated_at unless given.
     """
     batch = F.substring(F.coalesce("updated_at", F.lit("")), 1, 7) if batch is None else batch
-    versions = cell_versions(properties, columns, batch).repartition("file_id")
-    return versions.groupBy("batch", "file_id").agg(F.array_sort(F.collect_list(F.struct("c", "cell"))).alias("cells"))
+    # versions are few per entity; they are sent to the part where their run is written, so nothing is sent again
+    part = F.pmod(F.xxhash64("file_id"), F.lit(parts)).cast("int")
+    versions = cell_versions(properties, columns, batch).withColumn("part", part).repartition(parts, "part")
+    return versions.groupBy("batch", "part", "file_id").agg(F.array_sort(F.collect_list(F.struct("c", "cell"))).alias("cells"))
 
 
 def compact(*runs: DataFrame) -> DataFrame:
@@ -176,12 +179,11 @@ class WideLog:
 
     def append(self, properties: DataFrame, run: str | None = None) -> None:
         """Write the batches of the rows as runs: one named `run`, or, by default, one per month of updated_at."""
-        deltas = sparse_deltas(properties, self.columns, F.lit(run) if run is not None else None)
+        deltas = sparse_deltas(properties, self.columns, F.lit(run) if run is not None else None, self.parts)
         self._write(deltas.withColumnRenamed("batch", "run"))
 
     def _write(self, deltas: DataFrame) -> None:
-        part = F.pmod(F.xxhash64("file_id"), F.lit(self.parts)).cast("int")
-        rows = deltas.select(F.concat(F.lit("r"), "run").alias("run"), part.alias("part"), "file_id", "cells").repartition(self.parts, "part").sortWithinPartitions("run", "part", "file_id")
+        rows = deltas.select(F.concat(F.lit("r"), "run").alias("run"), "part", "file_id", "cells").sortWithinPartitions("run", "part", "file_id")
         rows.write.partitionBy("run", "part").mode("append").parquet(self.path)
 
     def runs(self) -> dict[int, list[str]]:
@@ -206,7 +208,9 @@ class WideLog:
         many = {p: folders for p, folders in self.runs().items() if len(folders) > most_runs}
         old = [f for folders in many.values() for f in folders]
         if old:
-            self._write(compact(self._read(old)).withColumn("run", F.lit(f"c{uuid.uuid4().hex}")))
+            part = F.pmod(F.xxhash64("file_id"), F.lit(self.parts)).cast("int")
+            merged = compact(self._read(old)).withColumn("part", part).repartition(self.parts, "part")
+            self._write(merged.withColumn("run", F.lit(f"c{uuid.uuid4().hex}")))
             for f in old:
                 self._fs.delete(self._fs_path(f), True)
         return len(many)
