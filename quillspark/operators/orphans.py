@@ -20,11 +20,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillspark.operators.skew import fragment_replicate_join, plan_load
-from quillspark.runtime import broadcast_if_small, cut, cut_table, parallelism
+from quillspark.runtime import cut, cut_table, parallelism
 
 STATE = ["ref_key", "refs", "exists"]
 REFS = ["link_id", "ref_field", "month", "ref_key", "source_file_id", "name", "base"]
-MAX_BROADCAST = 500_000
+MAX_BROADCAST = 50_000
 
 
 @dataclass(frozen=True)
@@ -196,9 +196,8 @@ def orphan_references(links: DataFrame, files: DataFrame) -> DataFrame:
     state, refs = build(links, files)
     orphans = cut_table(orphan_keys(state.keys))
     refs = refs.select("link_id", "ref_field", "month", "ref_key")
-    small = broadcast_if_small(orphans.select("ref_key"), MAX_BROADCAST)
     if orphans.limit(MAX_BROADCAST + 1).count() <= MAX_BROADCAST:
-        return refs.join(small, "ref_key", "left_semi").select("link_id", "ref_field", "month", "ref_key")
+        return refs.join(F.broadcast(orphans.select("ref_key")), "ref_key", "left_semi").select("link_id", "ref_field", "month", "ref_key")
     # one key may hold a third of the references: their counts are known from the state
     plan = plan_load(refs, ["ref_key"], 2 * parallelism(links.sparkSession), counts=state.keys.filter("refs > 0").select("ref_key", F.col("refs").alias("n")))
     found = fragment_replicate_join(refs, orphans.select("ref_key", F.lit(True).alias("orphan")), ["ref_key"], ["link_id"], "inner", plan)
