@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillspark.functions import text as T
+from quillspark.operators.components import connected_components
 from quillspark.runtime import cut
 
 RESOLVED = "not is_unresolved and resolved_file_id is not null"
@@ -147,25 +148,10 @@ def neighbors(links: DataFrame, files: DataFrame, path: str, direction: str = "a
     return both.groupBy("path", "direction").agg(F.min_by("link_id", F.struct("rank", "link_id")).alias("link_id")).orderBy("path", "direction")
 
 
-def _labels(edges_: DataFrame, nodes: DataFrame, max_rounds: int = 200) -> DataFrame:
-    """Least node that is joined to each node, edges taken both ways: node, component. Large and small stars alternate."""
-    both = edges_.filter("src <> dst").select(F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v")).distinct()
-    e = cut(both)
-    state = None
-    for _ in range(max_rounds):
-        sym = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = sym.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = sym.join(low, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
-        down = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(down, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(down.select("u", F.col("m").alias("v"))).filter("u <> v").distinct()
-        e = cut(small)
-        new = tuple(e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
-        if new == state:
-            break
-        state = new
-    else:
-        raise GraphError(f"components did not settle in {max_rounds} rounds")
-    return nodes.select("node").join(e.select(F.col("u").alias("node"), F.col("v").alias("c")), "node", "left").select("node", F.coalesce("c", "node").alias("component"))
+def _labels(edges_: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Least node that is joined to each node, edges taken both ways: node, component."""
+    found = connected_components(edges_.select(F.col("src").alias("u"), F.col("dst").alias("v"))).withColumnRenamed("component", "c")
+    return nodes.select("node").join(found, "node", "left").select("node", F.coalesce("c", "node").alias("component"))
 
 
 def _component_rows(labels: DataFrame, files: DataFrame, sample_size: int | None) -> DataFrame:
@@ -191,7 +177,7 @@ def weak_components(links: DataFrame, files: DataFrame, sample_size: int | None
     return _component_rows(_labels(e, known), files, sample_size).filter("n_notes > 0").orderBy(F.col("size").desc(), "first_path")
 
 
-def strong_components(links: DataFrame, files: DataFrame, sample_size: int | None = None, max_rounds: int = 500) -> DataFrame:
+def strong_components(links: DataFrame, files: DataFrame, sample_size: int | None = None) -> DataFrame:
     """Strong components of notes and of what they link to: as weak_components. Attachments are components of size 1
     without notes.
 
@@ -206,9 +192,8 @@ def strong_components(links: DataFrame, files: DataFrame, sample_size: int | Non
     reached = notes.unionByName(e.select(F.col("dst").alias("node"))).distinct()
     left, e = cut(reached), cut(e)
     done = left.select("node", F.col("node").alias("component")).filter(F.lit(False))
-    for _ in range(max_rounds):
-        # trim
-        for _ in range(max_rounds):
+    while True:  # each round settles at least the component of the least node that is left
+        while True:  # trim
             keep = e.select(F.col("src").alias("node")).distinct().join(e.select(F.col("dst").alias("node")).distinct(), "node", "left_semi")
             keep = cut(keep)
             out = left.join(keep, "node", "left_anti")
@@ -242,8 +227,6 @@ def strong_components(links: DataFrame, files: DataFrame, sample_size: int | Non
         done = cut(done.unionByName(found.select("node", F.col("c").alias("component"))))
         left = cut(left.join(found.select("node"), "node", "left_anti"))
         e = cut(e.join(left.withColumnRenamed("node", "src"), "src", "left_semi").join(left.withColumnRenamed("node", "dst"), "dst", "left_semi"))
-    else:
-        raise GraphError(f"components did not settle in {max_rounds} rounds")
     return _component_rows(done, files, sample_size).orderBy(F.col("size").desc(), "first_path")
 
 
@@ -269,14 +252,16 @@ def shortest_path(links: DataFrame, files: DataFrame, start: str, goal: str, max
     a, b = _id_of(files, start, True), _id_of(files, goal, True)
     if a is None or b is None:
         return PathResult(False, 0, (), ())
-    pairs = edges(links)
-    sym = cut(pairs.unionByName(pairs.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).filter("src <> dst").distinct())
+    real = links.filter(RESOLVED).select("source_file_id", "resolved_file_id")
     spark = links.sparkSession
     parent: dict[str, str | None] = {a: None}
     level, depth, explored, found = [a], 0, 1, a == b
     while level and depth < max_depth and not found:
         frontier = spark.createDataFrame(list(enumerate(level)), "rank int, src string")
-        rows = sym.join(F.broadcast(frontier), "src").select("rank", "src", "dst")  # at most max_nodes rows
+        # neighbours of the frontier, of at most max_nodes rows, are read from the links; the edges are never gathered
+        ends = (("source_file_id", "resolved_file_id"), ("resolved_file_id", "source_file_id"))
+        out, into = (real.join(F.broadcast(frontier), F.col(x) == F.col("src")).select("rank", "src", F.col(y).alias("dst")) for x, y in ends)
+        rows = out.unionByName(into).filter("src <> dst")
         first = rows.groupBy("dst").agg(F.min(F.struct("rank", "src")).alias("f")).select("dst", "f.rank", "f.src")
         # nodes known before are at most max_nodes as well
         seen = spark.createDataFrame([(x,) for x in parent], "dst string")
