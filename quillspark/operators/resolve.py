@@ -43,7 +43,8 @@ def _nearest(asks: DataFrame, files: DataFrame) -> DataFrame:
     below = F.struct(_depth(F.col("there")).alias("deep"), F.lower("path").alias("p"), F.col("path").alias("path"), F.col("file_id").alias("file_id"))
     best = named.select("k", F.explode(_folders(F.col("there"))).alias("above"), below.alias("b")).groupBy("k", "above").agg(F.min("b").alias("b"))
     counts = named.groupBy("k").agg(F.count(F.lit(1)).alias("n_matches"))
-    asked = asks.select("target", "home", F.element_at(target_keys(F.col("target"), F.col("home")), 1).alias("k"), F.explode(_folders(F.col("home"))).alias("above"))
+    name = F.concat(F.lit("n:"), T.strip_md(F.lower("target")))
+    asked = asks.select("target", "home", name.alias("k"), F.explode(_folders(F.col("home"))).alias("above"))
     steps = _depth(F.lower("home")) + F.col("b.deep") - 2 * _depth(F.col("above"))
     rank = F.struct(steps.alias("steps"), F.col("b.p").alias("p"), F.col("b.path").alias("path"), F.col("b.file_id").alias("file_id"))
     found = asked.join(best, ["k", "above"]).groupBy("target", "home", "k").agg(F.min(rank).alias("best"))

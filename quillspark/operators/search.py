@@ -13,7 +13,7 @@ from quillspark.functions import text as T
 from quillspark.functions import values as V
 from quillspark.operators import postings
 from quillspark.plans import where as W
-from quillspark.runtime import broadcast_if_small, spread
+from quillspark.runtime import broadcast_if_small, cut, spread
 
 COLUMNS = ("file_id", "path", "title", "matched_in")
 MAX_PAGE = 1000
@@ -67,7 +67,7 @@ def found(index: DataFrame, query: str, postings_: DataFrame | None = None) -> D
     that may hold a note found; without, the surfaces of all notes are scanned."""
     if postings_ is None:
         return with_surfaces(spread(index, "file_id")).filter(match(query, [F.col(c) for c in SURFACES]))
-    ids = postings.matching(postings_, phrases(query))
+    ids = cut(postings.matching(postings_, phrases(query)))
     some = [r["file_id"] for r in ids.limit(MAX_LISTED + 1).collect()]
     if len(some) <= MAX_LISTED:
         return index.filter(F.col("file_id").isin(some)) if some else index.limit(0)

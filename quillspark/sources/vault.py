@@ -277,20 +277,55 @@ def parse_wikilink(raw: str) -> dict | None:
     return {"target": target.strip(), "display": display.strip() or None if bar else None, "heading": heading or None, "block": block or None}
 
 
+#: `[label]: target "title"`, and the uses of such a label: `[text][label]`, `[label][]` and `[label]`.
+DEFINITION = re.compile(r"(?m)^[ ]{0,3}\[(?!\^)((?:[^\[\]\\]|\\.)+)\]:[ \t]*\n?[ \t]*(?:<([^<>\n]*)>|(\S+))(?:[ \t]+(?:\"[^\"\n]*\"|'[^'\n]*'|\([^()\n]*\)))?[ \t]*$")
+REFERENCE = re.compile(r"(!?)(?<![\[\\])\[(?!\^)((?:[^\[\]\\]|\\.)+)\](?:\[((?:[^\[\]\\]|\\.)*)\])?(?![\[(:\]])")
+
+
+def _label(text: str) -> str:
+    return " ".join(text.split()).casefold()
+
+
+def _target(url: str) -> str | None:
+    """The path in the vault that a URL names, or None."""
+    if not url or url.startswith("//") or SCHEME.match(url):
+        return None
+    return unquote(url.partition("#")[0].partition("?")[0]).strip().strip("/").replace("\\", "/") or None
+
+
 def markdown_links(text: str) -> list[dict]:
-    """Links and images with a target in the vault: kind, raw, target. Code is left out; targets with a scheme or `//` are
-    dropped; fragment and query are taken off, and percent signs decoded."""
-    out = []
+    """Links and images with a target in the vault: kind, raw, target; inline ones, images within the text of links, and those
+    by reference to a definition, of which the first of a label counts. Code is left out, and what is escaped; targets with a
+    scheme or `//` are dropped; fragment and query are taken off, and percent signs decoded."""
+    found: list[tuple[bool, str]] = []
     plain = FENCE.sub("", text)
     plain = re.sub(r"(`+)(?!`).+?(?<!`)\1(?!`)", "", plain)
-    for m in MD_LINK.finditer(plain):
-        url = (m[3] if m[3] is not None else m[4]).strip()
-        if not url or url.startswith("//") or SCHEME.match(url):
-            continue
-        path = unquote(url.partition("#")[0].partition("?")[0]).strip().strip("/").replace("\\", "/")
-        if path:
-            out.append({"kind": "embed" if m[1] else "markdown", "raw": url, "target": path})
-    return out
+    named: dict[str, str] = {}
+    if "]:" in plain:
+        for m in DEFINITION.finditer(plain):
+            named.setdefault(_label(m[1]), m[2] if m[2] is not None else m[3])
+        plain = DEFINITION.sub("", plain)
+
+    def inline(part: str) -> str:
+        """Takes the inline links of a part, and leaves what is around them."""
+
+        def take(m: re.Match) -> str:
+            if part[m.start() - 1 : m.start()] == "\\":
+                return m[0]
+            if "](" in m[2]:
+                inline(m[2])
+            found.append((bool(m[1]), (m[3] if m[3] is not None else m[4]).strip()))
+            return " "
+
+        return MD_LINK.sub(take, part)
+
+    rest = inline(plain)
+    if named:
+        for m in REFERENCE.finditer(rest):
+            url = named.get(_label(m[3] or m[2]))
+            if url is not None:
+                found.append((bool(m[1]), url))
+    return [{"kind": "embed" if image else "markdown", "raw": url, "target": target} for image, url in found if (target := _target(url))]
 
 
 def _front_links(v: object, where: str) -> Iterator[tuple[str, str]]:

@@ -71,3 +71,18 @@ def test_only_the_words_asked_for_are_read(spark, tmp_path):
     P.build(S.with_surfaces(df)).write.parquet(str(tmp_path / "p"))
     plan = P.matching(spark.read.parquet(str(tmp_path / "p")), ["alpha be"])._jdf.queryExecution().toString()
     assert "PushedFilters: [Or(EqualTo(token,alpha),And(GreaterThanOrEqual(token,be),StringStartsWith(token,be)))" in plan
+
+
+def test_markdown_links():
+    from quillspark.sources.vault import markdown_links
+
+    def links(text):
+        return [(x["kind"], x["target"]) for x in markdown_links(text)]
+
+    assert links("[a](x.md) ![i](y.png) [t](<z z.md> \"title\") [p](a(b).md)") == [("markdown", "x.md"), ("embed", "y.png"), ("markdown", "z z.md"), ("markdown", "a(b).md")]
+    assert links("[![i](inner.png)](outer.md)") == [("embed", "inner.png"), ("markdown", "outer.md")]
+    text = "see [one][Ref], [ref][], [REF] and ![pic][img]\n\n[ref]: <a b.md> 'title'\n[img]: p%20q.png#x\n[ref]: second.md\n[out]: https://x.example/\n[out] [^1] [nowhere]\n\n[^1]: note.md\n"
+    assert links(text) == [("markdown", "a b.md")] * 3 + [("embed", "p q.png")]
+    assert links("\\[no](x.md) `[c](x.md)` [[wiki]] [[wiki|ref]] ![[embed]] [m](mailto:a@b.c) [s](//h/p) [f](#only)\n\n[wiki]: w.md\n[ref]: r.md") == []
+    assert links("```\n[c](x.md)\n```\n- [x] task [a](../b.md?q=1#h)\n\n[x]: task.md") == [("markdown", "../b.md"), ("markdown", "task.md")]
+    assert links("") == [] and links("[" * 5000) == [] and links("[a]: " * 3000) == []
