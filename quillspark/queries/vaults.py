@@ -217,7 +217,7 @@ def b08_b09_b10_i15_i16_parsed_view(spark: SparkSession, d: str) -> DataFrame:
 
 
 @_q("""SELECT path, st AS status FROM vt WHERE path LIKE 'notes/projects/%' AND st IN ('"open"', '"active"') AND NOT starts_with(regexp_replace(regexp_extract(path, '[^/]*$'), '(.)\\.[^.]*$', '\\1'), 'project-m') ORDER BY path DESC LIMIT 40""")
-def p04_base_query_rows(spark: SparkSession, d: str) -> DataFrame:
+def q01_p04_base_rows(spark: SparkSession, d: str) -> DataFrame:
     """Rows of a view through the unified query, with a condition and a sort of the query."""
     v = _vault(spark, d, "big")
     at = tables.bases_with_paths(v.t["bases"], v.t["files"]).first()["path"]
